@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import url_filter
+from glossa.llm import mixing, resharding, url_filter
 
-MODULES = [url_filter]
+MODULES = [resharding, url_filter, mixing]
 
 
 def queries() -> dict:
