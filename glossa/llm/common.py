@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and total + n > limit:
