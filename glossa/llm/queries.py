@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import jpeg, mixing, resharding, simhash, url_filter
+from glossa.llm import decontaminate, jpeg, mixing, resharding, simhash, url_filter
 
-MODULES = [jpeg, simhash, resharding, url_filter, mixing]
+MODULES = [jpeg, simhash, resharding, url_filter, mixing, decontaminate]
 
 
 def queries() -> dict:
