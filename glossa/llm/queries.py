@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jpeg, mixing, resharding, simhash, url_filter
+from glossa.llm import decontaminate, jpeg, mixing, quality, resharding, simhash, url_filter
 
-MODULES = [jpeg, simhash, resharding, url_filter, mixing, decontaminate]
+MODULES = [jpeg, simhash, resharding, url_filter, mixing, decontaminate, quality]
 
 
 def queries() -> dict:
