@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jpeg, mixing, quality, resharding, simhash, toxicity, url_filter
+from glossa.llm import debruijn, decontaminate, jpeg, mixing, quality, resharding, simhash, toxicity, url_filter
 
-MODULES = [jpeg, simhash, resharding, url_filter, mixing, decontaminate, quality, toxicity]
+MODULES = [jpeg, debruijn, simhash, resharding, url_filter, mixing, decontaminate, quality, toxicity]
 
 
 def queries() -> dict:
