@@ -34,7 +34,7 @@ from glossa.llm.components import components
 
 RADIUS = 4
 #: Fingerprints in a chunk that emits its balls at once, and values in a bucket, about.
-CHUNK, BUCKET = 1000, 1 << 20
+CHUNK, BUCKET = 256, 1 << 19
 MASKS = np.array([0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)], np.uint64)
 
 
