@@ -7,13 +7,14 @@ import functools
 import pandas as pd
 from pyspark.sql import functions as F
 
+from glossa.functions.udf import arrow
 from glossa.functions import terms
 
 
 def _one(f, kind: str):
     """A function of one term as a column function; equal terms of a batch are computed once."""
 
-    @F.pandas_udf(kind)
+    @arrow(kind)
     def column(t: pd.Series) -> pd.Series:
         known = functools.cache(lambda text: f(terms.loads(text)))
         return t.map(known, na_action=None) if len(t) else t
@@ -32,7 +33,7 @@ def _term(f):
 def _two(f):
     """A function of two terms as a column function."""
 
-    @F.pandas_udf("string")
+    @arrow("string")
     def column(a: pd.Series, b: pd.Series) -> pd.Series:
         known = functools.cache(lambda x, y: terms.dumps(f(terms.loads(x), terms.loads(y))))
         return pd.Series([known(x, y) for x, y in zip(a, b)], dtype="object")
@@ -43,7 +44,7 @@ def _two(f):
 def _many(f):
     """A function of a list of terms (array column, in its order)."""
 
-    @F.pandas_udf("string")
+    @arrow("string")
     def column(ts: pd.Series) -> pd.Series:
         return ts.map(lambda x: terms.dumps(f([terms.loads(t) for t in (x if x is not None else [])])))
 

@@ -1 +1 @@
-"""Part of the code-facts engine."""
+"""Plans that need the driver: bounded loops whose rounds are DataFrame jobs."""
