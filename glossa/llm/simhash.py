@@ -86,14 +86,19 @@ def _half(fp: F.Column, low: bool) -> F.Column:
 
 
 def may_have_partners(fps: DataFrame) -> DataFrame:
-    """The fingerprints (fp) that share a value within 1 bit of a half with another."""
+    """The fingerprints (fp) that share a value within 1 bit of a half with another, or with several others.
+
+    A value that two share is decided at once by their distance.
+    """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(32)])
     keyed = None
     for low in (False, True):
         half = _half(F.col("fp"), low)
         one = fps.select("fp", F.explode(F.transform(flips, lambda m: half.bitwiseXOR(m).bitwiseXOR(F.lit(0 if low else 1 << 40)))).alias("v"))
         keyed = one if keyed is None else keyed.union(one)
-    met = keyed.groupBy("v").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").select("v")
+    met = keyed.groupBy("v").agg(F.count("*").alias("n"), F.min("fp").alias("first"), F.max("fp").alias("last"))
+    near = F.bit_count(F.col("first").bitwiseXOR(F.col("last"))) <= RADIUS
+    met = met.filter((F.col("n") > 2) | (F.col("n") == 2) & near).select("v")
     return keyed.join(met, "v", "left_semi").select("fp").distinct()
 
 
@@ -109,36 +114,34 @@ def _runs(values: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return values[first], least, pairs[:, 0], pairs[:, 1]
 
 
-LINKS = "bucket long, a long, b long, pack binary"
-
-
-def ball_links(fps: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+def ball_links(fps: DataFrame, count: int) -> DataFrame:
     """a, b: links that connect all fingerprints within RADIUS bits. count: how many fingerprints there are."""
     buckets = 1 << max(0, math.ceil(math.log2(max(1, count * len(MASKS) / BUCKET))))
-    shift = np.uint64(64 - int(math.log2(buckets)))
-    schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("pack", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("met", pa.bool_()), ("pack", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 fp = np.asarray(batch.slice(at, CHUNK).column(0)).view(np.uint64)
                 values, least, a, b = _runs((fp[:, None] ^ MASKS).ravel(), np.repeat(fp, len(MASKS)))
-                where = (mix(values) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(values), np.int64)
+                where = (mix(values) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 where, pairs = where[order], np.stack([values[order], least[order]], axis=1)
                 cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
                 packs = [p.tobytes() for p in np.split(pairs, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(where[cuts]), pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.int64()), pa.array(packs, pa.binary())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.binary())], schema=schema)
+                links = np.stack([a, b], axis=1).tobytes()  # those that met in the chunk pass through the bucket of its first value
+                yield pa.RecordBatch.from_arrays([pa.array([*where[cuts], where[0]], pa.int64()), pa.array([False] * len(packs) + [True]), pa.array([*packs, links], pa.binary())], schema=schema)
 
     def meet(group: pa.Table) -> pa.Table:
-        pairs = np.frombuffer(b"".join(group["pack"].to_pylist()), np.uint64).reshape(-1, 2)
+        met, packs = group["met"].to_pylist(), group["pack"].to_pylist()
+        pairs = np.frombuffer(b"".join(p for p, m in zip(packs, met) if not m), np.uint64).reshape(-1, 2)
+        links = np.frombuffer(b"".join(p for p, m in zip(packs, met) if m), np.uint64).reshape(-1, 2)
         _, _, a, b = _runs(pairs[:, 0], pairs[:, 1])
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        links = np.unique(np.concatenate([links, np.stack([a, b], axis=1)]), axis=0)
+        return pa.table({"a": np.ascontiguousarray(links[:, 0]).view(np.int64), "b": np.ascontiguousarray(links[:, 1]).view(np.int64)})
 
-    made = scratch.table(fps.select("fp").repartitionByRange("fp").mapInArrow(emit, LINKS), "balls")
-    met = made.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    links = made.filter("bucket IS NULL").select("a", "b").union(met).distinct()
+    made = fps.select("fp").repartitionByRange("fp").mapInArrow(emit, "bucket long, met boolean, pack binary")
+    links = made.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
     return links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
@@ -147,9 +150,7 @@ def groups(fingerprinted: DataFrame, scratch: Scratch, id_col: str, fp_col: str
     least = fingerprinted.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least"))
     least = scratch.table(least, "fps")
     near = scratch.table(may_have_partners(least.select("fp")), "near")
-    links = ball_links(near, near.count(), scratch)
-    roots = components(links, scratch)
-    scratch.drop("balls")
+    roots = components(ball_links(near, near.count()), scratch)
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return scratch.table(rooted.join(of, "root").select("fp", "component_id"), "groups")
