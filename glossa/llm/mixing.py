@@ -99,16 +99,25 @@ def solve(histogram: DataFrame, totals: list[dict]) -> list[float]:
 
 
 def round_block(sizes: np.ndarray, rates: np.ndarray) -> list[int]:
-    """Copies of documents ordered from large to small: the words left over are passed on."""
+    """Copies of documents ordered from large to small: the words left over are passed on.
+
+    The nearest number of copies is taken, unless the smaller documents could not make up for what it leaves over.
+    """
+    words = rates * sizes
+    least = words.sum() - np.cumsum(words)  # what the rest may give up, and what it may take on
+    most = CAP * (sizes.sum() - np.cumsum(sizes)) - least
     out, left = [], 0.0
-    for size, rate in zip(sizes.tolist(), rates.tolist()):
+    for size, want, low, high in zip(sizes.tolist(), words.tolist(), least.tolist(), most.tolist()):
         if not size:
             out.append(1)
             continue
-        want = rate * size + left
-        copies = min(int(CAP), max(0, math.floor(want / size + 0.5)))
-        left = want - copies * size
-        out.append(copies)
+        want += left
+        near = min(int(CAP), max(0, math.floor(want / size + 0.5)))
+        if not -low <= want - near * size <= high:
+            miss = lambda c: max(-low - (want - c * size), (want - c * size) - high, 0.0)  # noqa: B023, E731
+            near = min(range(int(CAP) + 1), key=lambda c: (miss(c), abs(want - c * size)))
+        left = want - near * size
+        out.append(near)
     return out
 
 
