@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow function holds in numpy arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Parquet settings for rows of about a megabyte.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
 #: Words in a text are runs of bytes other than these.
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
@@ -43,10 +45,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/glossa-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back."""
+    def table(self, df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+        """Write df as Parquet and read it back. large_rows: keeps row groups small, as readers hold thousands of rows of one."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        if large_rows:
+            writer = writer.options(**LARGE_ROWS)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

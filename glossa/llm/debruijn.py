@@ -242,7 +242,7 @@ class Graph:
                         out.append((ids[k], _arrays(start[own], doc[head[own]], place[head[own]])))
             return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "pack": pa.array([p for _, p in out], pa.binary())})
 
-        packed = self.scratch.table(rows.mapInArrow(pack, "chunk long, bucket long, pack binary, rows binary"), "packed")
+        packed = self.scratch.table(rows.mapInArrow(pack, "chunk long, bucket long, pack binary, rows binary"), "packed", large_rows=True)
         self.texts = packed.filter("bucket IS NULL").select("chunk", "rows")
         recurring = packed.filter("bucket IS NOT NULL").select("chunk", "bucket", "pack").groupBy("bucket").applyInArrow(sift, "chunk long, pack binary")
         candidates = self._joined(recurring).mapInArrow(edges, "chunk long, bucket long, found boolean, pack binary")

@@ -2,7 +2,7 @@
 
 The model is a trie of byte contexts up to ORDER bytes, pretrained on the training documents. A symbol's probability comes from the longest
 context that the trie holds. If the symbol never followed it, an escape (estimator D: half a count from each distinct symbol) leads to the next shorter context, without the symbols already seen in the longer one (exclusion); at last all remaining bytes
-are equally likely. A document is its text with A-Z in lower case, then an end symbol; its score is the sum of the symbols' log10 probabilities,
+are equally likely. Shorter contexts count in how many longer ones a symbol came (update exclusion). A document is its text with A-Z in lower case, then an end symbol; its score is the sum of the symbols' log10 probabilities,
 that is its code length.
 
 With contexts of ORDER bytes a symbol's probability depends on ORDER + 1 bytes only, its gram, so a few joins score a corpus:
@@ -45,7 +45,7 @@ START, END = 0xFE, 0xFF
 #: Symbols that may come: all bytes but START.
 SYMBOLS = 255
 #: Bytes of text in a chunk, in a slice of it that numpy holds at once, and for each bucket.
-CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 12 << 20
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 3 << 20, 12 << 20
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, orde
     """log10 probability of each distinct gram's last byte after the others.
 
     gram: sorted, with all training grams that share the two bytes before the symbol; count: in training, may be 0.
-    one: (256, 256) counts of a byte after a byte, over the whole corpus.
+    one: (256, 256) in how many contexts of two bytes a byte came after a byte, over the whole corpus.
     """
     some = count > 0
     top = Level(gram[some], count[some].astype(np.float64))
@@ -97,8 +97,8 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, orde
     for k in range(order - 1, 1, -1):
         shorter = levels[k + 1].gram & np.uint64((1 << 8 * (k + 1)) - 1)
         by = np.argsort(shorter, kind="stable")
-        keys, _, sums = _groups(shorter[by], levels[k + 1].count[by])
-        levels[k] = Level(keys, sums)
+        keys, sums = _groups(shorter[by])
+        levels[k] = Level(keys, sums.astype(np.float64))
     pairs = np.flatnonzero(one.ravel()).astype(np.uint64)
     levels[1] = Level(pairs, one.ravel()[pairs.astype(np.int64)].astype(np.float64))
     zero = one.sum(axis=0)
@@ -227,7 +227,7 @@ class Trainer:
                 chunk = uuid.uuid4().int >> 65
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
-        self.chunks = self.scratch.table(rows.mapInArrow(gather, "chunk long, kind string, bucket long, pack binary, rows binary, train binary"), "chunks")
+        self.chunks = self.scratch.table(rows.mapInArrow(gather, "chunk long, kind string, bucket long, pack binary, rows binary, train binary"), "chunks", large_rows=True)
 
     def probabilities(self) -> DataFrame:
         """bucket, key (gram), p (its log10 probability) of every gram of the corpus."""
@@ -244,8 +244,9 @@ class Trainer:
         counts = self.chunks.filter("kind = 'gram'").select("bucket", "pack").groupBy("bucket").applyInArrow(count, "key long, n long")
         counts = self.scratch.table(counts, "counts")
         one = np.zeros((256, 256))
-        for r in counts.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("k")).agg(F.sum("n").alias("n")).collect():
-            one[r["k"] >> 8, r["k"] & 255] = r["n"]
+        three = counts.filter("n > 0").select(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("k")).distinct()
+        for r in three.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("k")).count().collect():
+            one[r["k"] >> 8, r["k"] & 255] = r["count"]
 
         def predict(group: pa.Table) -> pa.Table:
             key = np.asarray(group["key"].combine_chunks()).view(np.uint64)
@@ -304,28 +305,31 @@ class Trainer:
                     keys, null, texts = unpack_rows(one.column(0)[0].as_py())
                     train = np.frombuffer(one.column(1)[0].as_py(), np.uint8).astype(bool)
                     packs = {(t["kind"], t["bucket"]): t["pack"] for t in one.column(2)[0].as_py()}
-                    key, _ = _listed(texts, np.zeros(len(texts), bool), order)
+                    coded = []
+                    for x, y in _slices(texts):
+                        g, size = grams(texts[x:y], order)
+                        c = pa.array(g).dictionary_encode()
+                        coded.append((np.asarray(c.dictionary), np.asarray(c.indices), size))
+                    key, place = np.unique(np.concatenate([d for d, _, _ in coded]), return_inverse=True)
+                    places = np.split(place, np.cumsum([len(d) for d, _, _ in coded])[:-1])
                     where = _buckets_of(key, buckets)
                     into = np.argsort(where, kind="stable")
                     p = np.empty(len(key), np.float32)
                     for b, x, y in _cuts(where[into]):
                         p[into[x:y]] = np.frombuffer(packs["gram", b], np.float32)
-                    score = []
-                    for x, y in _slices(texts):
-                        g, size = grams(texts[x:y], order)
-                        coded = pa.array(g).dictionary_encode()
-                        of = p[np.searchsorted(key, np.asarray(coded.dictionary))].astype(np.float64)[np.asarray(coded.indices)]
-                        score.append(np.add.reduceat(of, np.cumsum(size) - size))
-                    split = [t.split() for t in texts]
+                    score = np.concatenate([np.add.reduceat(p[where_].astype(np.float64)[at], np.cumsum(size) - size) for where_, (_, at, size) in zip(places, coded)])
+                    names: set[bytes] = {b""}
+                    for t in texts:
+                        names.update(t.split())
                     counts: dict[bytes, int] = {}
-                    for b, own in _words_of(list({b"", *(w for s in split for w in s)}), buckets).items():
+                    for b, own in _words_of(list(names), buckets).items():
                         counts.update(zip(own, np.frombuffer(packs["word", b], np.int64).tolist()))
-                    n_tokens = np.array([len(s) + 1 for s in split], np.int64)
-                    c = np.fromiter((counts[w] for s in split for w in (*s, b"")), np.int64, int(n_tokens.sum()))
-                    first = np.cumsum(n_tokens) - n_tokens
-                    base = np.add.reduceat(np.log10((c + 1) / (n_all + v_all + 1)), first)
-                    known = np.add.reduceat((c > 0).astype(np.int64), first)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(train), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(keys), n_all)), pa.array(base), pa.array(np.concatenate(score))], schema=schema)
+                    n_tokens, known, base = (np.empty(len(texts), kind) for kind in (np.int64, np.int64, np.float64))
+                    for i, t in enumerate(texts):
+                        split = [*t.split(), b""]
+                        c = np.fromiter(map(counts.__getitem__, split), np.int64, len(split))
+                        n_tokens[i], known[i], base[i] = len(split), np.count_nonzero(c), np.log10((c + 1) / (n_all + v_all + 1)).sum()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(train), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(keys), n_all)), pa.array(base), pa.array(score)], schema=schema)
 
         return rows.mapInArrow(summed, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
