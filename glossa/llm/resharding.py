@@ -103,7 +103,7 @@ class Reshard:
             F.coalesce(old.cast("int"), F.lit(0)).alias("_rs_old"), (F.lit(63) - F.floor(F.log2(size.cast("double"))).cast("int")).alias("_rs_class"),
             F.xxhash64(F.col(id_col)).alias("_rs_h"),
         ).withColumn("_rs_sub", F.pmod(F.shiftrightunsigned("_rs_h", 7), F.lit(SUBS)).cast("int"))
-        self.rows = self.scratch.table(rows, "rows")
+        self.rows = rows if keep else self.scratch.table(rows, "rows")
         found = self.rows.groupBy(*self.BLOCK).agg(F.sum("size").alias("bytes")).collect()
         blocks = sorted((tuple(r)[:3], r["bytes"]) for r in found)
         supply = [0] * old_shards

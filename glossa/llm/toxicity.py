@@ -30,7 +30,7 @@ from glossa.llm.common import Scratch, chunks, text_bytes
 from glossa.llm.labelled import held_out, logistic, priors, sample, sigmoid
 
 #: Labelled rows of each label that the lexicon and the weights are fitted on, at most.
-SAMPLE = 2500
+SAMPLE = 1500
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
 #: How much likelier an insult must be in toxic documents.
