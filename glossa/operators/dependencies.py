@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 KINDS = ["inheritance", "mixin", "method_call", "constant", "parameter", "return", "instance_variable"]
 
 
+def modulus() -> F.Column:
+    """2^64, as sums of hashes overflow a long."""
+    return F.lit(str(1 << 64)).cast("decimal(38,0)")
+
+
 def referencing_files(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files that refer to any of the symbols."""
     return refs.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("file").distinct()
@@ -55,14 +60,13 @@ def bag_fingerprint(rows: DataFrame, by: list[str], columns: list[str]) -> DataF
     All three can be taken back, so rows can be added and removed (`combine`, `remove`).
     """
     h = F.xxhash64(*columns)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(h.cast("decimal(38,0)")) % F.lit(str(1 << 64)).cast("decimal(38,0)")).alias("h_sum"), F.bit_xor(h).alias("h_xor"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.pmod(F.sum(h.cast("decimal(38,0)")), modulus()).alias("h_sum"), F.bit_xor(h).alias("h_xor"))
 
 
 def _merge(a: DataFrame, b: DataFrame, by: list[str], sign: int) -> DataFrame:
     signed = b.select(*by, (F.col("n") * sign).alias("n"), (F.col("h_sum") * sign).alias("h_sum"), "h_xor")
     both = a.select(*by, "n", "h_sum", "h_xor").unionByName(signed)
-    modulus = F.lit(str(1 << 64)).cast("decimal(38,0)")
-    return both.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("h_sum").alias("s"), F.bit_xor("h_xor").alias("h_xor")).filter("n > 0").select(*by, "n", (F.col("s") % modulus).alias("h_sum"), "h_xor")
+    return both.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("h_sum").alias("s"), F.bit_xor("h_xor").alias("h_xor")).filter("n > 0").select(*by, "n", F.pmod("s", modulus()).alias("h_sum"), "h_xor")
 
 
 def combine(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -77,7 +81,7 @@ def remove(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 def changed(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """Groups whose fingerprint differs, appeared or went."""
-    left, right = (x.select(*by, F.struct("n", F.col("h_sum") % F.lit(str(1 << 64)).cast("decimal(38,0)"), "h_xor").alias(name)) for x, name in ((old, "was"), (new, "now")))
+    left, right = (x.select(*by, F.struct("n", "h_sum", "h_xor").alias(name)) for x, name in ((old, "was"), (new, "now")))
     return left.join(right, by, "full").filter(~F.col("was").eqNullSafe(F.col("now"))).select(*by)
 
 

@@ -277,7 +277,7 @@ class Routes:
         if level == "new" and leaf is None:
             return "_".join(own["new"]())
         tail = own[level]() if level in ("collection", "member") else [res["member"]] if level == "new" else []
-        parts = [leaf, *scope["prefix"], *tail] if level in ("collection", "member", "new") else [*scope["prefix"], leaf]
+        parts = [leaf, *scope["prefix"], *tail] if level in ("collection", "member", "new") else [*scope["prefix"], res["member"] if level == "resources" else None, leaf]
         if level == "new" and leaf is not None:
             parts = [leaf, "new", *scope["prefix"], *tail]
         return "_".join(p for p in parts if p) or None

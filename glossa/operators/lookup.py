@@ -28,7 +28,7 @@ def lookup_edges(classes: DataFrame, mixins: DataFrame, singleton: bool = False)
 
 def ancestors(classes: DataFrame, mixins: DataFrame, singleton: bool = False) -> DataFrame:
     """class, owner, rank (an array that orders the lookup path): every class's method lookup path."""
-    found = ranked_reach(lookup_edges(classes, mixins, singleton))
+    found = ranked_reach(lookup_edges(classes, mixins, singleton), classes)
     # the class itself stands between prepended and other neighbours on each level
     return found.withColumn("rank", F.concat("rank", F.array(F.lit(0))))
 

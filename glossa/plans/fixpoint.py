@@ -35,13 +35,13 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> D
     return found
 
 
-def ranked_reach(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """class, owner, rank: for every class its lookup path (itself first), by depth-first order of ranked edges.
+def ranked_reach(edges: DataFrame, classes: DataFrame, max_depth: int = 64) -> DataFrame:
+    """class, owner, rank: for every class (of classes, or of the edges) its lookup path (itself first), by depth-first order of ranked edges.
 
     edges: src, dst, ord (the order in which src tries its neighbours). A path is the array of ords on the way, so that comparing
     arrays compares places in the lookup order; the least path of an owner counts. Cycles end where an owner comes again.
     """
-    nodes = edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).distinct()
+    nodes = edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).union(classes.select("class")).distinct()
     found = nodes.select(F.col("n").alias("class"), F.col("n").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("n").alias("trail"))
     new = found = cut(found)
     for _ in range(max_depth):
