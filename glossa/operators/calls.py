@@ -72,12 +72,19 @@ def infer_parameters(sites: DataFrame, args: DataFrame, params: DataFrame, metho
     return parameter_types(bound_arguments(found, args, params))
 
 
-def _substitute(t, known: dict, owner: str):
+def _target(x, owner: str, on_class: bool) -> tuple[str, str, bool] | None:
+    """The method that a reference in a body of owner waits for."""
+    if x[0] == "method_return":
+        return x[1] or owner, x[2], on_class and x[1] in ("", owner)
+    if x[0] == "receiver_method" and x[1][0] in ("class", "generic", "singleton"):
+        return x[1][1], x[2], x[1][0] == "singleton"
+    return None
+
+
+def _substitute(t, known: dict, owner: str, on_class: bool):
     def put(x):
-        if x[0] == "method_return":
-            return known.get((x[1] or owner, x[2]), x)
-        if x[0] == "receiver_method" and x[1][0] in ("class", "generic"):
-            return known.get((x[1][1], x[2]), x)
+        if found := _target(x, owner, on_class):
+            return known.get(found, x)
         if x[0] in terms.PROJECTIONS and not terms.is_deferred(x[1]):
             f = {"truthy": terms.project_truthy, "falsy": terms.project_falsy, "non_nil": terms.project_non_nil}[x[0]]
             return f(x[1]) or terms.BOT
@@ -96,37 +103,33 @@ def resolve_returns(methods: DataFrame, paths: DataFrame, rounds: int = ROUNDS)
     """
     keys = ["class", "name", "singleton"]
 
-    @arrow("array<struct<owner:string,member:string>>")
-    def wanted(ret: pd.Series, owner: pd.Series) -> pd.Series:
-        def one(text, own):
-            found = []
-            for x in terms.walk(terms.loads(text)):
-                if x[0] == "method_return":
-                    found.append((x[1] or own, x[2]))
-                elif x[0] == "receiver_method" and x[1][0] in ("class", "generic"):
-                    found.append((x[1][1], x[2]))
-            return [{"owner": o, "member": m} for o, m in dict.fromkeys(found)]
+    @arrow("array<struct<owner:string,member:string,on_class:boolean>>")
+    def wanted(ret: pd.Series, owner: pd.Series, singleton: pd.Series) -> pd.Series:
+        def one(text, own, on_class):
+            found = [_target(x, own, bool(on_class)) for x in terms.walk(terms.loads(text))]
+            return [{"owner": o, "member": m, "on_class": c} for o, m, c in dict.fromkeys(f for f in found if f)]
 
-        return pd.Series([one(*x) for x in zip(ret, owner)], dtype="object")
+        return pd.Series([one(*x) for x in zip(ret, owner, singleton)], dtype="object")
 
     @arrow("string")
-    def replaced(ret: pd.Series, owner: pd.Series, known: pd.Series) -> pd.Series:
-        def one(text, own, rows):
-            table = {(r["owner"], r["member"]): terms.loads(r["ret"]) for r in (rows if rows is not None else [])}
-            return terms.dumps(_substitute(terms.loads(text), table, own)) if table else text
+    def replaced(ret: pd.Series, owner: pd.Series, singleton: pd.Series, known: pd.Series) -> pd.Series:
+        def one(text, own, on_class, rows):
+            table = {(r["owner"], r["member"], bool(r["on_class"])): terms.loads(r["ret"]) for r in (rows if rows is not None else [])}
+            return terms.dumps(_substitute(terms.loads(text), table, own, bool(on_class))) if table else text
 
-        return pd.Series([one(*x) for x in zip(ret, owner, known)], dtype="object")
+        return pd.Series([one(*x) for x in zip(ret, owner, singleton, known)], dtype="object")
 
     def step(state: DataFrame) -> DataFrame:
-        open_ = state.filter(F.col("ret").rlike('"(method_return|receiver_method)"'))
-        asked = open_.select(*keys, F.explode(wanted("ret", "class")).alias("w")).select(*keys, F.col("w.owner").alias("receiver"), F.col("w.member").alias("member"))
-        calls = asked.select(F.col("receiver").alias("class"), F.col("member").alias("name"), F.lit(False).alias("singleton")).distinct()
-        targets = dispatch(calls, paths, state).filter("owner IS NOT NULL").select(F.col("class").alias("receiver"), F.col("name").alias("member"), "owner")
-        rets = state.filter("NOT singleton").select(F.col("class").alias("owner"), F.col("name").alias("member"), "ret")
+        waits = F.col("ret").rlike('"(method_return|receiver_method)"')
+        asked = state.filter(waits).select(*keys, F.explode(wanted("ret", "class", "singleton")).alias("w")).select(*keys, F.col("w.owner").alias("receiver"), F.col("w.member").alias("member"), F.col("w.on_class").alias("on_class"))
+        asking = asked.select(F.col("receiver").alias("class"), F.col("member").alias("name"), F.col("on_class").alias("singleton")).distinct()
+        targets = dispatch(asking, paths, state).filter("owner IS NOT NULL").select(F.col("class").alias("receiver"), F.col("name").alias("member"), F.col("singleton").alias("on_class"), "owner")
         # only finished targets are substituted, so terms don't grow along cycles
-        done = targets.join(rets, ["owner", "member"]).filter(~F.col("ret").rlike('"(method_return|receiver_method)"'))
-        known = asked.join(done.select("receiver", "member", "ret"), ["receiver", "member"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("receiver").alias("owner"), "member", "ret"))).alias("known"))
-        return state.join(known, keys, "left").withColumn("ret", F.when(F.col("known").isNotNull(), replaced("ret", "class", "known")).otherwise(F.col("ret"))).drop("known")
+        done = state.filter(~waits).select(F.col("class").alias("owner"), F.col("name").alias("member"), F.col("singleton").alias("on_class"), "ret")
+        told = targets.join(done, ["owner", "member", "on_class"]).select("receiver", "member", "on_class", "ret")
+        met = asked.join(told, ["receiver", "member", "on_class"])
+        known = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("receiver").alias("owner"), "member", "on_class", "ret"))).alias("known"))
+        return state.join(known, keys, "left").withColumn("ret", F.when(F.col("known").isNotNull(), replaced("ret", "class", "singleton", "known")).otherwise(F.col("ret"))).drop("known")
 
     return until_stable(methods, step, rounds)
 

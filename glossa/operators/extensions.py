@@ -78,9 +78,9 @@ def extension_methods(calls: DataFrame, mixins: DataFrame, active: DataFrame | N
     active: libraries whose rules hold (null: all). Where a type says self, it is the class.
     """
     spark = calls.sparkSession
-    named = calls.withColumn("n", F.explode_outer("names")).join(F.broadcast(_rules(spark, ["call", "block"], active)), F.col("method") == F.col("trigger"))
+    named = calls.select("class", "method", "names", "file", "line").withColumn("n", F.explode_outer("names")).join(F.broadcast(_rules(spark, ["call", "block"], active)), F.col("method") == F.col("trigger"))
     named = named.filter(F.col("n").isNotNull()).withColumn("name", F.replace("name", F.lit("{n}"), F.col("n")))
-    mixed = mixins.join(F.broadcast(_rules(spark, ["mixin"], active)), F.col("module") == F.col("trigger"))
+    mixed = mixins.select("class", "module", "file", "line").join(F.broadcast(_rules(spark, ["mixin"], active)), F.col("module") == F.col("trigger"))
     columns = ["class", "name", "singleton", "param", "ret", "priority", "file", "line"]
     rows = named.select(*columns).unionByName(mixed.select(*columns))
     own = F.concat(F.lit('["class","'), "class", F.lit('"]'))
