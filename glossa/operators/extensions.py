@@ -102,7 +102,7 @@ def scope_helpers(scopes: DataFrame, controllers: DataFrame) -> DataFrame:
     model = F.concat(F.lit('["union",[["class","'), F.array_join(F.transform(F.split(s, "_"), lambda p: inflect.camelize(p)), ""), F.lit('"],["nil"]]]'))
     untyped = F.lit('["untyped"]')
     made = F.array(*[F.struct(n.alias("name"), t.alias("ret")) for n, t in [(F.concat(F.lit("current_"), s), model), (F.concat(s, F.lit("_signed_in?")), F.lit('["bool"]')), (F.concat(F.lit("authenticate_"), s, F.lit("!")), untyped), (F.concat(s, F.lit("_session")), untyped)]])
-    rows = controllers.select("class").distinct().crossJoin(F.broadcast(scopes.select("scope").distinct())).withColumn("m", F.explode(made))
+    rows = controllers.select("class").distinct().crossJoin(scopes.select("scope").distinct()).withColumn("m", F.explode(made))
     return rows.select("class", "m.name", F.lit(False).alias("singleton"), F.lit(None).cast("string").alias("param"), "m.ret", F.lit("synthetic_dsl").alias("origin"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
 
 

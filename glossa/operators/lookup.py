@@ -94,7 +94,7 @@ def innermost(points: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame
     width = lambda k: (F.lit(block) * F.pow(F.lit(8.0), k)).cast("long")
     laid = spans.filter("start < end").withColumn("level", level)
     laid = laid.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width(F.col("level"))), F.floor((F.col("end") - 1) / width(F.col("level"))))))
-    levels = laid.select("level").distinct()
+    levels = laid.select("level").distinct()  # at most 21: sizes grow by 8 from level to level
     asked = points.select("file", "offset").distinct().join(F.broadcast(levels)).withColumn("bucket", F.floor(F.col("offset") / width(F.col("level"))))
     kept = [c for c in spans.columns if c != "file"]
     hits = asked.join(laid, ["file", "level", "bucket"]).filter((F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")))

@@ -59,8 +59,8 @@ def shown_depth(sizes: DataFrame) -> DataFrame:
 def find(trace: DataFrame, query: str) -> DataFrame:
     """Ids that equal the query, or else end with it."""
     hits = trace.select("id", (F.col("id") == query).alias("exact")).filter(F.col("exact") | F.col("id").endswith(query))
-    any_exact = F.max("exact").over(Window.partitionBy(F.lit(1)))
-    return hits.withColumn("any", any_exact).filter("exact OR NOT any").select("id")
+    whole = hits.agg(F.coalesce(F.max("exact"), F.lit(False)).alias("any"))  # one row
+    return hits.crossJoin(F.broadcast(whole)).filter("exact OR NOT any").select("id")
 
 
 def why(trace: DataFrame, root: str) -> list[str]:

@@ -74,9 +74,9 @@ def class_texts(classes: DataFrame, mixins: DataFrame, constants: DataFrame, met
 
 def whole_text(classes: DataFrame, mixins: DataFrame, constants: DataFrame, methods: DataFrame, synthetic: bool = False) -> DataFrame:
     """value: lines to write, top-level constants first, then classes in order, a blank line between them."""
-    top = constants.filter("owner = 'Object'").select(F.lit(-1).cast("long").alias("ord"), constant_line(F.col("name"), F.col("type"), F.col("alias_kind")).alias("value"))
-    texts = class_texts(classes, mixins, constants, methods, synthetic).select(F.col("ord").cast("long"), F.concat("text", F.lit("\n")).alias("value"))
-    return top.unionByName(texts).orderBy("ord", "value").select("value")
+    top = constants.filter("owner = 'Object'").select(F.lit(None).alias("ord"), constant_line(F.col("name"), F.col("type"), F.col("alias_kind")).alias("value"))
+    texts = class_texts(classes, mixins, constants, methods, synthetic).select("ord", F.concat("text", F.lit("\n")).alias("value"))
+    return texts.unionByName(top.withColumn("ord", F.col("ord").cast(texts.schema["ord"].dataType))).orderBy(F.asc_nulls_first("ord"), "value").select("value")
 
 
 def file_text(classes: DataFrame, mixins: DataFrame, constants: DataFrame, methods: DataFrame, file: str) -> DataFrame:

@@ -154,8 +154,7 @@ class Analysis:
     def text(self) -> DataFrame:
         """value: the signature text, class by class."""
         classes = self.classes.withColumn("type_params", F.array().cast("array<string>"))
-        ranked = classes.withColumn("ord", F.dense_rank().over(Window.orderBy("file", "ord")))
-        return render.whole_text(ranked, self.mixins, self.constants, self.signatures())
+        return render.whole_text(classes.withColumn("ord", F.struct("file", "ord")), self.mixins, self.constants, self.signatures())
 
 
 def analyze(spark: SparkSession, path: str, production: bool = True) -> Analysis:
