@@ -97,6 +97,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         yield piece, text_bytes(piece.column(piece.schema.get_field_index(text)))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows as Python values, one at a time, as each may hold megabytes."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

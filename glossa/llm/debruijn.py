@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, WordHashes, chunks, mix, utf8_size
+from glossa.llm.common import Scratch, WordHashes, chunks, mix, rows_of, utf8_size
 
 WINDOW, SEED = 20, 8
 SEEDS_IN = WINDOW - SEED + 1
@@ -54,7 +54,7 @@ def pack_rows(ids: list, texts: list[bytes]) -> bytes:
     null = np.array([ids[i] is None for i in order], np.uint8)
     sizes = np.array([len(texts[i]) for i in order], np.int64)
     head = struct.pack("<q", len(order)) + keys.tobytes() + null.tobytes() + sizes.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts[i] for i in order))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts[i] for i in order))
 
 
 def unpack_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -195,7 +195,7 @@ class Graph:
         def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                for chunk, rows_, packs in zip(*(c.to_pylist() for c in batch.columns)):
+                for chunk, rows_, packs in rows_of(batch):
                     keys, _, texts = unpack_rows(rows_)
                     w = Windows([t.split() for t in texts], hashes)
                     recurring = np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in packs])) if packs else np.empty(0, np.uint64)
@@ -273,7 +273,7 @@ class Graph:
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, rows_, packs in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, rows_, packs in rows_of(batch):
                     keys, _, texts = unpack_rows(rows_)
                     count = np.array([len(t.split()) for t in texts], np.int64)
                     doc_of = np.repeat(np.arange(len(texts)), count)
@@ -291,7 +291,7 @@ class Graph:
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, rows_, packs in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, rows_, packs in rows_of(batch):
                     keys, null, own = unpack_rows(rows_)
                     words = [t.split() for t in own]
                     count = np.fromiter(map(len, words), np.int64, len(words))

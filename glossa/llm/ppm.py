@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, chunks, mix, utf8_size
+from glossa.llm.common import Scratch, chunks, mix, rows_of, utf8_size
 from glossa.llm.debruijn import pack_rows, unpack_rows
 from glossa.llm.labelled import remainder
 
@@ -45,7 +45,7 @@ START, END = 0xFE, 0xFF
 #: Symbols that may come: all bytes but START.
 SYMBOLS = 255
 #: Bytes of text in a chunk, in a slice of it that numpy holds at once, and for each bucket.
-CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 3 << 20, 12 << 20
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20, 12 << 20
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -300,11 +300,10 @@ class Trainer:
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k in range(batch.num_rows):
-                    one = batch.slice(k, 1)
-                    keys, null, texts = unpack_rows(one.column(0)[0].as_py())
-                    train = np.frombuffer(one.column(1)[0].as_py(), np.uint8).astype(bool)
-                    packs = {(t["kind"], t["bucket"]): t["pack"] for t in one.column(2)[0].as_py()}
+                for pack, train, sent_back in rows_of(batch):
+                    keys, null, texts = unpack_rows(pack)
+                    train = np.frombuffer(train, np.uint8).astype(bool)
+                    packs = {(t["kind"], t["bucket"]): t["pack"] for t in sent_back}
                     coded = []
                     for x, y in _slices(texts):
                         g, size = grams(texts[x:y], order)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, utf8_size
 
 #: Hash blocks in each old shard and size class. Bounds the rows that the driver sees.
-SUBS = 16
+SUBS = 64
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
