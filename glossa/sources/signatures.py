@@ -181,3 +181,14 @@ def version_parts(text: Column) -> Column:
 def active_libraries(gems: DataFrame, markers: DataFrame) -> DataFrame:
     """Libraries any of whose marker gems is locked. markers: library, gem."""
     return markers.join(gems.select("gem").distinct(), "gem", "left_semi").select("library").distinct()
+
+
+def feature_files(features: DataFrame, required: DataFrame) -> DataFrame:
+    """Signature files of required standard library features. features: feature, file; required: feature."""
+    return features.join(required.select("feature").distinct(), "feature", "left_semi").select("file").distinct()
+
+
+def external_folders(spark, root: str, names: tuple[str, ...] = ("sig", "rbi", "sorbet/rbi", ".gem_rbs_collection")) -> list[str]:
+    """The folders of a project that hold signature files."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    return [f"{root}/{n}" for n in names if (p := jvm.Path(f"{root}/{n}")).getFileSystem(conf).exists(p)]

@@ -51,3 +51,17 @@ def test_files(spark):
     methods = spark.createDataFrame([("A", "m", "rbs_file"), ("B", "n", "source")], "class string, name string, origin string")
     after, touched = Q.reload_types(methods, spark.createDataFrame([("C", "k", "rbs_file")], "class string, name string, origin string"), spark.createDataFrame([("A",)], "class string"), ["rbs_file"])
     assert sorted(r["class"] for r in after.collect()) == ["B", "C"] and sorted(r["class"] for r in touched.collect()) == ["A", "C"]
+
+
+def test_reports(spark):
+    from glossa.operators import reports as R
+
+    holes = spark.createDataFrame([("f", "K", "m", None, "method_return", "unknown", "x"), ("f", "K", "n", "a", "method_parameter", "missing_call_site", "x"), ("f", "K", "o", "a", "method_parameter", "missing_call_site", "x")], "file string, class string, member string, slot string, kind string, reason string, type string")
+    top = R.hole_report(holes).first()
+    assert (top["reason"], top["n"], top["examples"]) == ("missing_call_site", 2, ["K#n a", "K#o a"])
+    assert {(r["what"], r["value"]): r["n"] for r in R.hole_summary(holes).collect()}["reason", "unknown"] == 1
+    one = spark.createDataFrame([("class K",)], "value string")
+    rows = spark.createDataFrame([(1, "x")], "line int, text string")
+    assert json.loads(R.file_report(one, rows, rows.limit(0), rows).first()["value"]) == {"signatures": "class K", "diagnostics": [{"line": 1, "text": "x"}], "hovers": [], "lenses": [{"line": 1, "text": "x"}]}
+    seed = R.scenario_seed(holes, spark.createDataFrame([("f", "class K; end")], "file string, content string")).first()["value"]
+    assert seed.startswith("## K m unknown") and "class K; end" in seed
