@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa import facts
+from glossa import catalog_facts, facts
 from glossa.functions import columns, inflect, levels, terms
 from glossa.operators import calls, coverage, dependencies, diagnostics, generators, lookup, merge, provenance
 from glossa.plans.fixpoint import reach
@@ -544,7 +544,7 @@ def fact_structure_accessors(spark, sf_dir):
 def fact_trace_levels(spark, sf_dir):
     """Level sizes of a provenance trace."""
     trace = facts.trace(spark)
-    return provenance.level_sizes(provenance.levels(trace, spark.createDataFrame([("Root#r",)], "root string")))
+    return provenance.level_sizes(provenance.levels(trace, spark.createDataFrame([("Root#r",)], "root string"))).withColumn("size", F.col("size").cast("int"))
 
 
 @query(facts.values(["name", "arity"], facts.ROUTE_HELPERS))
@@ -579,8 +579,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | catalog_facts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | catalog_facts.SQL
