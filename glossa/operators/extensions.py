@@ -37,7 +37,10 @@ RULES = [
     *[("active_resource", ["activeresource"], "block", f"schema.{k}", [("{n}", T.UNTYPED, False, None), ("{n}=", T.UNTYPED, False, T.UNTYPED)]) for k in ("string", "integer", "float", "decimal", "boolean", "date", "datetime", "time")],
     *[("sidekiq", ["sidekiq"], "mixin", m, [("perform_async", JID, True, None), ("perform_in", JID, True, None), ("perform_at", JID, True, None), ("perform_bulk", T.array(JID), True, None), ("perform_inline", MAYBE(T.TRUE), True, None), ("perform_sync", MAYBE(T.TRUE), True, None)]) for m in ("Sidekiq::Worker", "Sidekiq::Job")],
     *[("properties", ["config", "json_api_client", "jsonapi-client", "smart_properties"], "call", c, [("{n}", T.UNTYPED, False, None), ("{n}=", T.UNTYPED, False, T.UNTYPED)]) for c in ("setting", "property")],
-    ("devise", ["devise"], "call", "devise", [("{n}?", T.BOOL, False, None)]),
+    ("shrine", ["shrine"], "mixin_argument", "Attachment", [("{n}", MAYBE(T.cls("Shrine::UploadedFile")), False, None), ("{n}=", T.UNTYPED, False, T.union(T.cls("IO"), T.STRING, ("hash", T.UNTYPED, T.UNTYPED))), ("{n}_attacher", T.cls("Shrine::Attacher"), False, None), ("{n}_changed", T.BOOL, False, None), ("{n}_url", T.STRING, False, None)]),
+    ("draper", ["draper"], "mixin", "Draper::Decoratable", [("decorate", T.cls("{class}Decorator"), False, None)]),
+    *[("graphql", ["graphql", "graphql-ruby"], "call", c, [("{n}", T.UNTYPED, False, None)]) for c in ("field", "argument")],
+    ("grape_entity", ["grape-entity", "grape_entity"], "call", "expose", [("{n}", T.UNTYPED, False, None)]),
 ]
 #: Methods that receivers of a library answer: library, gems, receiver (a class, or a pattern with %), on the class, methods by return.
 RECEIVERS = [
@@ -50,6 +53,13 @@ RECEIVERS = [
     *[("devise", ["devise"], f"%{s}", False, {T.UNTYPED: "sign_in sign_out bypass_sign_in sign_in_and_redirect sign_out_and_redirect stored_location_for after_sign_in_path_for after_sign_out_path_for"}) for s in ("Controller", "Helper", "Mailer")],
     ("doorkeeper", ["doorkeeper"], "%Controller", False, {T.UNTYPED: "doorkeeper_authorize! doorkeeper_render_error doorkeeper_token", T.BOOL: "valid_doorkeeper_token?"}),
     ("rack_attack", ["rack-attack"], "Rack::Attack::Request", False, {T.UNTYPED: "params"}),
+    ("oj", ["oj"], "Oj", True, {T.STRING: "dump generate", T.UNTYPED: "load safe_load compat_load strict_load"}),
+    *[("ams", ["active_model_serializers"], f"%{s}", False, {T.UNTYPED: "object scope current_user instance_options serialization_options root read_attribute_for_serialization"}) for s in ("Serializer",)],
+    *[("declarative_policy", ["declarative_policy"], f"%{s}", own, {T.cls("DeclarativePolicy::RuleDsl"): "rule", T.BOOL: "can? cannot?", T.UNTYPED: "condition desc with_options with_scope with_score enable prevent prevent_all policy overrides include_subject"}) for s in ("Policy",) for own in (False, True)],
+    *[("grape", ["grape"], f"%{s}", own, {T.UNTYPED: "params current_user status header headers body declared present redirect route request env version cookies content_type sendfile stream return_no_content configuration get post put patch delete head mount"}) for s in ("API",) for own in (False, True)],
+    *[("rails_configure", [], c, False, {T.UNTYPED: "configure credentials secrets config_for routes reload_routes! eager_load! initialize!", T.cls("Rails::Application::Configuration"): "config"}) for c in ("Rails::Application", "Application")],
+    *[("migration", [], c, False, {T.UNTYPED: "create_table create_join_table drop_table drop_join_table change_table rename_table add_column remove_column remove_columns change_column change_column_default change_column_null rename_column add_index remove_index rename_index add_reference remove_reference add_belongs_to remove_belongs_to add_foreign_key remove_foreign_key add_check_constraint remove_check_constraint add_timestamps remove_timestamps enable_extension disable_extension execute reversible revert up_only say say_with_time suppress_messages"}) for c in ("ActiveRecord::Migration", "%Migration")],
+    ("settingslogic", ["settingslogic"], "Settingslogic", True, {T.UNTYPED: "source namespace load! reload! get"}),
 ]
 
 
@@ -75,14 +85,19 @@ def _first(rows: DataFrame) -> DataFrame:
 def extension_methods(calls: DataFrame, mixins: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """METHODS that extensions give. calls: class, method (inside a block: outer.inner), names, file, line; mixins: class, module, file, line.
 
-    active: libraries whose rules hold (null: all). Where a type says self, it is the class.
+    active: libraries whose rules hold (null: all). Where a type says self, it is the class. A mixin may come with an argument, as Uploader::Attachment(:image)
+    does: its module is then Uploader::Attachment, and the call's names are the argument.
     """
     spark = calls.sparkSession
     named = calls.select("class", "method", "names", "file", "line").withColumn("n", F.explode_outer("names")).join(F.broadcast(_rules(spark, ["call", "block"], active)), F.col("method") == F.col("trigger"))
     named = named.filter(F.col("n").isNotNull()).withColumn("name", F.replace("name", F.lit("{n}"), F.col("n")))
     mixed = mixins.select("class", "module", "file", "line").join(F.broadcast(_rules(spark, ["mixin"], active)), F.col("module") == F.col("trigger"))
+    given = calls.filter("method = 'include'").select("class", "names", "file", "line", F.explode("names").alias("module")).filter(F.col("module").rlike(r"::[A-Z]\w*\("))
+    given = given.withColumn("trigger", F.regexp_extract("module", r"::([A-Z]\w*)\(", 1)).withColumn("n", F.regexp_extract("module", r"\(:?[\"']?(\w+)", 1)).select("class", "trigger", "n", "file", "line")
+    argued = given.join(F.broadcast(_rules(spark, ["mixin_argument"], active)), "trigger").withColumn("name", F.replace("name", F.lit("{n}"), F.col("n")))
     columns = ["class", "name", "singleton", "param", "ret", "priority", "file", "line"]
-    rows = named.select(*columns).unionByName(mixed.select(*columns))
+    rows = named.select(*columns).unionByName(mixed.select(*columns)).unionByName(argued.select(*columns))
+    rows = rows.withColumn("ret", F.replace("ret", F.lit("{class}"), F.col("class")))
     own = F.concat(F.lit('["class","'), "class", F.lit('"]'))
     return _first(rows.withColumn("ret", F.replace("ret", F.lit('["self"]'), own)))
 

@@ -150,7 +150,7 @@ def literals(text: str) -> tuple[list[str], dict[str, str]]:
             names += a[3:-1].split()
         elif a.startswith("["):
             names += [x.strip(":\"' ") for x in split_args(a[1:-1])]
-        elif re.fullmatch(CONSTANT, a):
+        elif re.fullmatch(rf"{CONSTANT}(?:\(:?\w+\))?", a):
             names.append(a.removeprefix("::"))
     return names, options
 

@@ -8,13 +8,14 @@ from glossa.plans.fixpoint import reach
 
 def test_rules(spark):
     calls = spark.createDataFrame(
-        [("Job", "aasm.state", ["open", "shut"], "f", 1), ("Job", "aasm.event", ["close"], "f", 2), ("Doc", "has_rich_text", ["body"], "f", 3), ("Doc", "cache_index", ["slug"], "f", 4), ("Doc", "kredis_unique_list", ["tags"], "f", 5), ("Doc", "unknown", ["x"], "f", 6)],
+        [("Job", "aasm.state", ["open", "shut"], "f", 1), ("Job", "aasm.event", ["close"], "f", 2), ("Doc", "has_rich_text", ["body"], "f", 3), ("Doc", "cache_index", ["slug"], "f", 4), ("Doc", "kredis_unique_list", ["tags"], "f", 5), ("Doc", "unknown", ["x"], "f", 6), ("Doc", "include", ["ImageUploader::Attachment(:photo)"], "f", 7)],
         "class string, method string, names array<string>, file string, line int",
     )
-    mixins = spark.createDataFrame([("W", "Sidekiq::Job", "f", 1), ("Post", "Discard::Model", "f", 1)], "class string, module string, file string, line int")
+    mixins = spark.createDataFrame([("W", "Sidekiq::Job", "f", 1), ("Post", "Discard::Model", "f", 1), ("Post", "Draper::Decoratable", "f", 1)], "class string, module string, file string, line int")
     got = {(r["class"], r["name"]): r["t"] for r in X.extension_methods(calls, mixins).select("class", "name", rendered("ret").alias("t")).collect()}
     assert got["Job", "open?"] == "bool" and got["Job", "may_close?"] == "bool" and got["Doc", "body"] == "ActionText::RichText?"
     assert got["Doc", "fetch_by_slug"] == "Doc?" and got["W", "perform_async"] == "String?" and got["Post", "kept"] == "ActiveRecord::Relation[Post]"
+    assert got["Doc", "photo"] == "Shrine::UploadedFile?" and got["Doc", "photo_url"] == "String" and got["Post", "decorate"] == "PostDecorator"
     few = X.extension_methods(calls, mixins, spark.createDataFrame([("aasm",)], "library string"))
     assert {r["class"] for r in few.collect()} == {"Job", "Doc"} and few.filter("name LIKE 'fetch%'").isEmpty()
     lists = {r["name"]: r["t"] for r in X.typed_lists(calls).select("name", rendered("ret").alias("t")).collect()}
@@ -23,9 +24,9 @@ def test_rules(spark):
 
 
 def test_receivers_and_scopes(spark):
-    calls = spark.createDataFrame([(1, "String", "shellescape", False), (2, "ParseError", "message", False), (3, "Sidekiq", "logger", True), (4, "Thing", "pathmap", False), (5, "MailWorker", "jid", False)], "site_id int, class string, name string, singleton boolean")
+    calls = spark.createDataFrame([(1, "String", "shellescape", False), (2, "ParseError", "message", False), (3, "Sidekiq", "logger", True), (4, "Thing", "pathmap", False), (5, "MailWorker", "jid", False), (6, "UserPolicy", "can?", False), (7, "Oj", "dump", True)], "site_id int, class string, name string, singleton boolean")
     got = {r["site_id"]: r["t"] for r in X.receiver_returns(calls).select("site_id", rendered("ret").alias("t")).collect()}
-    assert got == {1: "String", 2: "String", 3: "Logger", 5: "String?"}
+    assert got == {1: "String", 2: "String", 3: "Logger", 5: "String?", 6: "bool", 7: "String"}
     rows = X.scope_helpers(spark.createDataFrame([("admin_user",)], "scope string"), spark.createDataFrame([("A",)], "class string"))
     assert {r["name"]: r["t"] for r in rows.select("name", rendered("ret").alias("t")).collect()} == {"current_admin_user": "AdminUser?", "admin_user_signed_in?": "bool", "authenticate_admin_user!": "untyped", "admin_user_session": "untyped"}
 
