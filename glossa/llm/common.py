@@ -54,9 +54,9 @@ class Scratch:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, name: str = "") -> None:
+        """Remove a table that no later plan reads, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -82,6 +82,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most limit bytes of text each (one row at least)."""
     for batch in batches:
+        release()
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
@@ -103,6 +104,11 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[k].as_py() for c in batch.columns)
 
 
+def release() -> None:
+    """Give Arrow memory that nothing holds any more back to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

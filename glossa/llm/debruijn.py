@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, WordHashes, chunks, mix, rows_of, utf8_size
+from glossa.llm.common import Scratch, WordHashes, chunks, mix, release, rows_of, utf8_size
 
 WINDOW, SEED = 20, 8
 SEEDS_IN = WINDOW - SEED + 1
@@ -195,6 +195,7 @@ class Graph:
         def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
+                release()
                 for chunk, rows_, packs in rows_of(batch):
                     keys, _, texts = unpack_rows(rows_)
                     w = Windows([t.split() for t in texts], hashes)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, chunks, mix, rows_of, utf8_size
+from glossa.llm.common import Scratch, chunks, mix, release, rows_of, utf8_size
 from glossa.llm.debruijn import pack_rows, unpack_rows
 from glossa.llm.labelled import remainder
 
@@ -45,17 +45,18 @@ START, END = 0xFE, 0xFF
 #: Symbols that may come: all bytes but START.
 SYMBOLS = 255
 #: Bytes of text in a chunk, in a slice of it that numpy holds at once, and for each bucket.
-CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20, 12 << 20
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 12 << 20
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The grams (order + 1 bytes as a number) of all symbols, and how many each text has."""
-    flat = np.frombuffer(b"".join(bytes([START]) * order + t + bytes([END]) for t in texts), np.uint8).astype(np.uint64)
-    n = len(flat) - order
-    out = np.zeros(max(n, 0), np.uint64)
+    flat = np.frombuffer(b"".join(bytes([START]) * order + t + bytes([END]) for t in texts), np.uint8)
+    n = max(len(flat) - order, 0)
+    out = np.zeros(n, np.uint64)
     for k in range(order + 1):
-        out = (out << np.uint64(8)) | flat[k : k + n]
-    return out[(out & np.uint64(255)) != START], np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        out <<= np.uint64(8)
+        np.bitwise_or(out, flat[k : k + n], out=out)
+    return out[flat[order:] != START], np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
 
 
 def _groups(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -226,6 +227,8 @@ class Trainer:
                     out.append(("word", k, zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(own)) + counts.tobytes() + b" ".join(own)), None, None))
                 chunk = uuid.uuid4().int >> 65
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
+                del out, words, others
+                release()
 
         self.chunks = self.scratch.table(rows.mapInArrow(gather, "chunk long, kind string, bucket long, pack binary, rows binary, train binary"), "chunks", large_rows=True)
 
@@ -255,7 +258,7 @@ class Trainer:
             return pa.table({"bucket": _buckets_of(key, buckets), "key": key.view(np.int64), "p": log_probabilities(key, n, one, order).astype(np.float32)})
 
         before = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
-        return counts.groupBy(F.pmod(F.xxhash64(before), F.lit(min(4096, 4 * buckets))).alias("met")).applyInArrow(predict, "bucket long, key long, p float")
+        return counts.groupBy(F.pmod(F.xxhash64(before), F.lit(min(1 << 16, 4 * buckets))).alias("met")).applyInArrow(predict, "bucket long, key long, p float")
 
     def answers(self) -> tuple[DataFrame, int, int]:
         """chunk, kind, bucket, pack: probabilities and counts in the order of the chunk's lists; N and V of the training tokens."""
@@ -329,6 +332,8 @@ class Trainer:
                         c = np.fromiter(map(counts.__getitem__, split), np.int64, len(split))
                         n_tokens[i], known[i], base[i] = len(split), np.count_nonzero(c), np.log10((c + 1) / (n_all + v_all + 1)).sum()
                     yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(train), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(keys), n_all)), pa.array(base), pa.array(score)], schema=schema)
+                    del coded, packs, counts, names, place, places
+                    release()
 
         return rows.mapInArrow(summed, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
