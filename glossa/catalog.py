@@ -574,8 +574,8 @@ def fact_type_joins(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    """From DDL text to accessor signatures."""
-    return fact_structure_accessors(spark, sf_dir)
+    """Calls answered along lookup paths: closure of a hierarchy, then the nearest owner of each name."""
+    return kernel_j02_dispatch(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
