@@ -401,11 +401,11 @@ FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)""
 def kernel_j04_positional_slots(spark, sf_dir):
     """Lines of an order as arguments of (a, b = 1, *rest, z): how many each parameter takes."""
     rows = _read(spark, sf_dir, "lineitem")
-    sites = rows.select(F.col("l_orderkey").alias("site_id")).distinct().select("site_id", F.lit("C").alias("owner"), F.lit("m").alias("method"), F.lit(False).alias("singleton"), F.lit(None).cast("int").alias("open_splat"))
+    sites = rows.select(F.col("l_orderkey").alias("site_id")).distinct().select("site_id", F.concat(F.lit("C"), (F.col("site_id") % 3).cast("string")).alias("owner"), F.lit("m").alias("method"), F.lit(False).alias("singleton"), F.lit(None).cast("int").alias("open_splat"))
     args = rows.select(F.col("l_orderkey").alias("site_id"), F.row_number().over(_by_line()).alias("pos"), F.lit(None).cast("string").alias("keyword"))
     args = args.withColumn("type", F.concat(F.lit('["lit_int",'), F.col("pos").cast("string"), F.lit("]")))
     kinds = [("a", "required"), ("b", "optional"), ("rest", "rest"), ("z", "required")]
-    params = spark.createDataFrame([("C", "m", False, i, n, k, None) for i, (n, k) in enumerate(kinds)], "class string, name string, singleton boolean, idx int, pname string, kind string, default_type string")
+    params = spark.createDataFrame([(f"C{c}", "m", False, i, n, k, None) for c in range(3) for i, (n, k) in enumerate(kinds)], "class string, name string, singleton boolean, idx int, pname string, kind string, default_type string")
     bound = calls.bound_arguments(sites, args, params)
     took = bound.groupBy("site_id").pivot("pname", ["a", "b", "rest", "z"]).agg(F.max((F.col("type") != '["untyped"]').cast("int")))
     count = args.groupBy("site_id").agg(F.count("*").alias("given"))

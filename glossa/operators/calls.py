@@ -6,6 +6,9 @@ method, singleton, open_splat), call_args (site_id, pos, keyword, type), where t
 
 from __future__ import annotations
 
+import functools
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +24,19 @@ from glossa.plans.fixpoint import until_stable
 ROUNDS, DEPTH = 8, 12
 
 
-@arrow("array<struct<pname:string,type:string>>")
+@arrow("string")
 def _bind(params: pd.Series, positional: pd.Series, keywords: pd.Series, open_splat: pd.Series) -> pd.Series:
-    def one(ps, args, words, at):
-        ps = [(p["pname"], p["kind"], terms.loads(p["default_type"]) if p["default_type"] else None) for p in (ps if ps is not None else [])]
-        args = [terms.loads(t) for t in (args if args is not None else [])]
-        words = {w["keyword"]: terms.loads(w["type"]) for w in (words if words is not None else [])}
-        bound = binding.bind(ps, args, words, open_at=None if pd.isna(at) else int(at))
-        return [{"pname": n, "type": terms.dumps(t)} for n, t in bound.items()]
+    """Arguments by parameter. All sides come as JSON text, so that calls of one shape are bound once in a batch."""
+
+    @functools.cache
+    def bound(ps, args, words, at):
+        ps = [(p["pname"], p["kind"], terms.loads(p["default_type"]) if p.get("default_type") else None) for p in json.loads(ps)]
+        words = {w["keyword"]: terms.loads(w["type"]) for w in json.loads(words or "[]")}
+        found = binding.bind(ps, [terms._freeze(t) for t in json.loads(args or "[]")], words, open_at=at)
+        return json.dumps([{"pname": n, "type": terms.dumps(t)} for n, t in found.items()])
 
-    return pd.Series([one(*x) for x in zip(params, positional, keywords, open_splat)], dtype="object")
+    at = [None if pd.isna(x) else int(x) for x in open_splat]
+    return pd.Series([bound(*x) for x in zip(params, positional, keywords, at)], dtype="object")
 
 
 def bound_arguments(sites: DataFrame, args: DataFrame, params: DataFrame) -> DataFrame:
@@ -38,12 +44,12 @@ def bound_arguments(sites: DataFrame, args: DataFrame, params: DataFrame) -> Dat
 
     sites: site_id, owner, method, singleton, open_splat (position of a splat of unknown length, or null).
     """
-    positional = args.filter("keyword IS NULL").groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda a: a.type).alias("positional"))
-    keywords = last_keywords(args).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("keyword", "type"))).alias("keywords"))
-    by = params.groupBy("class", "name", "singleton").agg(F.array_sort(F.collect_list(F.struct("idx", "pname", "kind", "default_type"))).alias("params"))
+    positional = args.filter("keyword IS NULL").groupBy("site_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda a: a.type), ","), F.lit("]")).alias("positional"))
+    keywords = last_keywords(args).groupBy("site_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("keyword", "type")))).alias("keywords"))
+    by = params.groupBy("class", "name", "singleton").agg(F.to_json(F.array_sort(F.collect_list(F.struct("idx", "pname", "kind", "default_type")))).alias("params"))
     target = sites.filter("owner IS NOT NULL").select("site_id", F.col("owner").alias("class"), F.col("method").alias("name"), "singleton", "open_splat")
     rows = target.join(by, ["class", "name", "singleton"]).join(positional, "site_id", "left").join(keywords, "site_id", "left")
-    rows = rows.withColumn("b", F.explode(_bind("params", "positional", "keywords", F.col("open_splat").cast("double"))))
+    rows = rows.withColumn("b", F.explode(F.from_json(_bind("params", "positional", "keywords", F.col("open_splat").cast("double")), "array<struct<pname:string,type:string>>")))
     return rows.select("site_id", "class", "name", "singleton", "b.pname", "b.type")
 
 
