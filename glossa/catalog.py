@@ -315,12 +315,12 @@ def kernel_j07_scope_lookup(spark, sf_dir):
 
 @query("""WITH c AS (SELECT doc_id, n_chars AS s, n_chars + 10 + doc_id % 400 AS e FROM documents),
 p AS (SELECT DISTINCT CAST(length(html) AS BIGINT) AS o FROM pages)
-SELECT o AS "offset", (SELECT arg_min(doc_id, (e - s) * 1000000 + doc_id) FROM c WHERE s <= o AND o < e) AS ord FROM p""")
+SELECT o AS "offset", arg_min(doc_id, (e - s) * 1000000 + doc_id) AS ord FROM p JOIN c ON s <= o AND o < e GROUP BY 1""")
 def kernel_j10_innermost_span(spark, sf_dir):
     """Lengths of pages as positions in spans that documents give: the smallest span around each."""
     spans = _read(spark, sf_dir, "documents").select(F.lit("f").alias("file"), F.col("n_chars").alias("start"), (F.col("n_chars") + 10 + F.col("doc_id") % 400).alias("end"), F.col("doc_id").alias("ord"))
     points = _read(spark, sf_dir, "pages").select(F.lit("f").alias("file"), F.length("html").cast("long").alias("offset")).distinct()
-    return lookup.innermost(points, spans).select("offset", F.col("span.ord").alias("ord"))
+    return lookup.innermost(points, spans).filter("span IS NOT NULL").select("offset", F.col("span.ord").alias("ord"))
 
 
 @query("""SELECT l_suppkey AS class, 'all' AS interface FROM lineitem WHERE l_returnflag || l_linestatus IN (SELECT DISTINCT l_returnflag || l_linestatus FROM lineitem)
