@@ -29,6 +29,8 @@ from glossa.llm.common import WordHashes, chunks, mix
 MASKS = ["111010010111", "110110101001", "101101100111", "110011101001"]
 SPAN = 12
 MIN_WORDS, SIMILARITY, LEAST = 13, 0.8, 5
+#: What an equal and an unequal word add, so that SIMILARITY comes to 0.
+GAINS = (1, -4)
 BLOCK_WORDS = 1 << 20
 PUNCTUATION = string.punctuation + "…“”„«»‘’¿¡–—"
 
@@ -96,17 +98,18 @@ class Index:
         need = min(MIN_WORDS, len(own))
         if len(same) < need:
             return None
-        if same.mean() >= SIMILARITY:
+        # in integers: a stretch is evidence if its words gain 0 or more
+        gains = np.concatenate([[0], np.cumsum(np.where(same, *GAINS))])
+        if gains[-1] >= 0:
             return a + diagonal, len(same), int(same.sum())
-        # the stretch with the most agreement over the threshold (each word against it)
-        best, total, begin, found = 0.0, 0.0, 0, None
-        for i, ok in enumerate(same.tolist()):
-            if total <= 0:
-                total, begin = 0.0, i
-            total += (1 - SIMILARITY) if ok else -SIMILARITY
-            if ok and total > best and i + 1 - begin >= need:
-                best, found = total, (a + diagonal + begin, i + 1 - begin, int(same[begin : i + 1].sum()))
-        return found
+        # the stretch of need words at least that gains most: for each end the best of all begins that are far enough
+        begins = gains[: len(gains) - need]
+        over = gains[need:] - np.minimum.accumulate(begins)
+        end = int(over.argmax())
+        if over[end] < 0:
+            return None
+        begin, end = int(begins[: end + 1].argmin()), end + need
+        return a + diagonal + begin, end - begin, int(same[begin:end].sum())
 
 
 def _matches(index: Index, texts: list[bytes], hashes: PlainWords) -> list[dict[int, tuple[int, int, int]]]:

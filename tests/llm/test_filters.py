@@ -101,6 +101,28 @@ def test_every_overlap_within_tolerance_is_found():
     assert tried > 150 and missed == 0
 
 
+def test_stretches_of_long_items_are_found():
+    """The overlap's best stretch against all stretches, where documents quote a part of a longer item."""
+    rng = random.Random(9)
+    own = np.arange(1, 41, dtype=np.uint64)
+    index = decontaminate.Index([1], [own])
+    found = 0
+    for _ in range(3000):
+        n = rng.randrange(13, 22)
+        same = [rng.random() < 0.78 for _ in range(n)]
+        at = rng.randrange(41 - n)
+        words = np.zeros(40, np.uint64)
+        words[at : at + n] = np.where(same, own[at : at + n], 0)
+        equal = (words == own).tolist()
+        gain = {(b, e): 5 * sum(equal[b:e]) - 4 * (e - b) for b in range(40) for e in range(b + 13, 41)}
+        got = index.overlap(words, 0, 0)
+        assert (got is not None) == (max(gain.values()) >= 0)
+        if got:
+            found += 1
+            assert got[1] >= 13 and got[2] == sum(equal[got[0] : got[0] + got[1]]) and gain[got[0], got[0] + got[1]] == max(gain.values())
+    assert 300 < found < 2900
+
+
 # quality
 
 
