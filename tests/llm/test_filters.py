@@ -123,6 +123,27 @@ def test_stretches_of_long_items_are_found():
     assert 300 < found < 2900
 
 
+def test_no_tolerated_pattern_is_without_a_seed():
+    """Every choice of unequal words in stretches that hold no shorter one within the tolerance, and in whole short items."""
+    from itertools import combinations
+
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    assert max(m[-1] for m in masks) < decontaminate.SPAN
+    for n, k in ((12, 2), (13, 2), (15, 3), (20, 4), (25, 5)):
+        fits = [sum(1 << (i + s) for i in m) for m in masks for s in range(n - m[-1])]
+        assert all(any(not f & sum(1 << i for i in out) for f in fits) for out in combinations(range(n), k)), n
+    hashes = decontaminate.PlainWords()
+    for n in range(5, 14):
+        item = [f"i{i}".encode() for i in range(n)]
+        index = decontaminate.Index([1], [hashes.array(item)])
+        for k in range(n // 5 + 2):
+            for out in combinations(range(n), k):
+                text = b"a i1 b " + b" ".join(b"zz" if i in out else x for i, x in enumerate(item)) + b" c"
+                found = decontaminate._matches(index, [text, b"i0"], hashes)
+                assert bool(found[0]) == (k <= n // 5) and not found[1], (n, out)
+                assert not found[0] or found[0][0] == (3, n, n - k)
+
+
 # quality
 
 
