@@ -70,6 +70,23 @@ def utf8_size(text: str) -> F.Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """A hash of a row's id and text, null ids apart from all others; a null text counts as empty."""
+    own = F.col(id_col).cast("string")
+    return F.sha2(F.concat(F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+
+
+def first_rows(rooted: DataFrame) -> DataFrame:
+    """_sh_row: one row key of each component, that of its least id. rooted: root, _sh_id, _sh_row."""
+    least = F.min(F.struct(F.col("_sh_id").isNull().alias("none"), F.col("_sh_id"), F.col("_sh_row")))
+    return rooted.groupBy("root").agg(least.alias("least")).select(F.col("least._sh_row").alias("_sh_row"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each row key of kept (_sh_row)."""
+    return docs.withColumn("_sh_row", row_key(id_col, text_col)).join(kept, "_sh_row", "left_semi").dropDuplicates(["_sh_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8; null: empty."""
     if pa.types.is_large_string(column.type):

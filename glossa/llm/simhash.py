@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from glossa.llm.common import Scratch, chunks, mix
+from glossa.llm.common import Scratch, chunks, first_rows, keep_rows, mix, row_key
 from glossa.llm.components import components
 
 RADIUS = 4
@@ -145,15 +145,20 @@ def ball_links(fps: DataFrame, count: int) -> DataFrame:
     return links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def groups(fingerprinted: DataFrame, scratch: Scratch, id_col: str, fp_col: str = "_sh_fp") -> DataFrame:
-    """fp, component_id: for every distinct fingerprint the least id of all rows reachable."""
+def rooted(fingerprinted: DataFrame, scratch: Scratch, id_col: str, fp_col: str = "_sh_fp") -> DataFrame:
+    """fp, least (the least id of its rows), root: every distinct fingerprint with the least one reachable."""
     least = fingerprinted.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least"))
     least = scratch.table(least, "fps")
     near = scratch.table(may_have_partners(least.select("fp")), "near")
     roots = components(ball_links(near, near.count()), scratch)
-    rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return scratch.table(rooted.join(of, "root").select("fp", "component_id"), "groups")
+    return least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def groups(fingerprinted: DataFrame, scratch: Scratch, id_col: str, fp_col: str = "_sh_fp") -> DataFrame:
+    """fp, component_id: for every distinct fingerprint the least id of all rows reachable."""
+    found = rooted(fingerprinted, scratch, id_col, fp_col)
+    of = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return scratch.table(found.join(of, "root").select("fp", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,13 +171,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with its least id (of repeated rows, one)."""
+    """docs with one row of each component: the one with its least id (of rows that share that id, or of null ids only, any one)."""
     scratch = Scratch(docs.sparkSession)
-    rows = with_fingerprints(docs.select(F.col(id_col).alias("_sh_id"), F.col(text_col).alias("text"))).select("_sh_id", "_sh_fp")
+    rows = with_fingerprints(docs.select(F.col(id_col).alias("_sh_id"), row_key(id_col, text_col).alias("_sh_row"), F.col(text_col).alias("text"))).select("_sh_id", "_sh_row", "_sh_fp")
     rows = scratch.table(rows, "rows")
-    kept = groups(rows, scratch, "_sh_id").select(F.col("component_id").alias("_sh_keep")).distinct()
-    own = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_sh_keep")), "left_semi")
-    return own.dropDuplicates([id_col])
+    found = rows.join(rooted(rows, scratch, "_sh_id"), F.col("_sh_fp") == F.col("fp")).select("root", "_sh_id", "_sh_row")
+    return keep_rows(docs, scratch.table(first_rows(found), "kept"), id_col, text_col)
 
 
 def op4_simhash_ball(spark, sf_dir):

@@ -131,6 +131,16 @@ def test_one_document_of_each_group_stays(docs, corpus):
     assert len(ids) == len(set(ids)) and set(ids) == want
 
 
+def test_documents_without_an_own_id_stay(spark):
+    """Components are told apart by their fingerprints, where ids are null or repeated."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (None, d), (9, d), (5, e), (5, f), (5, e), (6, e)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, a), (None, b), (None, c), (9, d), (5, e), (5, f)])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = components(edges, Scratch(spark)).collect()
