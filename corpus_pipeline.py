@@ -13,7 +13,7 @@ from glossa.llm.common import Scratch, read
 from glossa.llm.decontaminate import without_benchmark
 from glossa.llm.mixing import mix
 from glossa.llm.resharding import Reshard
-from glossa.llm.simhash import keep_one
+from glossa.llm.shingles import keep_one
 from glossa.llm.toxicity import THRESHOLD, train_toxicity, with_toxicity
 
 
@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with its least id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with its least id."""
     return keep_one(docs)
 
 
@@ -45,7 +45,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
-#: SQL can't express SimHash components or the mix; tests/llm holds the stages against brute force.
+#: SQL can't express components of near copies or the mix; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,133 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the shingles decide.
+
+Texts are the same if at least SIMILARITY of their distinct shingles of WIDTH words agree, and what is linked so, directly or
+through others, is a group. A text's signature has BANDS bands of ROWS least hashes each, so two texts at similarity s share a band
+with the probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. SimHash can't do that: at 0.8 two fingerprints differ
+in ten bits on the average and in more than 14 one time in twenty, and balls of that radius can't be written out.
+
+Texts of one band meet its hubs (the least and the greatest node, and the same by another hash), never all of each other. The least are
+compared first; the others only where that left the two in different groups. In a band of many texts, two that agree
+with each other and with no hub are not compared by that band.
+
+Words are lower-cased (A-Z) runs of non-blanks. A text of fewer words than WIDTH is one shingle, a null text is empty, and empty texts
+are the same. Rows with null ids take part. Repeated rows and texts of the same words are one node.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from glossa.llm.common import Scratch, WordHashes, chunks, first_rows, keep_rows, mix, row_key, text_bytes
+from glossa.llm.components import components
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, ROWS = 20, 5
+#: Odd factors, one for each least hash. Fixed values.
+FACTORS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of text that are signed at once.
+CHUNK = 1 << 19
+
+
+def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """A hash of every run of width words (of all, if fewer)."""
+    n = min(width, len(words))
+    if not n:
+        return np.empty(0, np.uint64)
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        out += words[k : k + len(out)] * FACTORS[k]
+    return mix(out)
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys for each set of shingles."""
+    size = np.array([max(1, len(s)) for s in sets])
+    flat = np.concatenate([s if len(s) else np.zeros(1, np.uint64) for s in sets])
+    starts = np.cumsum(size) - size
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for k, factor in enumerate(FACTORS):
+        least = np.minimum.reduceat(flat * factor, starts)
+        out[:, k // ROWS] = mix(out[:, k // ROWS] + least + np.uint64(k))
+    return out
+
+
+def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_sh_id, _sh_row (see row_key), node (a hash of the words), n (distinct shingles) and keys of every row."""
+    rows = docs.select(F.col(id_col).alias("_sh_id"), row_key(id_col, text_col).alias("_sh_row"), F.col(text_col).alias("text"))
+    kind = rows.schema["_sh_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch, texts in chunks(batches, "text", CHUNK):
+            split = [t.lower().split() for t in texts]
+            node = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in split], np.uint64).view(np.int64)
+            sets = [shingles(hashes.array(w)) for w in split]
+            n = pa.array([len(np.unique(s)) for s in sets], pa.int32())
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands(sets).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), n, keys], names=["_sh_id", "_sh_row", "node", "n", "keys"])
+
+    return rows.mapInArrow(sign, f"_sh_id {kind}, _sh_row string, node long, n int, keys array<long>")
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity of SIMILARITY at least."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b, first: pairs that share a band with each other, b a hub (first: the least node); those whose sizes can't agree are left out."""
+    each = nodes.select("node", "n", F.explode("keys").alias("key"))
+    hub, other = F.struct("node", "n"), F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")
+    hubs = each.groupBy("key").agg(F.min(hub).alias("h0"), F.max(hub).alias("h1"), F.min(other).alias("h2"), F.max(other).alias("h3")).filter("h0.node < h1.node")
+    hubs = hubs.select("key", *[F.struct(f"h{k}.node", f"h{k}.n", F.lit(k == 0).alias("first")).alias(f"h{k}") for k in range(4)])
+    met = each.join(hubs, "key").select("node", "n", F.explode(F.array(*[f"h{k}" for k in range(4)])).alias("hub"))
+    fits = F.least("n", "hub.n") >= SIMILARITY * F.greatest("n", "hub.n") - 1e-9
+    met = met.filter((F.col("node") != F.col("hub.node")) & fits)
+    return met.groupBy(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).agg(F.max("hub.first").alias("first"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) agree."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        own = lambda t: np.unique(shingles(hashes.array(t.lower().split())))
+        for batch, ta in chunks(batches, "ta"):
+            tb = text_bytes(batch.column(batch.schema.get_field_index("tb")))
+            ok = pa.array([agree(own(x), own(y)) for x, y in zip(ta, tb)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
+
+    one = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(judge, "a long, b long")
+
+
+def _roots(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    found = components(links, scratch)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: the one with its least id (of rows that share that id, or of null ids only, any one)."""
+    scratch, again = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = scratch.table(signed(docs, id_col, text_col), "rows")
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("_sh_row").alias("_sh_row"))
+    nodes = scratch.table(nodes, "nodes")
+    pairs = scratch.table(candidates(nodes.select("node", "n", "keys")), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", "_sh_row").join(asked, "node", "left_semi")
+    texts = docs.select(row_key(id_col, text_col).alias("_sh_row"), F.col(text_col).alias("text")).join(wanted, "_sh_row").groupBy("node").agg(F.first("text").alias("text"))
+    texts = scratch.table(texts, "texts")
+    links = scratch.table(verified(pairs.filter("first"), texts), "links")
+    roots = scratch.table(_roots(nodes, links, scratch), "roots")
+    apart = pairs.filter("NOT first").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb")
+    links = again.table(verified(apart, texts).union(links), "links")
+    found = rows.select("_sh_id", "_sh_row", "node").join(_roots(nodes, links, again), "node").select("root", "_sh_id", "_sh_row")
+    return keep_rows(docs, scratch.table(first_rows(found), "kept"), id_col, text_col)

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glossa.llm import debruijn, simhash
 from glossa.llm.common import Scratch
 from glossa.llm.components import components
@@ -141,6 +142,41 @@ def test_documents_without_an_own_id_stay(spark):
     assert Counter(map(tuple, kept)) == Counter([(None, a), (None, b), (None, c), (9, d), (5, e), (5, f)])
 
 
+def jaccard(a, b) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (split(a.lower()), split(b.lower())))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_copies_of_the_pipeline_are_those_of_similarity(spark, tmp_path):
+    """The stage against all pairs, where copies have some words edited, short and long, in groups and alone."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(0, 3000)}"
+    rows = [(900, ""), (901, None), (902, "one"), (903, "One "), (904, "one two")]
+    for g in range(60):
+        base = [word() for _ in range(int(rng.integers(12, 200)))]
+        for k in range(int(rng.integers(1, 9))):
+            own = list(base)
+            for at in rng.choice(len(own), int(rng.integers(0, 1 + len(own) // 30 + (k > 0))), replace=False) if k else []:
+                own[at] = word()
+            rows.append((10 * g + k, " ".join(own)))
+    parent = {i: i for i, _ in rows}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for n, (i, a) in enumerate(rows):
+        for j, b in rows[:n]:
+            if jaccard(a or "", b or "") >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    want = {find(i) for i, _ in rows}
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path))
+    got = [r["doc_id"] for r in kept.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows) - 60
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = components(edges, Scratch(spark)).collect()
