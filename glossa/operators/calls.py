@@ -18,10 +18,7 @@ from glossa.functions import binding, terms
 from glossa.functions.columns import union_type
 from glossa.operators.lookup import dispatch
 from glossa.operators.merge import last_keywords
-from glossa.plans.fixpoint import until_stable
-
-#: Rounds of return resolution, and how deep a reference is followed within one. Fixed values.
-ROUNDS, DEPTH = 8, 12
+from glossa.plans.fixpoint import cut, until_stable
 
 
 @arrow("string")
@@ -101,11 +98,12 @@ def _substitute(t, known: dict, owner: str, on_class: bool):
     return terms.transform(t, put)
 
 
-def resolve_returns(methods: DataFrame, paths: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+def resolve_returns(methods: DataFrame, paths: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
     """methods with ret resolved along calls between them, and the number of rounds it took.
 
     Every round replaces references whose target is known; a reference into its own cycle stays until the end and is untyped then.
-    Rounds work from the last round's state, so the order of classes doesn't matter.
+    Rounds work from the last round's state, so the order of classes doesn't matter. They go on until nothing changes, one for each call of the
+    longest chain; they end, as each replaces references by finished types. rounds: a bound, an error if it is not enough.
     """
     keys = ["class", "name", "singleton"]
 
@@ -146,17 +144,16 @@ def needed_classes(methods: DataFrame, classes: DataFrame, attempted: DataFrame,
     return named.join(classes.select("class"), "class", "left_anti").join(attempted.select("class"), "class", "left_anti")
 
 
-def load_until_closed(methods: DataFrame, classes: DataFrame, load, references, max_rounds: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Declarations loaded until types name no class that could still be. load(classes) -> (classes, methods)."""
-    attempted = classes.select("class").limit(0)
-    for _ in range(max_rounds):
-        need = needed_classes(methods, classes, attempted, references)
-        if need.isEmpty():
-            break
+def load_until_closed(methods: DataFrame, classes: DataFrame, load, references, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Declarations loaded until types name no class that could still be; an error if max_rounds don't do. load(classes) -> (classes, methods)."""
+    attempted, k = classes.select("class").limit(0), 0
+    while not (need := cut(needed_classes(methods, classes, attempted, references))).isEmpty():
+        if k == max_rounds:
+            raise RuntimeError(f"types still name unloaded classes after {max_rounds} rounds")
         more_classes, more_methods = load(need)
-        attempted = attempted.union(need)
-        classes = classes.unionByName(more_classes.join(classes.select("class"), "class", "left_anti"))
-        methods = methods.unionByName(more_methods)
+        attempted = cut(attempted.union(need))
+        classes = cut(classes.unionByName(more_classes.join(classes.select("class"), "class", "left_anti")))
+        methods, k = cut(methods.unionByName(more_methods)), k + 1
     return classes, methods
 
 

@@ -54,12 +54,13 @@ def ranked_reach(edges: DataFrame, classes: DataFrame, max_depth: int = 64) -> D
     return found.select("class", "owner", F.col("path").alias("rank"))
 
 
-def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int) -> tuple[DataFrame, int]:
-    """step applied until no row changes, at most max_rounds times; the state and the rounds that changed something."""
-    state = cut(state)
-    for k in range(max_rounds):
+def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """step applied until no row changes; the state and the rounds that changed something. An error if more than max_rounds do."""
+    state, k = cut(state), 0
+    while True:
         after = cut(step(state))
         if after.exceptAll(state).isEmpty():
             return after, k
-        state = after
-    return state, max_rounds
+        if k == max_rounds:
+            raise RuntimeError(f"rows still change after {max_rounds} rounds")
+        state, k = after, k + 1

@@ -222,6 +222,17 @@ def test_parameters_and_returns(spark):
     assert got["n"] == "String" and got["o"] == "Integer" and rounds <= 8
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    ret = lambda t: T.dumps(t)
+    paths = lookup.ancestors(spark.createDataFrame([("K", None)], "class string, superclass string"), spark.createDataFrame([], "class string, module string, kind string, ord int")).cache()
+    rows = [("K", f"m{k}", False, ret(("method_return", "K", f"m{k + 1}"))) for k in range(10)]
+    rows += [("K", "m10", False, ret(T.STRING)), ("K", "a", False, ret(("method_return", "K", "b"))), ("K", "b", False, ret(("method_return", "K", "a")))]
+    methods = spark.createDataFrame(rows, "class string, name string, singleton boolean, ret string")
+    resolved, rounds = calls.resolve_returns(methods, paths)
+    got = {r["name"]: r["ret"] for r in resolved.collect()}
+    assert rounds == 10 and all(got[f"m{k}"] == ret(T.STRING) for k in range(11)) and "method_return" in got["a"]
+
+
 def test_loading_until_closed(spark):
     from glossa.functions.columns import referenced_classes
 
