@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +84,19 @@ def first_rows(rooted: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs for each row key of kept (_sh_row)."""
-    return docs.withColumn("_sh_row", row_key(id_col, text_col)).join(kept, "_sh_row", "left_semi").dropDuplicates(["_sh_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole(docs).alias("_sh_in"), row_key(id_col, text_col).alias("_sh_row"))
+    return rows.join(kept, "_sh_row", "left_semi").dropDuplicates(["_sh_row"]).select(*restored("_sh_in", docs.columns))
+
+
+def whole(df: DataFrame, but: Iterable[str] = ()) -> F.Column:
+    """All columns of a row as one struct, so that no name can clash with an operator's own. but: names to leave out, in any case."""
+    out = {c.lower() for c in but}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out])
+
+
+def restored(struct: str, names: Iterable[str]) -> list[F.Column]:
+    """The columns that `whole` has put away."""
+    return [F.col(struct).getField(c).alias(c) for c in names]
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch
 
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: neighbours are hung on the least node they meet. edges: a > b, distinct."""
@@ -29,13 +29,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the least node of its component) for every node but the roots. edges: a, b (64-bit)."""
     now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc_0")
     state = None
-    for k in range(1, MAX_ROUNDS + 1):
+    for k in itertools.count(1):  # ends, as every round hangs some node lower
         now = scratch.table(_star(_star(now, True), False), f"cc_{k}")
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(f"cc_{k - 1}")
         if state == tuple(found):
             break
         state = tuple(found)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

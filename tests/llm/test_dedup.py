@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glossa.llm import debruijn, simhash
+from glossa.llm import debruijn, simhash, sketches
 from glossa.llm.common import Scratch
 from glossa.llm.components import components
 
@@ -147,9 +147,9 @@ def jaccard(a, b) -> float:
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def test_near_copies_of_the_pipeline_are_those_of_similarity(spark, tmp_path):
-    """The stage against all pairs, where copies have some words edited, short and long, in groups and alone."""
-    rng = np.random.default_rng(12)
+def near_copies(seed: int):
+    """Texts with some words edited, short and long, in groups and alone."""
+    rng = np.random.default_rng(seed)
     word = lambda: f"w{rng.integers(0, 3000)}"
     rows = [(900, ""), (901, None), (902, "one"), (903, "One "), (904, "one two")]
     for g in range(60):
@@ -159,22 +159,75 @@ def test_near_copies_of_the_pipeline_are_those_of_similarity(spark, tmp_path):
             for at in rng.choice(len(own), int(rng.integers(0, 1 + len(own) // 30 + (k > 0))), replace=False) if k else []:
                 own[at] = word()
             rows.append((10 * g + k, " ".join(own)))
-    parent = {i: i for i, _ in rows}
+    return rows
+
+
+def roots_of(ids, linked):
+    parent = {i: i for i in ids}
 
     def find(a):
         while parent[a] != a:
             a = parent[a]
         return a
 
-    for n, (i, a) in enumerate(rows):
-        for j, b in rows[:n]:
-            if jaccard(a or "", b or "") >= 0.8:
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    want = {find(i) for i, _ in rows}
+    for i, j in linked:
+        x, y = sorted((find(i), find(j)))
+        parent[y] = x
+    return {find(i) for i in ids}
+
+
+def test_near_copies_of_the_pipeline_are_those_of_similarity(spark, tmp_path):
+    """The stage against all pairs: exactly those that its rule links, and nearly all that are similar."""
+    rows = near_copies(12)
+    hashes = sketches.WordHashes()
+    signs = sketches.sketches([sketches.shingles(hashes.array((t or "").lower().encode().split())) for _, t in rows]).view(np.uint32)
+    apart = lambda m, n: np.array([int(v).bit_count() for v in signs[m] ^ signs[n]])
+    alike = [(m, n) for m, (_, a) in enumerate(rows) for n, (_, b) in enumerate(rows[:m]) if jaccard(a or "", b or "") >= 0.8]
+    ruled = [(m, n) for m, n in alike if apart(m, n).min() <= 2 and apart(m, n).sum() <= sketches.MAX_DISTANCE]
+    pairs = lambda found: [(rows[m][0], rows[n][0]) for m, n in found]
+    ids = [i for i, _ in rows]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path))
     got = [r["doc_id"] for r in kept.collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows) - 60
+    assert len(got) == len(set(got)) and set(got) == roots_of(ids, pairs(ruled))
+    assert len(ruled) >= 0.95 * len(alike) and len(got) < len(rows) - 60
+
+
+def test_cells_meet_exactly_within_two_bits(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, 30, dtype=np.uint64)
+    values = {int(b) ^ sum(1 << int(x) for x in rng.choice(32, int(rng.integers(0, 5)), replace=False)) for b in base for _ in range(20)}
+    cells = [k << 32 | v for k in (0, 1, 19) for v in values]
+    want = {(a, b) for a in cells for b in cells if a < b and a >> 32 == b >> 32 and (a ^ b).bit_count() <= 2}
+    for bucket in (1 << 19, 1 << 9):
+        sketches.BUCKET, old = bucket, sketches.BUCKET
+        try:
+            got = [tuple(r) for r in sketches.meetings(spark.createDataFrame([(c,) for c in cells], "cell long").repartition(4), len(cells)).collect()]
+        finally:
+            sketches.BUCKET = old
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_a_cell_of_dissimilar_texts_is_compared_in_full(spark, monkeypatch):
+    """If all texts share one cell, the second search finds what the least member does not link."""
+    rows = near_copies(13)
+    monkeypatch.setattr(sketches, "MAX_DISTANCE", 640)
+    real = sketches.signed
+    one = [F.lit(0).cast("long").alias(s) for s in sketches.SKETCH]
+    monkeypatch.setattr(sketches, "signed", lambda *a: real(*a).select("_sh_id", "_sh_row", "words", "n", *one))
+    want = roots_of([i for i, _ in rows], [(i, j) for m, (i, a) in enumerate(rows) for j, b in rows[:m] if jaccard(a or "", b or "") >= 0.8])
+    kept = sketches.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_near_copies_under_clashing_names(spark, nothing):
+    rows = [(None, "a b c d e f g", "1"), (None, "x y z u v w t", "2"), (3, "a b c d e f g", "3"), (3, "quite other words than all of those", "4")]
+    names = ["_sh_row", "_sh_in", "node", "words", "n", "root", "s0", "cell", "a", "b"]
+    for f in (sketches.keep_one, simhash.keep_one):
+        docs = spark.createDataFrame([(i, t, *[c] * len(names)) for i, t, c in rows], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+        kept = f(docs)
+        assert kept.columns == docs.columns
+        assert Counter(map(tuple, kept.collect())) == Counter((i, t, *[c] * len(names)) for i, t, c in rows[1:])
+        assert f(nothing).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
