@@ -1,30 +1,29 @@
 """A cleaning pipeline over documents: each stage applies one operator of the llm subpackage to all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents. Nulls, empty texts, repeated rows and empty tables: see the operators.
+All but the last return the columns of documents, whatever further columns there are and however they are named; the last adds
+shard, slot, size, text_crc32 and old_shard, which replace columns of these names. Nulls, empty texts, repeated rows and empty tables: see the operators.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch, read
 from glossa.llm.decontaminate import without_benchmark
-from glossa.llm.mixing import mix
+from glossa.llm.mixing import repeated
 from glossa.llm.resharding import Reshard
-from glossa.llm.shingles import keep_one
-from glossa.llm.toxicity import THRESHOLD, train_toxicity, with_toxicity
+from glossa.llm.sketches import keep_one
+from glossa.llm.toxicity import train_toxicity, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar doesn't find toxic."""
-    model = train_toxicity(docs, read(spark, sf_dir, "labels"))
-    return with_toxicity(docs, model, out="_toxicity").filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return without_toxic(docs, train_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with its least id."""
+    """One document of each group of near copies (SimHash balls over five-word shingles, similarity 0.8), the one with its least id."""
     return keep_one(docs)
 
 
@@ -35,8 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    mixed = mix(docs, keep=True).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return repeated(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

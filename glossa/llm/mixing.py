@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch
+from glossa.llm.common import Scratch, restored, whole
 
 CAP = 3.0
 MAX_SOURCES = 100_000
 MAX_STEPS = 60
 #: Documents in a block of the rounding, about.
 BLOCK_DOCS = 4096
+#: What the mix adds to a row.
+MIXED = ["size", "source_size", "target", "rate", "copies", "taken"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -121,15 +123,14 @@ def round_block(sizes: np.ndarray, rates: np.ndarray) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, weights=lambda rank: 1 + rank % 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
-    """docs (all columns if keep, else the id as doc_id) with size, source_size, target, rate, copies and taken."""
+def _rounded(docs: DataFrame, weights, id_col: str, text_col: str, source_col: str, kept: F.Column) -> DataFrame:
+    """_mx_in (kept) and MIXED of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    added = ["size", "source_size", "target", "rate", "copies", "taken"]
-    carried = [F.col(f"`{c}`") for c in docs.columns if c not in added] if keep else [F.col(id_col).alias("doc_id")]
-    rows = docs.select(*carried, word_count(text_col).alias("size"), F.col(source_col).alias("_mx_source"), F.xxhash64(F.col(id_col)).alias("_mx_h"))
+    # by id and text, so that rows without an id don't share a block
+    rows = docs.select(kept.alias("_mx_in"), word_count(text_col).alias("size"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("h"))
     rows = scratch.table(rows, "rows")
-    histogram = rows.groupBy(F.col("_mx_source").alias("source"), "size").agg(F.count("*").alias("n"))
+    histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     histogram = scratch.table(histogram, "histogram")
     found = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -147,21 +148,34 @@ def mix(docs: DataFrame, weights=lambda rank: 1 + rank % 3, id_col: str = "doc_i
     numbered = scratch.table(histogram.join(sources(table), same).select("sid", "size", "n"), "numbered")
     for t, lam in zip(table, solve(numbered, totals)):
         t["lam"] = lam
-    rows = rows.join(sources(table), F.col("_mx_source").eqNullSafe(F.col("src"))).drop("src", "_mx_source")
+    rows = rows.join(sources(table), same)
     x = F.col("size") / F.col("mean")
-    rows = rows.withColumn("rate", F.least(F.lit(CAP), F.exp(F.least(F.lit(2.0), F.col("lam") * x)))).withColumn("_mx_block", F.pmod("_mx_h", "blocks"))
-    rows = rows.drop("lam", "mean", "blocks")
-    out = rows.drop("_mx_h", "_mx_block", "sid").withColumn("copies", F.lit(1)).withColumn("taken", F.lit(0).cast("long"))
-    names = out.columns
+    rows = rows.withColumn("rate", F.least(F.lit(CAP), F.exp(F.least(F.lit(2.0), F.col("lam") * x)))).withColumn("block", F.pmod("h", "blocks"))
+    rows = rows.select("_mx_in", "size", "source_size", "target", "rate", "h", "sid", "block")
+    out = rows.select("_mx_in", "size", "source_size", "target", "rate", F.lit(1).alias("copies"), F.lit(0).cast("long").alias("taken"))
 
     def rounded(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "descending"), ("_mx_h", "ascending")])
+        group = group.sort_by([("size", "descending"), ("h", "ascending")])
         size = np.asarray(group["size"].combine_chunks())
         copies = np.asarray(round_block(size, np.asarray(group["rate"].combine_chunks())), np.int32)
         group = group.append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * size, pa.int64()))
-        return group.select(names)
+        return group.select(["_mx_in", *MIXED])
+
+    return rows.groupBy("sid", "block").applyInArrow(rounded, out.schema)
+
+
+def mix(docs: DataFrame, weights=lambda rank: 1 + rank % 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
+    """docs (if keep, all columns but those named like MIXED, which are replaced; else the id as doc_id) with MIXED."""
+    if not keep:
+        return _rounded(docs, weights, id_col, text_col, source_col, F.col(id_col)).select(F.col("_mx_in").alias("doc_id"), *MIXED)
+    kept = [c for c in docs.columns if c.lower() not in MIXED]
+    return _rounded(docs, weights, id_col, text_col, source_col, whole(docs, MIXED)).select(*restored("_mx_in", kept), *MIXED)
+
 
-    return rows.groupBy("sid", "_mx_block").applyInArrow(rounded, out.schema)
+def repeated(docs: DataFrame, weights=lambda rank: 1 + rank % 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, whole and unchanged, each as often as the mix takes it."""
+    rows = _rounded(docs, weights, id_col, text_col, source_col, whole(docs)).filter("copies > 0")
+    return rows.select("_mx_in", F.explode(F.sequence(F.lit(1), "copies"))).select(*restored("_mx_in", docs.columns))
 
 
 def op7_entropy_balanced_mix(spark, sf_dir):

@@ -8,8 +8,8 @@ blocks into stretches, one for each receiving shard: whole blocks move, and the
 by row. Small rows lie last, so that the cuts that move rows fall between small rows and shard sizes come out near equal.
 
 Nulls: a null text has size 1, a null id or old shard hashes like any other value. Rows with equal keys are
-interchangeable and each gets its own slot. An empty table gives an empty table. Other columns are carried along;
-columns named like the added ones are replaced.
+interchangeable and each gets its own slot. An empty table gives an empty table. Other columns are carried along
+whatever their names, as one struct until the end; those named like ADDED are replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, utf8_size
+from glossa.llm.common import Scratch, restored, utf8_size, whole
 
 #: Hash blocks in each old shard and size class. Bounds the rows that the driver sees.
 SUBS = 64
+#: Columns that a plan adds, or a caller may: those of the input by these names are replaced.
+ADDED = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"}
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -94,14 +96,15 @@ class Reshard:
         self.spark = rows.sparkSession
         self.scratch = Scratch(self.spark)
         self.shards, self.old_shards = shards, old_shards
-        added = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
         old = F.pmod(F.xxhash64(F.col("source")), F.lit(old_shards)) if old_shard is None else old_shard
         size = utf8_size(text_col) + 1
-        carried = [F.col(f"`{c}`") for c in rows.columns if c not in added] if keep else [F.col(id_col).alias("doc_id")]
+        carried = whole(rows) if keep else F.struct(F.col(id_col).alias("doc_id"))
+        self.kept = rows.columns if keep else ["doc_id"]
+        crc = F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
         rows = rows.select(
-            *carried, size.alias("size"), F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("text_crc32"),
+            carried.alias("_rs_in"), size.alias("size"), crc.alias("text_crc32"),
             F.coalesce(old.cast("int"), F.lit(0)).alias("_rs_old"), (F.lit(63) - F.floor(F.log2(size.cast("double"))).cast("int")).alias("_rs_class"),
-            F.xxhash64(F.col(id_col)).alias("_rs_h"),
+            F.xxhash64(F.col(id_col), crc, size).alias("_rs_h"),
         ).withColumn("_rs_sub", F.pmod(F.shiftrightunsigned("_rs_h", 7), F.lit(SUBS)).cast("int"))
         self.rows = rows if keep else self.scratch.table(rows, "rows")
         found = self.rows.groupBy(*self.BLOCK).agg(F.sum("size").alias("bytes")).collect()
@@ -123,6 +126,15 @@ class Reshard:
 
     def assigned(self) -> DataFrame:
         """The rows with shard and slot."""
+        kept = [c for c in self.kept if c.lower() not in ADDED]
+        return self._assigned().select(*restored("_rs_in", kept), "size", "text_crc32", "shard", "slot", F.col("_rs_old").alias("old_shard"))
+
+    def moved(self, to: str) -> DataFrame:
+        """The rows, whole and unchanged but for the new shard under the name `to`."""
+        return self._assigned().select(*restored("_rs_in", [c for c in self.kept if c != to]), F.col("shard").alias(to))
+
+    def _assigned(self) -> DataFrame:
+        """_rs_in, _rs_old, size, text_crc32, shard, slot."""
         cuts, targets = [], []
         for i, row in enumerate(self.flow):
             order = [j for j in [i, *(j for j in range(self.shards) if j != i)] if j < self.shards and row[j]] or [i % self.shards]
@@ -148,8 +160,7 @@ class Reshard:
             at[j] += n
         offsets = self.spark.range(1).select(F.explode(_literal(offsets, "array<struct<j:int,o:int,c:int,s:int,off:bigint>>")).alias("b")).select("b.*")
         met = (F.col("shard") == F.col("j")) & (F.col("_rs_old") == F.col("o")) & (F.col("_rs_class") == F.col("c")) & (F.col("_rs_sub") == F.col("s"))
-        rows = rows.join(F.broadcast(offsets), met).withColumn("slot", F.col("off") + F.col("_rs_rank") - 1).withColumn("old_shard", F.col("_rs_old"))
-        return rows.drop(*[c for c in rows.columns if c.startswith("_rs_")], "j", "o", "c", "s", "off")
+        return rows.join(F.broadcast(offsets), met).withColumn("slot", F.col("off") + F.col("_rs_rank") - 1)
 
 
 def rewrite_shards(spark, path: str, out: str, shards: int, old_shards: int, id_col: str = "doc_id", text_col: str = "text") -> dict[int, str]:
@@ -158,10 +169,9 @@ def rewrite_shards(spark, path: str, out: str, shards: int, old_shards: int, id_
     Shards that the flow leaves alone keep their old files.
     """
     rows = spark.read.parquet(path)
-    plan = Reshard(rows.withColumnRenamed("shard", "_stored"), shards, F.col("_stored"), old_shards, id_col=id_col, text_col=text_col)
+    plan = Reshard(rows, shards, F.col("shard"), old_shards, id_col=id_col, text_col=text_col)
     affected = {*plan.affected, *range(old_shards, shards)}
-    kept = [c for c in rows.columns if c != "shard"]
-    plan.assigned().filter(F.col("shard").isin(sorted(affected) or [-1])).select(*kept, "shard").repartition(len(affected) or 1, "shard").write.mode("overwrite").partitionBy("shard").parquet(out)
+    plan.moved("shard").filter(F.col("shard").isin(sorted(affected) or [-1])).repartition(len(affected) or 1, "shard").write.mode("overwrite").partitionBy("shard").parquet(out)
     return {j: f"{out if j in affected else path}/shard={j}" for j in range(shards)}
 
 

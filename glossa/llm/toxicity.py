@@ -275,6 +275,17 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: st
     return rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, whole and unchanged, whose score is below the threshold."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = model.machine()
+        for batch, texts in chunks(batches, text_col):
+            yield batch.filter(pa.array(model.scores(texts, machine) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op10_toxicity_grammar(spark, sf_dir):
     """All documents scored for toxicity."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glossa.llm import mixing, resharding
 
 
@@ -53,6 +54,37 @@ def test_shards(spark, docs, corpus, nothing):
         resharding.Reshard(docs, shards=2, capacities=[1, 1])
 
 
+def test_columns_named_like_the_operators_own(spark, tmp_path, docs, nothing):
+    """What a caller has under the operators' inner names stays; only the columns that an operator says it adds are replaced."""
+    inner = ["o", "at", "s", "j", "off", "c", "h", "mean", "lam", "sid", "src", "blocks", "block", "_copy", "_toxicity", "_rs_in", "_rs_old", "_rs_h", "_mx_in", "_stored", "bytes", "n", "target", "rate", "copies", "shard", "slot"]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))).alias(c) for c in inner])
+    mine = [c for c in inner if c not in mixing.MIXED]
+    left = resharding.Reshard(rows, shards=4).assigned()
+    assert left.count() == rows.count() and left.filter(" OR ".join(f"NOT startswith(`{c}`, '{c}:')" for c in inner if c not in resharding.ADDED)).isEmpty()
+    mixed = mixing.mix(rows, keep=True)
+    assert mixed.count() == rows.count() and mixed.filter(" OR ".join(f"NOT startswith(`{c}`, '{c}:')" for c in mine)).isEmpty()
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage in any of the documents here at all, and none like it either")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns and out.dtypes == rows.dtypes, name
+        whole = Counter(tuple(r) for r in rows.collect())
+        got = Counter(tuple(r) for r in out.collect())
+        assert got and set(got) <= set(whole), name
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() == rows.count()
+    empty = rows.limit(0)
+    assert all(stage(spark, empty, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Rows whose ids are all null don't land in one block."""
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("x"), "id").alias("text"), F.lit("s").alias("source"))
+    plan = resharding.Reshard(df, keep=False)
+    assert len(plan.starts) > resharding.SUBS / 2
+    assert len({r["shard"] for r in plan.assigned().collect()}) == 16
+
+
 def test_near_equal_shards_of_small_rows(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 37).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 11).cast("string")).alias("source"))
     totals = [r["n"] for r in resharding.Reshard(df, keep=False).assigned().groupBy("shard").agg(F.sum("size").alias("n")).collect()]
