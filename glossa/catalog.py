@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa import catalog_facts, facts
+from glossa import catalog_facts, catalog_kernels, facts
 from glossa.functions import columns, inflect, levels, terms
 from glossa.operators import calls, coverage, dependencies, diagnostics, generators, lookup, merge, provenance
 from glossa.plans.fixpoint import reach
@@ -96,7 +96,7 @@ def kernel_a24_changed_bags(spark, sf_dir):
     """Orders whose bag of lines differs once line 2 is gone, whatever the order of rows."""
     rows = _read(spark, sf_dir, "lineitem")
     print_ = lambda df: dependencies.bag_fingerprint(df, ["l_orderkey"], ["l_linenumber", "l_partkey"])
-    diff = dependencies.changed(print_(rows.orderBy(F.desc("l_partkey"))), print_(rows.filter("l_linenumber <> 2")), ["l_orderkey"])
+    diff = dependencies.changed(print_(rows.repartition("l_partkey")), print_(rows.filter("l_linenumber <> 2")), ["l_orderkey"])
     return rows.join(diff, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
@@ -180,7 +180,8 @@ def kernel_t01_upsert(spark, sf_dir):
     return workspace.upsert(state, workspace.current(early, seen))
 
 
-@query("SELECT doc, epoch, at_ms FROM (SELECT user_id AS doc, max(event_id) AS epoch, arg_max(epoch_ms(ts), event_id) AS at_ms FROM events GROUP BY 1) WHERE (SELECT max(epoch_ms(ts)) FROM events) - at_ms >= 150")
+@query("""SELECT doc, epoch, at_ms FROM (SELECT user_id AS doc, max(event_id) AS epoch, arg_max(epoch_us(ts) // 1000, event_id) AS at_ms FROM events GROUP BY 1)
+WHERE (SELECT max(epoch_us(ts) // 1000) FROM events) - at_ms >= 150""")
 def kernel_t11_due_requests(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("epoch"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     now = rows.agg(F.max("at_ms")).first()[0]
@@ -315,12 +316,12 @@ def kernel_j07_scope_lookup(spark, sf_dir):
 
 @query("""WITH c AS (SELECT doc_id, n_chars AS s, n_chars + 10 + doc_id % 400 AS e FROM documents),
 p AS (SELECT DISTINCT CAST(length(html) AS BIGINT) AS o FROM pages)
-SELECT o AS "offset", arg_min(doc_id, (e - s) * 1000000 + doc_id) AS ord FROM p JOIN c ON s <= o AND o < e GROUP BY 1""")
+SELECT o AS "offset", arg_min(doc_id, (e - s) * 1000000 + doc_id) AS ord FROM p LEFT JOIN c ON s <= o AND o < e GROUP BY 1""")
 def kernel_j10_innermost_span(spark, sf_dir):
-    """Lengths of pages as positions in spans that documents give: the smallest span around each."""
+    """Lengths of pages as positions in spans that documents give: the smallest span around each, null if there is none."""
     spans = _read(spark, sf_dir, "documents").select(F.lit("f").alias("file"), F.col("n_chars").alias("start"), (F.col("n_chars") + 10 + F.col("doc_id") % 400).alias("end"), F.col("doc_id").alias("ord"))
     points = _read(spark, sf_dir, "pages").select(F.lit("f").alias("file"), F.length("html").cast("long").alias("offset")).distinct()
-    return lookup.innermost(points, spans).filter("span IS NOT NULL").select("offset", F.col("span.ord").alias("ord"))
+    return lookup.innermost(points, spans).select("offset", F.col("span.ord").alias("ord"))
 
 
 @query("""SELECT l_suppkey AS class, 'all' AS interface FROM lineitem WHERE l_returnflag || l_linestatus IN (SELECT DISTINCT l_returnflag || l_linestatus FROM lineitem)
@@ -396,21 +397,20 @@ def kernel_w03_folded_sites(spark, sf_dir):
     return coverage.coalesced_sites(rows).select("file", "level")
 
 
-@query("""SELECT o_orderkey AS site_id, n AS given, CASE WHEN n >= 1 THEN 1 ELSE 0 END AS first, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS middle, greatest(n - 3, 0) AS rest, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS last
-FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)""")
+@query("""WITH l AS (SELECT l_orderkey AS site_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT site_id, CASE WHEN n >= 1 THEN ':x1' END AS a, CASE WHEN n >= 3 THEN ':x2' ELSE ':d' END AS b, CASE WHEN n >= 4 THEN string_agg(':x' || pos, ' | ' ORDER BY ':x' || pos) FILTER (pos > 2 AND pos < n) ELSE 'untyped' END AS rest, CASE WHEN n >= 2 THEN ':x' || n ELSE 'untyped' END AS z
+FROM l GROUP BY site_id, n""")
 def kernel_j04_positional_slots(spark, sf_dir):
-    """Lines of an order as arguments of (a, b = 1, *rest, z): how many each parameter takes."""
+    """Lines of an order as arguments of (a, b = :d, *rest, z): what each parameter takes."""
     rows = _read(spark, sf_dir, "lineitem")
     sites = rows.select(F.col("l_orderkey").alias("site_id")).distinct().select("site_id", F.concat(F.lit("C"), (F.col("site_id") % 3).cast("string")).alias("owner"), F.lit("m").alias("method"), F.lit(False).alias("singleton"), F.lit(None).cast("int").alias("open_splat"))
     args = rows.select(F.col("l_orderkey").alias("site_id"), F.row_number().over(_by_line()).alias("pos"), F.lit(None).cast("string").alias("keyword"))
-    args = args.withColumn("type", F.concat(F.lit('["lit_int",'), F.col("pos").cast("string"), F.lit("]")))
-    kinds = [("a", "required"), ("b", "optional"), ("rest", "rest"), ("z", "required")]
-    params = spark.createDataFrame([(f"C{c}", "m", False, i, n, k, None) for c in range(3) for i, (n, k) in enumerate(kinds)], "class string, name string, singleton boolean, idx int, pname string, kind string, default_type string")
-    bound = calls.bound_arguments(sites, args, params)
-    took = bound.groupBy("site_id").pivot("pname", ["a", "b", "rest", "z"]).agg(F.max((F.col("type") != '["untyped"]').cast("int")))
-    count = args.groupBy("site_id").agg(F.count("*").alias("given"))
-    n = F.col("given")
-    return took.join(count, "site_id").select("site_id", "given", F.col("a").alias("first"), F.col("b").alias("middle"), F.when(F.col("rest") == 1, n - 3).otherwise(F.lit(0)).cast("long").alias("rest"), F.col("z").alias("last"))
+    # classes, as literals of arguments are widened
+    args = args.withColumn("type", F.concat(F.lit('["class",":x'), F.col("pos").cast("string"), F.lit('"]')))
+    kinds = [("a", "required", None), ("b", "optional", '["class",":d"]'), ("rest", "rest", None), ("z", "required", None)]
+    params = spark.createDataFrame([(f"C{c}", "m", False, i, n, k, d) for c in range(3) for i, (n, k, d) in enumerate(kinds)], "class string, name string, singleton boolean, idx int, pname string, kind string, default_type string")
+    took = calls.bound_arguments(sites, args, params).groupBy("site_id").pivot("pname", ["a", "b", "rest", "z"]).agg(F.first("type"))
+    return took.select("site_id", *[columns.rendered(c).alias(c) for c in ("a", "b", "rest", "z")])
 
 
 def _by_line():
@@ -419,14 +419,14 @@ def _by_line():
     return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
 
 
-@query("""SELECT user_id AS class, CASE WHEN count(DISTINCT event_type) = 1 THEN min(':' || event_type) ELSE 'Symbol' END IS NOT NULL AS known, count(*) AS calls FROM events GROUP BY 1""")
+@query("""SELECT user_id AS class, string_agg(DISTINCT ':' || event_type, ' | ' ORDER BY ':' || event_type) AS type, count(*) AS calls FROM events GROUP BY 1""")
 def kernel_j01_parameters_from_calls(spark, sf_dir):
     """Events as calls of a method with one parameter: its type over all calls of a user."""
     rows = _read(spark, sf_dir, "events")
     bound = rows.select(F.col("event_id").alias("site_id"), F.col("user_id").alias("class"), F.lit("m").alias("name"), F.lit(False).alias("singleton"), F.lit("a").alias("pname"), F.concat(F.lit('["lit_sym","'), "event_type", F.lit('"]')).alias("type"))
     found = calls.parameter_types(bound)
     n = rows.groupBy(F.col("user_id").alias("class")).agg(F.count("*").alias("calls"))
-    return found.join(n, "class").select("class", F.col("type").isNotNull().alias("known"), "calls")
+    return found.join(n, "class").select("class", columns.rendered("type").alias("type"), "calls")
 
 
 # names
@@ -451,10 +451,14 @@ def kernel_f18_route_names(spark, sf_dir):
     return rows.select("page_id", generators.dynamic_segments(F.regexp_replace("url", "([0-9]+)", ":$1")).cast("long").alias("segments"), generators.route_name(F.regexp_extract("url", "://([^?#]*)", 1)).alias("name"))
 
 
-@query("SELECT p_brand AS name, max(p_size) AS arity FROM part GROUP BY 1")
+@query("""SELECT lower(replace(p_brand, '#', '_')) AS name, max(p_size % 6)::INTEGER AS arity FROM part GROUP BY 1""")
 def kernel_a26_greatest_arity(spark, sf_dir):
-    rows = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("arity"))
-    return rows.groupBy("name").agg(F.max("arity").alias("arity"))
+    """Parts as routes files that name one route each, with up to five dynamic segments; of one name the greatest arity counts."""
+    name, n = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.col("p_size") % 6
+    path = F.concat(F.lit("/x"), F.repeat(F.lit("/:id"), n.cast("int")))
+    call = F.struct(F.lit("get").alias("method"), F.array(path).alias("names"), F.create_map(F.lit("as"), name).alias("options"), F.array().cast("array<string>").alias("calls"))
+    files = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), F.to_json(F.array(call)).alias("calls"))
+    return generators.route_helpers(files)
 
 
 @query("SELECT conv_id * 1000 + turn AS id, lpad(conv_id::VARCHAR, 6, '0') || '#' || turn AS found FROM conversations WHERE ends_with(lpad(conv_id::VARCHAR, 6, '0') || '#' || turn, '01#2')")
@@ -465,15 +469,16 @@ def kernel_q10_find_by_suffix(spark, sf_dir):
     return found.select((part[0].cast("long") * 1000 + part[1].cast("long")).alias("id"), F.col("id").alias("found"))
 
 
-@query("""SELECT doc_id, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(t) - coalesce(nullif(length(t) - strpos(reverse(t), chr(10)) + 1, length(t) + 1), 0) AS INTEGER) AS col FROM (
-SELECT doc_id, left(text, 400) AS t FROM documents WHERE text IS NOT NULL)""")
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, unnest([0, 1, 2, 3]) AS k FROM documents),
+cut AS (SELECT doc_id, k, left(t, CAST(length(t) * k // 3 AS INTEGER)) AS t FROM d)
+SELECT doc_id, k, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(list_extract(string_split(t, chr(10)), -1)) AS INTEGER) AS col FROM cut""")
 def kernel_f26_line_columns(spark, sf_dir):
-    """Line and column after the first 400 characters of a document."""
+    """Line and column at the beginning, after each third and at the end of every text."""
     from glossa.functions import positions
 
-    rows = _read(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    at = positions.line_columns(F.col("text"), F.octet_length(F.substring("text", 1, 400)))
-    return rows.select("doc_id", at.alias("p")).select("doc_id", "p.line", F.col("p.column").alias("col"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    offset = F.octet_length(F.substring("text", F.lit(1), F.floor(F.length("text") * F.col("k") / 3).cast("int")))
+    return rows.select("doc_id", "k", positions.line_columns(F.col("text"), offset).alias("p")).select("doc_id", "k", "p.line", F.col("p.column").alias("col"))
 
 
 # diagnostics
@@ -514,10 +519,10 @@ def kernel_a23_hole_counts(spark, sf_dir):
     return coverage.hole_counts(_read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("reason")), "reason")
 
 
-@query("""SELECT o_custkey AS id, o_orderpriority AS name, min(o_orderkey) AS owner FROM orders WHERE starts_with(o_orderpriority, '2') OR starts_with(o_orderpriority, '1') GROUP BY 1, 2""")
+@query("""SELECT o_custkey AS id, o_orderpriority AS name, min(o_orderkey) AS owner FROM orders GROUP BY 1, 2""")
 def kernel_u05_first_candidates(spark, sf_dir):
     """Of candidates with one name the innermost stays."""
-    rows = _read(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'")
+    rows = _read(spark, sf_dir, "orders")
     receivers = rows.select(F.col("o_custkey").alias("id"), F.col("o_custkey").cast("string").alias("class"), F.lit(False).alias("singleton")).distinct()
     paths = rows.select(F.col("o_custkey").cast("string").alias("class"), F.col("o_orderkey").alias("owner"), F.array(F.col("o_orderkey")).alias("rank"))
     methods = rows.select(F.col("o_orderkey").alias("class"), F.col("o_orderpriority").alias("name"), F.lit(False).alias("singleton"), F.lit("public").alias("visibility"), F.lit(0).alias("ord"), F.lit('["nil"]').alias("ret"))
@@ -579,8 +584,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | catalog_facts.QUERIES
+    return QUERIES | catalog_facts.QUERIES | catalog_kernels.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | catalog_facts.SQL
+    return SQL | catalog_facts.SQL | catalog_kernels.SQL

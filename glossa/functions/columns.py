@@ -55,6 +55,8 @@ union_type = _many(terms.union_of)
 union_type_keeping_untyped = _many(terms.union_keeping_untyped)
 union_type_keeping_empty = _many(lambda ts: terms.union_keeping_untyped(ts, keep_empty=True))
 merged_arguments = _many(terms.merge_arguments)
+#: The type of [*a, *b, ...]; what has no to_a stands for itself.
+splatted = _many(lambda ts: terms.splat_array(ts, lambda _: "missing"))
 union_pair = _two(terms.union_with)
 safe_navigation = _two(terms.safe_navigation)
 replace_self = _two(terms.replace_self)
@@ -75,6 +77,12 @@ referenced_classes = _one(terms.references, "array<string>")
 heads = _one(lambda t: t[0], "string")
 
 
+@arrow("array<string>")
+def canonical_order(ts: pd.Series) -> pd.Series:
+    """Terms of an array in the canonical order."""
+    return ts.map(lambda x: [terms.dumps(t) for t in sorted(map(terms.loads, x), key=terms.sort_key)])
+
+
 def nullable_accessor(term: F.Column, nullable: F.Column) -> F.Column:
     """The type of a column's accessor: an untyped one stays untyped. JVM-side; term is never a union here."""
     untyped, nil = '["untyped"]', '["nil"]'
