@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa import catalog_facts, catalog_kernels, facts
+from glossa import catalog_facts, catalog_kernels, catalog_sources, facts
 from glossa.functions import columns, inflect, levels, terms
 from glossa.operators import calls, coverage, dependencies, diagnostics, generators, lookup, merge, provenance
 from glossa.plans.fixpoint import reach
@@ -584,8 +584,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | catalog_facts.QUERIES | catalog_kernels.QUERIES
+    return QUERIES | catalog_facts.QUERIES | catalog_kernels.QUERIES | catalog_sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | catalog_facts.SQL | catalog_kernels.SQL
+    return SQL | catalog_facts.SQL | catalog_kernels.SQL | catalog_sources.SQL

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from glossa.functions.udf import arrow
-from glossa.functions import terms
+from glossa.functions import returns, terms
 
 
 def _one(f, kind: str):
@@ -77,6 +77,18 @@ referenced_classes = _one(terms.references, "array<string>")
 heads = _one(lambda t: t[0], "string")
 
 
+@arrow("string")
+def known_return(receiver: pd.Series, method: pd.Series) -> pd.Series:
+    """What a method of a well-known receiver returns; null if that isn't known."""
+
+    @functools.cache
+    def one(r, m):
+        found = returns.known_return(terms.loads(r), m)
+        return None if found is None else terms.dumps(found)
+
+    return pd.Series([one(r, m) for r, m in zip(receiver, method)], dtype="object")
+
+
 @arrow("array<string>")
 def canonical_order(ts: pd.Series) -> pd.Series:
     """Terms of an array in the canonical order."""

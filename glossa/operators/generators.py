@@ -63,7 +63,7 @@ def mixins(calls: DataFrame) -> DataFrame:
 
 def aliases(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """alias_method new, old: the old method's signature under the new name."""
-    pairs = calls.filter(F.col("method").isin("alias", "alias_method") & (F.size("names") == 2)).select("class", F.col("names")[0].alias("new"), F.col("names")[1].alias("name"), "file", "line")
+    pairs = calls.filter(F.col("method").isin("alias", "alias_method") & (F.size("names") == 2)).select("class", F.get("names", F.lit(0)).alias("new"), F.get("names", F.lit(1)).alias("name"), "file", "line")
     own = methods.select("class", "name", "singleton", "param", "ret")
     return pairs.join(own, ["class", "name"]).select("class", F.col("new").alias("name"), "singleton", "param", "ret", F.lit("source").alias("origin"), "file", "line")
 
@@ -88,8 +88,8 @@ def delegations(calls: DataFrame) -> DataFrame:
     plain = _named(calls, "delegate").withColumn("to", _option("to"))
     prefix = F.when(_option("prefix") == "true", F.concat("to", F.lit("_"))).when(_option("prefix").isNotNull(), F.concat(_option("prefix"), F.lit("_"))).otherwise("")
     rails = plain.select("class", F.concat(prefix, "n").alias("name"), "to", F.col("n").alias("to_method"), (F.coalesce(_option("allow_nil"), F.lit("false")) == "true").alias("allow_nil"))
-    many = calls.filter("method = 'def_delegators'").select("class", F.explode(F.slice("names", F.lit(2), F.size("names"))).alias("n"), F.col("names")[0].alias("to"))
-    one = calls.filter("method = 'def_delegator'").select("class", F.coalesce(F.try_element_at("names", F.lit(3)), F.col("names")[1]).alias("name"), F.col("names")[0].alias("to"), F.col("names")[1].alias("to_method"))
+    many = calls.filter("method = 'def_delegators'").select("class", F.explode(F.slice("names", F.lit(2), F.size("names"))).alias("n"), F.get("names", F.lit(0)).alias("to"))
+    one = calls.filter("method = 'def_delegator'").select("class", F.coalesce(F.get("names", F.lit(2)), F.get("names", F.lit(1))).alias("name"), F.get("names", F.lit(0)).alias("to"), F.get("names", F.lit(1)).alias("to_method"))
     no = F.lit(False)
     return rails.unionByName(many.select("class", F.col("n").alias("name"), "to", F.col("n").alias("to_method"), no.alias("allow_nil"))).unionByName(one.withColumn("allow_nil", no))
 
@@ -113,7 +113,7 @@ def struct_members(calls: DataFrame) -> DataFrame:
 
 def enum_values(calls: DataFrame) -> DataFrame:
     """class, enum, value, prefix, suffix of enum declarations: the first name is the enum, the rest its values."""
-    rows = calls.filter("method = 'enum' AND size(names) > 0").withColumn("enum", F.col("names")[0])
+    rows = calls.filter("method = 'enum' AND size(names) > 0").withColumn("enum", F.get("names", F.lit(0)))
     mark = lambda o: F.when(_option(o) == "true", F.col("enum")).otherwise(_option(o))
     return rows.select("class", "enum", F.explode(F.slice("names", F.lit(2), F.size("names"))).alias("value"), mark("prefix").alias("prefix"), mark("suffix").alias("suffix"), "file", "line")
 
@@ -174,7 +174,7 @@ def relation_methods(models: DataFrame, version: tuple[int, int] = (99, 0)) -> D
 
 def typed_attributes(calls: DataFrame, keyword_type) -> DataFrame:
     """attribute :name, :type: reader, writer, predicate. keyword_type: a column function of type keywords."""
-    rows = calls.filter("method = 'attribute' AND size(names) > 0").withColumn("n", F.col("names")[0])
+    rows = calls.filter("method = 'attribute' AND size(names) > 0").withColumn("n", F.get("names", F.lit(0)))
     kind = F.coalesce(F.try_element_at("names", F.lit(2)), F.lit(""))
     base = keyword_type(kind)
     value = F.when(_option("default").isNull() & (base != UNTYPED), _maybe(base)).otherwise(base)

@@ -5,53 +5,71 @@ Each round joins only the rows that the last one found (semi-naive) and cuts its
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, on spark.checkpoint.dir if that is set."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may do without and gets a temporary one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        found = tempfile.mkdtemp(prefix="glossa-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-"))
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, on the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """root, node, depth: the least number of steps from each root to each node (itself: 0). roots: root; edges: src, dst."""
+    """root, node, depth: the least number of steps from each root to each node (itself: 0). roots: root; edges: src, dst.
+
+    Each round is stored once, by itself, and joined by what it found only.
+    """
     edges = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    found = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
-    new, depth = found, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        new = cut(step.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    rounds = [cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())]
+    while max_depth is None or len(rounds) <= max_depth:
+        step = rounds[-1].join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        new = cut(step.join(_all(rounds), ["root", "node"], "left_anti").withColumn("depth", F.lit(len(rounds))))
         if new.isEmpty():
             break
-        found = cut(found.unionByName(new))
-    return found
+        rounds.append(new)
+    return _all(rounds)
 
 
-def ranked_reach(edges: DataFrame, classes: DataFrame, max_depth: int = 64) -> DataFrame:
+def ranked_reach(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """class, owner, rank: for every class (of classes, or of the edges) its lookup path (itself first), by depth-first order of ranked edges.
 
     edges: src, dst, ord (the order in which src tries its neighbours). A path is the array of ords on the way, so that comparing
-    arrays compares places in the lookup order; the least path of an owner counts. Cycles end where an owner comes again.
+    arrays compares places in the lookup order; the least path of an owner counts. It goes on until nothing new is met: no path is cut, and cycles
+    end where an owner comes again.
     """
     nodes = edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).union(classes.select("class")).distinct()
-    found = nodes.select(F.col("n").alias("class"), F.col("n").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("n").alias("trail"))
-    new = found = cut(found)
-    for _ in range(max_depth):
-        step = new.join(edges, new.owner == edges.src).filter(~F.array_contains("trail", F.col("dst")))
+    start = nodes.select(F.col("n").alias("class"), F.col("n").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("n").alias("trail"))
+    rounds = [cut(start)]
+    while True:
+        step = rounds[-1].join(edges, F.col("owner") == F.col("src")).filter(~F.array_contains("trail", F.col("dst")))
         step = step.select("class", F.col("dst").alias("owner"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"), F.concat("trail", F.array("dst")).alias("trail"))
-        new = cut(step.groupBy("class", "owner").agg(F.min_by("path", "path").alias("path"), F.min_by("trail", "path").alias("trail")))
+        new = cut(step.groupBy("class", "owner").agg(F.min("path").alias("path"), F.min_by("trail", "path").alias("trail")))
         if new.isEmpty():
             break
-        found = cut(found.unionByName(new).groupBy("class", "owner").agg(F.min_by("trail", "path").alias("trail"), F.min("path").alias("path")).select("class", "owner", "path", "trail"))
-    return found.select("class", "owner", F.col("path").alias("rank"))
+        rounds.append(new)
+    return _all(rounds).groupBy("class", "owner").agg(F.min("path").alias("rank"))
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, int]:

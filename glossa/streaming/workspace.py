@@ -137,24 +137,32 @@ def current_generation(results: DataFrame, generation: int) -> DataFrame:
     return results.filter(F.col("generation") >= generation)
 
 
+def _folded(version: int, text: str, rows: pd.DataFrame) -> tuple[int, str]:
+    """A document after edits (version, edits), in order; older versions are dropped."""
+    for v, e in zip(rows["version"], rows["edits"]):
+        if v > version:
+            after = apply_edits(text, json.loads(e))
+            version, text = int(v), text if after is None else after
+    return version, text
+
+
 def documents(edits: DataFrame) -> DataFrame:
-    """doc, version, content kept from a stream of edits (doc, version, edits: JSON list): each document's edits fold in order.
+    """doc, version, content kept from edits (doc, version, edits: JSON list), a stream or a table: each document's edits fold in order.
 
     An edit with a range outside the text is dropped whole and the text stays.
     """
+    schema = "doc string, version long, content string"
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        version, text = state.get if state.exists else (-1, "")
-        rows = pd.concat(list(batches)).sort_values("version")
-        for v, e in zip(rows["version"], rows["edits"]):
-            if v > version:
-                after = apply_edits(text, json.loads(e))
-                version, text = int(v), text if after is None else after
-        state.update((version, text))
-        yield pd.DataFrame([{"doc": key[0], "version": version, "content": text}])
+        now = _folded(*(state.get if state.exists else (-1, "")), pd.concat(list(batches)).sort_values("version"))
+        state.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=["doc", "version", "content"])
 
-    schema = "doc string, version long, content string"
-    return edits.groupBy("doc").applyInPandasWithState(fold, schema, "version long, content string", "update", "NoTimeout")
+    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *_folded(-1, "", rows.sort_values("version")))], columns=["doc", "version", "content"])
+
+    by = edits.groupBy("doc")
+    return by.applyInPandasWithState(fold, schema, "version long, content string", "update", "NoTimeout") if edits.isStreaming else by.applyInPandas(whole, schema)
 
 
 def running_fingerprints(changes: DataFrame) -> DataFrame:
