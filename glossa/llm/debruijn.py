@@ -1,30 +1,34 @@
 """Substring dedup on a De Bruijn graph of word windows.
 
 A window of WINDOW words is an edge from its first WINDOW - 1 words to its last. An edge that occurs again is repeated; its source
-is its first occurrence (least document id, then start). Stretches of repeated edges whose occurrences and sources advance
-together are nonbranching paths; they are compacted to spans (start, length, source). A word that a window with an earlier source
-covers is removed.
+is its first occurrence (least document id, then start). The graph of the repeated edges is built, compacted and used to verify what is removed:
 
-Most edges occur once, so they are sifted first. Every window holds its least SEED-word k-mer; equal windows hold the same. The
-least k-mers (about one in seven words) meet in Spark, and only windows whose least k-mer occurs at several places go on. Documents
-are packed into chunks that carry an id through the joins:
-
-1. pack: chunks of documents to a shared table, with the chunk's least k-mers in hash buckets;
+1. pack: chunks of documents to a shared table, laid out by chunk, so that later passes move no text; with each the chunk's least k-mers.
+   Every window holds its least SEED-word k-mer, and equal windows hold the same, so windows whose least k-mer is found at one place only
+   are not repeated (most are not);
 2. sift: in each bucket, k-mers of several chunks are sent back to their chunks;
-3. edges: a chunk joins its recurring k-mers and names its candidate windows by 96 hash bits. Of equal windows in a chunk only the
-   first is shipped, so a passage in every document costs one row a chunk;
-4. sources: in each bucket windows with equal names get their source, and the occurrences after it go back to their chunks;
-5. spans: a chunk joins what came back, compacts paths and removes the covered words.
-
-Verification: `verify_spans` compares spans word by word with the text at their source coordinates.
+3. edges: a chunk names its candidate windows by 96 hash bits. Of equal windows in a chunk only the first is shipped, so a passage in every
+   document costs one row a chunk;
+4. sources: in each bucket windows with equal names get their source; occurrences after it, and the source itself, go back to their chunks;
+5. nodes: runs of neighbouring sources list the nodes they pass. Spark counts each node's incoming and outgoing edges; runs are cut
+   into pieces at nodes that branch, and joins that double their reach string pieces to whole nonbranching paths;
+6. spans: stretches of later occurrences are cut along the pieces, so that a passage is one and the same span wherever it is quoted;
+7. verify: the words of every span are compared with the words at its source coordinates, by a 128-bit digest of the words themselves.
+   A span that differs is taken apart into its windows, which are compared one by one;
+8. remove: the words that verified spans cover go.
+
+A word is thus removed only if its window was found equal at its source. Windows that have the same 96 bits by accident can only cost a
+removal: the chance of any is n^2 / 2^97 for n windows, 10^-8 for 10^10.
 
 Words are runs of non-blanks, unchanged; a null text has none. Null ids count as the greatest id. Rows with the same id and start
-are not earlier than one another, so repeated rows keep or lose the same words. Texts shorter than a window lose nothing.
+are not earlier than one another, so repeated rows keep or lose the same words. Texts shorter than a window lose nothing. Very long texts are one
+chunk each. Ids that are no numbers count as null. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -36,13 +40,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, WordHashes, chunks, mix, release, rows_of, utf8_size
+from glossa.llm.common import LARGE_ROWS, Scratch, WordHashes, chunks, mix, parts, release, rows_of, utf8_size
 
 WINDOW, SEED = 20, 8
 SEEDS_IN = WINDOW - SEED + 1
 CHUNK_BYTES = 3 << 20
 #: Bytes of text for each bucket of k-mers and of windows.
 BUCKET_BYTES = 12 << 20
+#: Bytes of text for each file of the table of texts.
+LAID_BYTES = 64 << 20
 LAST = np.iinfo(np.int64).max
 P1, P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -123,6 +129,12 @@ class Windows:
         at[at == len(known)] = 0
         return np.flatnonzero((known[at] == self.least) & self.valid)
 
+    def nodes(self) -> np.ndarray:
+        """A hash of the WINDOW - 1 words at each place."""
+        w = _powers(self.h, P1, 16)
+        two = _longer(w[16], 16, w[2], 2, P1) if 16 in w and len(w[16]) else np.empty(0, np.uint64)
+        return mix(_longer(two, 18, self.h, 1, P1) + np.uint64(WINDOW))
+
     def names(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 hash bits of windows."""
         out = []
@@ -145,11 +157,18 @@ def _read(pack: bytes, *kinds) -> list[np.ndarray]:
 
 
 PACKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("pack", pa.large_binary()), ("rows", pa.large_binary())])
-WINDOW_KINDS = (np.uint64, np.uint32, np.int64, np.int32, np.uint32)  # names, document id, start, start in the chunk
-FOUND_KINDS = (np.uint32, np.int64, np.int32)  # start in the chunk, source document, source start
-
-
-def _bucketed(chunk: int, where: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
+#: Of a window that is shipped: names, document id, start, start in the chunk, whether it comes again in the chunk.
+WINDOW_KINDS = (np.uint64, np.uint32, np.int64, np.int32, np.uint32, np.uint8)
+#: What is sent back to a chunk: later occurrences (start in the chunk, source document, source start), sources, and repeats within the chunk.
+LATER, HEAD, BACK = 0, 1, 2
+SENT_KINDS = {LATER: (np.uint32, np.int64, np.int32), HEAD: (np.uint32,), BACK: (np.uint32, np.uint32)}
+#: Windows in a block, by which spans meet pieces.
+BLOCK = 256
+LISTED = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+LISTED_DDL = "kind string, chunk long, doc long, place long, at long, n int, source_doc long, source long, nodes array<long>"
+
+
+def _bucketed(where: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(where, kind="stable")
     where = where[order]
     cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.empty(0, np.int64)
@@ -157,12 +176,33 @@ def _bucketed(chunk: int, where: np.ndarray, arrays: tuple[np.ndarray, ...]) ->
         yield int(where[a]), _arrays(*(x[order[a:b]] for x in arrays))
 
 
+def _sent(packs: list | None, kind: int) -> list[np.ndarray]:
+    """The arrays of one kind that a chunk was sent."""
+    found = [_read(x["pack"], *SENT_KINDS[kind]) for x in packs or [] if x["kind"] == kind]
+    return [np.concatenate(x).astype(np.int64) for x in zip(*found)] if found else [np.empty(0, np.int64) for _ in SENT_KINDS[kind]]
+
+
+def _breaks(*keys: np.ndarray) -> np.ndarray:
+    """Where runs begin: places at which some key is not the one before plus its step. keys: pairs of an array and its step."""
+    new = np.zeros(len(keys[0][0]), bool)
+    if len(new):
+        new[0] = True
+    for a, step in keys:
+        new[1:] |= a[1:] != a[:-1] + step
+    return np.flatnonzero(new)
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 class Graph:
-    """The repeated spans of documents: passes 1 to 4, then `spans` or `kept`."""
+    """The repeated edges of documents' words, their paths, and what is left of the documents."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.scratch = Scratch(docs.sparkSession)
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.spark = docs.sparkSession
+        self.scratch = Scratch(self.spark)
+        rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         total = rows.agg(F.sum(utf8_size("text"))).first()[0] or 0
         buckets = max(1, -(-total // BUCKET_BYTES))
 
@@ -171,15 +211,15 @@ class Graph:
             for batch, texts in chunks(batches, "text", CHUNK_BYTES):
                 chunk = uuid.uuid4().int >> 65
                 seeds = Windows([t.split() for t in texts], hashes).seeds
-                packs = list(_bucketed(chunk, (seeds % np.uint64(buckets)).astype(np.int64), (seeds,)))
+                packs = list(_bucketed((seeds % np.uint64(buckets)).astype(np.int64), (seeds,)))
                 n = len(packs)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *(b for b, _ in packs)], pa.int64()), pa.array([None, *(p for _, p in packs)], pa.large_binary()), pa.array([pack_rows(batch.column(0).to_pylist(), texts), *[None] * n], pa.large_binary())], schema=PACKED)
 
         def sift(group: pa.Table) -> pa.Table:
             ids = group["chunk"].to_pylist()
-            parts = [_read(p, np.uint64)[0] for p in group["pack"].to_pylist()]
-            values = np.concatenate(parts)
-            of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            parts_ = [_read(p, np.uint64)[0] for p in group["pack"].to_pylist()]
+            values = np.concatenate(parts_)
+            of = np.repeat(np.arange(len(parts_)), [len(p) for p in parts_])
             order = np.argsort(values, kind="stable")
             values, of = values[order], of[order]
             same = np.zeros(len(values) + 1, bool)
@@ -187,10 +227,10 @@ class Graph:
             again = same[1:] | same[:-1]
             values, of = values[again], of[again]
             order = np.argsort(of, kind="stable")
-            values, cuts = values[order], np.searchsorted(of[order], np.arange(len(parts) + 1))
+            values, cuts = values[order], np.searchsorted(of[order], np.arange(len(parts_) + 1))
             packs = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             some = [k for k, p in enumerate(packs) if p]
-            return pa.table({"chunk": pa.array([ids[k] for k in some], pa.int64()), "pack": pa.array([packs[k] for k in some], pa.binary())})
+            return pa.table({"chunk": pa.array([ids[k] for k in some], pa.int64()), "kind": pa.array([0] * len(some), pa.int32()), "pack": pa.array([packs[k] for k in some], pa.binary())})
 
         def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -199,7 +239,7 @@ class Graph:
                 for chunk, rows_, packs in rows_of(batch):
                     keys, _, texts = unpack_rows(rows_)
                     w = Windows([t.split() for t in texts], hashes)
-                    recurring = np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in packs])) if packs else np.empty(0, np.uint64)
+                    recurring = np.unique(np.concatenate([np.frombuffer(p["pack"], np.uint64) for p in packs])) if packs else np.empty(0, np.uint64)
                     starts = w.candidates(recurring)
                     if not len(starts):
                         continue
@@ -210,83 +250,215 @@ class Graph:
                     fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                     head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
                     later = (doc != doc[head]) | (place != place[head])
-                    back = np.sort(np.flatnonzero(later))
-                    out: list[tuple[int, int | None, bytes]] = []
-                    if len(back):
-                        back = back[np.argsort(starts[back], kind="stable")]
-                        out.append((chunk % buckets, None, _arrays(starts[back].astype(np.uint32), doc[head[back]], place[head[back]].astype(np.int32))))
+                    again = np.zeros(len(starts), np.uint8)
+                    again[head[later]] = 1
+                    back = np.flatnonzero(later)
+                    back = back[np.argsort(starts[back], kind="stable")]
                     ship = np.flatnonzero(~later)
                     ship = ship[np.argsort(starts[ship], kind="stable")]
-                    columns = (a[ship], b[ship], doc[ship], place[ship].astype(np.int32), starts[ship].astype(np.uint32))
-                    out += [(k, k, p) for k, p in _bucketed(chunk, (a[ship] % np.uint64(buckets)).astype(np.int64), columns)]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), pa.array([k for k, _, _ in out], pa.int64()), pa.array([f is None for _, f, _ in out], pa.bool_()), pa.array([p for _, _, p in out], pa.binary())], names=["chunk", "bucket", "found", "pack"])
+                    columns = (a[ship], b[ship], doc[ship], place[ship].astype(np.int32), starts[ship].astype(np.uint32), again[ship])
+                    out = [(k, None, p) for k, p in _bucketed((a[ship] % np.uint64(buckets)).astype(np.int64), columns)]
+                    if len(back):
+                        out.append((chunk % buckets, BACK, _arrays(starts[back].astype(np.uint32), starts[head[back]].astype(np.uint32))))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.int64()), pa.array([k for k, _, _ in out], pa.int64()), pa.array([f for _, f, _ in out], pa.int32()), pa.array([p for _, _, p in out], pa.binary())], names=["chunk", "bucket", "kind", "pack"])
 
         def sources(group: pa.Table) -> pa.Table:
-            ids, found = group["chunk"].to_pylist(), group["found"].to_pylist()
+            ids, kinds = group["chunk"].to_pylist(), group["kind"].to_pylist()
             packs = group["pack"].to_pylist()
-            out = [(ids[k], packs[k]) for k in range(len(ids)) if found[k]]
-            open_ = [k for k in range(len(ids)) if not found[k]]
-            parts = [_read(packs[k], *WINDOW_KINDS) for k in open_]
-            if parts:
-                a, b, doc, place, start = (np.concatenate(x) for x in zip(*parts))
-                of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            out = [(ids[k], kinds[k], packs[k]) for k in range(len(ids)) if kinds[k] is not None]
+            open_ = [k for k in range(len(ids)) if kinds[k] is None]
+            parts_ = [_read(packs[k], *WINDOW_KINDS) for k in open_]
+            if parts_:
+                a, b, doc, place, start, again = (np.concatenate(x) for x in zip(*parts_))
+                of = np.repeat(np.arange(len(parts_)), [len(p[0]) for p in parts_])
                 order = np.lexsort((place, doc, b, a))
-                a, b, doc, place, start, of = (x[order] for x in (a, b, doc, place, start, of))
-                fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                later = np.flatnonzero((doc != doc[head]) | (place != place[head]))
-                later = later[np.lexsort((start[later], of[later]))]
-                cuts = np.searchsorted(of[later], np.arange(len(parts) + 1))
-                for k, x, y in zip(open_, cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if y > x:
-                        own = later[x:y]
-                        out.append((ids[k], _arrays(start[own], doc[head[own]], place[head[own]])))
-            return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "pack": pa.array([p for _, p in out], pa.binary())})
+                a, b, doc, place, start, again, of = (x[order] for x in (a, b, doc, place, start, again, of))
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                head = np.repeat(first, np.diff(np.append(first, len(a))))
+                later = (doc != doc[head]) | (place != place[head])
+                repeated = np.add.reduceat(later | (again > 0), first) > 0
+                for kind, own in ((LATER, np.flatnonzero(later)), (HEAD, first[repeated])):
+                    own = own[np.lexsort((start[own], of[own]))]
+                    cuts = np.searchsorted(of[own], np.arange(len(parts_) + 1)).tolist()
+                    for k, x, y in zip(open_, cuts[:-1], cuts[1:]):
+                        if y > x:
+                            at = own[x:y]
+                            columns = (start[at], doc[head[at]], place[head[at]]) if kind == LATER else (start[at],)
+                            out.append((ids[k], kind, _arrays(*columns)))
+            return pa.table({"chunk": pa.array([c for c, _, _ in out], pa.int64()), "kind": pa.array([k for _, k, _ in out], pa.int32()), "pack": pa.array([p for _, _, p in out], pa.binary())})
 
         packed = self.scratch.table(rows.mapInArrow(pack, "chunk long, bucket long, pack binary, rows binary"), "packed", large_rows=True)
-        self.texts = packed.filter("bucket IS NULL").select("chunk", "rows")
-        recurring = packed.filter("bucket IS NOT NULL").select("chunk", "bucket", "pack").groupBy("bucket").applyInArrow(sift, "chunk long, pack binary")
-        candidates = self._joined(recurring).mapInArrow(edges, "chunk long, bucket long, found boolean, pack binary")
-        self.found = candidates.groupBy("bucket").applyInArrow(sources, "chunk long, pack binary")
+        recurring = packed.filter("bucket IS NOT NULL").select("chunk", "bucket", "pack").groupBy("bucket").applyInArrow(sift, "chunk long, kind int, pack binary")
+        recurring = self.scratch.table(recurring, "recurring")
+        self.texts = self._laid_out(packed.filter("bucket IS NULL").select("chunk", "rows"), max(parts(self.spark), -(-total // LAID_BYTES)))
+        self.scratch.drop("packed")
+        candidates = self._joined(recurring).mapInArrow(edges, "chunk long, bucket long, kind int, pack binary")
+        self.sent = self.scratch.table(candidates.groupBy("bucket").applyInArrow(sources, "chunk long, kind int, pack binary"), "sent")
+
+    def _laid_out(self, texts: DataFrame, files: int) -> DataFrame:
+        """The chunks as a table whose files Spark knows to be divided by chunk: joins with it shuffle the other side only."""
+        name = f"glossa_{uuid.uuid4().hex}"
+        texts.repartition(files, "chunk").write.bucketBy(files, "chunk").options(**LARGE_ROWS).option("path", f"{self.scratch.root}/texts").saveAsTable(name)
+        return self.spark.table(name)
 
     def _joined(self, packs: DataFrame) -> DataFrame:
-        """chunk, rows and the packs sent to the chunk."""
-        sent = packs.groupBy("chunk").agg(F.collect_list("pack").alias("packs"))
+        """chunk, rows and what was sent to the chunk (structs of all other columns)."""
+        sent = packs.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in packs.columns if c != "chunk"])).alias("packs"))
         return self.texts.join(sent, "chunk", "left").select("chunk", "rows", "packs")
 
-    @staticmethod
-    def _spans(packs: list[bytes] | None, doc_of) -> tuple[np.ndarray, ...]:
-        """Compacted paths: start in the chunk, windows, source document, source start."""
-        parts = [_read(p, *FOUND_KINDS) for p in packs or []]
-        if not parts:
-            return tuple(np.empty(0, np.int64) for _ in range(4))
-        start, doc, place = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
-        order = np.argsort(start, kind="stable")
-        start, doc, place = start[order], doc[order], place[order]
-        own = doc_of[start]
-        new = np.concatenate([[True], (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (own[1:] != own[:-1])])
-        at = np.flatnonzero(new)
-        return start[at], np.diff(np.append(at, len(start))), doc[at], place[at]
-
-    def spans(self) -> DataFrame:
-        """doc_id, start, words, source_doc, source_start of every compacted path of repeats."""
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())])
+    def _listed(self) -> DataFrame:
+        """LISTED: `run`, neighbouring sources with their nodes; `span`, later occurrences whose sources are neighbours too; `doc`, every document."""
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
             for batch in batches:
-                for _, rows_, packs in rows_of(batch):
+                release()
+                for chunk, rows_, packs in rows_of(batch):
                     keys, _, texts = unpack_rows(rows_)
-                    count = np.array([len(t.split()) for t in texts], np.int64)
-                    doc_of = np.repeat(np.arange(len(texts)), count)
-                    start, windows, doc, place = Graph._spans(packs, doc_of)
-                    own = doc_of[start]
-                    first = np.cumsum(count) - count
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[own], start - first[own], windows + WINDOW - 1, doc, place)], schema=schema)
+                    w = Windows([t.split() for t in texts], hashes)
+                    own = np.unique(keys)
+                    out = [{"kind": np.full(len(own), "doc"), "doc": own}]
+                    start, doc, place = _sent(packs, LATER)
+                    again, head = _sent(packs, BACK)
+                    if len(again):
+                        # a repeat within the chunk has the source of the first one in the chunk
+                        by = np.argsort(start, kind="stable")
+                        at = np.minimum(np.searchsorted(start[by], head), max(len(by) - 1, 0))
+                        known = start[by][at] == head if len(by) else np.zeros(len(head), bool)
+                        own_doc, own_place = keys[w.doc[head]], w.place[head]
+                        start = np.concatenate([start, again])
+                        doc = np.concatenate([doc, np.where(known, doc[by][at] if len(by) else 0, own_doc)])
+                        place = np.concatenate([place, np.where(known, place[by][at] if len(by) else 0, own_place)])
+                    order = np.argsort(start, kind="stable")
+                    start, doc, place = start[order], doc[order], place[order]
+                    at = _breaks((start, 1), (doc, 0), (place, 1), (w.doc[start], 0))
+                    if len(at):
+                        n = np.diff(np.append(at, len(start)))
+                        out.append({"kind": np.full(len(at), "span"), "doc": keys[w.doc[start[at]]], "place": w.place[start[at]], "at": start[at], "n": n, "source_doc": doc[at], "source": place[at]})
+                    heads = np.sort(_sent(packs, HEAD)[0])
+                    at = _breaks((heads, 1), (w.doc[heads], 0))
+                    if len(at):
+                        n = np.diff(np.append(at, len(heads)))
+                        node = w.nodes().view(np.int64)
+                        spread = np.repeat(heads[at] - np.cumsum(n + 1) + n + 1, n + 1) + np.arange(int((n + 1).sum()))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n + 1)), pa.int32()), pa.array(node[spread]))
+                        out.append({"kind": np.full(len(at), "run"), "doc": keys[w.doc[heads[at]]], "place": w.place[heads[at]], "n": n, "nodes": lists})
+                    for x in out:
+                        size = len(x["kind"])
+                        x["chunk"] = np.full(size, chunk)
+                        yield pa.RecordBatch.from_arrays([(x[f.name] if isinstance(x[f.name], pa.ListArray) else pa.array(x[f.name], f.type)) if f.name in x else pa.nulls(size, f.type) for f in LISTED], schema=LISTED)
+
+        rows = self._joined(self.sent).mapInArrow(listed, LISTED_DDL)
+        return self.scratch.table(rows.withColumn("run", F.monotonically_increasing_id()), "listed")
+
+    def pieces(self, runs: DataFrame) -> DataFrame:
+        """doc, place, n (windows), path, offset: the runs cut where nodes branch, and the nonbranching path of each piece with its place there.
+
+        runs: run, doc, place, n (edges), nodes (n + 1).
+        """
+        passed = runs.select("run", "n", F.posexplode("nodes").alias("k", "node"))
+        degrees = passed.groupBy("node").agg(
+            F.sum((F.col("k") < F.col("n")).cast("long")).alias("out"), F.sum((F.col("k") > 0).cast("long")).alias("into"),
+            F.max(F.when(F.col("k") == F.col("n"), F.col("run"))).alias("left"), F.max(F.when(F.col("k") == 0, F.col("run"))).alias("right"),
+        )
+        degrees = self.scratch.table(degrees.filter("out <> 1 OR into <> 1 OR left IS NOT NULL AND right IS NOT NULL"), "degrees")
+        branching = degrees.filter("out <> 1 OR into <> 1").select("node")
+        cuts = passed.filter("k > 0 AND k < n").join(branching, "node", "left_semi").groupBy("run").agg(F.array_sort(F.collect_set("k")).alias("cuts"))
+        bounds = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array("n"))
+        rows = runs.select("run", "doc", "place", "n").join(cuts, "run", "left").withColumn("b", bounds)
+        rows = rows.select("run", "doc", "place", "n", F.explode(F.arrays_zip(F.slice("b", F.lit(1), F.size("b") - 1).alias("x"), F.slice("b", F.lit(2), F.size("b") - 1).alias("y"))).alias("c"))
+        rows = rows.select("run", "doc", (F.col("place") + F.col("c.x")).alias("place"), (F.col("c.y") - F.col("c.x")).alias("n"), (F.col("c.x") == 0).alias("first"), (F.col("c.y") == F.col("n")).alias("last"))
+        rows = self.scratch.table(rows.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+        # a run's last piece goes on in another run's first where the node between has no other edges
+        links = degrees.filter("out = 1 AND into = 1 AND left <> right").select("left", "right")
+        links = links.join(rows.filter("last").select(F.col("run").alias("left"), F.col("piece").alias("before"), F.col("n").alias("far").cast("long")), "left")
+        links = links.join(rows.filter("first").select(F.col("run").alias("right"), "piece"), "right").select("piece", "before", "far")
+        strung = self._strung(links)
+        found = rows.join(strung, "piece", "left")
+        return found.select("doc", "place", "n", F.coalesce("before", "piece").alias("path"), F.coalesce("far", F.lit(0)).cast("long").alias("offset"))
+
+    def _strung(self, links: DataFrame) -> DataFrame:
+        """piece, before, far: of every linked piece the first of its path and how many windows lie between. links: to the piece before.
+
+        Each round doubles how far links reach; what still reaches on after all pieces could have been passed is a circle and stays unlinked.
+        """
+        now = self.scratch.table(links, "strung_0")
+        for k in range(max(1, math.ceil(math.log2(now.count() + 1))) + 1):
+            there = now.select(F.col("piece").alias("before"), F.col("before").alias("b"), F.col("far").alias("f"))
+            now = self.scratch.table(now.select("piece", "before", "far").join(there, "before", "left").select("piece", F.coalesce("b", "before").alias("before"), (F.col("far") + F.coalesce("f", F.lit(0))).alias("far"), F.col("b").isNotNull().alias("on")), f"strung_{k + 1}")
+            self.scratch.drop(f"strung_{k}")
+            if now.filter("on").isEmpty():
+                break
+        return now.filter("NOT on").drop("on")
 
-        return self._joined(self.found).mapInArrow(listed, "doc_id long, start long, words long, source_doc long, source_start long")
+    @staticmethod
+    def along(spans: DataFrame, pieces: DataFrame) -> DataFrame:
+        """spans cut along the pieces of their sources, with path and its offset there. They meet by blocks of a document."""
+        blocks = lambda a, n: F.explode(F.sequence(F.floor(a / BLOCK), F.floor((a + n - 1) / BLOCK)))
+        p = pieces.select(F.col("doc").alias("source_doc"), F.col("place").alias("p"), F.col("n").alias("m"), "path", "offset", blocks(F.col("place"), F.col("n")).alias("block"))
+        s = spans.select("chunk", "doc", "place", "at", "n", "source_doc", "source", blocks(F.col("source"), F.col("n")).alias("block"))
+        begin, end = F.greatest("source", "p"), F.least(F.col("source") + F.col("n"), F.col("p") + F.col("m"))
+        met = s.join(p, ["source_doc", "block"]).filter((begin < end) & (F.col("block") == F.floor(begin / BLOCK)))
+        shift = begin - F.col("source")
+        return met.select("chunk", "doc", (F.col("place") + shift).alias("place"), (F.col("at") + shift).alias("at"), (end - begin).cast("int").alias("n"), "source_doc", begin.alias("source"), "path", (F.col("offset") + begin - F.col("p")).alias("offset"))
+
+    def _digests(self, asked: DataFrame) -> DataFrame:
+        """asked (chunk, doc, place, n windows) with the digest of the words there, from every row of the chunk with that id."""
+
+        def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                release()
+                for chunk, rows_, packs in rows_of(batch):
+                    keys, _, texts = unpack_rows(rows_)
+                    of: dict[int, list[int]] = {}
+                    for k, i in enumerate(keys.tolist()):
+                        of.setdefault(i, []).append(k)
+                    split: dict[int, list[bytes]] = {}
+                    out = []
+                    for x in sorted(packs or [], key=lambda x: x["doc"]):
+                        for k in of.get(x["doc"], []):
+                            if k not in split:
+                                split = {k: texts[k].split()} if len(of[x["doc"]]) == 1 else split | {k: texts[k].split()}
+                            end = x["place"] + x["n"] + WINDOW - 1
+                            if end <= len(split[k]):
+                                out.append((chunk, x["doc"], x["place"], x["n"], _digest(split[k][x["place"] : end])))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "doc", "place", "n", "digest"])
+
+        return self._joined(asked).mapInArrow(digested, "chunk long, doc long, place long, n int, digest binary").distinct()
+
+    def verified(self, spans: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+        """spans with `equal`: whether the words at a span and at its source coordinates are the same. docs: doc, chunk."""
+        own = spans.select("chunk", "doc", "place", "n")
+        wanted = spans.select(F.col("source_doc").alias("doc"), F.col("source").alias("place"), "n").distinct().join(docs, "doc").select("chunk", "doc", "place", "n")
+        found = self.scratch.table(self._digests(own.union(wanted).distinct()), name)
+        there = found.select(F.col("doc").alias("source_doc"), F.col("place").alias("source"), "n", "digest").distinct()
+        here = spans.join(found, ["chunk", "doc", "place", "n"], "left")
+        equal = here.join(there.withColumn("met", F.lit(True)), ["source_doc", "source", "n", "digest"], "left")
+        keys = ["chunk", "doc", "place", "at", "n", "source_doc", "source", "path", "offset"]
+        return equal.groupBy(*keys).agg(F.coalesce(F.max("met"), F.lit(False)).alias("equal"))
+
+    def spans(self) -> DataFrame:
+        """chunk, doc, place, at, n, source_doc, source, path, offset of every verified span."""
+        listed = self._listed()
+        pieces = self.pieces(listed.filter("kind = 'run'").select("run", "doc", "place", "n", "nodes"))
+        spans = self.scratch.table(self.along(listed.filter("kind = 'span'"), pieces), "spans")
+        docs = listed.filter("kind = 'doc'").select("doc", "chunk")
+        judged = self.scratch.table(self.verified(spans, docs, "digests"), "judged")
+        out = judged.filter("equal").drop("equal")
+        wrong = judged.filter("NOT equal")
+        if not wrong.isEmpty():
+            step = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+            single = wrong.withColumn("i", step).select("chunk", "doc", *[(F.col(c) + F.col("i")).alias(c) for c in ("place", "at")], F.lit(1).alias("n"), "source_doc", (F.col("source") + F.col("i")).alias("source"), "path", (F.col("offset") + F.col("i")).alias("offset"))
+            out = out.union(self.verified(self.scratch.table(single, "single"), docs, "single_digests").filter("equal").drop("equal"))
+        return out
+
+    def repeats(self) -> DataFrame:
+        """doc_id, start, words, source_doc, source_start, path of every verified span (doc_id null: the greatest long)."""
+        return self.spans().select(F.col("doc").alias("doc_id"), F.col("place").alias("start"), (F.col("n") + WINDOW - 1).cast("long").alias("words"), "source_doc", F.col("source").alias("source_start"), "path")
 
     def kept(self, texts: bool = False) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256, n_spans (and kept_text) of every document."""
+        """doc_id, n_words, n_removed, kept_sha256, n_spans (stretches of a path) and kept_text of every document."""
         fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64())]
         schema = pa.schema(fields + [("kept_text", pa.large_string())] * texts)
 
@@ -298,32 +470,29 @@ class Graph:
                     count = np.fromiter(map(len, words), np.int64, len(words))
                     first = np.cumsum(count) - count
                     doc_of = np.repeat(np.arange(len(words)), count)
-                    start, windows, _, _ = Graph._spans(packs, doc_of)
+                    start, n, path, offset = (np.array([p[c] for p in packs or []], np.int64) for c in ("at", "n", "path", "offset"))
                     edge = np.zeros(int(count.sum()) + 1, np.int64)
                     np.add.at(edge, start, 1)
-                    np.add.at(edge, start + windows + WINDOW - 1, -1)
+                    np.add.at(edge, start + n + WINDOW - 1, -1)
                     keep = np.cumsum(edge[:-1]) == 0
-                    paths = np.bincount(doc_of[start], minlength=len(words)) if len(words) else np.empty(0, np.int64)
+                    order = np.argsort(start, kind="stable")
+                    start, n, path, offset = start[order], n[order], path[order], offset[order]
+                    # a span that goes on along its path from the one before is the same stretch
+                    goes_on = (start[1:] == start[:-1] + n[:-1]) & (path[1:] == path[:-1]) & (offset[1:] == offset[:-1] + n[:-1]) & (doc_of[start[1:]] == doc_of[start[:-1]])
+                    fresh = np.concatenate([[True], ~goes_on]) if len(start) else np.empty(0, bool)
+                    stretches = np.bincount(doc_of[start[fresh]], minlength=len(words)) if len(words) else np.empty(0, np.int64)
                     left, kept = [], []
                     for k, w in enumerate(words):
                         mask = keep[first[k] : first[k] + count[k]]
                         left.append(int(mask.sum()))
                         kept.append(b" ".join(w if left[-1] == len(w) else compress(w, mask.tolist())))
-                    columns = [pa.array(keys, mask=null), pa.array(count), pa.array(count - np.array(left, np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(paths, pa.int64())]
+                    columns = [pa.array(keys, mask=null), pa.array(count), pa.array(count - np.array(left, np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(stretches, pa.int64())]
                     if texts:
                         columns.append(pa.array([x.decode() for x in kept], pa.large_string()))
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * texts
-        return self._joined(self.found).mapInArrow(remove, kinds)
-
-
-def verify_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """spans with `equal`: whether the words at both coordinates are the same."""
-    words = docs.select(F.col(id_col).alias("_d"), F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+").alias("_w"))
-    own = spans.join(words, F.col("doc_id") == F.col("_d")).withColumn("_own", F.sha2(F.concat_ws(" ", F.slice("_w", F.col("start").cast("int") + 1, F.col("words").cast("int"))), 256)).drop("_d", "_w")
-    met = own.join(words, F.col("source_doc") == F.col("_d")).withColumn("_source", F.sha2(F.concat_ws(" ", F.slice("_w", F.col("source_start").cast("int") + 1, F.col("words").cast("int"))), 256))
-    return met.withColumn("equal", F.col("_own") == F.col("_source")).drop("_d", "_w", "_own", "_source")
+        return self._joined(self.spans().select("chunk", "at", "n", "path", "offset")).mapInArrow(remove, kinds)
 
 
 def op3_debruijn_dedup(spark, sf_dir):
