@@ -7,8 +7,11 @@ Writing: bytes become the constant 8x8 blocks of a grey image 24 blocks wide. Wi
 coefficient is its sample less 128, so every byte comes back exactly. One restart interval is a row of 24 blocks. Payloads
 longer than a JPEG's largest height go to several images, one after the other.
 
-Null text: empty, stored as 576 bytes of 255. Null or broken media: null dimensions, thumbnail and hash.
-Equal texts give equal media. Repeated rows give repeated rows; an empty table gives an empty table.
+Components may come in one scan or in several; a file whose end marker is missing is read as far as it goes. A long payload or file is
+worked on image by image, so memory grows with it by a small factor only.
+
+Null text: empty, stored as 576 bytes of 255. Null or broken media: null dimensions, thumbnail and hash. A null id stays null, one that is
+no number becomes null. Other columns are not read, whatever their names. Equal texts give equal media. Repeated rows give repeated rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from glossa.llm.common import chunks
 #: Blocks in a row of a stored image, and rows of one at most (a JPEG's height is below 65,536 samples).
 WIDE, TALLEST = 24, 8184
 UNIT = WIDE * WIDE
+#: Bytes of payload, or of scans, that numpy holds at once, about.
+AT_ONCE = 1 << 20
 #: Huffman codes of a stored image: codes of each length 1 to 16, then the symbols in order of their codes.
 DC_COUNTS, DC_SYMBOLS = (0, 2, 2, 1, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (5, 6, 4, 7, 3, 2, 0, 1, 8)
 AC_COUNTS, AC_SYMBOLS = (1,) + (0,) * 15, (0,)
@@ -89,7 +94,22 @@ def pad(text: bytes) -> bytes:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """JPEG files of padded payloads, all at once."""
+    """JPEG files of padded payloads, at most AT_ONCE bytes in numpy at a time: a longer payload is encoded image by image."""
+    out: list[bytes] = []
+    batch: list[bytes] = []
+    for p in payloads:
+        if batch and sum(map(len, batch)) + len(p) > AT_ONCE:
+            out += _encode(batch)
+            batch = []
+        if len(p) > AT_ONCE:
+            step = WIDE * TALLEST
+            out.append(b"".join(_encode([p[k : k + step]])[0] for k in range(0, len(p), step)))
+        else:
+            batch.append(p)
+    return out + _encode(batch)
+
+
+def _encode(payloads: list[bytes]) -> list[bytes]:
     if not payloads:
         return []
     frames: list[tuple[int, int, int]] = []  # payload, first row, rows
@@ -150,9 +170,9 @@ class Frame:
     def __init__(self):
         self.tables: dict[int, tuple] = {}
         self.quant: dict[int, int] = {}
-        self.interval = 0
+        self.interval = self.every = 0
         self.components: list[tuple[int, int, int, int]] = []  # id, across, down, quantizer
-        self.scan: list[tuple[int, int]] = []  # DC and AC table of each component in the scan
+        self.scan: list[tuple[int, tuple, tuple]] = []  # component, DC and AC table of the scan that holds the first component
         self.data = b""
 
 
@@ -164,6 +184,9 @@ def parse(media: bytes) -> list[Frame]:
             raise ValueError("no start of image")
         at, frame = at + 2, Frame()
         while True:
+            if at >= len(media) - 1 and frame.scan:  # a file whose end marker is cut off
+                at = len(media)
+                break
             if at + 2 > len(media) or media[at] != 0xFF:
                 raise ValueError("a marker is missing")
             marker = media[at + 1]
@@ -200,13 +223,17 @@ def parse(media: bytes) -> list[Frame]:
             elif marker == 0xDD:
                 frame.interval = struct.unpack(">H", body)[0]
             elif marker == 0xDA:
-                if body[0] != len(frame.components) or not frame.components:
-                    raise ValueError("components in several scans")
-                frame.scan = [(body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+                if not frame.components or not body[0]:
+                    raise ValueError("a scan of nothing")
+                number = {c[0]: k for k, c in enumerate(frame.components)}
+                scan = [(number[body[1 + 2 * i]], body[2 + 2 * i]) for i in range(body[0])]
                 end = MARKER.search(media, at)
-                if not end:
-                    raise ValueError("no end of image")
-                frame.data, at = media[at : end.start()], end.start()
+                upto = end.start() if end else len(media)
+                if not frame.scan and any(k == 0 for k, _ in scan):
+                    # only the first component's samples are looked at; tables may be defined anew after its scan
+                    frame.scan = [(k, frame.tables[t >> 4], frame.tables[16 + (t & 15)]) for k, t in scan]
+                    frame.data, frame.every = media[at:upto], frame.interval
+                at = upto
         if not frame.scan:
             raise ValueError("no scan")
         out.append(frame)
@@ -217,17 +244,24 @@ def parse(media: bytes) -> list[Frame]:
 
 def _layout(frame: Frame) -> tuple:
     """What frames that are decoded together share: for each block of an MCU its component and tables."""
-    single = len(frame.components) == 1
     blocks = []
-    for k, ((_, across, down, _), (dc, ac)) in enumerate(zip(frame.components, frame.scan)):
-        blocks += [(k, frame.tables[dc], frame.tables[16 + ac])] * (1 if single else across * down)
+    for k, dc, ac in frame.scan:
+        _, across, down, _ = frame.components[k]
+        blocks += [(k, dc, ac)] * (1 if len(frame.scan) == 1 else across * down)
     return tuple(blocks)
 
 
+def _size(frame: Frame) -> tuple[int, int]:
+    """The first component's samples across and down."""
+    _, h, v, _ = frame.components[0]
+    return -(-frame.width * h // max(c[1] for c in frame.components)), -(-frame.height * v // max(c[2] for c in frame.components))
+
+
 def _mcus(frame: Frame) -> tuple[int, int]:
-    """MCUs across and down."""
-    if len(frame.components) == 1:
-        return -(-frame.width // 8), -(-frame.height // 8)
+    """MCUs across and down: single blocks where the scan has one component only."""
+    if len(frame.scan) == 1:
+        wide, tall = _size(frame)
+        return -(-wide // 8), -(-tall // 8)
     most = max(c[1] for c in frame.components), max(c[2] for c in frame.components)
     return -(-frame.width // (8 * most[0])), -(-frame.height // (8 * most[1]))
 
@@ -252,7 +286,7 @@ def _decode_group(frames: list[Frame], layout: tuple) -> list[np.ndarray]:
     for f, upto in zip(frames, lanes_of.tolist()):
         across, down = _mcus(f)
         total, n = across * down, upto - before
-        each = f.interval or total
+        each = f.every or total
         if n != -(-total // each):
             raise ValueError("restart markers are missing")
         c = np.full(n, each, np.int64)
@@ -326,13 +360,11 @@ def _thumbnail(frame: Frame, dc: np.ndarray) -> np.ndarray:
     """The luminance samples, one for each 8x8 block."""
     across, down = _mcus(frame)
     _, h, v, q = frame.components[0]
-    if len(frame.components) == 1:
+    if len(frame.scan) == 1:
         h = v = 1
     grid = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-    most = max(c[1] for c in frame.components), max(c[2] for c in frame.components)
-    wide = -(-frame.width * (h if len(frame.components) > 1 else 1) // (8 * (most[0] if len(frame.components) > 1 else 1)))
-    tall = -(-frame.height * (v if len(frame.components) > 1 else 1) // (8 * (most[1] if len(frame.components) > 1 else 1)))
-    samples = grid[:tall, :wide].astype(np.int32) * frame.quant[q] / 8 + 128
+    wide, tall = _size(frame)
+    samples = grid[: -(-tall // 8), : -(-wide // 8)].astype(np.int32) * frame.quant[q] / 8 + 128
     return np.clip(np.rint(samples), 0, 255).astype(np.uint8)
 
 
@@ -344,6 +376,18 @@ class Image(NamedTuple):
     thumbnail: np.ndarray
 
 
+def _portions(members: list[int], frames: list) -> Iterator[list[int]]:
+    """Members whose scans have AT_ONCE bytes together, about."""
+    part, size = [], 0
+    for i in members:
+        if part and size + len(frames[i][1].data) > AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(frames[i][1].data)
+    yield part
+
+
 def thumbnails(files: list[bytes | None]) -> list[list[Image] | None]:
     """For each file its images; None where it isn't baseline JPEG."""
     frames: list[tuple[int, Frame]] = []
@@ -361,7 +405,7 @@ def thumbnails(files: list[bytes | None]) -> list[list[Image] | None]:
             groups.setdefault(layout, []).append(len(frames))
             frames.append((k, f))
     found: dict[int, np.ndarray] = {}
-    for layout, members in groups.items():
+    for layout, members in ((x, part) for x, every in groups.items() for part in _portions(every, frames)):
         try:
             found |= zip(members, _decode_group([frames[i][1] for i in members], layout))
         except (ValueError, IndexError):
@@ -395,7 +439,7 @@ def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             media = encode([pad(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.large_binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
 def describe_media(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:

@@ -81,6 +81,62 @@ def test_round_trip():
     assert bytes(slow_decode(files[2])) == padded[2]
 
 
+def test_long_payloads_image_by_image():
+    rng = np.random.default_rng(2)
+    payload = jpeg.pad(rng.integers(0, 255, 3_000_000, dtype=np.uint8).tobytes())
+    small = jpeg.pad(b"small")
+    files = jpeg.encode([small, payload, small])
+    images = jpeg.thumbnails(files)
+    assert [b"".join(i.thumbnail.tobytes() for i in x) for x in images] == [small, payload, small] and len(images[1]) == 16
+
+
+def peak_mb(size: int) -> float:
+    """Of storing a text of so many bytes and reading it back, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, numpy as np
+from glossa.llm import jpeg
+p = jpeg.pad((b"some words of a text, " * ({size} // 22)))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+file = jpeg.encode([p])[0]
+images = jpeg.thumbnails([file])[0]
+assert b"".join(i.thumbnail.tobytes() for i in images) == p
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    return float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+
+
+def test_memory_of_long_texts():
+    assert peak_mb(30_000_000) < 700
+
+
+def test_components_in_several_scans_and_no_end():
+    """Luminance in a scan of its own, after one of the colours, with other tables in between; the end marker is cut off."""
+    values = np.array([[60, 200], [90, 128]])
+    dc, ac = jpeg.huffman_codes(jpeg.DC_COUNTS, jpeg.DC_SYMBOLS), jpeg.huffman_codes(jpeg.AC_COUNTS, jpeg.AC_SYMBOLS)[0]
+
+    def scan(samples):
+        bits, last = "", 0
+        for v in samples:
+            d, last = v - last, v
+            n = abs(d).bit_length()
+            bits += f"{dc[n][0]:0{dc[n][1]}b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "") + f"{ac[0]:0{ac[1]}b}"
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    seg = jpeg._segment
+    tables = seg(0xC4, bytes([0x00, *jpeg.DC_COUNTS, *jpeg.DC_SYMBOLS])) + seg(0xC4, bytes([0x10, *jpeg.AC_COUNTS, *jpeg.AC_SYMBOLS]))
+    head = b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([8] * 64)) + seg(0xC0, bytes([8, 0, 16, 0, 16, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + tables
+    one = lambda c: seg(0xDA, bytes([1, c, 0, 0, 63, 0]))
+    other = seg(0xC4, bytes([0x00, 0, 1, *[0] * 14, 3]))
+    file = head + one(2) + scan([3]) + one(1) + scan((values - 128).ravel().tolist()) + other + one(3) + scan([0])
+    for media in (file + b"\xff\xd9", file, file + b"\xff"):
+        (image,) = jpeg.thumbnails([media])[0]
+        assert (image.width, image.height) == (16, 16) and (image.thumbnail == values).all()
+
+
 def colour_jpeg() -> tuple[bytes, np.ndarray]:
     """A 32x32 image with 2x2 subsampled colours and AC coefficients, and its luminance DC values."""
     values = np.arange(16).reshape(4, 4) * 10 + 50
@@ -121,7 +177,7 @@ def test_colour_images_with_ac_coefficients():
     assert (image.width, image.height) == (32, 32) and (image.thumbnail == values).all()
 
 
-@pytest.mark.parametrize("bad", [None, b"", b"xx", b"\xff\xd8\xff\xd9", jpeg.encode([jpeg.pad(b"abc")])[0][:200], b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00"])
+@pytest.mark.parametrize("bad", [None, b"", b"xx", b"\xff\xd8\xff\xd9", jpeg.encode([jpeg.pad(b"abc")])[0][:120], b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00"])
 def test_broken_media(bad):
     good = jpeg.encode([jpeg.pad(b"abc")])[0]
     found = jpeg.thumbnails([good, bad, good])
