@@ -22,6 +22,22 @@ def test_automaton_matches_globs():
         assert [bool(x) for x in row] == [bool(re.fullmatch(fnmatch.translate(g), t)) for g in globs], t
 
 
+def test_long_urls(spark):
+    """A text is judged alike alone and with others, and a megabyte takes less than a second."""
+    import time
+
+    machine = url_filter.ShiftAnd([b"*ab" * 30 + b"*", b"*abc*", b"x" * 70 + b"*", b"*z"])
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcxz") for _ in range(rng.randrange(200))).encode() for _ in range(50)] + [b"x" * 80, b"ab" * 40]
+    assert [machine._alone(t) for t in texts] == [list(map(bool, r)) for r in machine._together(texts)]
+    began = time.time()
+    url = "http://a.net/es/" + "p" * 1_000_000
+    assert url_filter.ShiftAnd([b"*.net\xff/es/*"]).run([b".a.net\xff" + url[12:].encode(), b".a.net\xff/"])[:, 0].tolist() == [True, False]
+    assert time.time() - began < 2
+    rows = url_filter.judge_urls(spark.createDataFrame([(1, url), (None, "http://b.net/fr/x")], "page_id long, url string"), url_filter.RULES).collect()
+    assert sorted((r["page_id"] or 0, r["rule"], r["verdict"]) for r in rows) == [(0, "net/fr/", "block"), (1, "net/es/", "block")]
+
+
 def judge_brute(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
