@@ -2,27 +2,33 @@
 
 Rows lie in old shards. Old shard sizes (supplies) and new capacities meet in a transport network whose edges cost one per
 byte that changes its shard; successive shortest paths solve it. The network has one node for each shard, so it is solved on the driver.
-Within an old shard rows are laid out in blocks, large rows first: (old shard, size class, hash). A block's bytes
-are summed in Spark; at most OLD x 64 x SUBS block rows reach the driver. The flow cuts the line of
+Within an old shard rows are laid out in blocks, large rows first: (old shard, size class, hash), as many of a class as it
+takes to hold BLOCK_ROWS rows each, about. A block's bytes are summed in Spark; the driver sees one row for each block. The flow cuts the line of
 blocks into stretches, one for each receiving shard: whole blocks move, and the few blocks that a cut crosses are split
-by row. Small rows lie last, so that the cuts that move rows fall between small rows and shard sizes come out near equal.
+by row. The smallest rows are a second line, cut in the same proportions. Cuts miss by half a row each; what a shard has too much then goes on to
+those that have too little, from its smallest rows, row by row, so that shard sizes come out equal to within a few small rows.
 
-Nulls: a null text has size 1, a null id or old shard hashes like any other value. Rows with equal keys are
-interchangeable and each gets its own slot. An empty table gives an empty table. Other columns are carried along
-whatever their names, as one struct until the end; those named like ADDED are replaced.
+Nulls: a null text has size 1, a null id or old shard hashes like any other value; rows without an id are spread by their texts. Rows with
+equal keys are interchangeable and each gets its own slot. Very long texts are rows like others. An empty table gives an empty table. Other columns
+are carried along whatever their names, as one struct until the end; those named like ADDED are replaced.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch, restored, utf8_size, whole
 
-#: Hash blocks in each old shard and size class. Bounds the rows that the driver sees.
-SUBS = 64
+#: Rows in a block of an old shard and size class, about. A task sorts one block.
+BLOCK_ROWS = 1 << 20
+#: The share of an old shard's bytes that its smallest rows make up which go to all receivers.
+RESERVE = 0.1
+#: Blocks of one old shard and class at most: what the driver sees is bounded; blocks of more than 2^36 rows in one class get larger.
+BLOCK_LIMIT = 1 << 16
 #: Columns that a plan adds, or a caller may: those of the input by these names are replaced.
 ADDED = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"}
 
@@ -105,15 +111,26 @@ class Reshard:
             carried.alias("_rs_in"), size.alias("size"), crc.alias("text_crc32"),
             F.coalesce(old.cast("int"), F.lit(0)).alias("_rs_old"), (F.lit(63) - F.floor(F.log2(size.cast("double"))).cast("int")).alias("_rs_class"),
             F.xxhash64(F.col(id_col), crc, size).alias("_rs_h"),
-        ).withColumn("_rs_sub", F.pmod(F.shiftrightunsigned("_rs_h", 7), F.lit(SUBS)).cast("int"))
-        self.rows = rows if keep else self.scratch.table(rows, "rows")
+        )
+        rows = rows if keep else self.scratch.table(rows, "rows")
+        classes = [{"o": r["_rs_old"], "c": r["_rs_class"], "n": min(BLOCK_LIMIT, -(-r["count"] // BLOCK_ROWS))} for r in rows.groupBy("_rs_old", "_rs_class").count().collect()]
+        subs = F.coalesce(F.element_at(F.map_from_entries(F.transform(_literal(classes, "array<struct<o:int,c:int,n:int>>"), lambda x: F.struct(x.o * 64 + x.c, x.n))), F.col("_rs_old") * 64 + F.col("_rs_class")), F.lit(1))
+        self.rows = rows.withColumn("_rs_sub", F.pmod(F.shiftrightunsigned("_rs_h", 7), subs).cast("int"))
         found = self.rows.groupBy(*self.BLOCK).agg(F.sum("size").alias("bytes")).collect()
         blocks = sorted((tuple(r)[:3], r["bytes"]) for r in found)
         supply = [0] * old_shards
-        self.starts = []
-        for (i, c, s), n in blocks:
-            self.starts.append({"o": i, "c": c, "s": s, "at": supply[i]})
+        for (i, _, _), n in blocks:
             supply[i] += n
+        # the smallest rows of each old shard, a RESERVE of its bytes at least, are a line of their own: every receiver gets some
+        self.small, held = [64] * old_shards, [0] * old_shards
+        for (i, c, _), n in reversed(blocks):
+            if held[i] < RESERVE * supply[i] or c == self.small[i]:
+                self.small[i], held[i] = c, held[i] + n
+        self.lines, self.starts = [[0, 0] for _ in range(old_shards)], []
+        for (i, c, s), n in blocks:
+            line = int(c >= self.small[i])
+            self.starts.append({"o": i, "c": c, "s": s, "line": line, "at": self.lines[i][line]})
+            self.lines[i][line] += n
         self.capacities = equal_capacities(sum(supply), shards) if capacities is None else capacities
         if sum(self.capacities) < sum(supply):
             raise ValueError("the new capacities hold less than the rows")
@@ -138,19 +155,17 @@ class Reshard:
         cuts, targets = [], []
         for i, row in enumerate(self.flow):
             order = [j for j in [i, *(j for j in range(self.shards) if j != i)] if j < self.shards and row[j]] or [i % self.shards]
-            at, ends = 0, []
-            for j in order[:-1]:
-                at += row[j]
-                ends.append(at)
-            cuts.append(ends)
+            ends = list(accumulate(row[j] for j in order))
+            cuts += [[end * line // max(sum(row), 1) for end in ends[:-1]] for line in self.lines[i]]
             targets.append(order)
-        starts = self.spark.range(1).select(F.explode(_literal(self.starts, "array<struct<o:int,c:int,s:int,at:bigint>>")).alias("b")).select("b.*")
+        starts = self.spark.range(1).select(F.explode(_literal(self.starts, "array<struct<o:int,c:int,s:int,line:int,at:bigint>>")).alias("b")).select("b.*")
         block = Window.partitionBy(*self.BLOCK).orderBy("_rs_h", "text_crc32", "size")
         before = F.sum("size").over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
         rows = self.rows.withColumn("_rs_at", before).join(F.broadcast(starts), (F.col("_rs_old") == F.col("o")) & (F.col("_rs_class") == F.col("c")) & (F.col("_rs_sub") == F.col("s")))
         middle = F.col("_rs_at") + F.col("at") + F.floor(F.col("size") / 2)
-        which = F.size(F.filter(F.element_at(_literal(cuts, "array<array<bigint>>"), F.col("_rs_old") + 1), lambda x: x <= middle))
-        rows = rows.withColumn("shard", F.element_at(F.element_at(_literal(targets, "array<array<int>>"), F.col("_rs_old") + 1), which + 1)).drop("o", "c", "s", "at")
+        which = F.size(F.filter(F.element_at(_literal(cuts, "array<array<bigint>>"), 2 * F.col("_rs_old") + F.col("line") + 1), lambda x: x <= middle))
+        rows = rows.withColumn("_rs_to", F.element_at(F.element_at(_literal(targets, "array<array<int>>"), F.col("_rs_old") + 1), which + 1)).drop("o", "c", "s", "line", "at")
+        rows = self._settled(rows)
         rank = F.row_number().over(Window.partitionBy(*self.BLOCK, "shard").orderBy("_rs_at", "_rs_h", "text_crc32", "size"))
         rows = self.scratch.table(rows.withColumn("_rs_rank", rank), "assigned")
         counted = sorted(tuple(r) for r in rows.groupBy("shard", *self.BLOCK).count().collect())
@@ -158,9 +173,48 @@ class Reshard:
         for j, i, c, s, n in counted:
             offsets.append({"j": j, "o": i, "c": c, "s": s, "off": at[j]})
             at[j] += n
-        offsets = self.spark.range(1).select(F.explode(_literal(offsets, "array<struct<j:int,o:int,c:int,s:int,off:bigint>>")).alias("b")).select("b.*")
-        met = (F.col("shard") == F.col("j")) & (F.col("_rs_old") == F.col("o")) & (F.col("_rs_class") == F.col("c")) & (F.col("_rs_sub") == F.col("s"))
-        return rows.join(F.broadcast(offsets), met).withColumn("slot", F.col("off") + F.col("_rs_rank") - 1)
+        return self._met(rows, offsets, "shard", "off").withColumn("slot", F.col("off") + F.col("_rs_rank") - 1)
+
+    def _met(self, rows: DataFrame, table: list[dict], shard: str, *values: str) -> DataFrame:
+        """rows with values of a table by shard (j) and block (o, c, s)."""
+        kind = ",".join(["j:int", "o:int", "c:int", "s:int", *(f"{v}:bigint" for v in values)])
+        told = self.spark.range(1).select(F.explode(_literal(table, f"array<struct<{kind}>>")).alias("b")).select("b.*")
+        met = (F.col(shard) == F.col("j")) & (F.col("_rs_old") == F.col("o")) & (F.col("_rs_class") == F.col("c")) & (F.col("_rs_sub") == F.col("s"))
+        return rows.join(F.broadcast(told), met, "left").drop("j", "o", "c", "s")
+
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        """rows with shard: where they were to go (_rs_to), but what a shard has too much goes to those that have too little.
+
+        A shard's part of a block is one stretch of the block, so a row's place in it is known from where the stretch begins.
+        """
+        found = rows.groupBy("_rs_to", *self.BLOCK).agg(F.sum("size").alias("bytes"), F.min("_rs_at").alias("first")).collect()
+        spare = sum(self.capacities) - sum(r["bytes"] for r in found)
+        total = [0] * self.shards
+        for r in found:
+            total[r["_rs_to"]] += r["bytes"]
+        # where capacities leave room, nothing is moved on but what is above them
+        over = [max(0, t - c) for t, c in zip(total, self.capacities)]
+        moves, at = [], 0
+        for r in sorted(found, key=lambda r: (r["_rs_to"], -r["_rs_class"], r["_rs_old"], r["_rs_sub"])):
+            take = min(over[r["_rs_to"]], r["bytes"])
+            if take > 0:
+                moves.append({"j": r["_rs_to"], "o": r["_rs_old"], "c": r["_rs_class"], "s": r["_rs_sub"], "first": r["first"], "take": take, "pool": at})
+                over[r["_rs_to"]] -= take
+                at += take
+        if not moves:
+            return rows.withColumnRenamed("_rs_to", "shard")
+        ends, into, upto = [], [], 0
+        for j, (t, c) in enumerate(zip(total, self.capacities)):
+            if t < c and (spare == 0 or upto < at):
+                upto += c - t
+                ends.append(upto)
+                into.append(j)
+        place = F.col("_rs_at") - F.col("first") + F.floor(F.col("size") / 2)
+        where = F.least(F.size(F.filter(_literal(ends, "array<bigint>"), lambda x: x <= F.col("pool") + place)), F.lit(len(into) - 1))
+        # a row that is larger than what is left of the excess stays
+        on = F.coalesce(F.col("_rs_at") - F.col("first") + F.col("size") <= F.col("take"), F.lit(False))
+        rows = self._met(rows, moves, "_rs_to", "first", "take", "pool")
+        return rows.withColumn("shard", F.when(on, F.element_at(_literal(into, "array<int>"), where + 1)).otherwise(F.col("_rs_to"))).drop("_rs_to", "first", "take", "pool")
 
 
 def rewrite_shards(spark, path: str, out: str, shards: int, old_shards: int, id_col: str = "doc_id", text_col: str = "text") -> dict[int, str]:
