@@ -2,20 +2,21 @@
 
 Among all non-negative document rates with the wanted words per source, entropy balancing takes those nearest to one
 (least relative entropy). Its convex dual has one multiplier for each source's token constraint, and the rates are
-exponentially tilted: rate = min(CAP, exp(lambda_source * size / mean size)). Newton steps on the dual, each a distributed
-sum over the (source, size) histogram, find the multipliers; a bracket catches steps that leave it.
+exponentially tilted: rate = min(CAP, exp(lambda_source * size / mean size)). The dual separates by source: Newton steps over each source's
+histogram of sizes find its multiplier, all sources at once on the executors; a bracket catches steps that leave it, and they go on
+until a step changes nothing.
 Rates then become copies: within blocks of a source, from large to small documents, each document takes the whole number
 of copies nearest to its rate's words plus what the earlier ones left over, so a source's words come out near its
 target to within a few small documents.
 
-Sources are ordered by code point, null last. There is one driver row for each source, MAX_SOURCES at most, beyond which it
-raises an error. A null text has size 0 and takes no words. Repeated rows count and are
-mixed each for itself; reruns agree. An empty table gives an empty table. Other columns may be carried along.
+Sources are ordered by code point, null last, by a distributed sort; there may be any number of them. A task holds one source's distinct
+sizes, or one block of documents. A null text has size 0 and takes no words; very long texts count like others. Rows of equal id and text
+are interchangeable, each is counted and mixed for itself; reruns agree. Rows without an id are spread by their texts. An empty table gives
+an empty table. Other columns may be carried along, whatever their names; only those named like MIXED are replaced.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, restored, whole
 
 CAP = 3.0
-MAX_SOURCES = 100_000
-MAX_STEPS = 60
+#: Sources up to which their table is broadcast to the rows; more are joined by a shuffle.
+FEW_SOURCES = 100_000
 #: Documents in a block of the rounding, about.
 BLOCK_DOCS = 4096
+#: The multiplier of a source whose documents are all taken as often as they may be.
+ALL = 1e9
 #: What the mix adds to a row.
 MIXED = ["size", "source_size", "target", "rate", "copies", "taken"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,65 +42,69 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets_of(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
-    """Each source's words: by weight, at most cap times its size, the excess shared anew until none is above."""
-    total, out, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    while free:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in free)
-        share = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / share > cap * sizes[i]}
-        for i in over or free:
-            out[i] = cap * sizes[i] if over else left * weights[i] / share
-        free -= over or set(free)
-    return out
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources (source, ...) with rank, from 0, by code point, null last: a range partitioning numbers its parts one after the other."""
+    order = [F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "UTF-8")]
+    parts = sources.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = scratch.table(parts.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "parts")
+    counts = sorted(tuple(r) for r in parts.groupBy("part").count().collect())  # one row for each partition
+    before = sources.sparkSession.createDataFrame([(k, sum(n for j, n in counts if j < k)) for k, _ in counts], "part int, before long")
+    return parts.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
+def with_targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
+    """sources (size, weight) with target: words by weight, at most cap times the size, the excess shared anew until none is above."""
+    free, last = F.lit(True), -1
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    while True:
+        row = sources.agg(F.sum(F.when(~free, cap * F.col("size"))).alias("full"), F.sum(F.when(free, F.col("weight"))).alias("share"), F.count_if(free).alias("n")).first()
+        left, share = float(total) - (row["full"] or 0.0), float(row["share"] or 0)
+        if row["n"] in (last, 0):
+            break
+        # shares only grow, so what was full once stays full
+        last, free = row["n"], left * F.col("weight") / share <= cap * F.col("size")
+    return sources.withColumn("target", F.when(free, left * F.col("weight") / share).otherwise(cap * F.col("size")) if share else cap * F.col("size"))
+
+
+def multiplier(size: np.ndarray, n: np.ndarray, target: float, cap: float = CAP) -> float:
+    """The dual's solution for one source: n documents of each size."""
+    total, docs = float((size * n).sum()), float(n.sum())
+    if total == 0 or target >= cap * total:
+        return ALL
+    x = size / (max(total, 1.0) / max(docs, 1.0))
+    lam, low, high = math.log(max(target / total, 1e-12)), -math.inf, math.inf
+    while True:
+        rate = np.minimum(cap, np.exp(np.minimum(2.0, lam * x)))
+        words = n * size * rate
+        miss, slope = words.sum() - target, (words * x)[rate < cap].sum()
+        if abs(miss) <= max(1e-6, 1e-9 * target):
+            return lam
+        if miss < 0:
+            low = lam
+        else:
+            high = lam
+        step = lam - miss / slope if slope > 0 else math.inf
+        if not low < step < high:
+            if math.isinf(low):
+                step = high - 2 * max(1.0, abs(high))
+            elif math.isinf(high):
+                step = low + 2 * max(1.0, abs(low))
+            else:
+                step = (low + high) / 2
+        if step == lam or step in (low, high):
+            return lam
+        lam = step
 
 
-def _constant(value, kind: str) -> F.Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def multipliers(histogram: DataFrame) -> DataFrame:
+    """source, lam of every source. histogram: source, size, n, target."""
 
+    def solved(group: pa.Table) -> pa.Table:
+        size, n = (np.asarray(group[c].combine_chunks()).astype(np.float64) for c in ("size", "n"))
+        order = np.argsort(size, kind="stable")
+        return pa.table({"source": group["source"].slice(0, 1), "lam": pa.array([multiplier(size[order], n[order], group["target"][0].as_py())])})
 
-def solve(histogram: DataFrame, totals: list[dict]) -> list[float]:
-    """The multipliers. histogram: sid (from 1), size, n. totals: by sid, size, docs, target."""
-    n = len(totals)
-    lam, low, high = [0.0] * n, [-math.inf] * n, [math.inf] * n
-    mean = [max(t["size"], 1) / max(t["docs"], 1) for t in totals]
-    open_ = []
-    for k, t in enumerate(totals):
-        if t["size"] == 0 or t["target"] >= CAP * t["size"]:
-            lam[k] = 1e9  # all at the cap
-        else:
-            lam[k] = math.log(max(t["target"] / t["size"], 1e-12))
-            open_.append(k)
-    x = F.col("size") / F.element_at(_constant(mean, "array<double>"), F.col("sid"))
-    for _ in range(MAX_STEPS):
-        if not open_:
-            break
-        rate = F.least(F.lit(CAP), F.exp(F.least(F.lit(2.0), F.element_at(_constant(lam, "array<double>"), F.col("sid")) * x)))
-        words = F.col("n") * F.col("size") * rate
-        sums = {r["sid"] - 1: r for r in histogram.filter(F.col("sid").isin([k + 1 for k in open_]) if n <= 1000 else F.lit(True)).groupBy("sid").agg(F.sum(words).alias("f"), F.sum(F.when(rate < CAP, words * x).otherwise(0.0)).alias("d")).collect()}
-        still = []
-        for k in open_:
-            f, d, want = sums[k]["f"], sums[k]["d"], totals[k]["target"]
-            if abs(f - want) <= max(1e-6, 1e-9 * want):
-                continue
-            if f < want:
-                low[k] = lam[k]
-            else:
-                high[k] = lam[k]
-            step = lam[k] - (f - want) / d if d > 0 else math.inf
-            if not low[k] < step < high[k]:
-                if math.isinf(low[k]):
-                    step = high[k] - 2 * max(1.0, abs(high[k]))
-                elif math.isinf(high[k]):
-                    step = low[k] + 2 * max(1.0, abs(low[k]))
-                else:
-                    step = (low[k] + high[k]) / 2
-            if step == lam[k] or high[k] - low[k] < 1e-14 * max(1.0, abs(lam[k])):
-                continue
-            lam[k] = step
-            still.append(k)
-        open_ = still
-    return lam
+    return histogram.groupBy("source").applyInArrow(solved, "source string, lam double")
 
 
 def round_block(sizes: np.ndarray, rates: np.ndarray) -> list[int]:
@@ -125,30 +132,21 @@ def round_block(sizes: np.ndarray, rates: np.ndarray) -> list[int]:
 
 def _rounded(docs: DataFrame, weights, id_col: str, text_col: str, source_col: str, kept: F.Column) -> DataFrame:
     """_mx_in (kept) and MIXED of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     # by id and text, so that rows without an id don't share a block
     rows = docs.select(kept.alias("_mx_in"), word_count(text_col).alias("size"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("h"))
     rows = scratch.table(rows, "rows")
-    histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    histogram = scratch.table(histogram, "histogram")
-    found = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = [r.asDict() for r in sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))]
-    for t, target in zip(totals, targets_of([t["size"] for t in totals], [weights(k) for k in range(len(totals))])):
-        t["target"] = target
-    table = [{"sid": k + 1, "src": t["source"], "source_size": t["size"], "target": t["target"], "blocks": -(-t["docs"] // BLOCK_DOCS), "mean": max(t["size"], 1) / max(t["docs"], 1)} for k, t in enumerate(totals)]
-    kind = "array<struct<sid:int,src:string,source_size:bigint,target:double,blocks:bigint,mean:double,lam:double>>"
-
-    def sources(value: list[dict]) -> DataFrame:
-        return F.broadcast(spark.range(1).select(F.explode(_constant(value, kind)).alias("s")).select("s.*"))
-
-    same = F.col("source").eqNullSafe(F.col("src"))
-    numbered = scratch.table(histogram.join(sources(table), same).select("sid", "size", "n"), "numbered")
-    for t, lam in zip(table, solve(numbered, totals)):
-        t["lam"] = lam
-    rows = rows.join(sources(table), same)
+    histogram = scratch.table(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
+    found = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    ranked = _ranked(found, scratch).withColumn("weight", F.lit(weights(F.col("rank"))).cast("double"))
+    table = scratch.table(with_targets(scratch.table(ranked.withColumn("size", F.col("source_size")), "ranked")).drop("size"), "targets")
+    key = [F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("none")]
+    keyed = lambda df: df.select("*", *key)
+    lam = multipliers(keyed(histogram).join(keyed(table).select("k", "none", "target"), ["k", "none"]).select("source", "size", "n", "target"))
+    table = keyed(table).join(keyed(lam).select("k", "none", "lam"), ["k", "none"])
+    mean = F.greatest("source_size", F.lit(1)) / F.greatest("docs", F.lit(1))
+    table = scratch.table(table.select("k", "none", F.col("rank").alias("sid"), "source_size", "target", "lam", mean.alias("mean"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks")), "sources")
+    rows = keyed(rows).join(F.broadcast(table) if table.count() <= FEW_SOURCES else table, ["k", "none"])
     x = F.col("size") / F.col("mean")
     rows = rows.withColumn("rate", F.least(F.lit(CAP), F.exp(F.least(F.lit(2.0), F.col("lam") * x)))).withColumn("block", F.pmod("h", "blocks"))
     rows = rows.select("_mx_in", "size", "source_size", "target", "rate", "h", "sid", "block")
