@@ -10,22 +10,24 @@ The benchmark is the stated query set: it goes to the executors in blocks of BLO
 all documents. Words are runs of non-blanks, compared in lower case without the punctuation around them. Items shorter than SPAN
 have masks of their own, which leave out as many parts of the item as words may differ; items of fewer than LEAST words never count as evidence.
 
-Nulls: a null text has no words; a null id is returned as null. Repeated rows give repeated results, repeated items one
-each. Empty tables: no pairs, nothing removed.
+Nulls: a null text has no words; a null id, or one that is no number, is returned as null. Repeated rows give repeated results; items of the
+same words are one class, so copies of an item don't multiply the pairs. Ties between overlaps go to the earlier one. Very long texts are
+searched whole. Empty tables: no pairs, nothing removed. Other columns are not read, or carried along whole, whatever their names. Words
+are compared by 64 hash bits each; an accident would have to hit a tenth of an overlap's words.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import WordHashes, chunks, mix
+from glossa.llm.common import Scratch, WordHashes, chunks, mix, restored, row_key, whole
 
 #: Positions that count: "1". At least one fits every stretch of 12 words or more of which 0.8 are equal (the tests enumerate that). Fixed values.
 MASKS = ["11101111", "11010010111", "111110011", "1111111", "1110101011", "110011111", "111101101", "1111110001"]
@@ -157,57 +159,95 @@ def _matches(index: Index, texts: list[bytes], hashes: PlainWords) -> list[dict[
     return out
 
 
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, class_id, n_items: items of the same words are one class, named by its least id (null if all ids are)."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " ")), " ")
+    rows = benchmark.select(F.col(id_col).try_cast("long").alias("item_id"), F.sha2(F.array_join(words, " "), 256).alias("w"))
+    by = rows.groupBy("w").agg(F.min("item_id").alias("class_id"), F.count("*").alias("n_items"))
+    return rows.join(by, "w").select("item_id", "class_id", "n_items")
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """The benchmark's ids and words, in bounded blocks."""
+    """The classes of the benchmark with their words, in bounded blocks: (least id, number of items) of each."""
     hashes, ids, words, total = PlainWords(), [], [], 0
-    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct().toLocalIterator():
-        own = hashes.array((row["t"] or "").encode().lower().split())
+    items = benchmark.select(F.col(id_col).try_cast("long").alias("i"), F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " ").alias("t"))
+    classes = items.groupBy(F.trim("t").alias("t")).agg(F.min("i").alias("i"), F.count("*").alias("n"))
+    for row in classes.toLocalIterator():
+        own = hashes.array(row["t"].encode().lower().split())
         if words and total + len(own) > BLOCK_WORDS:
             yield ids, words
             ids, words, total = [], [], 0
-        ids.append(row["i"])
+        ids.append((row["i"], row["n"]))
         words.append(own)
         total += len(own)
     if words:
         yield ids, words
 
 
-PAIRS = "doc_id long, item_id long, doc_word long, overlap_words int, equal_words int, similarity double"
+PAIRS = "doc_id long, item_id long, n_items long, doc_word long, overlap_words int, equal_words int, similarity double"
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """PAIRS: every document and item that share an overlap, with the best one."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], PAIRS)
-    for ids, words in _blocks(benchmark, item_col, item_text):
-        sent = spark.sparkContext.broadcast((ids, words))
+def _found(rows: DataFrame, sent, key: str, kind: str) -> DataFrame:
+    """key and what PAIRS has beside the document, for every row (key, text) and class of one block that share an overlap."""
+    names = [key, *(c.split()[0] for c in PAIRS.split(", ")[1:])]
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, hashes = Index(*sent.value), PlainWords()
-            for batch, texts in chunks(batches, "text"):
-                keys = batch.column(0).to_pylist()
-                found = [(keys[k], index.ids[i], s, n, e, e / n) for k, own in enumerate(_matches(index, texts, hashes)) for i, (s, n, e) in own.items()]
-                if found:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "doc_word", "overlap_words", "equal_words", "similarity"])
-
-        out = out.union(rows.mapInArrow(search, PAIRS))
-    return out
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, hashes = Index(*sent.value), PlainWords()
+        for batch, texts in chunks(batches, "text"):
+            keys = batch.column(0).to_pylist()
+            found = [(keys[k], *index.ids[i], s, n, e, e / n) for k, own in enumerate(_matches(index, texts, hashes)) for i, (s, n, e) in own.items()]
+            if found:
+                types = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
+    return rows.mapInArrow(search, f"{key} {kind}, {PAIRS.split(', ', 1)[1]}")
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, whole, that share no overlap with any item."""
-    for ids, words in _blocks(benchmark, item_col, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, words))
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """PAIRS: every document and class of items that share an overlap, with the best one. item_id is the class (see item_classes).
+
+    Each block of the benchmark is a pass whose pairs are written before its broadcast is given up.
+    """
+    spark, out = docs.sparkSession, None
+    scratch = Scratch(spark)
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text)):
+        sent = spark.sparkContext.broadcast(block)
+        found = scratch.table(_found(rows, sent, "doc_id", "long"), f"pairs_{k}")
+        sent.destroy()
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], PAIRS) if out is None else out
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, whole and unchanged, that share no overlap with any item.
+
+    A benchmark of one block is looked up as the rows pass; of several, each block's hits are written by a hash of id and text, and the
+    rows that are hit go by one join.
+    """
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, item_col, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        sent = spark.sparkContext.broadcast(first)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, hashes = Index(*sent.value), PlainWords()
             for batch, texts in chunks(batches, text_col):
                 yield batch.filter(pa.array([not own for own in _matches(index, texts, hashes)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        return docs.mapInArrow(clean, docs.schema)
+    scratch, hit = Scratch(spark), None
+    rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    for k, block in enumerate(chain((first, second), blocks)):
+        sent = spark.sparkContext.broadcast(block)
+        found = scratch.table(_found(rows, sent, "row", "string").select("row").distinct(), f"hit_{k}")
+        sent.destroy()
+        hit = found if hit is None else hit.union(found)
+    left = docs.select(whole(docs).alias("_dc_in"), row_key(id_col, text_col).alias("_dc_row")).join(hit.select(F.col("row").alias("_dc_row")), "_dc_row", "left_anti")
+    return left.select(*restored("_dc_in", docs.columns))
 
 
 def op8_spaced_seed_decontamination(spark, sf_dir):

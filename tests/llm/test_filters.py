@@ -70,35 +70,82 @@ def items():
     return [(i, " ".join(f"b{rng.randrange(3000)}" for _ in range(rng.randrange(15, 60)))) for i in range(12)] + [(50, None), (51, ""), (52, "the of"), (53, "five short words are here"), (3, "b1 b2 b3 b4 b5 b6 b7")]
 
 
-def test_planted_passages(spark, docs, items, nothing):
+def plain_words(text):
+    strip = decontaminate.PUNCTUATION
+    return [w.decode("utf-8", "replace").lower().strip(strip).encode() or w for w in (text or "").encode().lower().split()]
+
+
+def best_overlap(words, own):
+    """Over all alignments: the whole overlap if it agrees enough, else its best stretch; the most equal words, then the earliest."""
+    best = None
+    need = min(decontaminate.MIN_WORDS, len(own))
+    for diagonal in range(-len(own), len(words)):
+        a, b = max(0, -diagonal), min(len(own), len(words) - diagonal)
+        same = [words[k + diagonal] == own[k] for k in range(a, b)]
+        if len(same) < need:
+            continue
+        gain = lambda x, y: 5 * sum(same[x:y]) - 4 * (y - x)  # noqa: B023, E731
+        if gain(0, len(same)) >= 0:
+            found = (0, len(same))
+        else:
+            g, y, x = max((gain(x, y), -y, -x) for x in range(len(same)) for y in range(x + need, len(same) + 1))
+            if g < 0:
+                continue
+            found = (-x, -y)
+        got = (a + diagonal + found[0], found[1] - found[0], sum(same[found[0] : found[1]]))
+        if best is None or (got[2], -got[0]) > (best[2], -best[0]):
+            best = got
+    return best
+
+
+def pairs_brute(docs, items):
+    classes = {}
+    for i, t in items:
+        classes.setdefault(" ".join((t or "").lower().split()), []).append(i)
+    out = []
+    for d, text in docs:
+        words = plain_words(text)
+        for t, ids in classes.items():
+            own = plain_words(t)
+            if len(own) >= decontaminate.LEAST and (found := best_overlap(words, own)):
+                out.append((d, min((i for i in ids if i is not None), default=None), len(ids), *found, found[2] / found[1]))
+    return sorted(out, key=repr)
+
+
+def test_pairs_match_brute_force(spark, items, nothing):
+    """The whole query against all alignments of all documents and items."""
     rng = random.Random(1)
-    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    rows, want = [], set()
-    for k, (i, t) in enumerate(items[:12]):
-        w = t.split()
-        changed = [("zz" if rng.random() < 0.12 else x) for x in w]
-        ok = sum(a == b for a, b in zip(w, changed)) / len(w) >= 0.8
-        for j, words in enumerate([w, [x.upper() + "," for x in w], changed]):
-            rows.append((1000 + 10 * k + j, " ".join(f"f{rng.randrange(900)}" for _ in range(30)) + "\n" + " ".join(words) + " " + " ".join(f"f{rng.randrange(900)}" for _ in range(30))))
-            if j < 2 or ok:
-                want.add((1000 + 10 * k + j, i))
-    planted = spark.createDataFrame(rows + [(2000, "so five short words are here now"), (2001, "the of")], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(planted, bench).collect()}
-    assert want <= got and got - want <= {(2000, 53)} | {(d, i) for d, i in got if (d - 1000) // 10 == i}
-    assert (2000, 53) in got and not any(d == 2001 for d, _ in got)
-    assert decontaminate.contaminated_pairs(docs, bench).count() == 0
-    clean = decontaminate.without_benchmark(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == docs.count()
-    left = {r["doc_id"] for r in decontaminate.without_benchmark(planted, bench).collect()}
-    assert not left & {d for d, _ in want} and 2001 in left
-    assert decontaminate.contaminated_pairs(nothing, bench).count() == 0 and decontaminate.without_benchmark(docs, bench.limit(0)).count() == docs.count()
+    word = lambda: f"w{rng.randrange(300)}"
+    bench = [*items, (60, items[0][1]), (61, items[0][1].upper()), (None, items[1][1]), (None, "only without any id here at all")]
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(60)))) for k in range(30)] + [(None, None), (31, ""), (32, "a " * 3000)]
+    for k in range(90):
+        i, t = rng.choice(items)
+        own = (t or "").split()
+        x = rng.randrange(max(1, len(own) - 12)) if k % 3 == 0 else 0
+        part = own[x : x + rng.randrange(10, 30)] if k % 3 == 0 else own
+        part = [w if rng.random() > (0.25 if k % 2 else 0.1) else "zz" for w in part]
+        docs.append((100 + k if k % 9 else None, " ".join([word() for _ in range(rng.randrange(20))] + ["(" + w + ")," if k % 5 == 0 else w for w in part] + [word() for _ in range(20)])))
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, item_id string, similarity int").repartition(3)
+    table = spark.createDataFrame([(i, t, "x") for i, t in bench], "item_id long, text string, doc_id string")
+    got = sorted((tuple(r) for r in decontaminate.contaminated_pairs(df, table).collect()), key=repr)
+    want = pairs_brute(docs, bench)
+    assert got == want and len(want) > 50
+    clean = sorted((tuple(r) for r in decontaminate.without_benchmark(df, table).collect()), key=repr)
+    hit = {t for d, t in docs if pairs_brute([(d, t)], bench)}
+    assert clean == sorted(((d, t, "x", 1) for d, t in docs if t not in hit), key=repr) and len(clean) < len(docs) - 40
+    members = sorted(map(tuple, decontaminate.item_classes(table).collect()), key=repr)
+    assert (60, 0, 3) in members and (61, 0, 3) in members and len(members) == len(bench)
+    assert decontaminate.contaminated_pairs(nothing, table).count() == 0 and decontaminate.contaminated_pairs(df, table.limit(0)).count() == 0
+    assert decontaminate.without_benchmark(df, table.limit(0)).count() == len(docs)
 
 
 def test_blocks_of_the_benchmark_give_the_same(spark, items, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     planted = spark.createDataFrame([(i, f"pre {t} post") for i, t in items], "doc_id long, text string")
     whole = {tuple(r) for r in decontaminate.contaminated_pairs(planted, bench).collect()}
+    clean = sorted((tuple(r) for r in decontaminate.without_benchmark(planted, bench).collect()), key=repr)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    assert sorted((tuple(r) for r in decontaminate.without_benchmark(planted, bench).collect()), key=repr) == clean
     assert {tuple(r) for r in decontaminate.contaminated_pairs(planted, bench).collect()} == whole
 
 
