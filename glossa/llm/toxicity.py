@@ -1,21 +1,26 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become the symbols insult, threat, target, negation, reported speech and clause end. Three transducers are composed into one:
-the first marks insults and threats that a negation governs, the second those inside reported speech, the third matches clauses:
-an insult, an insult near a target, a threat near a target, and their negated or reported kinds. A document's matches are
-summed by kind, each with the weight of its word, and a logistic curve over the sums gives the score, so a negated or
+Words become the symbols insult (at one of LEVELS weights), threat, target, negation, reported speech and clause end. Four weighted transducers
+are composed into one: the first gives insults the weight of their level, the second marks insults and threats that a negation governs, the third
+those inside reported speech, the fourth matches clauses: an insult, an insult near a target, a threat near a target, and their negated
+or reported kinds. Weights stand on the arcs and multiply in composition; a match that a target completes later carries the weight of the insult
+that waited for it in the state. A document's matches are summed by kind, and a logistic curve over the sums gives the score, so a negated or
 quoted insult does not count like a plain one.
 
 Negations, targets, threats and verbs of speech are short fixed lists in four languages. Insults are learned from labelled rows:
 words and word beginnings that occur in toxic documents and hardly in others are taken one after the other, as long as they
-explain toxic documents that are still unexplained. Training rows: at most SAMPLE of each label, chosen by a hash of the id, never of
-the held-out fold. Scores use the text only.
+explain toxic documents that are still unexplained; an insult's weight is how sure a sign it is. Training rows: at most SAMPLE of each label,
+chosen by a hash of the id, never of the held-out fold. Scores use the text only.
 
-Null and empty texts match nothing. Without labels of both kinds every score is the prior. Repeated rows give repeated rows.
+Null and empty texts match nothing and get the least score; very long texts are read whole. Without labels of both kinds every score is the prior.
+Rows with a null id are scored and not held out. Of equally good insults the longer, then the later in the alphabet is taken first. Repeated rows
+give repeated rows, an empty table an empty table. Other columns are carried along; only one named like the score's is replaced.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -35,8 +40,13 @@ THRESHOLD = 0.5
 STEMS = (4, 5, 6)
 #: How much likelier an insult must be in toxic documents.
 ODDS = 40.0
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
-NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT = range(7, 11)
+#: Weights that an insult may have: 1 / LEVELS, 2 / LEVELS, ... 1.
+LEVELS = 8
+OTHER, THREAT, TARGET, NEGATION, REPORTED, END, INSULT = range(7)  # INSULT + level
+READ = INSULT + LEVELS
+NEGATED_THREAT, REPORTED_THREAT = READ, READ + 1
+NEGATED_INSULT, REPORTED_INSULT = READ + 2, READ + 2 + LEVELS  # + level
+MARKED = REPORTED_INSULT + LEVELS
 KINDS = ["insult", "targeted", "threat", "negated", "reported"]
 PUNCTUATION = string.punctuation + "…“”„«»‘’¿¡–—"
 #: Fixed word lists.
@@ -49,102 +59,116 @@ WORDS = {
 
 
 class Transducer:
-    """Deterministic: (state, symbol) -> (state, symbol written). State 0 is where it starts."""
+    """Deterministic and weighted: (state, symbol) -> (state, symbol written, weight). State 0 is where it starts."""
 
-    def __init__(self, inputs: int, moves: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, inputs: int, moves: dict[tuple[int, int], tuple[int, int, float]]):
         self.inputs, self.moves = inputs, moves
 
     def then(self, other: "Transducer") -> "Transducer":
-        """Composition: what this one writes, the other reads."""
+        """Composition: what this one writes, the other reads; the weights of the two arcs are multiplied."""
         number, todo, moves = {(0, 0): 0}, [(0, 0)], {}
         while todo:
             pair = todo.pop()
             for symbol in range(self.inputs):
-                a, written = self.moves[pair[0], symbol]
-                b, out = other.moves[pair[1], written]
+                a, written, v = self.moves[pair[0], symbol]
+                b, out, w = other.moves[pair[1], written]
                 if (a, b) not in number:
                     number[a, b] = len(number)
                     todo.append((a, b))
-                moves[number[pair], symbol] = (number[a, b], out)
+                moves[number[pair], symbol] = (number[a, b], out, v * w)
         return Transducer(self.inputs, moves)
 
 
-def window_marker(inputs: int, trigger: int, width: int, marks: dict[int, int], keep: bool) -> Transducer:
-    """Rewrites the symbols of marks within width words after the trigger, up to the clause's end."""
+def weigher() -> Transducer:
+    """Every word as it is, insults with the weight of their level."""
+    return Transducer(READ, {(0, x): (0, x, (x - INSULT + 1) / LEVELS if x >= INSULT else 1.0) for x in range(READ)})
+
+
+def window_marker(inputs: int, trigger: int, width: int, threat: int, insult: int) -> Transducer:
+    """Threats and insults within width words after the trigger, up to the clause's end, become other symbols (insult: that of level 0)."""
+    marks = {THREAT: threat} | {INSULT + k: insult + k for k in range(LEVELS)}
     moves = {}
     for state in range(width + 1):
         for symbol in range(inputs):
             if symbol == trigger:
-                moves[state, symbol] = (width, trigger if keep else OTHER)
+                moves[state, symbol] = (width, OTHER, 1.0)
             elif symbol == END:
-                moves[state, symbol] = (0, END)
+                moves[state, symbol] = (0, END, 1.0)
             else:
-                moves[state, symbol] = (max(0, state - 1), marks.get(symbol, symbol) if state else symbol)
+                moves[state, symbol] = (max(0, state - 1), marks.get(symbol, symbol) if state else symbol, 1.0)
     return Transducer(inputs, moves)
 
 
-def clause_matcher(inputs: int, near: int = 3) -> Transducer:
-    """Writes 0 or a bit mask of the kinds that the word completes."""
+def clause_matcher(near: int = 3) -> Transducer:
+    """Writes 0 or a bit mask of the kinds that the word completes. An arc that completes a match of an earlier insult has the weight of that."""
     kind = {k: 1 << i for i, k in enumerate(KINDS)}
+    insults = range(INSULT, INSULT + LEVELS)
+    waits = {THREAT: kind["threat"], REPORTED_THREAT: kind["reported"], NEGATED_THREAT: kind["negated"]} | dict.fromkeys(insults, kind["targeted"])
     # state: words since a target (0: none), and since an insult or threat that waits for one, with which it is
-    states = [(g, w, s) for g in range(near + 1) for w in range(near + 1) for s in (INSULT, THREAT, REPORTED_THREAT, NEGATED_THREAT) if w or s == INSULT]
-    number = {s: i for i, s in enumerate(sorted(states, key=lambda s: s != (0, 0, INSULT)))}
-    met = {INSULT: kind["targeted"], THREAT: kind["threat"], REPORTED_THREAT: kind["reported"], NEGATED_THREAT: kind["negated"]}
+    states = [(g, w, s) for g in range(near + 1) for w in range(near + 1) for s in waits if w or s == THREAT]
+    number = {s: i for i, s in enumerate(sorted(states, key=lambda s: s != (0, 0, THREAT)))}
     moves = {}
     for (g, w, s), i in number.items():
-        for symbol in range(inputs):
-            out, g2, w2, s2 = 0, max(0, g - 1), max(0, w - 1), s
+        for symbol in range(MARKED):
+            out, weight, g2, w2, s2 = 0, 1.0, max(0, g - 1), max(0, w - 1), s
             if symbol == END:
                 g2 = w2 = 0
             elif symbol == TARGET:
-                out, g2, w2 = (met[s] if w else 0), near, 0
-            elif symbol == INSULT:
+                out, g2, w2 = (waits[s] if w else 0), near, 0
+                weight = (s - INSULT + 1) / LEVELS if w and s in insults else 1.0
+            elif symbol in insults:
                 out = kind["insult"] | (kind["targeted"] if g else 0)
-                w2, s2 = (0 if g else near), INSULT
-            elif symbol in (THREAT, REPORTED_THREAT, NEGATED_THREAT):
-                out, w2, s2 = (met[symbol] if g else 0), (0 if g else near), symbol
-            elif symbol == NEGATED_INSULT:
+                w2, s2 = (0 if g else near), symbol
+            elif symbol in waits:
+                out, w2, s2 = (waits[symbol] if g else 0), (0 if g else near), symbol
+            elif NEGATED_INSULT <= symbol < NEGATED_INSULT + LEVELS:
                 out = kind["negated"]
-            elif symbol == REPORTED_INSULT:
+            elif symbol >= REPORTED_INSULT:
                 out = kind["reported"]
-            moves[i, symbol] = (number[g2, w2, s2 if w2 else INSULT], out)
-    return Transducer(inputs, moves)
+            moves[i, symbol] = (number[g2, w2, s2 if w2 else THREAT], out, weight)
+    return Transducer(MARKED, moves)
 
 
-def grammar() -> tuple[list[list[int]], list[list[int]]]:
-    """Tables [state][symbol] of the composed transducers: the next state and the kinds matched."""
-    negation = window_marker(7, NEGATION, 3, {INSULT: NEGATED_INSULT, THREAT: NEGATED_THREAT}, keep=False)
-    speech = window_marker(11, REPORTED, 8, {INSULT: REPORTED_INSULT, THREAT: REPORTED_THREAT}, keep=False)
-    whole = negation.then(speech).then(clause_matcher(11))
+def parts() -> list[Transducer]:
+    """The transducers, in the order in which they are composed."""
+    return [weigher(), window_marker(READ, NEGATION, 3, NEGATED_THREAT, NEGATED_INSULT), window_marker(MARKED, REPORTED, 8, REPORTED_THREAT, REPORTED_INSULT), clause_matcher()]
+
+
+@functools.cache
+def grammar() -> tuple[list[list[int]], list[list[tuple[int, float]]]]:
+    """Tables [state][symbol] of the composed transducers: the next state; the kinds matched and their weight. Made once in a process."""
+    whole = functools.reduce(Transducer.then, parts())
     states = 1 + max(s for s, _ in whole.moves)
-    return [[whole.moves[s, x][0] for x in range(7)] for s in range(states)], [[whole.moves[s, x][1] for x in range(7)] for s in range(states)]
+    return [[whole.moves[s, x][0] for x in range(READ)] for s in range(states)], [[whole.moves[s, x][1:] for x in range(READ)] for s in range(states)]
 
 
 def plain(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower().strip(PUNCTUATION)
 
 
+def level(weight: float) -> int:
+    return min(LEVELS - 1, max(0, math.ceil(weight * LEVELS) - 1))
+
+
 class Symbols(dict):
-    """For a raw lower-cased word: its symbol, 8 if a clause ends after it, and 16 x the number of its lexicon entry."""
+    """For a raw lower-cased word: its symbol, and ENDS beside it if a clause ends after it."""
 
-    LIMIT = 400_000
+    LIMIT, ENDS = 400_000, 64
 
-    def __init__(self, lexicon: dict[str, int]):
+    def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon = {x: INSULT + level(w) for x, w in lexicon.items()}
         self.fixed = {w: s for s, words in WORDS.items() for w in words.split()}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        w, code = plain(word), OTHER
-        entry = next((self.lexicon[x] for x in keys(w) if x in self.lexicon), None)
-        if entry is not None:
-            code = INSULT + 16 * entry
-        elif w in self.fixed:
-            code = self.fixed[w]
+        w = plain(word)
+        code = next((self.lexicon[x] for x in keys(w) if x in self.lexicon), None)
+        if code is None:
+            code = self.fixed.get(w, OTHER)
         if word[-1:] in b".!?;:":
-            code |= 8
+            code |= self.ENDS
         self[word] = code
         return code
 
@@ -208,33 +232,29 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def machine(self):
-        entries = {x: i for i, x in enumerate(self.lexicon)}
-        return Symbols(entries), list(self.lexicon.values()), *grammar()
+        return Symbols(self.lexicon), *grammar()
 
     @staticmethod
     def sums(texts: list[bytes], machine) -> np.ndarray:
-        """Weighted matches of each kind in each text."""
-        symbols, weight, step, writes = machine
+        """The weights of the matches of each kind in each text."""
+        symbols, step, writes = machine
         out = np.zeros((len(texts), len(KINDS)))
         for k, text in enumerate(texts):
             words = text.lower().split()
             codes = np.fromiter(map(symbols.__getitem__, words), np.int64, len(words))
-            base = codes & 7
-            if not ((base == INSULT) | (base == THREAT)).any():
+            base = codes & (Symbols.ENDS - 1)
+            if not ((base >= INSULT) | (base == THREAT)).any():
                 continue
-            state, last = 0, 1.0
+            state = 0
             for code in codes.tolist():
-                symbol = code & 7
-                if symbol == INSULT:
-                    last = weight[code >> 4]
-                elif symbol == THREAT:
-                    last = 1.0
-                kinds, state = writes[state][symbol], step[state][symbol]
+                symbol = code & 63
+                kinds, weight = writes[state][symbol]
+                state = step[state][symbol]
                 while kinds:
                     bit = kinds & -kinds
-                    out[k, bit.bit_length() - 1] += last
+                    out[k, bit.bit_length() - 1] += weight
                     kinds ^= bit
-                if code & 8:
+                if code & 64:
                     state = step[state][END]
         return out
 

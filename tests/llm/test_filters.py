@@ -283,6 +283,9 @@ def test_held_out_labels_are_not_read(labelled_docs):
     turned = labels.withColumn("quality", F.when(labelled.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.score_quality(docs, quality.train_quality(docs, x)).orderBy("doc_id", "score").collect() for x in (labels, turned))
     assert a == b
+    turned = labels.withColumn("toxic", F.when(labelled.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.with_toxicity(docs, toxicity.train_toxicity(docs, x)).orderBy("doc_id", "score").collect() for x in (labels, turned))
+    assert a == b
 
 
 def test_no_labels(labelled_docs, nothing):
@@ -296,12 +299,21 @@ def test_no_labels(labelled_docs, nothing):
 # the toxicity grammar
 
 
-def matched(text: str) -> dict:
-    model = toxicity.Model({"oaf$": 1.0, "blor": 1.0}, np.zeros(len(toxicity.KINDS) + 1))
+def matched(text: str, oaf: float = 1.0) -> dict:
+    model = toxicity.Model({"oaf$": oaf, "blor": 1.0}, np.zeros(len(toxicity.KINDS) + 1))
     sums = model.sums([text.encode()], model.machine())[0]
     return {k: v for k, v in zip(toxicity.KINDS, sums.tolist()) if v}
 
 
+def test_weights_stand_on_the_arcs():
+    """A match carries the weight of its insult, also where a target completes it later or another insult came between."""
+    assert matched("what an oaf", 0.25) == {"insult": 0.25} and matched("you oaf", 0.25) == {"insult": 0.25, "targeted": 0.25}
+    assert matched("an oaf like you", 0.25) == {"insult": 0.25, "targeted": 0.25} and matched("not an oaf", 0.25) == {"negated": 0.25}
+    assert matched("he said that oaf", 0.25) == {"reported": 0.25} and matched("oaf blorkish you", 0.25) == {"insult": 1.25, "targeted": 1.0}
+    assert matched("blorkish oaf you", 0.25) == {"insult": 1.25, "targeted": 0.25} and matched("destroy you oaf", 0.25) == {"threat": 1.0, "insult": 0.25, "targeted": 0.25}
+    assert [toxicity.level(w) for w in (0.01, 0.125, 0.13, 0.9, 1.0)] == [0, 0, 1, 7, 7]
+
+
 @pytest.mark.parametrize("text,kinds", [
     ("what an oaf.", {"insult": 1}), ("you oaf", {"insult": 1, "targeted": 1}), ("an oaf like you", {"insult": 1, "targeted": 1}), ("not an oaf", {"negated": 1}),
     ("not so. Oaf", {"insult": 1}), ("he said that oaf", {"reported": 1}), ("never said blorkish things", {"negated": 1}), ("she wrote: nothing. Said blorkish things", {"reported": 1}), ("I will destroy you", {"threat": 1}),
@@ -313,15 +325,14 @@ def test_clauses(text, kinds):
 
 def test_composition_is_running_one_after_the_other():
     rng = random.Random(3)
-    a = toxicity.window_marker(7, toxicity.NEGATION, 3, {toxicity.INSULT: toxicity.NEGATED_INSULT, toxicity.THREAT: toxicity.NEGATED_THREAT}, False)
-    b = toxicity.window_marker(11, toxicity.REPORTED, 8, {toxicity.INSULT: toxicity.REPORTED_INSULT, toxicity.THREAT: toxicity.REPORTED_THREAT}, False)
-    c = toxicity.clause_matcher(11)
     step, writes = toxicity.grammar()
+    machines = toxicity.parts()
     for _ in range(200):
-        states, whole = [0, 0, 0], 0
-        for x in (rng.randrange(7) for _ in range(30)):
-            y = x
-            for k, t in enumerate((a, b, c)):
-                states[k], y = t.moves[states[k], y]
-            assert writes[whole][x] == y
+        states, whole = [0] * 4, 0
+        for x in (rng.randrange(toxicity.READ) for _ in range(30)):
+            y, weight = x, 1.0
+            for k, t in enumerate(machines):
+                states[k], y, w = t.moves[states[k], y]
+                weight *= w
+            assert writes[whole][x] == (y, weight)
             whole = step[whole][x]
