@@ -1,8 +1,8 @@
 """A workspace kept up to date from a stream of file changes.
 
 Changes: file, generation, op (open, change, close, delete), content. There is no event time: arrival and generation decide, and a change older than
-what a file already has is late and dropped. State lies in Parquet tables below one folder, a new version for every micro-batch that
-changes it, so a batch that is run again after a failure gives the same version.
+what a file already has is late and dropped. State lies in Parquet tables below one folder, a log of versions, one for each micro-batch,
+so a batch that is run again after a failure gives the same version and a stream that is started again goes on with what it had.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glossa.functions.positions import apply_edits
 from glossa.operators.dependencies import bag_fingerprint, changed, referencing_files
 
 CHANGES = "file string, generation long, op string, content string"
+TOUCHED = StructType([StructField("file", StringType()), StructField("generation", LongType())])
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -49,50 +51,110 @@ def content_hash(content: str = "content") -> F.Column:
 
 
 class Workspace:
-    """Facts of files, kept by a function that extracts them.
+    """Facts of files, kept by a function that extracts them, as a log below one folder.
 
     extract(files: file, content) -> {"defs": DataFrame (file, symbol, signature), "refs": DataFrame (file, symbol), ...}
+
+    A batch writes what it changes: the files it touched (also deleted ones, with their generation), and the content and facts of those that
+    live. What a file has is what the last batch that touched it wrote. After COMPACT batches the log is folded into one whole version, so a
+    read joins a bounded number of small tables. A version counts once its marker is written; a new Workspace over the folder goes on
+    from the last one, and a batch that is applied again gives what it gave.
     """
 
+    COMPACT = 16
+
     def __init__(self, spark: SparkSession, root: str, extract: Callable[[DataFrame], dict[str, DataFrame]]):
         self.spark, self.root, self.extract = spark, root, extract
-        self.version = -1
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         empty = spark.createDataFrame([], "file string, generation long, content string")
-        self.files = empty
-        self.facts: dict[str, DataFrame] = extract(empty.select("file", "content"))
-        self.dirty = spark.createDataFrame([], "file string")
+        self.schemas = {"files": empty.schema} | {k: d.schema for k, d in extract(empty.select("file", "content")).items()}
+        self.versions, self.wholes = self._marked("_DONE"), set(self._marked("_WHOLE"))
         self.merged_key: tuple | None = None
+        self._refresh()
+
+    @property
+    def version(self) -> int:
+        return self.versions[-1] if self.versions else -1
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _store(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/v{self.version}/{name}"
+    def _marked(self, mark: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"v*/{mark}"))
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+
+    def _store(self, df: DataFrame, name: str, version: int) -> DataFrame:
+        path = f"{self.root}/v{version}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _log(self, name: str, schema: StructType) -> DataFrame:
+        """The rows of a table in all versions since the last whole one, with their version as _v."""
+        start = max([v for v in self.versions if v in self.wholes], default=-1)
+        out = self.spark.createDataFrame([], schema).withColumn("_v", F.lit(-1))
+        for v in self.versions:
+            if v >= start:
+                path = f"{self.root}/v{v}/{'whole/' if v in self.wholes else ''}{name}"
+                out = out.unionByName(self.spark.read.schema(schema).parquet(path).withColumn("_v", F.lit(v)))
+        return out
+
+    def _refresh(self) -> None:
+        touched = self._log("touched", TOUCHED)
+        last = touched.groupBy("file").agg(F.max("_v").alias("_v"))
+        now = {k: self._log(k, schema).join(last, ["file", "_v"], "left_semi").select(*schema.names) for k, schema in self.schemas.items()}
+        self.files = now.pop("files")
+        self.facts: dict[str, DataFrame] = now
+        self.seen = touched.groupBy("file").agg(F.max("generation").alias("seen"))
+        self.dirty = self.spark.read.schema("file string").parquet(f"{self.root}/v{self.version}/dirty") if self.versions else self.seen.select("file").limit(0)
+
     def apply(self, changes: DataFrame, batch: int | None = None, scan: bool = False) -> DataFrame:
         """One batch of changes; returns the files (file) that depend on a definition that changed, one hop away.
 
-        scan: the first scan of a workspace, which invalidates nothing.
+        scan: the first scan of a workspace, which invalidates nothing. A batch that is known already is not applied again.
         """
-        self.version = self.version + 1 if batch is None else batch
-        seen = self.files.groupBy("file").agg(F.max("generation").alias("seen"))
-        new = self._store(latest(current(changes, seen)), "changes")
+        number = self.version + 1 if batch is None else batch
+        if number in self.versions:
+            return self.spark.read.schema("file string").parquet(f"{self.root}/v{number}/dirty")
+        if number < self.version:
+            raise ValueError(f"batch {number} comes after {self.version}")
+        new = self._store(latest(current(changes, self.seen)), "changes", number)
         touched = new.select("file")
         live = new.filter("op <> 'delete'")
-        fresh = self.extract(live.select("file", "content"))
+        fresh = {k: self._store(d, k, number) for k, d in self.extract(live.select("file", "content")).items()}
+        self._store(live.select("file", "generation", "content"), "files", number)
         before, after = self.facts["defs"].join(touched, "file", "left_semi"), fresh["defs"]
         prints = [bag_fingerprint(d, ["symbol"], ["file", "signature"]) for d in (before, after)]
-        hit = referencing_files(self.facts["refs"], changed(*prints, ["symbol"])).join(touched, "file", "left_anti") if not scan else self.dirty.limit(0)
-        hit = self._store(hit, "dirty")
-        self.facts = {k: self._store(self.facts[k].join(touched, "file", "left_anti").unionByName(fresh[k]), k) for k in self.facts}
-        self.files = self._store(upsert(self.files, new), "files")
-        self.dirty = hit
+        hit = referencing_files(self.facts["refs"], changed(*prints, ["symbol"])).join(touched, "file", "left_anti") if not scan else touched.limit(0)
+        hit = self._store(hit, "dirty", number)
+        self._store(new.select("file", "generation"), "touched", number)
+        self._mark(number, "_DONE")
+        self.versions.append(number)
         self.merged_key = None
+        self._refresh()
+        if len([v for v in self.versions if v >= max(self.wholes, default=-1)]) > self.COMPACT:
+            self._fold(number)
         return hit
 
+    def _mark(self, version: int, name: str) -> None:
+        self._fs.create(self._path(f"v{version}/{name}"), True).close()
+
+    def _fold(self, version: int) -> None:
+        """All up to this version as one, beside it; older versions go once it is marked, and a crash before that leaves the log as it was."""
+        seen = self.seen.withColumnRenamed("seen", "generation")
+        for name, df in {"files": self.files, "touched": seen, **self.facts}.items():
+            self._store(df, f"whole/{name}", version)
+        self._mark(version, "_WHOLE")
+        self.wholes.add(version)
+        for v in [v for v in self.versions if v < version]:
+            self._fs.delete(self._path(f"v{v}"), True)
+            self.versions.remove(v)
+        self._refresh()
+
     def merged(self, build: Callable[[dict[str, DataFrame]], DataFrame]) -> DataFrame:
         """A table over all facts, built again only after a change."""
         if self.merged_key is None:
-            self.merged_key = (self.version, self._store(build(self.facts), "merged"))
+            self.merged_key = (self.version, self._store(build(self.facts), "merged", self.version))
         return self.merged_key[1]
 
     def without(self, file: str) -> dict[str, DataFrame]:

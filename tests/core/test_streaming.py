@@ -59,6 +59,50 @@ def test_streaming_query(spark, tmp_path):
     assert ws.facts["defs"].first()["signature"] == "B"
 
 
+def test_workspace_goes_on_after_a_restart(spark, tmp_path):
+    """A new Workspace over the folder has what the old one had; a batch without its marker never was; known batches are not applied again."""
+    rows = lambda *r: spark.createDataFrame(list(r), CHANGES)
+    ws = W.Workspace(spark, str(tmp_path), extract)
+    ws.apply(rows(("a", 1, "open", "def x: A"), ("b", 1, "open", "use x")), 0, scan=True)
+    ws.apply(rows(("gone", 5, "open", "use x"), ("gone", 6, "delete", None)), 1)
+    (tmp_path / "v1" / "_DONE").unlink()
+    again = W.Workspace(spark, str(tmp_path), extract)
+    assert again.version == 0 and names(again.files) == ["a", "b"]
+    again.apply(rows(("gone", 5, "open", "use x")), 1)
+    again.apply(rows(("gone", 6, "delete", None)), 2)
+    third = W.Workspace(spark, str(tmp_path), extract)
+    assert third.version == 2 and names(third.files) == ["a", "b"]
+    assert names(third.apply(rows(("c", 1, "open", "use x"), ("gone", 4, "change", "late"), ("a", 2, "change", "def x: B")), 3)) == ["b"]
+    assert names(third.files) == ["a", "b", "c"] and third.facts["defs"].first()["signature"] == "B"
+    assert names(third.apply(rows(("a", 9, "delete", None)), 3)) == ["b"] and names(third.files) == ["a", "b", "c"]
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name, row in (("1.json", ("a", 1, "open", "def x: A")), ("2.json", ("b", 1, "open", "use x")), ("3.json", ("c", 1, "open", "use x"))):
+        (inbox / name).write_text(json.dumps(dict(zip(("file", "generation", "op", "content"), row))))
+        ws = W.Workspace(spark, str(tmp_path / "state"), extract)
+        ws.run(W.read_changes(spark, str(inbox)), str(tmp_path / "checkpoint")).awaitTermination()
+    assert names(ws.files) == ["a", "b", "c"] and ws.facts["refs"].count() == 2
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path, monkeypatch):
+    """One edit of many files writes a small version; after COMPACT batches the log is one version again."""
+    monkeypatch.setattr(W.Workspace, "COMPACT", 3)
+    ws = W.Workspace(spark, str(tmp_path), extract)
+    ws.apply(spark.range(2000).select(F.concat(F.lit("f"), "id").alias("file"), F.lit(1).cast("long").alias("generation"), F.lit("open").alias("op"), F.concat(F.lit("def s"), "id", F.lit(": A\nuse s0")).alias("content")), scan=True)
+    size = lambda v: sum(p.stat().st_size for n in ("files", "defs", "refs", "touched") for p in (tmp_path / f"v{v}" / n).rglob("*.parquet"))
+    ws.apply(spark.createDataFrame([("f7", 2, "change", "def s7: B")], CHANGES))
+    assert size(1) < size(0) / 5 and ws.files.count() == 2000 and ws.facts["refs"].count() == 1999
+    for k in range(3, 7):
+        ws.apply(spark.createDataFrame([("f7", k, "change", f"def s7: B{k}"), ("f9", k, "delete" if k == 4 else "change", "use s7")], CHANGES))
+    assert len(ws.versions) <= 3 and not (tmp_path / "v0").exists()
+    again = W.Workspace(spark, str(tmp_path), extract)
+    for x in (ws, again):
+        assert x.files.count() == 2000 and x.facts["defs"].filter("symbol = 's7'").first()["signature"] == "B6" and x.facts["refs"].filter("symbol = 's7'").count() == 1
+
+
 def test_documents_fold_edits(spark, tmp_path):
     rows = [("d", 1, [{"text": "héllo\nworld"}]), ("d", 2, [{"start_line": 1, "start_column": 0, "end_line": 1, "end_column": 5, "text": "there"}]), ("d", 3, [{"start_line": 9, "start_column": 0, "end_line": 9, "end_column": 1, "text": "x"}])]
     inbox = tmp_path / "edits"
