@@ -2,7 +2,7 @@
 
 Rows lie in old shards. Old shard sizes (supplies) and new capacities meet in a transport network whose edges cost one per
 byte that changes its shard; successive shortest paths solve it. The network has one node for each shard, so it is solved on the driver.
-Within an old shard rows are laid out in blocks, large rows first: (old shard, size class, hash), as many of a class as it
+Within an old shard rows are laid out in blocks, large rows first: (old shard, size class, hash), SUBS of a class at least, and as many as it
 takes to hold BLOCK_ROWS rows each, about. A block's bytes are summed in Spark; the driver sees one row for each block. The flow cuts the line of
 blocks into stretches, one for each receiving shard: whole blocks move, and the few blocks that a cut crosses are split
 by row. The smallest rows are a second line, cut in the same proportions. Cuts miss by half a row each; what a shard has too much then goes on to
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch, restored, utf8_size, whole
 
-#: Rows in a block of an old shard and size class, about. A task sorts one block.
-BLOCK_ROWS = 1 << 20
+#: Hash blocks of an old shard and size class at least, and rows in a block beyond that, about. A task sorts one block.
+SUBS, BLOCK_ROWS = 64, 1 << 20
 #: The share of an old shard's bytes that its smallest rows make up which go to all receivers.
 RESERVE = 0.1
 #: Blocks of one old shard and class at most: what the driver sees is bounded; blocks of more than 2^36 rows in one class get larger.
@@ -113,7 +113,7 @@ class Reshard:
             F.xxhash64(F.col(id_col), crc, size).alias("_rs_h"),
         )
         rows = rows if keep else self.scratch.table(rows, "rows")
-        classes = [{"o": r["_rs_old"], "c": r["_rs_class"], "n": min(BLOCK_LIMIT, -(-r["count"] // BLOCK_ROWS))} for r in rows.groupBy("_rs_old", "_rs_class").count().collect()]
+        classes = [{"o": r["_rs_old"], "c": r["_rs_class"], "n": min(BLOCK_LIMIT, max(SUBS, -(-r["count"] // BLOCK_ROWS)))} for r in rows.groupBy("_rs_old", "_rs_class").count().collect()]
         subs = F.coalesce(F.element_at(F.map_from_entries(F.transform(_literal(classes, "array<struct<o:int,c:int,n:int>>"), lambda x: F.struct(x.o * 64 + x.c, x.n))), F.col("_rs_old") * 64 + F.col("_rs_class")), F.lit(1))
         self.rows = rows.withColumn("_rs_sub", F.pmod(F.shiftrightunsigned("_rs_h", 7), subs).cast("int"))
         found = self.rows.groupBy(*self.BLOCK).agg(F.sum("size").alias("bytes")).collect()

@@ -77,9 +77,8 @@ def test_columns_named_like_the_operators_own(spark, tmp_path, docs, nothing):
     assert all(stage(spark, empty, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
-def test_rows_without_ids_are_spread(spark, monkeypatch):
+def test_rows_without_ids_are_spread(spark):
     """Rows whose ids are all null don't land in one block."""
-    monkeypatch.setattr(resharding, "BLOCK_ROWS", 100)
     df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("x"), "id").alias("text"), F.lit("s").alias("source"))
     plan = resharding.Reshard(df, keep=False)
     assert len(plan.starts) > 30
@@ -88,7 +87,7 @@ def test_rows_without_ids_are_spread(spark, monkeypatch):
 
 def test_sizes_are_settled_by_the_smallest_rows(spark, monkeypatch):
     """Sizes differ by a few small rows where there are enough of them, else by less than the largest row; a hot source is many blocks."""
-    monkeypatch.setattr(resharding, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(resharding, "BLOCK_ROWS", 10)
     rng = random.Random(7)
     for large, n, bound in ((4000, 6000, 130), (90000, 3000, 90000)):
         rows = [(k, "x" * (rng.randrange(500, large) if k % (n // 100) == 0 else rng.randrange(1, 60)), "hot" if k % 3 else f"s{k % 17}") for k in range(n)]
