@@ -545,11 +545,11 @@ def fact_structure_accessors(spark, sf_dir):
     return facts.accessors(spark)
 
 
-@query(facts.values(["root", "depth", "size"], [("Root#r", 0, 1), ("Root#r", 1, 3), ("Root#r", 2, 300)]))
+@query(facts.values(["root", "depth", "size"], [("Cart#total", 0, 1), ("Cart#total", 1, 2), ("Cart#total", 2, 220)]))
 def fact_trace_levels(spark, sf_dir):
     """Level sizes of a provenance trace."""
     trace = facts.trace(spark)
-    return provenance.level_sizes(provenance.levels(trace, spark.createDataFrame([("Root#r",)], "root string"))).withColumn("size", F.col("size").cast("int"))
+    return provenance.level_sizes(provenance.levels(trace, spark.createDataFrame([("Cart#total",)], "root string"))).withColumn("size", F.col("size").cast("int"))
 
 
 @query(facts.values(["name", "arity"], facts.ROUTE_HELPERS))

@@ -110,13 +110,13 @@ def fact_types_round_trip(spark, sf_dir):
     return df.select("text", columns.rendered(sources.type_term("text")).alias("again"))
 
 
-@query(facts.values(["line", "text"], [(0, "Root#r: String"), (1, "├─ A#a: Integer"), (2, "├─ B#b: Integer"), (3, "└─ C#c: Integer"), (4, "... 300 more declarations in 1 more levels; search the trace file for the rest")]))
+@query(facts.values(["line", "text"], [(0, "Cart#total: Float"), (1, "├─ Price#sum: Integer"), (2, "└─ Tax#rate: Float"), (3, "... 220 more declarations in 1 more levels; search the trace file for the rest")]))
 def fact_why(spark, sf_dir):
     trace = facts.trace(spark)
     none = lambda kind: F.lit(None).cast(kind)
     evidence = "array<struct<file:string,line:int,type:string,in:string>>"
     full = trace.select("id", none("string").alias("kind"), "type", none("string").alias("origin"), none("string").alias("file"), none("int").alias("line"), none("string").alias("body"), "deps", none(evidence).alias("callers"), none(evidence).alias("writes"))
-    return spark.createDataFrame(list(enumerate(provenance.why(full, "Root#r"))), "line int, text string")
+    return spark.createDataFrame(list(enumerate(provenance.why(full, "Cart#total"))), "line int, text string")
 
 
 DSL = "class string, method string, names array<string>, options map<string,string>, file string, line int, ord int"

@@ -13,36 +13,35 @@ from glossa.operators import lookup, schema
 from glossa.sources import ddl
 
 DDL = """
-CREATE TABLE public.articles (
-    id bigint NOT NULL,
-    title character varying,
-    published boolean DEFAULT false NOT NULL,
-    meta jsonb,
-    amount numeric(10,2),
-    due_on date,
-    tags character varying[],
-    key character varying NOT NULL,
-    person_id bigint NOT NULL,
-    CONSTRAINT pk PRIMARY KEY (id)
+CREATE TABLE depot.parcels (
+    number bigint NOT NULL,
+    fragile boolean DEFAULT false NOT NULL,
+    sheet jsonb,
+    weight numeric(8,3),
+    arrives date,
+    marks text[],
+    key text NOT NULL,
+    goose_id bigint NOT NULL,
+    label character varying(40),
+    PRIMARY KEY (number)
 );
-CREATE TABLE `people` (
-    `name` text,
-    admin tinyint(1) NOT NULL,
-    KEY idx (name)
-) ENGINE=InnoDB;
-ALTER TABLE ONLY public.articles
-    ADD CONSTRAINT fk FOREIGN KEY (person_id) REFERENCES public.people(id);
+CREATE TABLE `geese` (
+    tame tinyint(1) NOT NULL,
+    `ring` varchar(9),
+    KEY by_ring (ring)
+);
+ALTER TABLE ONLY depot.parcels
+    ADD CONSTRAINT carried_by FOREIGN KEY (goose_id) REFERENCES depot.geese(id);
 """
 STRUCTURE_COLUMNS = [
-    ("articles", "id", "Integer", False), ("articles", "title", "String", True), ("articles", "published", "bool", False), ("articles", "meta", "untyped", True),
-    ("articles", "amount", "BigDecimal", True), ("articles", "due_on", "Date", True), ("articles", "tags", "Array[String]", True), ("articles", "key", "String", False),
-    ("articles", "person_id", "Integer", False), ("people", "name", "String", True), ("people", "admin", "bool", False),
+    ("parcels", "number", "Integer", False), ("parcels", "fragile", "bool", False), ("parcels", "sheet", "untyped", True), ("parcels", "weight", "BigDecimal", True), ("parcels", "arrives", "Date", True),
+    ("parcels", "marks", "Array[String]", True), ("parcels", "key", "String", False), ("parcels", "goose_id", "Integer", False), ("parcels", "label", "String", True), ("geese", "tame", "bool", False), ("geese", "ring", "String", True),
 ]
 _RETURNS = [
-    ("Article", "id", "Integer"), ("Article", "title", "String?"), ("Article", "published", "bool"), ("Article", "meta", "untyped"), ("Article", "amount", "BigDecimal?"), ("Article", "due_on", "Date?"),
-    ("Article", "tags", "Array[String]?"), ("Article", "key", "String"), ("Article", "person_id", "Integer"), ("Person", "name", "String?"), ("Person", "admin", "bool"),
+    ("Parcel", "number", "Integer"), ("Parcel", "fragile", "bool"), ("Parcel", "sheet", "untyped"), ("Parcel", "weight", "BigDecimal?"), ("Parcel", "arrives", "Date?"), ("Parcel", "marks", "Array[String]?"),
+    ("Parcel", "key", "String"), ("Parcel", "goose_id", "Integer"), ("Parcel", "label", "String?"), ("Goose", "tame", "bool"), ("Goose", "ring", "String?"),
 ]
-ACCESSORS = [(c, n + s, "bool" if s == "?" else t) for c, n, t in _RETURNS for s in ("", "=", "?")] + [("Article", "person", "Person"), ("Article", "person=", "Person")]
+ACCESSORS = [(c, n + s, "bool" if s == "?" else t) for c, n, t in _RETURNS for s in ("", "=", "?")] + [("Parcel", "goose", "Goose"), ("Parcel", "goose=", "Goose")]
 ROUTES = [
     {"method": "root"}, {"method": "resources", "names": ["users"], "calls": [{"method": "resources", "names": ["posts"], "options": {"only": ["index", "show"]}}]},
     {"method": "namespace", "names": ["admin"], "calls": [{"method": "resource", "names": ["profile"], "options": {"except": ["new", "edit"]}}]}, {"method": "get", "names": ["about-us"]},
@@ -74,13 +73,14 @@ def accessors(spark: SparkSession) -> DataFrame:
     """class, name, ret."""
     texts = structure(spark)
     found = ddl.structure_columns(texts)
-    classes = schema.model_classes(found, project=inflect.Inflections({"people": "person"}))
+    classes = schema.model_classes(found, project=inflect.Inflections({"geese": "goose"}))
     links = schema.associations(ddl.structure_foreign_keys(texts), found, classes)
     return schema.accessors(found, classes, links).select("class", "name", rendered("ret").alias("ret"))
 
 
 def trace(spark: SparkSession) -> DataFrame:
-    rows = [("Root#r", "String", ["A#a", "B#b", "C#c"])] + [(f"{x}#{x.lower()}", "Integer", [f"{x}{i}#leaf" for i in range(100)]) for x in "ABC"]
+    """A cart's total, from prices of 130 goods and rates of 90 countries."""
+    rows = [("Cart#total", "Float", ["Price#sum", "Tax#rate"]), ("Price#sum", "Integer", [f"Good{k}#cents" for k in range(130)]), ("Tax#rate", "Float", [f"Country{k}.vat" for k in range(90)])]
     return spark.createDataFrame(rows, "id string, type string, deps array<string>")
 
 

@@ -2,18 +2,20 @@
 
 At a similarity of 0.8 two 64-bit SimHashes of five-word shingles differ in ten bits on the average, and balls of half that radius can't be
 written out. So a text has BLOCKS independent fingerprints of 32 bits, which differ in 15 % of their bits then, and two texts are
-candidates if any of them differs in at most 2 bits. By calculation that holds for a pair with the probability 0.92 at a similarity of 0.8,
-0.99 at 0.85 and 0.9999 at 0.9; copies are also found by way of each other.
+candidates if any of them differs in at most 2 bits and all together in at most MAX_DISTANCE. By calculation that holds for a pair with the
+probability 0.87 at a similarity of 0.8, 0.99 at 0.85 and 0.9999 at 0.9; copies are also found by way of each other.
 
 The search is meet-in-the-middle, as for one fingerprint: two values lie within 2 bits exactly if some value lies within one bit of both.
 
 1. Texts of the same words are one node. Nodes that share a value of a block are a cell; only distinct cells go on, whatever a third of all
    rows may share.
 2. Every cell emits the 33 values within one bit, and cells that share a value meet. At most 33 cells can share one, so a meeting is
-   never large, and each pair of cells comes out at one value only.
-3. The least node of a cell stands for it: it meets the cell's other nodes and the least nodes of the cells met. Pairs whose sizes or whole
-   sketches can't agree go; the text of each node is compared with that of its least partner, and links are closed to components.
-4. Of all members of cells that met, those still in different components are compared too, so no candidate pair is left out.
+   never large.
+3. Four nodes of a cell (the least, the greatest, and the same by a hash) stand for it and meet its other nodes; the least also meets that of
+   the least cell around. Pairs whose sizes or whole sketches can't agree go; the text of each node is compared with that of its least
+   partner, then with that of its nearest partner in every other component, and links are closed to components each time.
+4. Around values where several components still meet, all members of different components are compared, so no candidate pair is left out.
+   That takes as many comparisons as there are such pairs, but a group that hangs together is not one of them.
 
 Words are lower-cased (A-Z) runs of non-blanks. A text of fewer words than WIDTH is one shingle, a null text is empty, and empty texts
 are the same. Rows with null ids take part, ties go to the least id, then to the least hash of id and text. Repeated rows count once. Very
@@ -38,12 +40,15 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of 32 bits, and the 64-bit words that hold them.
 BLOCKS = 20
 LANES = BLOCKS // 2
-#: Differing bits of a whole sketch beyond which no pair at SIMILARITY is expected: 97 on the average, 9 standard deviation.
-MAX_DISTANCE = 140
+#: Differing bits of a whole sketch that a candidate may have. At SIMILARITY there are 97 on the average, with a standard deviation of 9,
+#: so one such pair in twenty has more; at 0.75 one pair in two.
+MAX_DISTANCE = 112
 #: Odd factors for the words of a shingle. Fixed values.
 FACTORS = np.random.default_rng(20).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes of text that are signed at once, shingles in a segment (counted in 8 bits), segments at once.
-CHUNK, SEGMENT, AT_ONCE = 1 << 19, 255, 128
+#: What is added to a shingle's hash for each word of the sketch. Fixed values.
+LANE = np.array([(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(LANES)], np.uint64)
+#: Bytes of text that are signed at once, and shingles that are counted at once.
+CHUNK, SEGMENT = 1 << 19, 255
 #: Cells that emit their balls at once, and values in a bucket, about.
 CELLS, BUCKET = 8192, 1 << 19
 FLIPS = np.array([0] + [1 << i for i in range(32)], np.uint32)
@@ -65,22 +70,16 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """LANES words of 64 SimHash bits for each set of shingles: a bit is 1 if it is set in over half the hashes."""
-    size = np.array([len(s) for s in sets], np.int64)
-    ones = np.zeros((len(sets), 64 * LANES), np.int32)
-    if size.sum():
-        flat = np.concatenate(sets)
-        parts = -(-size // SEGMENT)
-        of = np.repeat(np.arange(len(sets)), parts)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.append((np.cumsum(size) - size)[of] + within * SEGMENT, len(flat))
-        for k in range(0, len(of), AT_ONCE):
-            own = of[k : k + AT_ONCE]
-            at, end = starts[k : k + len(own)], starts[k + len(own)]
-            some = flat[at[0] : end]
-            lanes = np.stack([mix(some + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF)) for i in range(LANES)], axis=1)
-            bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
-            np.add.at(ones, own, np.add.reduceat(bits, at - at[0], axis=0, dtype=np.uint8))
-    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)
+    out = np.zeros((len(sets), 8 * LANES), np.uint8)
+    lanes, at = mix(np.concatenate([*sets, np.empty(0, np.uint64)])[:, None] + LANE), 0
+    for k, n in enumerate(map(len, sets)):
+        ones = np.zeros(64 * LANES, np.int32)
+        for p in range(at, at + n, SEGMENT):  # counted in 8 bits first
+            bits = np.unpackbits(lanes[p : min(p + SEGMENT, at + n)].view(np.uint8), axis=1, bitorder="little")
+            ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+        out[k] = np.packbits(2 * ones > n, bitorder="little")
+        at += n
+    return out.view(np.uint64)
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,7 +110,10 @@ def cell_keys() -> Column:
 
 
 def meetings(cells: DataFrame, count: int) -> DataFrame:
-    """ca, cb: pairs of cells of one block (cell) within 2 bits, each once. count: how many cells there are."""
+    """value, cell, least: the cells around every value that several share (33 at most), and the least of them. count: how many cells there are.
+
+    Two cells of a block stand together at some value exactly if they are within 2 bits of each other.
+    """
     bits = max(0, math.ceil(math.log2(max(1, count / BLOCKS * len(FLIPS) / BUCKET))))
     schema = pa.schema([("bucket", pa.int64()), ("pack", pa.binary())])
 
@@ -131,26 +133,21 @@ def meetings(cells: DataFrame, count: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(where[cuts].view(np.int64)), pa.array(packs, pa.binary())], schema=schema)
 
     def meet(group: pa.Table) -> pa.Table:
-        block = np.uint64(group["bucket"][0].as_py() >> bits)
+        block = np.uint64(group["bucket"][0].as_py() >> bits) << np.uint64(32)
         packs = [_unpack(p) for p in group["pack"].to_pylist()]
         u, which = (np.concatenate(x) for x in zip(*packs))
-        order = np.argsort(u, kind="stable")
-        value, which = u[order] * np.uint32(GATHER), which[order]
+        value = u * np.uint32(GATHER)
         cell = value ^ FLIPS[which]
-        found, k = [], 1
-        while k < len(value):
-            same = np.flatnonzero(value[k:] == value[:-k])
-            if not len(same):
-                break
-            a, b, v = cell[same], cell[same + k], value[same]
-            once = v < (a ^ b ^ v)  # two values are within one bit of both; the pair comes out at the lesser
-            found.append(np.stack([np.minimum(a, b)[once], np.maximum(a, b)[once]]))
-            k += 1
-        pairs = np.concatenate([*found, np.empty((2, 0), np.uint32)], axis=1).astype(np.uint64) | (block << np.uint64(32))
-        return pa.table({"ca": pairs[0].view(np.int64), "cb": pairs[1].view(np.int64)})
+        order = np.lexsort((cell, value))
+        value, cell = value[order], cell[order]
+        fresh = np.concatenate([[True], value[1:] != value[:-1]])
+        shared = ~(fresh & np.concatenate([fresh[1:], [True]]))
+        least = cell[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        columns = [(x[shared].astype(np.uint64) | block).view(np.int64) for x in (value, cell, least)]
+        return pa.table(dict(zip(("value", "cell", "least"), columns)))
 
     made = cells.select("cell").repartitionByRange("cell").sortWithinPartitions("cell").mapInArrow(emit, "bucket long, pack binary")
-    return made.groupBy("bucket").applyInArrow(meet, "ca long, cb long")
+    return made.groupBy("bucket").applyInArrow(meet, "value long, cell long, least long")
 
 
 def _pack(u: np.ndarray, which: np.ndarray) -> bytes:
@@ -193,15 +190,29 @@ def _side(nodes: DataFrame, own: str, *more: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(f"{own}_{c}") for c in ("node", "n", *SKETCH, *more)])
 
 
+def _differing() -> Column:
+    """Differing bits of the sketches of sides x and y."""
+    return sum((F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in SKETCH), F.lit(0))
+
+
 def _may_agree() -> Column:
     """Whether sizes and sketches of sides x and y leave a similarity of SIMILARITY possible."""
-    apart = sum((F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in SKETCH), F.lit(0))
-    return (F.least("x_n", "y_n") >= SIMILARITY * F.greatest("x_n", "y_n") - 1e-9) & (apart <= MAX_DISTANCE)
+    return (F.least("x_n", "y_n") >= SIMILARITY * F.greatest("x_n", "y_n") - 1e-9) & (_differing() <= MAX_DISTANCE)
+
+
+def _apart(held: DataFrame) -> DataFrame:
+    """Pairs of components around a value (value, cell, root, size, low, high, node), each once, whose sizes leave a similarity of SIMILARITY possible."""
+    names = ["cell", "root", "size", "low", "high", "node"]
+    other = held.select(*[F.col(c).alias(f"o_{c}") for c in ("value", *names)])
+    fits = (F.col("high") >= SIMILARITY * F.col("o_low") - 1e-9) & (F.col("o_high") >= SIMILARITY * F.col("low") - 1e-9)
+    # two cells meet at two values; the lesser counts
+    lesser = (F.col("cell") == F.col("o_cell")) | (F.col("value") < F.col("cell").bitwiseXOR(F.col("o_cell")).bitwiseXOR(F.col("value")))
+    return held.join(other, (F.col("value") == F.col("o_value")) & (F.col("root") < F.col("o_root")) & fits & lesser).select(*names, *[f"o_{c}" for c in names])
 
 
 def _roots(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     found = components(links, scratch)
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
 
 
 def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,29 +222,50 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     nodes = rows.groupBy("words").agg(*[F.first(c).alias(c) for c in ("n", *SKETCH)], F.min("_sh_row").alias("_sh_row"))
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", F.explode(cell_keys()).alias("cell"))
-    cells = scratch.table(members.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("size")), "cells")
+    h = F.xxhash64("node")
+    hubs = F.array(F.min("node"), F.max("node"), F.min_by("node", h), F.max_by("node", h))
+    cells = scratch.table(members.groupBy("cell").agg(F.min("node").alias("least"), hubs.alias("hubs"), F.count("*").alias("size")), "cells")
     met = scratch.table(meetings(cells, cells.count()), "met")
 
-    several = cells.filter("size > 1").select("cell", "least")
-    inside = members.join(several, "cell").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    across = met.join(cells.select(F.col("cell").alias("ca"), F.col("least").alias("x")), "ca").join(cells.select(F.col("cell").alias("cb"), F.col("least").alias("y")), "cb")
+    several = cells.filter("size > 1").select("cell", F.explode(F.array_distinct("hubs")).alias("hub"))
+    inside = members.join(several, "cell").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    star = met.filter("cell <> least").groupBy("cell").agg(F.min("least").alias("to"))
+    own = cells.select("cell", F.col("least").alias("x"))
+    across = star.join(own, "cell").join(own.select(F.col("cell").alias("to"), F.col("x").alias("y")), "to")
     pairs = inside.union(across.select(F.greatest("x", "y"), F.least("x", "y"))).filter("a <> b").distinct()
     near = pairs.join(_side(nodes, "x"), F.col("a") == F.col("x_node")).join(_side(nodes, "y"), F.col("b") == F.col("y_node")).filter(_may_agree())
-    first = scratch.table(near.groupBy("a").agg(F.min("b").alias("b")), "first")
-    links = scratch.table(verified(first, _texts(docs, nodes, first, scratch, id_col, text_col, "texts")), "links")
-    roots = scratch.table(_roots(nodes, links, scratch), "roots")
-
-    # pairs of members of cells that met, if they are still apart
-    apart = members.join(roots, "node").groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = scratch.table(apart, "apart")
-    both = met.join(apart.select(F.col("cell").alias("ca"), "low", "high"), "ca").join(apart.select(F.col("cell").alias("cb"), F.col("low").alias("l"), F.col("high").alias("h")), "cb")
-    todo = apart.filter("low < high").select(F.col("cell").alias("ca"), F.col("cell").alias("cb")).union(both.filter("least(low, l) < greatest(high, h)").select("ca", "cb"))
-    todo = scratch.table(todo, "todo")
-    asked = todo.select(F.col("ca").alias("cell")).union(todo.select("cb")).distinct()
-    open_ = scratch.table(members.join(asked, "cell", "left_semi").join(nodes.drop("words", "_sh_row"), "node").join(roots, "node"), "open")
+    near = scratch.table(near.select("a", "b", _differing().alias("far")), "near")
+    links, roots = None, nodes.select("node", F.col("node").alias("root"))
+    for k, by in enumerate((["a"], ["a", "rb"])):
+        # the least partner of each node, then the nearest in each of the other components
+        apart = near.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb")
+        best = F.min("b") if k == 0 else F.min_by("b", F.struct("far", "b"))
+        first = scratch.table(apart.groupBy(*by).agg(best.alias("b")).select("a", "b"), f"first_{k}")
+        found = verified(first, _texts(docs, nodes, first, scratch, id_col, text_col, f"texts_{k}"))
+        links = scratch.table(found if links is None else found.union(links), f"links_{k}")
+        roots = scratch.table(_roots(nodes, links, Scratch(docs.sparkSession)), f"roots_{k}")
+
+    # members of cells that met and are still apart, component by component: only values around which there are several are opened
+    held = members.join(roots, "node").groupBy("cell", "root").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("node"))
+    held = scratch.table(held, "held")
+    several = held.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h").select("cell")
+    inner = held.join(several, "cell", "left_semi").withColumn("value", F.col("cell"))
+    around = met.select("value", "cell").join(held, "cell")
+    mixed = around.groupBy("value").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h").select("value")
+    around = around.join(mixed, "value", "left_semi")
+    both = _apart(inner).union(_apart(around)).distinct()
+    single = both.filter("size = 1 AND o_size = 1").select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
+    single = single.join(_side(nodes, "x"), F.col("a") == F.col("x_node")).join(_side(nodes, "y"), (F.col("b") == F.col("y_node")) & _may_agree()).select("a", "b")
+    # the smaller side first
+    less = F.col("size") <= F.col("o_size")
+    first, other = (F.struct(F.col(f"{k}cell").alias("cell"), F.col(f"{k}root").alias("root")) for k in ("", "o_"))
+    todo = both.filter("size > 1 OR o_size > 1").select(F.when(less, first).otherwise(other).alias("x"), F.when(less, other).otherwise(first).alias("y"))
+    todo = scratch.table(todo.select(F.col("x.cell").alias("ca"), F.col("x.root").alias("ra"), F.col("y.cell").alias("cb"), F.col("y.root").alias("rb")), "todo")
+    asked = todo.select(F.col("ca").alias("cell"), F.col("ra").alias("root")).union(todo.select("cb", "rb")).distinct()
+    open_ = scratch.table(members.join(roots.drop("n"), "node").join(asked, ["cell", "root"], "left_semi").join(nodes.drop("words", "_sh_row"), "node"), "open")
     x, y = _side(open_, "x", "root", "cell"), _side(open_, "y", "root", "cell")
-    pairs = todo.join(x, F.col("ca") == F.col("x_cell")).join(y, (F.col("cb") == F.col("y_cell")) & (F.col("x_root") != F.col("y_root")) & _may_agree())
-    pairs = again.table(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct(), "pairs")
+    pairs = todo.join(x, (F.col("ca") == F.col("x_cell")) & (F.col("ra") == F.col("x_root"))).join(y, (F.col("cb") == F.col("y_cell")) & (F.col("rb") == F.col("y_root")) & _may_agree())
+    pairs = again.table(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).union(single).distinct(), "pairs")
     links = again.table(verified(pairs, _texts(docs, nodes, pairs, again, id_col, text_col, "texts")).union(links), "links")
     return rows.select("_sh_id", "_sh_row", "words").join(nodes.select("words", "node"), "words").join(_roots(nodes, links, again), "node").select("root", "_sh_id", "_sh_row")
 

@@ -7,72 +7,69 @@ from glossa.operators import schema
 from glossa.sources import ddl
 
 SQL = """
-CREATE TABLE public.articles (
-    id bigint NOT NULL,
-    title character varying,
-    a_id bigint NOT NULL,
-    published boolean DEFAULT false NOT NULL,
-    meta jsonb,
-    config jsonb NOT NULL,
-    amount numeric(10,2),
-    due_on date,
-    tags character varying[],
-    key character varying NOT NULL,
-    flag tinyint(1),
-    span interval,
-    r int4range,
-    n numrange,
-    person_id bigint NOT NULL,
-    CONSTRAINT pk PRIMARY KEY (id)
+CREATE TABLE depot.parcels (
+    number bigint NOT NULL,
+    fragile boolean DEFAULT false NOT NULL,
+    sheet jsonb,
+    rules jsonb NOT NULL,
+    weight numeric(8,3),
+    arrives date,
+    marks text[],
+    key text NOT NULL,
+    heavy tinyint(1),
+    travels interval,
+    shelf int4range,
+    price numrange,
+    goose_id bigint NOT NULL,
+    label character varying(40),
+    PRIMARY KEY (number)
 );
-CREATE TABLE IF NOT EXISTS "people" (
-    "full name" text,
-    KEY idx (name)
-) ENGINE=InnoDB;
-CREATE TABLE open_one (
+CREATE TABLE IF NOT EXISTS "geese" (
+    "ring number" text,
+    KEY by_ring (ring)
+);
+CREATE TABLE unfinished (
     id int,
 """
 KEYS = """
-ALTER TABLE ONLY public.articles
-    ADD CONSTRAINT fk_1 FOREIGN KEY (person_id) REFERENCES public.people(id);
-ALTER TABLE ONLY public.articles
-    ADD CONSTRAINT fk_2 FOREIGN KEY (owner_id) REFERENCES public.users(id);
-ALTER TABLE ONLY public.articles
-    ADD CONSTRAINT fk_3 FOREIGN KEY (writer) REFERENCES public.users(id);
+ALTER TABLE ONLY depot.parcels
+    ADD CONSTRAINT carried_by FOREIGN KEY (goose_id) REFERENCES depot.geese(id);
+ALTER TABLE ONLY depot.parcels
+    ADD CONSTRAINT sent_by FOREIGN KEY (sender_id) REFERENCES depot.clients(id);
+ALTER TABLE ONLY depot.parcels
+    ADD CONSTRAINT packed_by FOREIGN KEY (packer) REFERENCES depot.clients(id);
 """
 
 
 @pytest.fixture
 def texts(spark):
-    return spark.createDataFrame([("db/structure.sql", SQL.replace("CREATE TABLE open_one", KEYS + "CREATE TABLE open_one"))], "file string, content string")
+    return spark.createDataFrame([("db/structure.sql", SQL.replace("CREATE TABLE unfinished", KEYS + "CREATE TABLE unfinished"))], "file string, content string")
 
 
 def test_structure_columns(spark, texts):
-    rows = ddl.structure_columns(texts).filter("table = 'articles'")
+    rows = ddl.structure_columns(texts).filter("table = 'parcels'")
     shown = {r["column"]: (r["t"], r["nullable"]) for r in rows.select("column", rendered("type").alias("t"), "nullable").collect()}
     assert shown == {
-        "id": ("Integer", False), "title": ("String", True), "a_id": ("Integer", False), "published": ("bool", False), "meta": ("untyped", True), "config": ("untyped", False),
-        "amount": ("BigDecimal", True), "due_on": ("Date", True), "tags": ("Array[String]", True), "key": ("String", False), "flag": ("bool", True),
-        "span": ("ActiveSupport::Duration", True), "r": ("Integer", True), "n": ("untyped", True), "person_id": ("Integer", False),
+        "number": ("Integer", False), "fragile": ("bool", False), "sheet": ("untyped", True), "rules": ("untyped", False), "weight": ("BigDecimal", True), "arrives": ("Date", True), "marks": ("Array[String]", True),
+        "key": ("String", False), "heavy": ("bool", True), "travels": ("ActiveSupport::Duration", True), "shelf": ("Integer", True), "price": ("untyped", True), "goose_id": ("Integer", False), "label": ("String", True),
     }
     tables = {r["table"] for r in ddl.structure_columns(texts).collect()}
-    assert tables == {"articles", "people"}
-    assert [r["column"] for r in ddl.structure_columns(texts).filter("table = 'people'").collect()] == ["full name"]
+    assert tables == {"parcels", "geese"}
+    assert [r["column"] for r in ddl.structure_columns(texts).filter("table = 'geese'").collect()] == ["ring number"]
 
 
 def test_accessors_and_associations(spark, texts):
     columns, keys = ddl.structure_columns(texts), ddl.structure_foreign_keys(texts)
-    people = inflect.Inflections({"people": "person"})
-    classes = schema.model_classes(columns, project=people)
-    assert {tuple(r) for r in classes.collect()} == {("articles", "Article"), ("people", "Person")}
+    classes = schema.model_classes(columns, project=inflect.Inflections({"geese": "goose"}))
+    assert {tuple(r) for r in classes.collect()} == {("parcels", "Parcel"), ("geese", "Goose")}
     links = schema.associations(keys, columns, classes)
-    assert {(r["name"], r["target_class"], r["nullable"]) for r in links.collect()} == {("person", "Person", False), ("owner", "User", True)}
-    rows = schema.accessors(columns, classes, links, spark.createDataFrame([("Article", "title")], "class string, name string"))
-    ret = {r["name"]: r["t"] for r in rows.filter("class = 'Article'").select("name", rendered("ret").alias("t")).collect()}
-    assert ret["published?"] == "bool" and ret["amount"] == "BigDecimal?" and ret["person"] == "Person" and ret["owner="] == "User?" and ret["meta"] == "untyped"
-    assert "title" not in ret and "title=" in ret and "owner?" not in ret
-    dirty = schema.dirty_methods(columns, classes, spark.createDataFrame([("Article", "title_was"), ("Article", "title_change")], "class string, name string"))
-    assert {r["name"]: r["t"] for r in dirty.select("name", rendered("ret").alias("t")).collect()} == {"title_was": "String?", "title_change": "[String?, String?]?"}
+    assert {(r["name"], r["target_class"], r["nullable"]) for r in links.collect()} == {("goose", "Goose", False), ("sender", "Client", True)}
+    rows = schema.accessors(columns, classes, links, spark.createDataFrame([("Parcel", "label")], "class string, name string"))
+    ret = {r["name"]: r["t"] for r in rows.filter("class = 'Parcel'").select("name", rendered("ret").alias("t")).collect()}
+    assert ret["fragile?"] == "bool" and ret["weight"] == "BigDecimal?" and ret["goose"] == "Goose" and ret["sender="] == "Client?" and ret["sheet"] == "untyped"
+    assert "label" not in ret and "label=" in ret and "sender?" not in ret
+    dirty = schema.dirty_methods(columns, classes, spark.createDataFrame([("Parcel", "label_was"), ("Parcel", "label_change")], "class string, name string"))
+    assert {r["name"]: r["t"] for r in dirty.select("name", rendered("ret").alias("t")).collect()} == {"label_was": "String?", "label_change": "[String?, String?]?"}
 
 
 def test_inflections(spark):
@@ -92,7 +89,7 @@ def test_ruby_schema(spark):
 
 
 def test_checked_not_null(spark):
-    df = spark.createDataFrame([("(people.name IS NOT NULL)",), ("a IS NOT NULL AND b",), ('"x" is not null',)], "e string")
+    df = spark.createDataFrame([("(geese.name IS NOT NULL)",), ("a IS NOT NULL AND b",), ('"x" is not null',)], "e string")
     assert [r[0] for r in df.select(ddl.checked_not_null(F.col("e"))).collect()] == ["name", None, "x"]
 
 
