@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions import columns, inflect, signatures
+from glossa.functions import columns, flow, inflect
 from glossa.functions import terms as T
-from glossa.operators import calls, coverage, dependencies, extensions, generators, lookup, merge, provenance, queries, render, reports, schema
-from glossa.plans.fixpoint import shared_dir
-from glossa.sources import ddl, ruby
+from glossa.operators import calls, coverage, extensions, flows, generators, lookup, merge, provenance, queries, render, reports, schema
+from glossa.plans.fixpoint import reach, shared_dir
+from glossa.sources import ddl, ruby, scenarios
 from glossa.sources import signatures as sources
 from glossa.streaming import workspace
 
@@ -693,3 +693,181 @@ def kernel_f30_content_hashes(spark, sf_dir):
     """Equal texts have equal hashes, different ones different hashes."""
     rows = _read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("content"))
     return rows.select(workspace.content_hash().alias("h")).agg(F.countDistinct("h").alias("contents"), F.count("*").alias("files"))
+
+
+# flows: lines of an order as what its method does, in order
+
+
+def _uses(spark, sf_dir) -> DataFrame:
+    use = F.when(F.col("l_returnflag") == "A", "called").when(F.col("l_returnflag") == "N", "returned").otherwise(F.when(F.col("l_linestatus") == "F", "read").otherwise("yielded"))
+    rows = _read(spark, sf_dir, "lineitem")
+    return rows.select(F.lit("C").alias("class"), _n("l_orderkey").alias("name"), (F.col("l_linenumber") % 2).alias("idx"), F.when(F.col("l_tax") >= 0.08, "narrowed").otherwise(use).alias("use"))
+
+
+USES = """u AS (SELECT l_orderkey::VARCHAR AS name, l_linenumber % 2 AS idx, CASE WHEN l_tax >= 0.08 THEN 'narrowed' WHEN l_returnflag = 'A' THEN 'called' WHEN l_returnflag = 'N' THEN 'returned' WHEN l_linestatus = 'F' THEN 'read' ELSE 'yielded' END AS use FROM lineitem),
+f AS (SELECT name, idx, CASE WHEN bool_and(use = 'called') THEN 'called' WHEN bool_and(use IN ('returned', 'yielded')) THEN 'pass_through' WHEN bool_or(use IN ('returned', 'yielded')) THEN 'constrained' END AS flow FROM u GROUP BY 1, 2 HAVING NOT bool_or(use = 'narrowed'))"""
+
+
+@query(f"WITH {USES} SELECT name, idx, flow FROM f WHERE flow IS NOT NULL")
+def kernel_b01_param_flows(spark, sf_dir):
+    """Lines as uses of one of two parameters of their order."""
+    return flows.param_flows(_uses(spark, sf_dir)).drop("class")
+
+
+@query(f"""WITH {USES} SELECT name, idx, CASE WHEN flow = 'called' THEN '^(*untyped) -> ' ELSE '' END || chr(CASE WHEN row_number() OVER (PARTITION BY name ORDER BY idx) = 1 THEN 84 ELSE 85 END) AS shown, CASE WHEN flow = 'constrained' THEN 'Type' || idx END AS bound FROM f WHERE flow IS NOT NULL""")
+def kernel_b11_inferred_type_params(spark, sf_dir):
+    uses = _uses(spark, sf_dir)
+    params = uses.select("class", "name", "idx", F.concat(F.lit("Type"), "idx").alias("type")).distinct()
+    return flows.inferred_type_params(params, flows.param_flows(uses)).select("name", "idx", "shown", "bound")
+
+
+def _ways(spark, sf_dir) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem")
+    return rows.select(F.lit("C").alias("class"), _n("l_orderkey").alias("name"), F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus").alias("path"), (F.col("l_returnflag") == "R").alias("invoked"), F.when(F.col("l_returnflag") == "A", _text("s", (F.col("l_suppkey") % 2).cast("string"))).alias("forward"), (F.col("l_quantity") < 5).alias("dead"), F.col("l_linestatus").alias("status"))
+
+
+RUNS = """CASE WHEN bool_and(l_returnflag = 'R') THEN 'always' WHEN bool_or(l_returnflag = 'R') THEN 'maybe' ELSE 'never' END AS runs,
+CASE WHEN bool_and(l_returnflag = 'A') AND min(l_suppkey % 2) = max(l_suppkey % 2) THEN 's' || min(l_suppkey % 2) END AS forward"""
+
+
+@query(f"SELECT l_orderkey::VARCHAR AS name, {RUNS} FROM lineitem WHERE l_quantity >= 5 GROUP BY 1")
+def kernel_b02_block_flow(spark, sf_dir):
+    """Lines as ways through a method: returned ones run the block, others hand it on or drop it; small ones can't be taken."""
+    return flows.block_flow(_ways(spark, sf_dir).drop("status")).drop("class")
+
+
+@query(f"""SELECT o_orderkey AS site_id, {RUNS} FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 5 AND (o_orderkey % 3 = 0 OR (l_linestatus = 'O') = (o_orderkey % 3 = 1)) GROUP BY 1""")
+def kernel_b03_block_flow_for_literals(spark, sf_dir):
+    """Calls that pass O or F, or nothing known; lines are taken by their status only."""
+    ways = _ways(spark, sf_dir)
+    conditions = ways.select("class", "name", "path", F.lit(0).alias("idx"), F.col("status").alias("literal"), F.lit(True).alias("equal"))
+    literal = F.when(F.col("o_orderkey") % 3 == 1, "O").when(F.col("o_orderkey") % 3 == 2, "F")
+    asked = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site_id"), F.lit("C").alias("class"), _n("o_orderkey").alias("name"), F.array(literal).alias("literals"))
+    return flows.block_flow_for_literals(ways.drop("status").distinct(), conditions.distinct(), asked)
+
+
+def _events(spark, sf_dir, kind: Column, *more: Column) -> DataFrame:
+    """Events of a user as statements about one local."""
+    return _read(spark, sf_dir, "events").select(F.lit("C").alias("class"), _n("user_id").alias("name"), F.lit(0).alias("path"), F.lit("x").alias("local"), F.col("event_id").alias("ord"), kind.alias("kind"), *more)
+
+
+PARTED = "e AS (SELECT *, sum(CASE WHEN event_type IN ({}) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM events)"
+
+
+@query(f"""WITH {PARTED.format("'error'")} SELECT r.user_id::VARCHAR AS name, r.event_id AS ord, coalesce((SELECT string_agg(DISTINCT 'k' || (w.event_id % 7), ',' ORDER BY 'k' || (w.event_id % 7)) FROM e w
+WHERE w.user_id = r.user_id AND w.part = r.part AND w.event_id < r.event_id AND w.event_type IN ('click', 'signup')), '') AS keys FROM e r WHERE r.event_type = 'view'""")
+def kernel_b05_b06_key_facts(spark, sf_dir):
+    """Clicks write a key, signups guard one, errors break all, views read."""
+    t = F.col("event_type")
+    kind = F.when(t == "click", "write").when(t == "signup", "guard").when(t == "error", "break").when(t == "view", "read").otherwise("other")
+    found = flows.key_facts(_events(spark, sf_dir, kind, _text("k", (F.col("event_id") % 7).cast("string")).alias("key")))
+    return found.select("name", "ord", F.array_join("keys", ",").alias("keys"))
+
+
+@query(f"""WITH {PARTED.format("'error'")} SELECT r.user_id::VARCHAR AS name, r.event_id AS ord, coalesce((SELECT max(CASE WHEN w.event_type = 'click' THEN w.event_id % 5 ELSE w.event_id % 5 + 1 END) FROM e w
+WHERE w.user_id = r.user_id AND w.part = r.part AND w.event_id < r.event_id AND w.event_type IN ('click', 'signup')), 0) AS min_size FROM e r WHERE r.event_type = 'view'""")
+def kernel_b07_element_guards(spark, sf_dir):
+    """Clicks guard a size, signups an element."""
+    t = F.col("event_type")
+    kind = F.when(t == "click", "size").when(t == "signup", "element").when(t == "error", "break").when(t == "view", "read").otherwise("other")
+    return flows.element_guards(_events(spark, sf_dir, kind, (F.col("event_id") % 5).alias("n"))).select("name", "ord", "min_size")
+
+
+@query(f"""WITH {PARTED.format("'error', 'purchase'")} SELECT r.user_id::VARCHAR AS name, r.event_id AS ord, (SELECT arg_max('T' || w.event_id, w.event_id) FROM e w
+WHERE w.user_id = r.user_id AND w.part = r.part AND w.event_id < r.event_id AND w.event_type = 'click' AND EXISTS (SELECT 1 FROM e n WHERE n.user_id = r.user_id AND n.part = r.part AND n.event_type = 'purchase')) AS type FROM e r WHERE r.event_type = 'view'""")
+def kernel_b08_exclusive_attributes(spark, sf_dir):
+    """Purchases make a fresh object, clicks write its attribute, errors let it escape, views read."""
+    t = F.col("event_type")
+    kind = F.when(t == "purchase", "new").when(t == "click", "write").when(t == "error", "escape").when(t == "view", "read").otherwise("other")
+    return flows.exclusive_attributes(_events(spark, sf_dir, kind, F.lit("a").alias("attribute"), _text("T", _n("event_id")).alias("type"))).select("name", "ord", "type")
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id, event_type FROM events WHERE event_type <> 'error' GROUP BY ALL), r AS (SELECT DISTINCT user_id AS root, user_id FROM events UNION SELECT root, user_id + 1 FROM r WHERE user_id % 5 <> 4 AND user_id + 1 IN (SELECT user_id FROM events))
+SELECT 'U' || root AS class, (SELECT string_agg(DISTINCT '@' || event_type, ',' ORDER BY '@' || event_type) FROM r q JOIN w USING (user_id) WHERE q.root = r.root) AS ivars FROM r GROUP BY root""")
+def kernel_b04_self_effects(spark, sf_dir):
+    """Users as methods that write their events' variables and call the next user, up to every fifth."""
+    rows = _read(spark, sf_dir, "events")
+    users = rows.select("user_id").distinct()
+    one = F.lit("U")
+    own = rows.filter("event_type <> 'error'").groupBy("user_id").agg(F.collect_set(_text("@", F.col("event_type"))).alias("ivars"))
+    own = users.join(own, "user_id", "left").select(one.alias("class"), _n("user_id").alias("method"), F.coalesce("ivars", F.array().cast("array<string>")).alias("ivars"), F.lit(False).alias("opaque"))
+    edges = users.filter("user_id % 5 <> 4").join(users.select((F.col("user_id") - 1).alias("user_id")), "user_id")
+    found = flow.self_effects(own, edges.select(one.alias("class"), _n("user_id").alias("method"), (F.col("user_id") + 1).cast("string").alias("callee")), reach)
+    return found.select(_text("U", F.col("method")).alias("class"), F.nullif(F.array_join("ivars", ","), F.lit("")).alias("ivars"))
+
+
+@query("""SELECT n_nationkey AS k, 'Array[N' || n_nationkey || '?]' AS first, 'Hash[Symbol, Array[N' || n_nationkey || '?]]' AS second, 'untyped' AS circle FROM nation""")
+def kernel_b20_r07_b41_type_aliases(spark, sf_dir):
+    """Aliases that name aliases, and a circle of them."""
+    n = [r["n_nationkey"] for r in _read(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows: aliases of one file each
+    out = []
+    for k in n:
+        raw = {"a": T.array(T.cls("c")), "b": ("hash", T.SYMBOL, T.cls("a")), "c": T.union(T.cls(f"N{k}"), T.NIL), "x": T.cls("y"), "y": T.cls("x")}
+        found = sources.resolve_aliases(raw)
+        out.append((k, T.dumps(found["a"]), T.dumps(found["b"]), T.dumps(found["x"])))
+    rows = spark.createDataFrame(out, "k int, first string, second string, circle string")
+    return rows.select("k", *[columns.rendered(c).alias(c) for c in ("first", "second", "circle")])
+
+
+@query("SELECT 'B' || n_nationkey AS class, 'T, U' AS params, 'def put: (untyped a, untyped b) -> Array[untyped]' AS text FROM nation")
+def kernel_s11_class_type_parameters(spark, sf_dir):
+    """Classes with declared type parameters; where nothing binds them, their methods' types are untyped."""
+    content = _text("class B", _n("n_nationkey"), "[T, U]\n  def put: (T a, U b) -> Array[T]\nend\n")
+    declared = sources.declarations(_read(spark, sf_dir, "nation").select(_n("n_nationkey").alias("file"), content.alias("content")))
+    line = render.method_line("name", "overloads", "singleton", F.lit(False), F.lit(True))
+    methods = declared.filter("row = 'method'").select(F.col("owner").alias("class"), line.alias("text"))
+    return sources.classes(declared).select("class", F.array_join("type_params", ", ").alias("params")).join(methods, "class")
+
+
+@query("""SELECT 'N' || n_nationkey AS class, name, 'late' AS ret FROM nation, (VALUES ('a'), ('b')) v(name) WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'N' || n_nationkey, 'b', 'early' FROM nation WHERE n_nationkey % 2 = 1""")
+def kernel_b22_pending_aliases(spark, sf_dir):
+    """Aliases of b whose source is loaded later: the first pass leaves them, the second adds them."""
+    n = _read(spark, sf_dir, "nation").select(_text("N", _n("n_nationkey")).alias("class"), "n_nationkey")
+    no = F.lit(False).alias("singleton")
+    early = n.filter("n_nationkey % 2 = 1").select("class", F.lit("b").alias("name"), no, F.lit("early").alias("ret"))
+    late = n.filter("n_nationkey % 2 = 0").select("class", F.lit("a").alias("name"), no, F.lit("late").alias("ret"))
+    aliases = n.select("class", F.lit("b").alias("name"), no, F.lit("a").alias("old"))
+    first = sources.apply_method_aliases(early, aliases)
+    return sources.apply_method_aliases(first.unionByName(late), aliases).drop("singleton")
+
+
+@query("""SELECT 'N' || n_nationkey AS class, CASE n_nationkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS fits FROM nation""")
+def kernel_b53_f32_duck_types(spark, sf_dir):
+    """Arguments against duck types: classes that answer all its methods, lack one, or are not known whole."""
+    n = _read(spark, sf_dir, "nation").select(_text("N", _n("n_nationkey")).alias("class"), "n_nationkey")
+    names = n.select("class", F.explode(F.when(F.col("n_nationkey") % 3 == 0, F.array(*map(F.lit, ["begin", "end", "exclude_end?"]))).otherwise(F.array(F.lit("begin")))).alias("name"))
+    paths = n.select("class", F.col("class").alias("owner"))
+    wanted = lookup.builtin_interfaces(spark).filter("interface = '_Range'")
+    answers = lookup.responds_to_all(n, wanted, paths, names).select("class", F.lit(True).alias("all"))
+    known = F.col("n_nationkey") % 3 != 2
+    return n.join(answers, "class", "left").select("class", F.when(F.coalesce("all", F.lit(False)), 2).when(known, 0).otherwise(1).alias("fits"))
+
+
+@query("""SELECT 'N' || n_nationkey AS class, name, CASE WHEN block THEN 'Array[N' || n_nationkey || ']' WHEN name = 'join' THEN 'Array[N' || n_nationkey || ']' END AS records FROM nation, (VALUES ('select', true), ('select', false), ('join', false), ('where', false)) v(name, block)""")
+def kernel_f17_records_receivers(spark, sf_dir):
+    """Relation calls that run on loaded records: with a block, or because relations don't have them."""
+    asked = F.array(*[F.struct(F.lit(m).alias("name"), F.lit(b).alias("block")) for m, b in (("select", True), ("select", False), ("join", False), ("where", False))])
+    term = _text('["generic","ActiveRecord::Relation",[["class","N', _n("n_nationkey"), '"]]]')
+    rows = _read(spark, sf_dir, "nation").select(_text("N", _n("n_nationkey")).alias("class"), term.alias("t"), F.explode(asked).alias("m")).select("class", "t", "m.*")
+    found = rows.withColumn("records", columns.records_receiver("t", "name", "block"))
+    return found.select("class", "name", F.when(F.col("records").isNotNull(), columns.rendered(F.coalesce("records", F.lit('["nil"]')))).alias("records"))
+
+
+@query("""SELECT 'n' || n_nationkey || '.md' AS file, 'Case ' || n_nationkey AS "case", step, 'def a = ' || step || chr(10) AS ruby, 'def a: () -> ' || step || chr(10) AS expected, n_nationkey % 2 = 0 AS known_issue, CASE WHEN step = 0 THEN 'lib/x.rb' ELSE '' END AS paths FROM nation, (VALUES (0), (1)) v(step)""")
+def kernel_s38_s41_scenarios(spark, sf_dir):
+    """Test cases in Markdown, each with two steps; the first has a project file beside the current one."""
+    known = F.when(F.col("n_nationkey") % 2 == 0, "true").otherwise("false")
+    step = lambda k, extra="": f"### update\n\n{extra}```ruby\ndef a = {k}\n```\n\n### result\n\n```rbs\ndef a: () -> {k}\n```\n"
+    content = _text("# Title\n\n## Case ", _n("n_nationkey"), '\n\n```yaml\nruby_version: "3.3"\nknown_issue: ', known, "\n```\n\n", step(0, "### file: lib/x.rb\n\n```ruby\nclass X; end\n```\n\n"), "\n", step(1))
+    rows = scenarios.steps(_read(spark, sf_dir, "nation").select(_text("n", _n("n_nationkey"), ".md").alias("file"), content.alias("content")))
+    return rows.filter("error IS NULL AND ruby_version = '3.3'").select("file", "case", "step", "ruby", "expected", "known_issue", F.array_join(F.transform("project", lambda p: p.path), ",").alias("paths"))
+
+
+@query(f"""SELECT event_id, CASE event_type WHEN 'click' THEN 'Integer' WHEN 'view' THEN 'true' WHEN 'error' THEN '-' WHEN 'signup' THEN '-' ELSE 'String' END AS truthy,
+CASE event_type WHEN 'click' THEN 'nil' WHEN 'view' THEN 'false' WHEN 'error' THEN 'nil' WHEN 'signup' THEN 'false' ELSE '-' END AS falsy, CASE event_type WHEN 'click' THEN 'Integer' WHEN 'view' THEN 'bool' WHEN 'error' THEN 'bot' WHEN 'signup' THEN 'false' ELSE 'String' END AS non_nil FROM events""")
+def kernel_p02_p03_p04_projections(spark, sf_dir):
+    """What is left of a value that is known to be truthy, falsy, or not nil."""
+    t = F.col("event_type")
+    term = F.when(t == "click", T.dumps(T.union(T.INTEGER, T.NIL))).when(t == "view", T.dumps(T.BOOL)).when(t == "error", T.dumps(T.NIL)).when(t == "signup", T.dumps(T.FALSE)).otherwise(T.dumps(T.STRING))
+    show = lambda c: F.when(c.isNull(), "-").otherwise(columns.rendered(F.coalesce(c, F.lit('["nil"]'))))
+    return _read(spark, sf_dir, "events").select("event_id", show(columns.truthy(term)).alias("truthy"), show(columns.falsy(term)).alias("falsy"), show(columns.non_nil(term)).alias("non_nil"))

@@ -89,6 +89,13 @@ def known_return(receiver: pd.Series, method: pd.Series) -> pd.Series:
     return pd.Series([one(r, m) for r, m in zip(receiver, method)], dtype="object")
 
 
+@arrow("string")
+def records_receiver(receiver: pd.Series, method: pd.Series, block: pd.Series) -> pd.Series:
+    """The array of records that a relation call runs on; null if the relation itself answers."""
+    found = [returns.records_receiver(terms.loads(r), m, bool(b)) for r, m, b in zip(receiver, method, block)]
+    return pd.Series([None if t is None else terms.dumps(t) for t in found], dtype="object")
+
+
 @arrow("array<string>")
 def canonical_order(ts: pd.Series) -> pd.Series:
     """Terms of an array in the canonical order."""

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import LARGE_ROWS, Scratch, WordHashes, chunks, mix, parts, release, rows_of, utf8_size
+from glossa.llm.common import LARGE_ROWS, Scratch, WordHashes, chunks, mix, parts, release, utf8_size
 
 WINDOW, SEED = 20, 8
 SEEDS_IN = WINDOW - SEED + 1
@@ -109,6 +109,9 @@ class Windows:
         self.h = np.concatenate([hashes.array(w) for w in words]) if words else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(words)), self.count)
         self.place = np.arange(len(self.h)) - self.first[self.doc]
+
+    def sift(self) -> "Windows":
+        """The least k-mer of each window: least, seeds and times."""
         size = max(0, len(self.h) - WINDOW + 1)
         self.valid = (self.place + WINDOW <= self.count[self.doc])[:size]
         grams = mix(_powers(self.h, P1, SEED).get(SEED, np.empty(0, np.uint64)))
@@ -119,6 +122,7 @@ class Windows:
         around = _sliding(padded, SEEDS_IN, np.maximum)[: len(grams)]
         chosen = grams[: len(around)][(grams[: len(around)] == around) & (around != 0)]
         self.seeds, self.times = np.unique(chosen, return_counts=True)
+        return self
 
     def candidates(self, recurring: np.ndarray) -> np.ndarray:
         """Starts of valid windows whose least k-mer recurs here or elsewhere (recurring: sorted)."""
@@ -165,6 +169,9 @@ SENT_KINDS = {LATER: (np.uint32, np.int64, np.int32), HEAD: (np.uint32,), BACK:
 #: Windows in a block, by which spans meet pieces.
 BLOCK = 256
 LISTED = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+#: A span: where it stands (document, place, place in the chunk), windows, source, path and place on it.
+SPAN = ["doc", "place", "at", "n", "source_doc", "source", "path", "offset"]
+SPAN_DDL = "doc long, place long, at long, n int, source_doc long, source long, path long, offset long"
 LISTED_DDL = "kind string, chunk long, doc long, place long, at long, n int, source_doc long, source long, nodes array<long>"
 
 
@@ -176,12 +183,24 @@ def _bucketed(where: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[tup
         yield int(where[a]), _arrays(*(x[order[a:b]] for x in arrays))
 
 
-def _sent(packs: list | None, kind: int) -> list[np.ndarray]:
+def _sent_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, pa.StructArray | None]]:
+    """chunk, rows and what was sent to the chunk, as arrays."""
+    for k in range(batch.num_rows):
+        sent = batch.column(2)[k]
+        yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), sent.values if sent.is_valid and len(sent.values) else None
+
+
+def _sent(packs: pa.StructArray | None, kind: int) -> list[np.ndarray]:
     """The arrays of one kind that a chunk was sent."""
-    found = [_read(x["pack"], *SENT_KINDS[kind]) for x in packs or [] if x["kind"] == kind]
+    pairs = zip(packs.field("kind").to_pylist(), packs.field("pack").to_pylist()) if packs is not None else ()
+    found = [_read(p, *SENT_KINDS[kind]) for k, p in pairs if k == kind]
     return [np.concatenate(x).astype(np.int64) for x in zip(*found)] if found else [np.empty(0, np.int64) for _ in SENT_KINDS[kind]]
 
 
+def _columns(packs: pa.StructArray | None, *names: str) -> list[np.ndarray]:
+    return [np.asarray(packs.field(c)).astype(np.int64) if packs is not None else np.empty(0, np.int64) for c in names]
+
+
 def _breaks(*keys: np.ndarray) -> np.ndarray:
     """Where runs begin: places at which some key is not the one before plus its step. keys: pairs of an array and its step."""
     new = np.zeros(len(keys[0][0]), bool)
@@ -210,7 +229,7 @@ class Graph:
             hashes = WordHashes()
             for batch, texts in chunks(batches, "text", CHUNK_BYTES):
                 chunk = uuid.uuid4().int >> 65
-                seeds = Windows([t.split() for t in texts], hashes).seeds
+                seeds = Windows([t.split() for t in texts], hashes).sift().seeds
                 packs = list(_bucketed((seeds % np.uint64(buckets)).astype(np.int64), (seeds,)))
                 n = len(packs)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *(b for b, _ in packs)], pa.int64()), pa.array([None, *(p for _, p in packs)], pa.large_binary()), pa.array([pack_rows(batch.column(0).to_pylist(), texts), *[None] * n], pa.large_binary())], schema=PACKED)
@@ -236,10 +255,10 @@ class Graph:
             hashes = WordHashes()
             for batch in batches:
                 release()
-                for chunk, rows_, packs in rows_of(batch):
+                for chunk, rows_, packs in _sent_rows(batch):
                     keys, _, texts = unpack_rows(rows_)
-                    w = Windows([t.split() for t in texts], hashes)
-                    recurring = np.unique(np.concatenate([np.frombuffer(p["pack"], np.uint64) for p in packs])) if packs else np.empty(0, np.uint64)
+                    w = Windows([t.split() for t in texts], hashes).sift()
+                    recurring = np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in packs.field("pack").to_pylist()])) if packs is not None else np.empty(0, np.uint64)
                     starts = w.candidates(recurring)
                     if not len(starts):
                         continue
@@ -313,7 +332,7 @@ class Graph:
             hashes = WordHashes()
             for batch in batches:
                 release()
-                for chunk, rows_, packs in rows_of(batch):
+                for chunk, rows_, packs in _sent_rows(batch):
                     keys, _, texts = unpack_rows(rows_)
                     w = Windows([t.split() for t in texts], hashes)
                     own = np.unique(keys)
@@ -403,40 +422,50 @@ class Graph:
         return met.select("chunk", "doc", (F.col("place") + shift).alias("place"), (F.col("at") + shift).alias("at"), (end - begin).cast("int").alias("n"), "source_doc", begin.alias("source"), "path", (F.col("offset") + begin - F.col("p")).alias("offset"))
 
     def _digests(self, asked: DataFrame) -> DataFrame:
-        """asked (chunk, doc, place, n windows) with the digest of the words there, from every row of the chunk with that id."""
+        """asked with the digest of the words: of a span where it stands, of a source in every row of the chunk with that id.
+
+        asked: chunk, own (whether it is a span, else its source), and SPAN.
+        """
 
         def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 release()
-                for chunk, rows_, packs in rows_of(batch):
+                for chunk, rows_, packs in _sent_rows(batch):
+                    if packs is None:
+                        continue
                     keys, _, texts = unpack_rows(rows_)
-                    of: dict[int, list[int]] = {}
-                    for k, i in enumerate(keys.tolist()):
-                        of.setdefault(i, []).append(k)
-                    split: dict[int, list[bytes]] = {}
-                    out = []
-                    for x in sorted(packs or [], key=lambda x: x["doc"]):
-                        for k in of.get(x["doc"], []):
-                            if k not in split:
-                                split = {k: texts[k].split()} if len(of[x["doc"]]) == 1 else split | {k: texts[k].split()}
-                            end = x["place"] + x["n"] + WINDOW - 1
-                            if end <= len(split[k]):
-                                out.append((chunk, x["doc"], x["place"], x["n"], _digest(split[k][x["place"] : end])))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "doc", "place", "n", "digest"])
-
-        return self._joined(asked).mapInArrow(digested, "chunk long, doc long, place long, n int, digest binary").distinct()
+                    split = [t.split() for t in texts]
+                    count = np.fromiter(map(len, split), np.int64, len(split))
+                    first = np.cumsum(count) - count
+                    words = [w for ws in split for w in ws]
+                    own = np.asarray(packs.field("own").to_numpy(zero_copy_only=False), bool)
+                    at, n, doc, place = _columns(packs, "at", "n", "source_doc", "source")
+                    mine = np.flatnonzero(own)
+                    # a source's rows: those with its id, if they are long enough
+                    order = np.argsort(keys, kind="stable")
+                    theirs = np.flatnonzero(~own)
+                    low, high = np.searchsorted(keys[order], doc[theirs], "left"), np.searchsorted(keys[order], doc[theirs], "right")
+                    rows = np.repeat(theirs, high - low)
+                    held = order[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(len(rows))] if len(rows) else rows
+                    fits = place[rows] + n[rows] + WINDOW - 1 <= count[held]
+                    rows, held = rows[fits], held[fits]
+                    which = np.concatenate([mine, rows])
+                    begin = np.concatenate([at[mine], first[held] + place[rows]])
+                    digests = [_digest(words[x:y]) for x, y in zip(begin.tolist(), (begin + n[which] + WINDOW - 1).tolist())]
+                    taken = packs.take(pa.array(which))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), chunk)), *(taken.field(c) for c in ("own", *SPAN)), pa.array(digests, pa.binary())], names=["chunk", "own", *SPAN, "digest"])
+
+        return self._joined(asked).mapInArrow(digested, f"chunk long, own boolean, {SPAN_DDL}, digest binary")
 
     def verified(self, spans: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         """spans with `equal`: whether the words at a span and at its source coordinates are the same. docs: doc, chunk."""
-        own = spans.select("chunk", "doc", "place", "n")
-        wanted = spans.select(F.col("source_doc").alias("doc"), F.col("source").alias("place"), "n").distinct().join(docs, "doc").select("chunk", "doc", "place", "n")
-        found = self.scratch.table(self._digests(own.union(wanted).distinct()), name)
-        there = found.select(F.col("doc").alias("source_doc"), F.col("place").alias("source"), "n", "digest").distinct()
-        here = spans.join(found, ["chunk", "doc", "place", "n"], "left")
-        equal = here.join(there.withColumn("met", F.lit(True)), ["source_doc", "source", "n", "digest"], "left")
-        keys = ["chunk", "doc", "place", "at", "n", "source_doc", "source", "path", "offset"]
-        return equal.groupBy(*keys).agg(F.coalesce(F.max("met"), F.lit(False)).alias("equal"))
+        nothing = [F.lit(0).cast("long").alias(c) for c in ("doc", "place", "at")]
+        wanted = spans.select("source_doc", "source", "n").distinct().join(docs.withColumnRenamed("doc", "source_doc"), "source_doc")
+        wanted = wanted.select("chunk", F.lit(False).alias("own"), *nothing, "n", "source_doc", "source", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("offset"))
+        found = self.scratch.table(self._digests(spans.select("chunk", F.lit(True).alias("own"), *SPAN).union(wanted)), name)
+        there = found.filter("NOT own").select("source_doc", "source", "n", "digest").distinct().withColumn("met", F.lit(True))
+        here = found.filter("own").join(there, ["source_doc", "source", "n", "digest"], "left")
+        return here.select("chunk", *SPAN, F.col("met").isNotNull().alias("equal"))
 
     def spans(self) -> DataFrame:
         """chunk, doc, place, at, n, source_doc, source, path, offset of every verified span."""
@@ -464,13 +493,13 @@ class Graph:
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, rows_, packs in rows_of(batch):
+                for _, rows_, packs in _sent_rows(batch):
                     keys, null, own = unpack_rows(rows_)
                     words = [t.split() for t in own]
                     count = np.fromiter(map(len, words), np.int64, len(words))
                     first = np.cumsum(count) - count
                     doc_of = np.repeat(np.arange(len(words)), count)
-                    start, n, path, offset = (np.array([p[c] for p in packs or []], np.int64) for c in ("at", "n", "path", "offset"))
+                    start, n, path, offset = _columns(packs, "at", "n", "path", "offset")
                     edge = np.zeros(int(count.sum()) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + n + WINDOW - 1, -1)
