@@ -1,11 +1,13 @@
 """Diagnostics: what is wrong for sure. Whatever can't be judged stays silent.
 
-Sites: file, start, end, line, column, end_line, end_column and what each rule asks for. World facts (class, ancestors) are bundled
-for the compatibility rules by `world`, whose size is checked before it is broadcast.
+Sites: file, start, end, line, column, end_line, end_column and what each rule asks for. World facts (class, ancestors) stay tables, joined
+to the distinct pairs of types that a rule has to judge.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +16,6 @@ from glossa.functions.udf import arrow
 from glossa.functions import binding, compat, terms
 from glossa.functions.compat import NO, World
 
-#: Classes that a world may hold to be shipped to the executors; beyond it rules are judged by joins on the pairs they need.
-MAX_WORLD = 2_000_000
 POSITION = ["file", "start", "end", "line", "column", "end_line", "end_column"]
 DIAGNOSTIC = [
     "path", "line", "column", "end_line", "end_column", "byte_start", "byte_end", "severity", "code", "message", "method_name", "unresolved_method",
@@ -23,19 +23,24 @@ DIAGNOSTIC = [
 ]
 
 
-def world(paths: DataFrame, classes: DataFrame, methods: DataFrame, rails: bool = True) -> World:
-    """Facts about classes for the compatibility rules. Raises ValueError beyond MAX_WORLD rows."""
-    if paths.limit(MAX_WORLD + 1).count() > MAX_WORLD:
-        raise ValueError("too many classes to ship; restrict paths to the classes that sites name")
-    rows = paths.groupBy("class").agg(F.collect_set("owner").alias("a")).collect()
-    modules = frozenset(r["class"] for r in classes.filter("is_module").select("class").collect())
+@dataclass(frozen=True)
+class Facts:
+    """What the compatibility rules ask about classes, as tables: paths (class, owner), modules and dynamic (class)."""
+
+    paths: DataFrame
+    modules: DataFrame
+    dynamic: DataFrame
+    rails: bool = True
+
+
+def world(paths: DataFrame, classes: DataFrame, methods: DataFrame, rails: bool = True) -> Facts:
+    """Facts about classes for the compatibility rules. Nothing is gathered: rules join what their pairs of types name."""
     answers = methods.filter("name = 'method_missing'").select(F.col("class").alias("owner")).distinct()
-    dynamic = frozenset(r["class"] for r in paths.join(answers, "owner").select("class").distinct().collect())
-    return World({r["class"]: frozenset(r["a"]) for r in rows}, modules, dynamic, rails)
+    return Facts(paths.select("class", "owner").distinct(), classes.filter("is_module").select("class").distinct(), paths.join(answers, "owner").select("class").distinct(), rails)
 
 
 def compatibility(actual: Column, declared: Column, facts: World, rule=compat.fits) -> Column:
-    """2 yes, 1 unknown, 0 no."""
+    """2 yes, 1 unknown, 0 no, by a small world that is at hand."""
 
     @arrow("int")
     def judged(a: pd.Series, d: pd.Series) -> pd.Series:
@@ -44,6 +49,44 @@ def compatibility(actual: Column, declared: Column, facts: World, rule=compat.fi
     return judged(actual, declared)
 
 
+@arrow("array<string>")
+def _named(actual: pd.Series, declared: pd.Series) -> pd.Series:
+    """The classes that a pair's judgement may ask about."""
+    return pd.Series([sorted(compat.classes_of(terms.loads(a)) | compat.classes_of(terms.loads(d))) for a, d in zip(actual, declared)], dtype="object")
+
+
+def judged(rows: DataFrame, facts: Facts | World, rule=compat.fits) -> DataFrame:
+    """rows (actual, expected) with fits: 2 yes, 1 unknown, 0 no.
+
+    Each distinct pair of types is judged once, with the ancestors of the classes that it names only, whatever the size of the world.
+    """
+    if isinstance(facts, World):
+        return rows.withColumn("fits", compatibility(F.col("actual"), F.col("expected"), facts, rule))
+    pairs = rows.select("actual", "expected").distinct()
+    named = pairs.withColumn("class", F.explode(_named("actual", "expected")))
+    asked = named.select("class").distinct()
+    above = facts.paths.join(asked, "class", "left_semi").groupBy("class").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    flags = [(facts.modules, "module"), (facts.dynamic, "dynamic")]
+    known = asked.join(above, "class", "left")
+    for table, name in flags:
+        known = known.join(table.withColumn(name, F.lit(True)), "class", "left")
+    known = known.select("class", F.struct("class", "owners", *[F.coalesce(n, F.lit(False)).alias(n) for _, n in flags]).alias("known"))
+    given = named.join(known, "class").groupBy("actual", "expected").agg(F.array_sort(F.collect_list("known")).alias("known"))
+    rails = facts.rails
+
+    @arrow("int")
+    def judge(actual: pd.Series, expected: pd.Series, known: pd.Series) -> pd.Series:
+        def one(a, d, ks):
+            ks = list(ks if ks is not None else [])
+            own = World({k["class"]: frozenset(k["owners"]) for k in ks if k["owners"] is not None}, frozenset(k["class"] for k in ks if k["module"]), frozenset(k["class"] for k in ks if k["dynamic"]), rails)
+            return rule(terms.loads(a), terms.loads(d), own)
+
+        return pd.Series([one(*x) for x in zip(actual, expected, known)], dtype="int32")
+
+    told = pairs.join(given, ["actual", "expected"], "left").select("actual", "expected", judge("actual", "expected", "known").alias("fits"))
+    return rows.join(told, ["actual", "expected"])
+
+
 def diagnostic(rows: DataFrame, code: str, message: Column, severity: str = "warning", **extra: Column) -> DataFrame:
     """Rows with POSITION as diagnostics."""
     none, empty = F.lit(None).cast("string"), F.lit("")
@@ -94,22 +137,22 @@ def union_missing_methods(calls: DataFrame, surface: DataFrame) -> DataFrame:
     return diagnostic(found, "missing_method", F.concat(F.lit("undefined method `"), "name", F.lit("` for "), receiver), method_name=F.col("name"), unresolved_method=receiver)
 
 
-def argument_mismatches(bound: DataFrame, facts: World) -> DataFrame:
+def argument_mismatches(bound: DataFrame, facts: Facts | World) -> DataFrame:
     """Bound arguments (POSITION, site_id, arm, arms_named, pname, expected, actual) that can't fit; once for each span and member.
 
     A call whose receiver has an arm without a class is skipped whole.
     """
-    bad = bound.filter(F.coalesce("arms_named", F.lit(True))).filter(compatibility(F.col("actual"), F.col("expected"), facts) == NO).dropDuplicates(["file", "start", "end", "arm"])
+    bad = judged(bound.filter(F.coalesce("arms_named", F.lit(True))), facts).filter(F.col("fits") == NO).dropDuplicates(["file", "start", "end", "arm"])
     return _mismatch(bad, "argument_type_mismatch", "argument", F.col("pname"))
 
 
-def overload_mismatches(bound: DataFrame, facts: World) -> DataFrame:
+def overload_mismatches(bound: DataFrame, facts: Facts | World) -> DataFrame:
     """As argument_mismatches with overloads (overload: number; arity_fits): silent if any overload may fit, else the one with the
     fewest findings is reported, the first of equals."""
-    judged = bound.filter("arity_fits").withColumn("bad", (compatibility(F.col("actual"), F.col("expected"), facts) == NO).cast("int"))
-    by = judged.groupBy("site_id", "overload").agg(F.sum("bad").alias("n"))
+    found = judged(bound.filter("arity_fits"), facts).withColumn("bad", (F.col("fits") == NO).cast("int"))
+    by = found.groupBy("site_id", "overload").agg(F.sum("bad").alias("n"))
     best = by.groupBy("site_id").agg(F.min(F.struct("n", "overload")).alias("b")).filter("b.n > 0").select("site_id", "b.overload")
-    return _mismatch(judged.filter("bad = 1").join(best, ["site_id", "overload"]), "argument_type_mismatch", "argument", F.col("pname"))
+    return _mismatch(found.filter("bad = 1").join(best, ["site_id", "overload"]), "argument_type_mismatch", "argument", F.col("pname"))
 
 
 def _mismatch(bad: DataFrame, code: str, what: str, name: Column | None) -> DataFrame:
@@ -122,14 +165,14 @@ def _mismatch(bad: DataFrame, code: str, what: str, name: Column | None) -> Data
     return diagnostic(rows, code, message, **(extra | ({"param_name": name} if name is not None else {})))
 
 
-def return_mismatches(sites: DataFrame, declared: DataFrame, facts: World, universal: list[str] = ("to_s", "inspect", "initialize")) -> DataFrame:
+def return_mismatches(sites: DataFrame, declared: DataFrame, facts: Facts | World, universal: list[str] = ("to_s", "inspect", "initialize")) -> DataFrame:
     """Return sites (POSITION, class, name, actual) against declared returns (class, name, rank, expected): the least rank counts.
 
     Methods that every object has are skipped, and so are declarations that constrain nothing.
     """
     best = declared.groupBy("class", "name").agg(F.min_by("expected", "rank").alias("expected"))
     rows = sites.filter(~F.col("name").isin(list(universal))).join(best, ["class", "name"])
-    bad = rows.filter(compatibility(F.col("actual"), F.col("expected"), facts, compat.returns) == NO).dropDuplicates(["file", "start", "end", "expected", "actual"])
+    bad = judged(rows, facts, compat.returns).filter(F.col("fits") == NO).dropDuplicates(["file", "start", "end", "expected", "actual"])
     return _mismatch(bad, "return_type_mismatch", "return", None)
 
 

@@ -257,3 +257,25 @@ def test_overload_choice_and_columns(spark):
     picks = spark.createDataFrame([(1, "K", ["a"]), (2, "K", ["a", "b"]), (3, "K", ["a", "zz"])], "site_id int, class string, names array<string>")
     columns = spark.createDataFrame([("K", "a", '["string"]'), ("K", "b", '["nil"]')], "class string, name string, ret string")
     assert {r["site_id"]: r["type"] for r in calls.column_arguments(picks, columns).collect()} == {1: '["string"]', 2: '["tuple",[["string"],["nil"]]]', 3: None}
+
+
+def test_pairs_are_judged_by_joins_as_by_the_whole_world(spark):
+    """Every pair of some types: with the facts that it names, and with all there is."""
+    from itertools import product
+
+    from glossa.functions import compat
+    from glossa.functions import terms as T
+    from glossa.operators import diagnostics
+
+    paths = [("A", "A"), ("A", "Object"), ("B", "B"), ("B", "A"), ("B", "Object"), ("C", "C"), ("C", "Object"), ("M", "M"), ("D", "D"), ("D", "C"), ("Integer", "Integer"), ("Integer", "Numeric"), ("String", "String")]
+    classes = [(c, c == "M") for c in {c for c, _ in paths}]
+    methods = [("C", "method_missing"), ("A", "x")]
+    facts = diagnostics.world(spark.createDataFrame(paths, "class string, owner string"), spark.createDataFrame(classes, "class string, is_module boolean"), spark.createDataFrame(methods, "class string, name string"))
+    whole = compat.World({c: frozenset(o for d, o in paths if d == c) for c, _ in classes}, frozenset({"M"}), frozenset({"C", "D"}))
+    types = [T.cls(c) for c in ("A", "B", "C", "D", "M", "Gone", "Class")] + [T.INTEGER, T.STRING, T.NIL, T.UNTYPED, T.BOOL, T.array(T.cls("B")), ("tuple", (T.cls("A"), T.cls("C"))), T.union(T.cls("B"), T.NIL), T.union(T.cls("A"), T.cls("C")), ("singleton", "M"), ("generic", "Box", (T.cls("A"),)), ("lit_int", 3)]
+    pairs = [(T.dumps(a), T.dumps(d)) for a, d in product(types, types)]
+    rows = spark.createDataFrame([*pairs, pairs[0]], "actual string, expected string")
+    for rule in (compat.fits, compat.returns):
+        got = {(r["actual"], r["expected"]): r["fits"] for r in diagnostics.judged(rows, facts, rule).collect()}
+        assert got == {(a, d): rule(T.loads(a), T.loads(d), whole) for a, d in pairs}
+    assert diagnostics.judged(rows, facts).count() == len(pairs) + 1
