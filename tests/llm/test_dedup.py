@@ -40,13 +40,69 @@ def test_substring_dedup_matches_brute_force(docs, corpus, nothing):
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in graph.kept().collect())
     assert got == dedup_brute([(i, t) for i, t, *_ in corpus])
     distinct = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    spans = debruijn.Graph(distinct).spans().cache()
-    checked = debruijn.verify_spans(distinct, spans)
-    assert spans.count() == checked.count() > 4 and checked.filter("NOT equal").isEmpty()
-    assert spans.filter("doc_id > 110 AND source_doc = 110 AND words >= 60").count() == 4
+    text = {r["doc_id"]: split(r["text"]) for r in distinct.collect()}
+    spans = debruijn.Graph(distinct).repeats().collect()
+    assert len(spans) > 4
+    for r in spans:
+        own, source = text[r["doc_id"]][r["start"] :][: r["words"]], text[r["source_doc"]][r["source_start"] :][: r["words"]]
+        assert own == source and len(own) == r["words"] >= debruijn.WINDOW and (r["source_doc"], r["source_start"]) < (r["doc_id"], r["start"])
+    assert len({(r["doc_id"], r["path"]) for r in spans if r["doc_id"] > 110 and r["source_doc"] == 110}) == 4
     assert debruijn.Graph(nothing).kept().count() == 0
 
 
+def test_paths_of_the_graph_match_brute_force(spark, monkeypatch):
+    """Pieces and the paths they are strung to, against a graph built from dictionaries."""
+    monkeypatch.setattr(debruijn, "CHUNK_BYTES", 700)
+    rng = np.random.default_rng(8)
+    word = lambda: f"v{rng.integers(0, 5000)}"
+    long = [word() for _ in range(120)]
+    rows = [(i, " ".join([word() for _ in range(5)] + long[x:y] + [word() for _ in range(5)])) for i, (x, y) in enumerate([(0, 60), (40, 120), (0, 120), (20, 100), (0, 45), (70, 120), (10, 40)])]
+    rows += [(20 + k, " ".join(["loop"] * n)) for k, n in enumerate((30, 25))] + [(30, " ".join(long[50:80] + long[:30])), (31, " ".join(long[50:80] + long[:30]))]
+    graph = debruijn.Graph(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    pieces = graph.pieces(graph._listed().filter("kind = 'run'").select("run", "doc", "place", "n", "nodes")).collect()
+    n, times, source = debruijn.WINDOW, Counter(), {}
+    for i, t in rows:
+        w = split(t)
+        for s in range(len(w) - n + 1):
+            k = tuple(w[s : s + n])
+            times[k] += 1
+            source[k] = min(source.get(k, (i, s)), (i, s))
+    edges = [k for k, c in times.items() if c > 1]
+    out, into = Counter(k[:-1] for k in edges), Counter(k[1:] for k in edges)
+    at = {source[k]: k for k in edges}
+    covered = Counter((r["doc"], r["place"] + j) for r in pieces for j in range(r["n"]))
+    assert covered == Counter(at.keys())
+    through = lambda node: out[node] == 1 and into[node] == 1
+    place = {}
+    for r in pieces:
+        for j in range(r["n"]):
+            k = at[r["doc"], r["place"] + j]
+            place[k] = (r["path"], r["offset"] + j)
+            assert j == 0 or through(k[:-1])
+    by_node = {k[:-1]: k for k in edges}
+    for k in edges:
+        after = by_node.get(k[1:])
+        if after and through(k[1:]) and after != k:
+            assert place[after] == (place[k][0], place[k][1] + 1)
+    ends = Counter(p for p, _ in place.values())
+    heads = [k for k in edges if not through(k[:-1]) or by_node[k[:-1]] == k]
+    assert len(ends) == len({place[k][0] for k in heads})
+
+
+def test_colliding_names_never_cost_a_word(docs, corpus, monkeypatch):
+    """If nearly all windows share their names, the digests of the words still stop every wrong removal."""
+
+    class Alike(debruijn.Windows):  # pickled with its code, so that workers use it
+        def names(self, starts):
+            a, b = super(Alike, self).names(starts)
+            return a % np.uint64(2), b % np.uint32(2)
+
+    monkeypatch.setattr(debruijn, "Windows", Alike)
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in debruijn.Graph(docs).kept().collect()}
+    want = {(i, n): gone for i, n, gone, _ in dedup_brute([(i, t) for i, t, *_ in corpus])}
+    assert got.keys() == want.keys() and all(got[k] <= want[k] for k in want) and 0 < sum(got.values()) < sum(want.values())
+
+
 def test_dedup_in_many_chunks(docs, corpus, monkeypatch):
     monkeypatch.setattr(debruijn, "CHUNK_BYTES", 1500)
     monkeypatch.setattr(debruijn, "BUCKET_BYTES", 4000)
@@ -201,10 +257,16 @@ def test_cells_meet_exactly_within_two_bits(spark):
     for bucket in (1 << 19, 1 << 9):
         sketches.BUCKET, old = bucket, sketches.BUCKET
         try:
-            got = [tuple(r) for r in sketches.meetings(spark.createDataFrame([(c,) for c in cells], "cell long").repartition(4), len(cells)).collect()]
+            rows = sketches.meetings(spark.createDataFrame([(c,) for c in cells], "cell long").repartition(4), len(cells)).collect()
         finally:
             sketches.BUCKET = old
-        assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+        around = {}
+        for value, cell, least in map(tuple, rows):
+            around.setdefault(value, []).append(cell)
+            assert (value ^ cell).bit_count() <= 1 and least <= cell
+        got = {(a, b) for group in around.values() for a in group for b in group if a < b}
+        assert got == want and len(want) > 500 and max(map(len, around.values())) <= 33
+        assert all(r["least"] == min(around[r["value"]]) for r in rows) and len(rows) == sum(len(set(g)) for g in around.values())
 
 
 def test_a_cell_of_dissimilar_texts_is_compared_in_full(spark, monkeypatch):
