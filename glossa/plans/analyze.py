@@ -83,9 +83,10 @@ def resolve_names(rows: DataFrame, classes: DataFrame, term: str, owner: str = "
 
 def resolve_callers(sites: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Call sites whose receiver class is resolved from the class that the call stands in."""
-    at = rows.filter("row IN ('class', 'method')").select("file", F.col("ord").alias("o"), "class")
-    inside = rows.filter("row = 'call'").select(F.concat_ws(":", "file", F.col("ord").cast("string")).alias("site_id"), "file", "ord")
-    scope = inside.join(at, "file").filter("o > ord").groupBy("site_id").agg(F.min_by("class", "o").alias("owner"))
+    # the reader lists a call before the method or class that it stands in
+    after = Window.partitionBy("file").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    holder = F.first(F.when(F.col("row").isin("class", "method"), F.col("class")), ignorenulls=True).over(after)
+    scope = rows.filter("row IN ('class', 'method', 'call')").withColumn("owner", holder).filter("row = 'call' AND owner IS NOT NULL").select(F.concat_ws(":", "file", F.col("ord").cast("string")).alias("site_id"), "owner")
     named = sites.join(scope, "site_id", "left").select("site_id", F.coalesce("owner", F.lit("")).alias("owner"), F.col("class").alias("name")).withColumn("id", F.col("site_id"))
     found = lookup.resolve_class_names(named.drop("site_id"), classes).select(F.col("id").alias("site_id"), F.col("class").alias("resolved"))
     return sites.join(found, "site_id", "left").withColumn("class", F.coalesce("resolved", "class")).drop("resolved")
