@@ -313,6 +313,8 @@ class Graph:
         self.scratch.drop("packed")
         candidates = self._joined(recurring).mapInArrow(edges, "chunk long, bucket long, kind int, pack binary")
         self.sent = self.scratch.table(candidates.groupBy("bucket").applyInArrow(sources, "chunk long, kind int, pack binary"), "sent")
+        self.scratch.drop("recurring")
+        self.found: DataFrame | None = None
 
     def _laid_out(self, texts: DataFrame, files: int) -> DataFrame:
         """The chunks as a table whose files Spark knows to be divided by chunk: joins with it shuffle the other side only."""
@@ -463,15 +465,23 @@ class Graph:
         wanted = spans.select("source_doc", "source", "n").distinct().join(docs.withColumnRenamed("doc", "source_doc"), "source_doc")
         wanted = wanted.select("chunk", F.lit(False).alias("own"), *nothing, "n", "source_doc", "source", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("offset"))
         found = self.scratch.table(self._digests(spans.select("chunk", F.lit(True).alias("own"), *SPAN).union(wanted)), name)
-        there = found.filter("NOT own").select("source_doc", "source", "n", "digest").distinct().withColumn("met", F.lit(True))
+        # a table of its own, so that the join reads both sides as they were shuffled and can split a span that a third of all rows quote
+        there = self.scratch.table(found.filter("NOT own").select("source_doc", "source", "n", "digest").distinct().withColumn("met", F.lit(True)), f"{name}_sources")
         here = found.filter("own").join(there, ["source_doc", "source", "n", "digest"], "left")
         return here.select("chunk", *SPAN, F.col("met").isNotNull().alias("equal"))
 
     def spans(self) -> DataFrame:
-        """chunk, doc, place, at, n, source_doc, source, path, offset of every verified span."""
+        """chunk, doc, place, at, n, source_doc, source, path, offset of every verified span. Found once."""
+        if self.found is None:
+            self.found = self._spans()
+        return self.found
+
+    def _spans(self) -> DataFrame:
         listed = self._listed()
         pieces = self.pieces(listed.filter("kind = 'run'").select("run", "doc", "place", "n", "nodes"))
         spans = self.scratch.table(self.along(listed.filter("kind = 'span'"), pieces), "spans")
+        for done in ("sent", "degrees", "pieces"):
+            self.scratch.drop(done)
         docs = listed.filter("kind = 'doc'").select("doc", "chunk")
         judged = self.scratch.table(self.verified(spans, docs, "digests"), "judged")
         out = judged.filter("equal").drop("equal")

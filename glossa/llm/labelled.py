@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch
+from glossa.llm.common import Scratch, utf8_size
 
 FOLDS = 5
+#: Bytes of a text beyond which it is not learned from (it is scored all the same), so that the sample's size is bounded too.
+LONGEST = 1 << 17
 
 
 def remainder(id_col: str, folds: int) -> F.Column:
@@ -21,7 +23,7 @@ def held_out(id_col: str) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, scratch: Scratch, name: str = "sample", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and y of at most `each` training rows of each label, chosen by hash; labels of held-out rows are not read.
+    """text and y of at most `each` training rows of each label, chosen by hash, of at most LONGEST bytes; labels of held-out rows are not read.
 
     The ids chosen, 2 x each at most, are what is broadcast.
     """
@@ -32,7 +34,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, scratch: S
         chosen = some if chosen is None else chosen.union(some)
     chosen = scratch.table(chosen.coalesce(1), f"{name}_ids")
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("d") == F.col("l"))
-    return scratch.table(rows.select("d", "text", "y"), name)
+    return scratch.table(rows.filter(utf8_size("text") <= LONGEST).select("d", "text", "y"), name)
 
 
 def priors(labels: DataFrame, label: str, id_col: str = "doc_id") -> float:

@@ -15,8 +15,8 @@ With contexts of ORDER bytes a symbol's probability depends on ORDER + 1 bytes o
 4. answer: each bucket sends its grams' probabilities and words' counts back to the chunks that listed them;
 5. score: each chunk sums them by document. The words' counts make a unigram base beside the PPM score.
 
-Null texts are empty: one end symbol, one end token. Repeated rows are counted and scored each. Rows with a null id are training
-rows. Without training documents every byte is equally likely and every count zero. An empty table gives an empty table.
+Null texts are empty: one end symbol, one end token. Repeated rows are counted and scored each. Rows with a null id, or one that is no
+number, are training rows and come back with a null id. Very long texts are read whole, a slice at a time. Other columns are not read. Without training documents every byte is equally likely and every count zero. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -201,7 +201,7 @@ class Trainer:
     def __init__(self, docs: DataFrame, training: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER):
         self.spark, self.order = docs.sparkSession, order
         self.scratch = Scratch(self.spark)
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("train"), F.col(text_col).alias("text"))
+        rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("train"), F.col(text_col).alias("text"))
         total = rows.agg(F.sum(utf8_size("text"))).first()[0] or 0
         self.buckets = buckets = max(1, -(-total // BUCKET_BYTES))
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("pack", pa.binary()), ("rows", pa.large_binary()), ("train", pa.binary())])

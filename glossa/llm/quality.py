@@ -7,7 +7,10 @@ label, each document with the same weight. A document's quality is the mean of i
 weighted by line length, calibrated by a logistic curve on the training documents.
 
 Training rows: at most SAMPLE of each label, chosen by a hash of the id, never of the held-out fold. Scores use the text only.
-Null and empty texts are one empty line. Without labels every score is the same. Repeated rows give repeated rows.
+Null and empty texts are one empty line; very long ones are scored whole. Without labels every score is the same. Equal texts get equal scores, so ties
+are theirs. Rows with a null id, or one that is no number, are scored, not held out, and come back with a null id. Repeated rows give repeated
+rows, an empty table an empty table. Other columns are not read.
+As all lines of a training document carry its label, the moves that the chain learns are those that stay.
 """
 
 from __future__ import annotations
@@ -197,7 +200,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             s = model.scores(texts, hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -13,7 +13,9 @@ Balls are made and met in numpy: a chunk of fingerprints sorts its values, links
 row of each value, packed into buckets by a hash of the value.
 
 Words are lower-cased (A-Z) runs of non-blanks. A null text is empty: fingerprint zero, linked like any other. Repeated rows
-and equal texts share a fingerprint. Rows with null ids take part; a component's id is its least id that is not null.
+and equal texts share a fingerprint. Rows with null ids take part; a component's id is its least id that is not null. A bit that is set in
+exactly half the hashes is 0. Very long texts are hashed whole. An empty table gives an empty table. `near_duplicates` reads no other columns;
+`keep_one` carries them along whole, whatever their names.
 """
 
 from __future__ import annotations

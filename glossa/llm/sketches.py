@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch, WordHashes, chunks, first_rows, keep_rows, mix, row_key, text_bytes
@@ -250,9 +250,8 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     held = scratch.table(held, "held")
     several = held.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h").select("cell")
     inner = held.join(several, "cell", "left_semi").withColumn("value", F.col("cell"))
-    around = met.select("value", "cell").join(held, "cell")
-    mixed = around.groupBy("value").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h").select("value")
-    around = around.join(mixed, "value", "left_semi")
+    by = Window.partitionBy("value")
+    around = met.select("value", "cell").join(held, "cell").withColumn("l", F.min("root").over(by)).withColumn("h", F.max("root").over(by)).filter("l < h").drop("l", "h")
     both = _apart(inner).union(_apart(around)).distinct()
     single = both.filter("size = 1 AND o_size = 1").select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
     single = single.join(_side(nodes, "x"), F.col("a") == F.col("x_node")).join(_side(nodes, "y"), (F.col("b") == F.col("y_node")) & _may_agree()).select("a", "b")
@@ -267,6 +266,8 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     pairs = todo.join(x, (F.col("ca") == F.col("x_cell")) & (F.col("ra") == F.col("x_root"))).join(y, (F.col("cb") == F.col("y_cell")) & (F.col("rb") == F.col("y_root")) & _may_agree())
     pairs = again.table(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).union(single).distinct(), "pairs")
     links = again.table(verified(pairs, _texts(docs, nodes, pairs, again, id_col, text_col, "texts")).union(links), "links")
+    for done in ("cells", "met", "near", "held", "todo", "open", *(f"{t}_{k}" for t in ("first", "texts", "links", "roots") for k in (0, 1))):
+        scratch.drop(done)
     return rows.select("_sh_id", "_sh_row", "words").join(nodes.select("words", "node"), "words").join(_roots(nodes, links, again), "node").select("root", "_sh_id", "_sh_row")
 
 
