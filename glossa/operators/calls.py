@@ -133,7 +133,8 @@ def resolve_returns(methods: DataFrame, paths: DataFrame, rounds: int | None = N
         told = targets.join(done, ["owner", "member", "on_class"]).select("receiver", "member", "on_class", "ret")
         met = asked.join(told, ["receiver", "member", "on_class"])
         known = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("receiver").alias("owner"), "member", "on_class", "ret"))).alias("known"))
-        return state.join(known, keys, "left").withColumn("ret", F.when(F.col("known").isNotNull(), replaced("ret", "class", "singleton", "known")).otherwise(F.col("ret"))).drop("known")
+        told = state.join(known, keys, "left").withColumn("now", F.when(F.col("known").isNotNull(), replaced("ret", "class", "singleton", "known")).otherwise(F.col("ret")))
+        return told.withColumn("changed", F.col("now") != F.col("ret")).withColumn("ret", F.col("now")).drop("now", "known")
 
     return until_stable(methods, step, rounds)
 

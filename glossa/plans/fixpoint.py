@@ -73,12 +73,16 @@ def ranked_reach(edges: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, int]:
-    """step applied until no row changes; the state and the rounds that changed something. An error if more than max_rounds do."""
+    """step applied until it changes no row; the state and the rounds that changed something. An error if more than max_rounds do.
+
+    step(state) gives the new state with a boolean column `changed`, so that no two states have to be compared.
+    """
     state, k = cut(state), 0
     while True:
         after = cut(step(state))
-        if after.exceptAll(state).isEmpty():
-            return after, k
+        state = after.drop("changed")
+        if after.filter("changed").isEmpty():
+            return state, k
         if k == max_rounds:
             raise RuntimeError(f"rows still change after {max_rounds} rounds")
-        state, k = after, k + 1
+        k += 1
