@@ -11,13 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from glossa.functions import binding, columns, compat, flow, inflect, levels, positions, returns
+from glossa.functions import columns, flow, positions
 from glossa.functions import terms as T
-from glossa.functions.udf import arrow
-from glossa.operators import calls, coverage, diagnostics, generators, lookup, merge, provenance, queries, render, reports, schema
-from glossa.sources import ddl
+from glossa.operators import calls, coverage, diagnostics, lookup, provenance, queries, render
 from glossa.sources import signatures as sources
-from glossa.streaming import workspace
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
