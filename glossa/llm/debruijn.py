@@ -36,6 +36,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def pack_rows(ids: list, texts: list[bytes]) -> bytes:
     null = np.array([ids[i] is None for i in order], np.uint8)
     sizes = np.array([len(texts[i]) for i in order], np.int64)
     head = struct.pack("<q", len(order)) + keys.tobytes() + null.tobytes() + sizes.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts[i] for i in order))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts[i] for i in order))
 
 
 def unpack_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -212,7 +213,7 @@ def _breaks(*keys: np.ndarray) -> np.ndarray:
 
 
 def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 class Graph:
