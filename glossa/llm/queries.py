@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import debruijn, decontaminate, jpeg, mixing, ppm, quality, resharding, simhash, toxicity, url_filter
+from glossa.llm import bayes_minhash, debruijn, decontaminate, heap_lloyd, jpeg, mixing, ppm, quality, resharding, simhash, toxicity, url_filter, voronoi
 
-MODULES = [ppm, jpeg, debruijn, simhash, resharding, url_filter, mixing, decontaminate, quality, toxicity]
+MODULES = [ppm, jpeg, debruijn, simhash, resharding, url_filter, mixing, decontaminate, quality, toxicity, voronoi, bayes_minhash, heap_lloyd]
 
 
 def queries() -> dict:
