@@ -20,9 +20,9 @@ is its first occurrence (least document id, then start). The graph of the repeat
 A word is thus removed only if its window was found equal at its source. Windows that have the same 96 bits by accident can only cost a
 removal: the chance of any is n^2 / 2^97 for n windows, 10^-8 for 10^10.
 
-Words are runs of non-blanks, unchanged; a null text has none. Null ids count as the greatest id. Rows with the same id and start
-are not earlier than one another, so repeated rows keep or lose the same words. Texts shorter than a window lose nothing. Very long texts are one
-chunk each. Ids that are no numbers count as null. An empty table gives an empty table. Other columns are not read.
+Words are runs of non-blanks, unchanged; a null text has none. Null ids count as the greatest id. Where ids are null or repeated, rows of one id are
+documents of their own, in the order of a hash of their texts; of equal rows any one is the first, the others repeat it. Texts shorter than a window
+lose nothing. Very long texts are one chunk each. Ids that are no numbers count as null. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,31 +50,43 @@ CHUNK_BYTES = 3 << 20
 BUCKET_BYTES = 12 << 20
 #: Bytes of text for each file of the table of texts.
 LAID_BYTES = 64 << 20
-LAST = np.iinfo(np.int64).max
 P1, P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def pack_rows(ids: list, texts: list[bytes]) -> bytes:
-    """Documents as one compressed value, by id (null last)."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-    keys = np.array([LAST if ids[i] is None else ids[i] for i in order], np.int64)
+def pack_rows(keys: list[int], ids: list, texts: list[bytes]) -> bytes:
+    """Documents as one compressed value, by key."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    columns = np.array([[keys[i], ids[i] or 0, len(texts[i])] for i in order], np.int64).reshape(-1, 3).T
     null = np.array([ids[i] is None for i in order], np.uint8)
-    sizes = np.array([len(texts[i]) for i in order], np.int64)
-    head = struct.pack("<q", len(order)) + keys.tobytes() + null.tobytes() + sizes.tobytes()
+    head = struct.pack("<q", len(order)) + columns.tobytes() + null.tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts[i] for i in order))
 
 
-def unpack_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def unpack_rows(pack: bytes) -> tuple[np.ndarray, pa.Array, list[bytes]]:
+    """Keys, ids and texts."""
     data = zstandard.ZstdDecompressor().decompress(pack)
     n = struct.unpack_from("<q", data)[0]
-    keys = np.frombuffer(data, np.int64, n, 8)
-    null = np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(bool)
-    sizes = np.frombuffer(data, np.int64, n, 8 + 9 * n)
-    at, out = 8 + 17 * n, []
+    keys, ids, sizes = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+    null = np.frombuffer(data, np.uint8, n, 8 + 24 * n).astype(bool)
+    at, out = 8 + 25 * n, []
     for size in sizes.tolist():
         out.append(data[at : at + size])
         at += size
-    return keys, null, out
+    return keys, pa.array(ids, mask=null), out
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with key, a number of every row's own that follows the ids, null last.
+
+    Ids that tell all rows apart are the keys. Else rows are sorted by id, then by text, then as they come; so rows of one id, or of none, are documents of
+    their own, and equal ones are interchangeable.
+    """
+    if rows.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    order = ["none", "doc_id", "h", "came"]
+    told = rows.select("doc_id", "text", F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("came"))
+    ranged = told.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
 
 
 def _longer(a: np.ndarray, m: int, b: np.ndarray, n: int, p: int) -> np.ndarray:
@@ -217,7 +229,10 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 class Graph:
-    """The repeated edges of documents' words, their paths, and what is left of the documents."""
+    """The repeated edges of documents' words, their paths, and what is left of the documents.
+
+    Within the graph a document is its key (see `keyed`).
+    """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
@@ -225,6 +240,7 @@ class Graph:
         rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         total = rows.agg(F.sum(utf8_size("text"))).first()[0] or 0
         buckets = max(1, -(-total // BUCKET_BYTES))
+        rows = keyed(rows)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -233,7 +249,7 @@ class Graph:
                 seeds = Windows([t.split() for t in texts], hashes).sift().seeds
                 packs = list(_bucketed((seeds % np.uint64(buckets)).astype(np.int64), (seeds,)))
                 n = len(packs)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *(b for b, _ in packs)], pa.int64()), pa.array([None, *(p for _, p in packs)], pa.large_binary()), pa.array([pack_rows(batch.column(0).to_pylist(), texts), *[None] * n], pa.large_binary())], schema=PACKED)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *(b for b, _ in packs)], pa.int64()), pa.array([None, *(p for _, p in packs)], pa.large_binary()), pa.array([pack_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts), *[None] * n], pa.large_binary())], schema=PACKED)
 
         def sift(group: pa.Table) -> pa.Table:
             ids = group["chunk"].to_pylist()
@@ -336,10 +352,9 @@ class Graph:
             for batch in batches:
                 release()
                 for chunk, rows_, packs in _sent_rows(batch):
-                    keys, _, texts = unpack_rows(rows_)
+                    keys, ids, texts = unpack_rows(rows_)
                     w = Windows([t.split() for t in texts], hashes)
-                    own = np.unique(keys)
-                    out = [{"kind": np.full(len(own), "doc"), "doc": own}]
+                    out = [{"kind": np.full(len(keys), "doc"), "doc": keys, "place": ids}]
                     start, doc, place = _sent(packs, LATER)
                     again, head = _sent(packs, BACK)
                     if len(again):
@@ -368,7 +383,7 @@ class Graph:
                     for x in out:
                         size = len(x["kind"])
                         x["chunk"] = np.full(size, chunk)
-                        yield pa.RecordBatch.from_arrays([(x[f.name] if isinstance(x[f.name], pa.ListArray) else pa.array(x[f.name], f.type)) if f.name in x else pa.nulls(size, f.type) for f in LISTED], schema=LISTED)
+                        yield pa.RecordBatch.from_arrays([(x[f.name] if isinstance(x[f.name], pa.Array) else pa.array(x[f.name], f.type)) if f.name in x else pa.nulls(size, f.type) for f in LISTED], schema=LISTED)
 
         rows = self._joined(self.sent).mapInArrow(listed, LISTED_DDL)
         return self.scratch.table(rows.withColumn("run", F.monotonically_increasing_id()), "listed")
@@ -478,7 +493,7 @@ class Graph:
         return self.found
 
     def _spans(self) -> DataFrame:
-        listed = self._listed()
+        listed = self.listed = self._listed()
         pieces = self.pieces(listed.filter("kind = 'run'").select("run", "doc", "place", "n", "nodes"))
         spans = self.scratch.table(self.along(listed.filter("kind = 'span'"), pieces), "spans")
         for done in ("sent", "degrees", "pieces"):
@@ -494,8 +509,11 @@ class Graph:
         return out
 
     def repeats(self) -> DataFrame:
-        """doc_id, start, words, source_doc, source_start, path of every verified span (doc_id null: the greatest long)."""
-        return self.spans().select(F.col("doc").alias("doc_id"), F.col("place").alias("start"), (F.col("n") + WINDOW - 1).cast("long").alias("words"), "source_doc", F.col("source").alias("source_start"), "path")
+        """doc_id, start, words, source_doc, source_start, path of every verified span."""
+        spans = self.spans()
+        ids = self.listed.filter("kind = 'doc'").select(F.col("doc").alias("key"), F.col("place").alias("id"))
+        named = spans.join(ids.withColumnsRenamed({"key": "doc", "id": "doc_id"}), "doc").join(ids.withColumnsRenamed({"key": "source_doc", "id": "source_id"}), "source_doc")
+        return named.select("doc_id", F.col("place").alias("start"), (F.col("n") + WINDOW - 1).cast("long").alias("words"), F.col("source_id").alias("source_doc"), F.col("source").alias("source_start"), "path")
 
     def kept(self, texts: bool = False) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256, n_spans (stretches of a path) and kept_text of every document."""
@@ -505,7 +523,7 @@ class Graph:
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, rows_, packs in _sent_rows(batch):
-                    keys, null, own = unpack_rows(rows_)
+                    _, ids, own = unpack_rows(rows_)
                     words = [t.split() for t in own]
                     count = np.fromiter(map(len, words), np.int64, len(words))
                     first = np.cumsum(count) - count
@@ -526,7 +544,7 @@ class Graph:
                         mask = keep[first[k] : first[k] + count[k]]
                         left.append(int(mask.sum()))
                         kept.append(b" ".join(w if left[-1] == len(w) else compress(w, mask.tolist())))
-                    columns = [pa.array(keys, mask=null), pa.array(count), pa.array(count - np.array(left, np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(stretches, pa.int64())]
+                    columns = [ids, pa.array(count), pa.array(count - np.array(left, np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(stretches, pa.int64())]
                     if texts:
                         columns.append(pa.array([x.decode() for x in kept], pa.large_string()))
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -548,7 +566,7 @@ windows AS (
   SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS seq
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20)),
 later AS (
-  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1),
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS LAST, s) AS r FROM windows) WHERE r > 1),
 covered AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
 positions AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words WHERE len(w) > 0),
 kept AS (

@@ -17,24 +17,38 @@ def split(text) -> list[bytes]:
 
 
 def dedup_brute(rows):
+    """Rows of one id, or of none, follow their texts' hashes; equal rows are interchangeable."""
     first, n = {}, debruijn.WINDOW
-    key = lambda i: debruijn.LAST if i is None else i
-    for i, t in rows:
+    signed = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1])))
+    for k, (_, t) in enumerate(rows):
         w = split(t)
         for s in range(len(w) - n + 1):
-            k = tuple(w[s : s + n])
-            first[k] = min(first.get(k, (key(i), s)), (key(i), s))
+            first.setdefault(tuple(w[s : s + n]), (k, s))
     out = Counter()
-    for i, t in rows:
+    for k, (i, t) in enumerate(rows):
         w, gone = split(t), set()
         for s in range(len(w) - n + 1):
-            if first[tuple(w[s : s + n])] < (key(i), s):
+            if first[tuple(w[s : s + n])] < (k, s):
                 gone.update(range(s, s + n))
         kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
         out[(i, len(w), len(gone), hashlib.sha256(kept).hexdigest())] += 1
     return out
 
 
+def test_dedup_where_a_third_has_no_id(spark):
+    """Rows without id are documents of their own: work follows the rows, and long texts and repeated rows are taken whole."""
+    rng = np.random.default_rng(4)
+    text = lambda n, v: " ".join(f"u{rng.integers(0, v)}" for _ in range(n))
+    hot, long = text(70, 5000), text(20_000, 90_000)
+    rows = [(None, hot)] * 150 + [(i, text(60, 5000)) for i in range(300)] + [(7, hot), (7, hot), (301, long), (None, " ".join(long.split()[5000:15_000]))]
+    graph = debruijn.Graph(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in graph.kept().collect())
+    assert got == dedup_brute(rows)
+    assert graph.spans().count() <= len(rows)
+    assert {(r["source_doc"], r["source_start"]) for r in graph.repeats().collect()} == {(7, 0), (301, 5000)}
+
+
 def test_substring_dedup_matches_brute_force(docs, corpus, nothing):
     graph = debruijn.Graph(docs)
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in graph.kept().collect())
