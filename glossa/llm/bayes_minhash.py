@@ -12,7 +12,7 @@ Documents link where the sets of their distinct three-word shingles agree: 100 *
 Which pairs are compared: in each band, the nodes of a value hang on two hubs, the least and the greatest, first; links are closed to components. Where the nodes of
 a value are then still in several components, those outside the largest are compared with all that are not of their own, so no candidate pair is left out. A pair is
 judged in the first band it shares. Nodes come in tiles (TILE nodes and TILE_BYTES of shingles, about), so a task holds two tiles, however many
-documents share a value; what leaves a task are the nodes with survivors, once for each pair of tiles, never the pairs. A group of near copies of which few
+documents share a value; what leaves a task are the nodes with survivors, once for each task, never the pairs. A group of near copies of which few
 hang together costs comparisons of minima in proportion to the square of those that don't; no rows.
 
 Words are lower-cased (A-Z) runs of non-blanks. A text of fewer words than WIDTH is one shingle; null, empty and blank texts have an empty set and link
@@ -41,6 +41,8 @@ HASHES = BANDS * ROWS
 MISS = 1e-9
 #: Nodes of a tile and bytes of their shingles, about.
 TILE, TILE_BYTES = 1024, 8 << 20
+#: Rows of tiles that a task compares at a time, about.
+BIN = 4096
 #: Bytes of text that are signed at once, shingles that are hashed at once.
 CHUNK, SLICE = 1 << 19, 256
 #: Odd factors for the words of a shingle, and for the hash functions.
@@ -83,6 +85,11 @@ def minima(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_key(low: np.ndarray, band: int) -> int:
+    """A hash of a band's minima, with the band in its last six bits."""
+    return ((xxhash.xxh3_64_intdigest(low[ROWS * band : ROWS * (band + 1)].tobytes()) & ~63) | band) - (1 << 63)
+
+
 def least_matches(n: int, miss: float = MISS) -> int:
     """The fewest equal minima of n with which a link is still as probable as miss."""
     s, below = PERCENT / 100, 0.0
@@ -124,63 +131,76 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch, texts in chunks(batches, "text", CHUNK):
             sets = shingle_sets(texts, hashes)
             low = [minima(s) for s in sets]
-            bands = [[] if not len(s) else [xxhash.xxh3_64_intdigest(m[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, HASHES, ROWS)] for s, m in zip(sets, low)]
+            bands = [[] if not len(s) else [band_key(m, k) for k in range(BANDS)] for s, m in zip(sets, low)]
             columns = [pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array([m.astype(np.uint8).tobytes() for m in low], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "document", "words", "n", "low", "bands"])
 
     return rows.mapInArrow(sign, f"doc_id {kind}, document string, words string, n long, low binary, bands array<long>")
 
 
+def pairs_of(tile: dict[str, np.ndarray]) -> np.ndarray:
+    """Of one pair of tiles the surviving pairs, as (position, position, equal minima)."""
+    band, side, root, n, low = int(tile["band"][0]), tile["side"], tile["root"], tile["n"], tile["low"]
+    right = np.flatnonzero(side != 0)
+    found = [np.empty((0, 3), np.int64)]
+    for i in np.flatnonzero(side != 1).tolist():
+        y = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
+        if side[i] == 2:
+            y = y[y > i]
+        if len(y):
+            on = survivors(low, low, np.full(len(y), i), y)
+            left = y[on[:, 0]]
+            found.append(np.stack([np.full(len(left), i), left, on[:, 1]], axis=1))
+    pairs = np.concatenate(found)
+    if band > 0 and len(pairs):  # judged in the first band that a pair shares
+        keys = tile["bands"][:, :band]
+        pairs = pairs[~(keys[pairs[:, 0]] == keys[pairs[:, 1]]).any(axis=1)]
+    return pairs
+
+
 def compared(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """tile, node, root, partners: the nodes of a pair of tiles that take part in surviving pairs; the one of a pair that comes first lists the other and the equal minima.
+    """bin, node, root, n, partners: the nodes of pairs of tiles that take part in surviving pairs; the one of a pair that comes first lists the other and the equal minima.
 
-    tiles: tile, band, side (0 and 1 are compared with each other, 2 among themselves), node, root.
+    tiles: tile, band, side (0 and 1 are compared with each other, 2 among themselves), node, root. Small tiles share a bin.
     """
+    rows, size = tiles.join(nodes.select("node", "n"), "node").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = max(1, -(-rows // BIN), -(-8 * size // (2 * TILE_BYTES)))
 
     def compare(group: pa.Table) -> pa.Table:
-        band, side = group["band"][0].as_py(), np.asarray(group["side"])
-        node, root, n = (np.asarray(group[c]) for c in ("node", "root", "n"))
-        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, HASHES)
-        keys = np.stack([np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)[:, k] for k in range(max(band, 0))], axis=1) if band > 0 else None
-        right = np.flatnonzero(side != 0)
-        found = [np.empty((0, 3), np.int64)]
-        for i in np.flatnonzero(side != 1).tolist():
-            y = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-            if side[i] == 2:
-                y = y[y > i]
-            if keys is not None and len(y):  # judged in the first band that a pair shares
-                y = y[~(keys[y] == keys[i]).any(axis=1)]
-            if len(y):
-                x = np.full(len(y), i)
-                on = survivors(low, low, x, y)
-                found.append(np.stack([x[on[:, 0]], y[on[:, 0]], on[:, 1]], axis=1))
+        group = group.sort_by("tile").combine_chunks()
+        columns = {c: np.asarray(group[c].combine_chunks()) for c in ("tile", "band", "side", "node", "root", "n")}
+        columns["low"] = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        columns["bands"] = np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+        cuts = np.flatnonzero(np.diff(columns["tile"], prepend=columns["tile"][:1] - 1)).tolist()
+        found = [pairs_of({c: x[a:b] for c, x in columns.items()}) + np.array([a, a, 0]) for a, b in zip(cuts, [*cuts[1:], len(columns["tile"])])]
         pairs = np.concatenate(found)
-        takes = np.unique(pairs[:, :2])
-        cuts = np.searchsorted(pairs[:, 0], np.stack([takes, takes + 1]))
-        partners = [np.stack([node[pairs[a:b, 1]], pairs[a:b, 2]], axis=1).astype(np.int64).tobytes() for a, b in cuts.T]
-        tile = pa.array([group["tile"][0].as_py()] * len(takes), pa.int64())
-        return pa.table({"tile": tile, "node": node[takes], "root": root[takes], "partners": pa.array(partners, pa.binary())})
+        node, takes = columns["node"], np.unique(pairs[:, :2])
+        ends = np.searchsorted(pairs[:, 0], np.stack([takes, takes + 1]))
+        partners = [np.stack([node[pairs[a:b, 1]], pairs[a:b, 2]], axis=1).tobytes() for a, b in ends.T]
+        of = pa.array([group["bin"][0].as_py()] * len(takes), pa.int64())
+        return pa.table({"bin": of, "node": node[takes], "root": columns["root"][takes], "n": columns["n"][takes], "partners": pa.array(partners, pa.binary())})
 
-    rows = tiles.join(nodes.select("node", "n", "low", "bands"), "node").select("tile", "band", "side", "node", "root", "n", "low", "bands")
-    return rows.groupBy("tile").applyInArrow(compare, "tile long, node long, root long, partners binary")
+    rows = tiles.withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins))).join(nodes.select("node", "n", "low", "bands"), "node")
+    return rows.select("bin", "tile", "band", "side", "node", "root", "n", "low", "bands").groupBy("bin").applyInArrow(compare, "bin long, node long, root long, n long, partners binary")
 
 
 def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links among the surviving pairs of `compared`, enough to connect all that link. sets: node, own (the shingles, packed)."""
 
     def verify(group: pa.Table) -> pa.Table:
-        node, top = group["node"].to_pylist(), dict(zip(group["node"].to_pylist(), group["root"].to_pylist()))
+        node = group["node"].to_pylist()
+        heads = {r: r for r in group["root"].to_pylist()}
+        top = dict(zip(node, group["root"].to_pylist()))
         own = {v: np.frombuffer(s.as_py(), np.uint64) for v, s in zip(node, group["own"])}
-        asked = []
+        asked = set()
         for v, packed in zip(node, group["partners"]):
             if p := packed.as_py():
-                asked += [(-equal, v, w) for w, equal in np.frombuffer(p, np.int64).reshape(-1, 2).tolist()]
-        heads: dict[int, int] = {}
+                asked |= {(-equal, v, w) for w, equal in np.frombuffer(p, np.int64).reshape(-1, 2).tolist()}
 
         def head(r: int) -> int:
-            while (up := heads.get(r, r)) != r:
-                heads[r] = heads.get(up, up)
-                r = up
+            while heads[r] != r:
+                heads[r] = heads[heads[r]]
+                r = heads[r]
             return r
 
         links = []
@@ -191,7 +211,7 @@ def verified(met: DataFrame, sets: DataFrame) -> DataFrame:
                 links.append((v, w))
         return pa.table({"a": pa.array([max(p) for p in links], pa.int64()), "b": pa.array([min(p) for p in links], pa.int64())})
 
-    return met.join(sets, "node").select("tile", "node", "root", "partners", "own").groupBy("tile").applyInArrow(verify, "a long, b long")
+    return met.join(sets, "node").select("bin", "node", "root", "partners", "own").groupBy("bin").applyInArrow(verify, "a long, b long")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, met: DataFrame, text_col: str) -> DataFrame:
@@ -208,18 +228,18 @@ def packed_sets(docs: DataFrame, nodes: DataFrame, met: DataFrame, text_col: str
 
 
 def hub_tiles(members: DataFrame) -> DataFrame:
-    """Nodes against the hubs of their values, each pair once: tile, band, side, node, root. members: node, root, n, key."""
-    hubs = members.groupBy("key").agg(F.array(F.min("node"), F.max("node")).alias("hubs"), F.count("*").alias("size")).filter("size > 1")
+    """Nodes against the hubs of their values, each pair once: tile, band, side, node, root. members: key, node, n, root."""
+    hubs = members.groupBy("key").agg(F.array(F.min("node"), F.max("node")).alias("hubs"))
     pairs = members.join(hubs, "key").select("node", "n", F.explode(F.array_distinct("hubs")).alias("hub")).filter("node <> hub").distinct()
     parts = pairs.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).alias("parts"))
-    pairs = pairs.join(parts, F.col("hub") == F.col("h")).withColumn("tile", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")))
+    pairs = pairs.join(parts, F.col("hub") == F.col("h")).select("node", "hub", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("tile"))
     none = F.lit(-1)
     both = pairs.select("tile", none.alias("band"), F.lit(0).alias("side"), "node").union(pairs.select("tile", none, F.lit(1), F.col("hub")).distinct())
     return both.withColumn("root", F.col("node"))
 
 
 def open_tiles(members: DataFrame) -> DataFrame:
-    """Tiles of the values whose nodes are in several components: members outside the largest against all others. members: node, root, n, key, band."""
+    """Tiles of the values whose nodes are in several components: members outside the largest against all others. members: key, node, n, root."""
     size = members.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("bytes"))
     most = F.max(F.struct("size", "root", "bytes"))
     of = size.groupBy("key").agg(most.alias("main"), F.sum("size").alias("all"), F.sum("bytes").alias("n_all"), F.count("*").alias("several")).filter("several > 1")
@@ -237,8 +257,8 @@ def open_tiles(members: DataFrame) -> DataFrame:
         steps("t_rest"),
         lambda r: F.struct(F.lit("r").alias("kind"), F.least(r, "own").alias("x"), F.greatest(r, "own").alias("y"), F.when(r == F.col("own"), 2).when(r > F.col("own"), 0).otherwise(1).alias("side")),
     )
-    spread = rows.select("key", "band", "node", "root", F.explode(F.when(own, mains).otherwise(F.concat(against, within))).alias("t"))
-    return spread.select(F.xxhash64("key", "t.kind", "t.x", "t.y").alias("tile"), "band", "t.side", "node", "root")
+    spread = rows.select("key", "node", "root", F.explode(F.when(own, mains).otherwise(F.concat(against, within))).alias("t"))
+    return spread.select(F.xxhash64("key", "t.kind", "t.x", "t.y").alias("tile"), F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("band"), "t.side", "node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,16 +267,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scratch.table(signed(docs, id_col, text_col), "rows")
     nodes = rows.filter("n > 0").groupBy("words").agg(*[F.first(c).alias(c) for c in ("n", "low", "bands")], F.min("document").alias("document"), F.min("doc_id").alias("least"))
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").count().filter("count > 1").select("key")
+    shared = scratch.table(members.join(shared, "key", "left_semi").select("key", "node"), "shared")
     links, roots = None, nodes.select(F.col("node").alias("v"), F.col("node").alias("root"))
     for k, tiles in enumerate((hub_tiles, open_tiles)):
-        met = scratch.table(compared(tiles(members.join(roots, F.col("node") == F.col("v")).drop("v") if k else members), nodes), f"met_{k}")
+        told = nodes.select(F.col("node").alias("v"), "n").join(roots, "v")
+        tiled = scratch.table(tiles(shared.join(told, F.col("node") == F.col("v")).select("key", "node", "n", "root")), f"tiles_{k}")
+        met = scratch.table(compared(tiled, nodes), f"met_{k}")
         sets = scratch.table(packed_sets(docs, nodes, met, text_col), f"sets_{k}")
         found = verified(met, sets)
         links = scratch.table(found.union(links) if k else found, f"links_{k}")
         hung = scratch.table(components(links, Scratch(docs.sparkSession)), f"hung_{k}")
         roots = nodes.select("node").join(hung.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select(F.col("node").alias("v"), F.coalesce("root", "node").alias("root"))
-        for done in ("met", "sets"):
+        for done in ("tiles", "met", "sets"):
             scratch.drop(f"{done}_{k}")
     named = nodes.select("node", "words", "least").join(roots, F.col("node") == F.col("v")).select("words", "least", "root")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
