@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow function holds in numpy arrays at a time.
@@ -27,12 +27,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else, in a local session (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="glossa-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -76,6 +78,27 @@ def row_key(id_col: str, text_col: str) -> F.Column:
     return F.sha2(F.concat(F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
 
 
+def copies_apart(rows: DataFrame, key: str, most: int, scratch: Scratch) -> DataFrame:
+    """rows, but of a key (64-bit) that more than `most` rows share each row has a key of its own: a hash of the key and of the row's number among them.
+
+    Numbers run from part to part of a written table, so no task sees more than one part's rows of a key. Where no key is so frequent, rows as they are.
+    """
+    frequent = scratch.table(rows.groupBy(key).count().filter(F.col("count") > most).select(F.col(key).alias("_ca_key")), "frequent")
+    if frequent.isEmpty():
+        return rows
+    laid = scratch.table(rows.withColumn("_ca_at", F.monotonically_increasing_id()), "laid")
+    part = F.shiftright("_ca_at", 33)
+    hot = laid.join(frequent, F.col(key) == F.col("_ca_key"), "left_semi").withColumn("_ca_part", part)
+    counts = hot.groupBy(F.col(key).alias("_ca_key"), F.col("_ca_part").alias("_ca_of")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_ca_key").orderBy("_ca_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_ca_before", before).drop("n")
+    own = F.row_number().over(Window.partitionBy(key, "_ca_part").orderBy("_ca_at"))
+    hot = hot.withColumn("_ca_own", own).join(counts, (F.col(key) == F.col("_ca_key")) & (F.col("_ca_part") == F.col("_ca_of")))
+    hot = hot.withColumn(key, F.xxhash64(key, F.col("_ca_before") + F.col("_ca_own")))
+    cold = laid.join(frequent, F.col(key) == F.col("_ca_key"), "left_anti")
+    return scratch.table(cold.select(*rows.columns).union(hot.select(*rows.columns)), "apart")
+
+
 def first_rows(rooted: DataFrame) -> DataFrame:
     """_sh_row: one row key of each component, that of its least id. rooted: root, _sh_id, _sh_row."""
     least = F.min(F.struct(F.col("_sh_id").isNull().alias("none"), F.col("_sh_id"), F.col("_sh_row")))

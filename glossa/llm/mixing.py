@@ -11,7 +11,7 @@ target to within a few small documents.
 
 Sources are ordered by code point, null last, by a distributed sort; there may be any number of them. A task holds one source's distinct
 sizes, or one block of documents. A null text has size 0 and takes no words; very long texts count like others. Rows of equal id and text
-are interchangeable, each is counted and mixed for itself; reruns agree. Rows without an id are spread by their texts. An empty table gives
+are interchangeable, each is counted and mixed for itself; reruns agree. Rows without an id are spread by their texts, many rows of equal id and text by their numbers. An empty table gives
 an empty table. Other columns may be carried along, whatever their names; only those named like MIXED are replaced.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, restored, whole
+from glossa.llm.common import Scratch, copies_apart, restored, whole
 
 CAP = 3.0
 #: Sources up to which their table is broadcast to the rows; more are joined by a shuffle.
@@ -133,9 +133,9 @@ def round_block(sizes: np.ndarray, rates: np.ndarray) -> list[int]:
 def _rounded(docs: DataFrame, weights, id_col: str, text_col: str, source_col: str, kept: F.Column) -> DataFrame:
     """_mx_in (kept) and MIXED of every row."""
     scratch = Scratch(docs.sparkSession)
-    # by id and text, so that rows without an id don't share a block
+    # by id and text, and of many equal rows by their numbers, so that no block holds all that lack an id
     rows = docs.select(kept.alias("_mx_in"), word_count(text_col).alias("size"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = scratch.table(rows, "rows")
+    rows = copies_apart(scratch.table(rows, "rows"), "h", BLOCK_DOCS // 4, scratch)
     histogram = scratch.table(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     found = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     ranked = _ranked(found, scratch).withColumn("weight", F.lit(weights(F.col("rank"))).cast("double"))

@@ -8,7 +8,7 @@ blocks into stretches, one for each receiving shard: whole blocks move, and the
 by row. The smallest rows are a second line, cut in the same proportions. Cuts miss by half a row each; what a shard has too much then goes on to
 those that have too little, from its smallest rows, row by row, so that shard sizes come out equal to within a few small rows.
 
-Nulls: a null text has size 1, a null id or old shard hashes like any other value; rows without an id are spread by their texts. Rows with
+Nulls: a null text has size 1, a null id or old shard hashes like any other value; rows without an id are spread by their texts, many equal ones by their numbers. Rows with
 equal keys are interchangeable and each gets its own slot. Very long texts are rows like others. An empty table gives an empty table. Other columns
 are carried along whatever their names, as one struct until the end; those named like ADDED are replaced.
 """
@@ -21,10 +21,12 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, restored, utf8_size, whole
+from glossa.llm.common import Scratch, copies_apart, restored, utf8_size, whole
 
 #: Hash blocks of an old shard and size class at least, and rows in a block beyond that, about. A task sorts one block.
 SUBS, BLOCK_ROWS = 64, 1 << 20
+#: Rows of equal id, size and text that may share a block; more are numbered and spread.
+COPIES = 1024
 #: The share of an old shard's bytes that its smallest rows make up which go to all receivers.
 RESERVE = 0.1
 #: Blocks of one old shard and class at most: what the driver sees is bounded; blocks of more than 2^36 rows in one class get larger.
@@ -112,7 +114,7 @@ class Reshard:
             F.coalesce(old.cast("int"), F.lit(0)).alias("_rs_old"), (F.lit(63) - F.floor(F.log2(size.cast("double"))).cast("int")).alias("_rs_class"),
             F.xxhash64(F.col(id_col), crc, size).alias("_rs_h"),
         )
-        rows = rows if keep else self.scratch.table(rows, "rows")
+        rows = copies_apart(rows if keep else self.scratch.table(rows, "rows"), "_rs_h", COPIES, self.scratch)
         classes = [{"o": r["_rs_old"], "c": r["_rs_class"], "n": min(BLOCK_LIMIT, max(SUBS, -(-r["count"] // BLOCK_ROWS)))} for r in rows.groupBy("_rs_old", "_rs_class").count().collect()]
         subs = F.coalesce(F.element_at(F.map_from_entries(F.transform(_literal(classes, "array<struct<o:int,c:int,n:int>>"), lambda x: F.struct(x.o * 64 + x.c, x.n))), F.col("_rs_old") * 64 + F.col("_rs_class")), F.lit(1))
         self.rows = rows.withColumn("_rs_sub", F.pmod(F.shiftrightunsigned("_rs_h", 7), subs).cast("int"))

@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 import zlib
@@ -216,3 +217,30 @@ def test_rounding_passes_on_what_is_left():
     rates = np.full(300, 1.37)
     copies = mixing.round_block(sizes, rates)
     assert abs(sum(c * s for c, s in zip(copies, sizes)) - 1.37 * sizes.sum()) <= sizes[-1]
+
+
+def test_a_third_without_id_and_with_one_text(spark, monkeypatch):
+    """Many equal rows are numbered, so no block holds all of them; what is taken and moved stays exact."""
+    monkeypatch.setattr(resharding, "COPIES", 50)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 400)
+    long = " ".join(["lang"] * 20_000)
+    rows = [(None, "the same text for all", "a")] * 3000 + [(i, f"text {i} " * (1 + i % 7), "ab"[i % 2]) for i in range(6000)] + [(None, None, None), (9000, long, "b"), (9000, long, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    plan = resharding.Reshard(df, keep=False)
+    most = plan.rows.groupBy(*plan.BLOCK).count().agg(F.max("count")).first()[0]
+    assert most < 500
+    out = plan.assigned().collect()
+    sizes = collections.Counter()
+    slots = collections.defaultdict(list)
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= len(long) + 1
+    assert sorted(r["size"] for r in resharding.Reshard(df).assigned().collect()) == sorted(len(t or "") + 1 for _, t, _ in rows)
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in mixed)
+    for r in {(r["source_size"], r["target"]) for r in mixed}:
+        assert abs(sum(x["taken"] for x in mixed if (x["source_size"], x["target"]) == r) - r[1]) <= 20_000
+    key = lambda x: repr((x["doc_id"], x["size"], x["taken"]))
+    assert sorted(map(key, mixed)) == sorted(map(key, mixing.mix(df.repartition(3)).collect()))
