@@ -262,6 +262,24 @@ def test_near_copies_of_the_pipeline_are_those_of_similarity(spark, tmp_path):
     assert len(ruled) >= 0.95 * len(alike) and len(got) < len(rows) - 60
 
 
+def test_recall_at_the_least_similarity(spark):
+    """Pairs of texts that are just similar enough, each apart from all others: nine in ten are found at least, and no pair that isn't."""
+    rng, pairs = np.random.default_rng(21), []
+    while len(pairs) < 400:
+        base = [f"p{len(pairs)}x{k}" for k in rng.integers(0, 4000, 150)]
+        other = list(base)
+        for at in rng.choice(150, int(rng.integers(3, 5)), replace=False).tolist():
+            other[at] = f"q{at}"
+        pairs.append((" ".join(base), " ".join(other)))
+    near = [jaccard(a, b) for a, b in pairs]
+    assert sum(0.8 <= s < 0.85 for s in near) > 100 and sum(s < 0.8 for s in near) > 50
+    rows = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {r["doc_id"] for r in sketches.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    least = [2 * k + 1 not in kept for k, s in enumerate(near) if 0.8 <= s < 0.85]
+    assert np.mean(least) >= 0.9
+    assert all(2 * k + 1 in kept for k, s in enumerate(near) if s < 0.8) and all(2 * k in kept for k in range(len(near)))
+
+
 def test_cells_meet_exactly_within_two_bits(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 32, 30, dtype=np.uint64)
@@ -286,7 +304,7 @@ def test_cells_meet_exactly_within_two_bits(spark):
 def test_a_cell_of_dissimilar_texts_is_compared_in_full(spark, monkeypatch):
     """If all texts share one cell, the second search finds what the least member does not link."""
     rows = near_copies(13)
-    monkeypatch.setattr(sketches, "MAX_DISTANCE", 640)
+    monkeypatch.setattr(sketches, "MAX_DISTANCE", 64 * sketches.LANES)
     real = sketches.signed
     one = [F.lit(0).cast("long").alias(s) for s in sketches.SKETCH]
     monkeypatch.setattr(sketches, "signed", lambda *a: real(*a).select("_sh_id", "_sh_row", "words", "n", *one))
