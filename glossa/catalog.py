@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa import catalog_facts, catalog_kernels, catalog_sources, facts
+from glossa import catalog_bodies, catalog_facts, catalog_kernels, catalog_sources, facts
 from glossa.functions import columns, inflect, levels, terms
-from glossa.operators import calls, coverage, dependencies, diagnostics, generators, lookup, merge, provenance
+from glossa.operators import calls, coverage, dependencies, diagnostics, generators, lookup, merge, provenance, recursion
 from glossa.plans.fixpoint import reach
 from glossa.sources import ddl, signatures
 from glossa.streaming import workspace
@@ -567,7 +567,7 @@ def fact_signature_classes(spark, sf_dir):
 def fact_resolved_returns(spark, sf_dir):
     """Returns resolved along calls to a fixpoint; a cycle stays open."""
     methods, paths = facts.call_chain(spark)
-    found, _ = calls.resolve_returns(methods, paths)
+    found, _ = recursion.resolve_returns(methods, paths)
     return found.select("name", columns.rendered("ret").alias("ret"))
 
 
@@ -584,8 +584,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | catalog_facts.QUERIES | catalog_kernels.QUERIES | catalog_sources.QUERIES
+    return QUERIES | catalog_facts.QUERIES | catalog_kernels.QUERIES | catalog_sources.QUERIES | catalog_bodies.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | catalog_facts.SQL | catalog_kernels.SQL | catalog_sources.SQL
+    return SQL | catalog_facts.SQL | catalog_kernels.SQL | catalog_sources.SQL | catalog_bodies.SQL

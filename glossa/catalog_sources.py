@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import columns, flow, inflect
 from glossa.functions import terms as T
-from glossa.operators import calls, coverage, extensions, flows, generators, lookup, merge, provenance, queries, render, reports, schema
+from glossa.operators import calls, coverage, extensions, flows, generators, lookup, merge, provenance, queries, recursion, render, reports, schema
 from glossa.plans.fixpoint import reach, shared_dir
 from glossa.sources import ddl, ruby, scenarios
 from glossa.sources import signatures as sources
@@ -484,7 +484,7 @@ def kernel_r02_r03_b34_b35_resolved_returns(spark, sf_dir):
     rows = rows.union(r.select(own, F.when(F.col("r_regionkey") % 2 == 0, '["integer"]').otherwise(call(own))))
     methods = rows.select("class", F.lit("m").alias("name"), F.lit(False).alias("singleton"), "ret")
     paths = rows.select("class", F.col("class").alias("owner"), F.array(F.lit(0)).alias("rank"))
-    found, _ = calls.resolve_returns(methods, paths)
+    found, _ = recursion.resolve_returns(methods, paths)
     return found.join(s.select(F.col("s_name").alias("class")), "class", "left_semi").select(F.col("class").alias("name"), columns.rendered("ret").alias("ret"))
 
 

@@ -7,6 +7,7 @@ All tables here are fixed values.
 from __future__ import annotations
 
 from glossa.functions import terms as T
+from glossa.functions.relation_methods import ANSWERS, RELATION_METHODS
 
 SELF, ELEM, KEY, VALUE = ("self",), ("elem",), ("key",), ("value",)
 ANY_RECEIVER = "dup clone itself freeze"
@@ -39,57 +40,6 @@ TABLE = {
     },
 }
 
-# relations: (methods, return, receivers, since, block form)
-ALL, RELATIONS, PROXY = ("model", "relation", "proxy"), ("relation", "proxy"), ("proxy",)
-RELATION, MODEL = ("relation",), ("model",)
-MAYBE_MODEL, MODELS, KEYS = T.union(MODEL, T.NIL), T.array(MODEL), T.array(("primary_key",))
-BLOCK_SAME, BLOCK_RECORDS, BLOCK_UNTYPED = "same", "records", "untyped"
-RELATION_METHODS = [
-    ("all none where rewhere eager_load preload includes references reorder order joins left_joins left_outer_joins group unscope or having limit offset lock readonly create_with from distinct extending reverse_order merge except only", RELATION, ALL, (0, 0), BLOCK_SAME),
-    ("reselect optimizer_hints annotate", RELATION, ALL, (6, 0), BLOCK_SAME),
-    ("and strict_loading", RELATION, ALL, (6, 1), BLOCK_SAME),
-    ("in_order_of invert_where excluding without", RELATION, ALL, (7, 0), BLOCK_SAME),
-    ("with regroup", RELATION, ALL, (7, 1), BLOCK_SAME),
-    ("with_recursive", RELATION, ALL, (7, 2), BLOCK_SAME),
-    ("select", RELATION, ALL, (0, 0), BLOCK_RECORDS),
-    ("unscoped", RELATION, ALL, (0, 0), BLOCK_UNTYPED),
-    ("load_async associated", RELATION, RELATIONS, (7, 0), BLOCK_SAME),
-    ("not distinct! skip_query_cache load reload reset merge!", RELATION, RELATIONS, (0, 0), BLOCK_SAME),
-    ("missing", RELATION, RELATIONS, (6, 1), BLOCK_SAME),
-    ("<< push append concat", RELATION, PROXY, (0, 0), BLOCK_SAME),
-    ("replace", T.UNTYPED, PROXY, (0, 0), BLOCK_SAME),
-    ("to_a to_ary records", MODELS, RELATIONS, (0, 0), BLOCK_SAME),
-    ("empty? loaded?", T.BOOL, RELATIONS, (0, 0), BLOCK_SAME),
-    ("size in_order_of_count", T.INTEGER, RELATIONS, (0, 0), BLOCK_SAME),
-    ("scoping explain each_batch", T.UNTYPED, RELATIONS, (0, 0), BLOCK_SAME),
-    ("insert insert! insert_all insert_all! upsert upsert_all", T.UNTYPED, RELATIONS, (6, 0), BLOCK_SAME),
-    ("delete", T.INTEGER, ("relation",), (0, 0), BLOCK_SAME),
-    ("destroy", MODEL, ("relation",), (0, 0), BLOCK_SAME),
-    ("delete destroy", MODELS, PROXY, (0, 0), BLOCK_SAME),
-    ("find", MODEL, ALL, (0, 0), BLOCK_RECORDS),
-    ("first last take find_by second third fourth fifth forty_two third_to_last second_to_last", MAYBE_MODEL, ALL, (0, 0), BLOCK_SAME),
-    ("find_by! first! last! take! second! third! fourth! fifth! forty_two! third_to_last! second_to_last! first_or_create first_or_create! first_or_initialize find_or_create_by find_or_create_by! find_or_initialize_by new build create create!", MODEL, ALL, (0, 0), BLOCK_SAME),
-    ("sole find_sole_by", MODEL, ALL, (6, 1), BLOCK_SAME),
-    ("create_or_find_by create_or_find_by!", MODEL, ALL, (6, 0), BLOCK_SAME),
-    ("any? many? none? one?", T.BOOL, ALL, (0, 0), BLOCK_RECORDS),
-    ("exists? include? member?", T.BOOL, ALL, (0, 0), BLOCK_SAME),
-    ("count", T.INTEGER, ALL, (0, 0), BLOCK_RECORDS),
-    ("update_all delete_all", T.INTEGER, ALL, (0, 0), BLOCK_SAME),
-    ("touch_all delete_by", T.INTEGER, ALL, (6, 0), BLOCK_SAME),
-    ("destroy_all", MODELS, ALL, (0, 0), BLOCK_SAME),
-    ("destroy_by", MODELS, ALL, (6, 0), BLOCK_SAME),
-    ("ids", KEYS, ALL, (0, 0), BLOCK_SAME),
-    ("pluck", T.array(T.UNTYPED), ALL, (0, 0), BLOCK_SAME),
-    ("minimum maximum average calculate", T.UNTYPED, ALL, (0, 0), BLOCK_SAME),
-    ("pick", T.UNTYPED, ALL, (6, 0), BLOCK_SAME),
-    ("sum", T.UNTYPED, ALL, (0, 0), BLOCK_RECORDS),
-    ("async_count", ("generic", "ActiveRecord::Promise", (T.INTEGER,)), ALL, (7, 1), BLOCK_SAME),
-    ("async_ids", ("generic", "ActiveRecord::Promise", (KEYS,)), ALL, (7, 1), BLOCK_SAME),
-    ("async_pick async_pluck async_sum async_average async_minimum async_maximum", ("generic", "ActiveRecord::Promise", (T.UNTYPED,)), ALL, (7, 1), BLOCK_SAME),
-    ("find_each", ("generic", "Enumerator", (MODEL,)), ALL, (0, 0), BLOCK_UNTYPED),
-    ("find_in_batches", ("generic", "Enumerator", (MODELS,)), ALL, (0, 0), BLOCK_UNTYPED),
-    ("in_batches", T.cls("ActiveRecord::Batches::BatchEnumerator"), ALL, (0, 0), BLOCK_UNTYPED),
-]
 #: Methods that a relation hands to its loaded records.
 RECORD_METHODS = "to_xml encode_with length each join intersect? [] & | + - sample reverse rotate compact in_groups in_groups_of to_sentence to_fs to_formatted_s as_json shuffle split slice index rindex"
 RELATION_CLASS, PROXY_CLASS = "ActiveRecord::Relation", "ActiveRecord::Associations::CollectionProxy"
@@ -152,12 +102,13 @@ def _put_parts(t, parts: dict):
     return t
 
 
+_RELATION_METHODS = {(name, receiver): (ANSWERS[answer], block, since) for name, answer, receivers, since, block, _ in RELATION_METHODS for receiver in receivers.split()}
+
+
 def relation_lookup(method: str, receiver: str, version: tuple[int, int] = (99, 0)):
     """(return, block form) of a relation method on a model, relation or proxy, if that version has it."""
-    for names, ret, receivers, since, block in RELATION_METHODS:
-        if receiver in receivers and since <= version and method in names.split():
-            return ret, block
-    return None
+    found = _RELATION_METHODS.get((method, receiver))
+    return found[:2] if found and found[2] <= version else None
 
 
 def relation_return(method: str, receiver: str, model, relation=None, primary_key=T.INTEGER, block: bool = False, version: tuple[int, int] = (99, 0)):
@@ -166,7 +117,7 @@ def relation_return(method: str, receiver: str, model, relation=None, primary_ke
     if not found:
         return None
     ret, form = found
-    if block and form == BLOCK_UNTYPED:
+    if block and form == "anything":
         return T.UNTYPED
     return _put_parts(ret, {"model": model, "relation": relation or ("generic", RELATION_CLASS, (model,)), "primary_key": primary_key})
 
@@ -176,5 +127,5 @@ def records_receiver(receiver, method: str, block: bool, enumerable: set[str] =
     if receiver[0] != "generic" or receiver[1] not in (RELATION_CLASS, PROXY_CLASS) or not receiver[2]:
         return None
     found = relation_lookup(method, "relation" if receiver[1] == RELATION_CLASS else "proxy")
-    hands = block and found[1] == BLOCK_RECORDS if found else method in RECORD_METHODS.split() or method in enumerable
+    hands = block and found[1] == "records" if found else method in RECORD_METHODS.split() or method in enumerable
     return T.array(receiver[2][0]) if hands else None

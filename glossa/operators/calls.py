@@ -1,4 +1,4 @@
-"""Types across calls: parameters from call sites, returns to a fixpoint.
+"""Types across calls: parameters from call sites, overloads, declarations to load.
 
 Facts: methods (class, name, singleton, ret, ...), params (class, name, singleton, idx, pname, kind, default_type), call_sites (site_id, class,
 method, singleton, open_splat), call_args (site_id, pos, keyword, type), where types are JSON terms and class is the receiver's.
@@ -18,7 +18,7 @@ from glossa.functions import binding, terms
 from glossa.functions.columns import union_type
 from glossa.operators.lookup import dispatch
 from glossa.operators.merge import last_keywords
-from glossa.plans.fixpoint import cut, until_stable
+from glossa.plans.fixpoint import cut
 
 
 @arrow("string")
@@ -75,70 +75,6 @@ def infer_parameters(sites: DataFrame, args: DataFrame, params: DataFrame, metho
     return parameter_types(bound_arguments(found, args, params))
 
 
-def _target(x, owner: str, on_class: bool) -> tuple[str, str, bool] | None:
-    """The method that a reference in a body of owner waits for."""
-    if x[0] == "method_return":
-        return x[1] or owner, x[2], on_class and x[1] in ("", owner)
-    if x[0] == "receiver_method" and x[1][0] in ("class", "generic", "singleton"):
-        return x[1][1], x[2], x[1][0] == "singleton"
-    return None
-
-
-def _substitute(t, known: dict, owner: str, on_class: bool):
-    def put(x):
-        if found := _target(x, owner, on_class):
-            return known.get(found, x)
-        if x[0] in terms.PROJECTIONS and not terms.is_deferred(x[1]):
-            f = {"truthy": terms.project_truthy, "falsy": terms.project_falsy, "non_nil": terms.project_non_nil}[x[0]]
-            return f(x[1]) or terms.BOT
-        if x[0] == "safe_nav":
-            return terms.safe_navigation(x[1], x[2])
-        return x
-
-    return terms.transform(t, put)
-
-
-def resolve_returns(methods: DataFrame, paths: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
-    """methods with ret resolved along calls between them, and the number of rounds it took.
-
-    Every round replaces references whose target is known; a reference into its own cycle stays until the end and is untyped then.
-    Rounds work from the last round's state, so the order of classes doesn't matter. They go on until nothing changes, one for each call of the
-    longest chain; they end, as each replaces references by finished types. rounds: a bound, an error if it is not enough.
-    """
-    keys = ["class", "name", "singleton"]
-
-    @arrow("array<struct<owner:string,member:string,on_class:boolean>>")
-    def wanted(ret: pd.Series, owner: pd.Series, singleton: pd.Series) -> pd.Series:
-        def one(text, own, on_class):
-            found = [_target(x, own, bool(on_class)) for x in terms.walk(terms.loads(text))]
-            return [{"owner": o, "member": m, "on_class": c} for o, m, c in dict.fromkeys(f for f in found if f)]
-
-        return pd.Series([one(*x) for x in zip(ret, owner, singleton)], dtype="object")
-
-    @arrow("string")
-    def replaced(ret: pd.Series, owner: pd.Series, singleton: pd.Series, known: pd.Series) -> pd.Series:
-        def one(text, own, on_class, rows):
-            table = {(r["owner"], r["member"], bool(r["on_class"])): terms.loads(r["ret"]) for r in (rows if rows is not None else [])}
-            return terms.dumps(_substitute(terms.loads(text), table, own, bool(on_class))) if table else text
-
-        return pd.Series([one(*x) for x in zip(ret, owner, singleton, known)], dtype="object")
-
-    def step(state: DataFrame) -> DataFrame:
-        waits = F.col("ret").rlike('"(method_return|receiver_method)"')
-        asked = state.filter(waits).select(*keys, F.explode(wanted("ret", "class", "singleton")).alias("w")).select(*keys, F.col("w.owner").alias("receiver"), F.col("w.member").alias("member"), F.col("w.on_class").alias("on_class"))
-        asking = asked.select(F.col("receiver").alias("class"), F.col("member").alias("name"), F.col("on_class").alias("singleton")).distinct()
-        targets = dispatch(asking, paths, state).filter("owner IS NOT NULL").select(F.col("class").alias("receiver"), F.col("name").alias("member"), F.col("singleton").alias("on_class"), "owner")
-        # only finished targets are substituted, so terms don't grow along cycles
-        done = state.filter(~waits).select(F.col("class").alias("owner"), F.col("name").alias("member"), F.col("singleton").alias("on_class"), "ret")
-        told = targets.join(done, ["owner", "member", "on_class"]).select("receiver", "member", "on_class", "ret")
-        met = asked.join(told, ["receiver", "member", "on_class"])
-        known = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("receiver").alias("owner"), "member", "on_class", "ret"))).alias("known"))
-        told = state.join(known, keys, "left").withColumn("now", F.when(F.col("known").isNotNull(), replaced("ret", "class", "singleton", "known")).otherwise(F.col("ret")))
-        return told.withColumn("changed", F.col("now") != F.col("ret")).withColumn("ret", F.col("now")).drop("now", "known")
-
-    return until_stable(methods, step, rounds)
-
-
 def needed_classes(methods: DataFrame, classes: DataFrame, attempted: DataFrame, references) -> DataFrame:
     """Classes that types name and nothing has declared or tried to load. references: a column function on terms."""
     named = methods.select(F.explode(references("ret")).alias("class")).distinct()

@@ -161,10 +161,7 @@ def association_methods(found: DataFrame) -> DataFrame:
 
 def relation_methods(models: DataFrame, version: tuple[int, int] = (99, 0)) -> DataFrame:
     """Class methods that models (class, primary_key: JSON term or null) answer like relations."""
-    rows = []
-    for names, ret, receivers, since, block in returns.RELATION_METHODS:
-        if "model" in receivers and since <= version:
-            rows += [(m, terms.dumps(ret), block) for m in names.split()]
+    rows = [(m, terms.dumps(returns.ANSWERS[answer]), block) for m, answer, receivers, since, block, _ in returns.RELATION_METHODS if "model" in receivers.split() and since <= version]
     table = models.sparkSession.createDataFrame(rows, "name string, ret string, block string")
     key = F.coalesce("primary_key", F.lit('["integer"]'))
     ret = F.replace(F.replace(F.replace("ret", F.lit('["relation"]'), F.concat(F.lit(f'["generic","{returns.RELATION_CLASS}",['), _class(F.col("class")), F.lit("]]"))), F.lit('["model"]'), _class(F.col("class"))), F.lit('["primary_key"]'), key)

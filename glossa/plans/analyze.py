@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from glossa.functions import terms
 from glossa.functions.columns import referenced_classes, union_type_keeping_untyped, widened
 from glossa.functions.udf import arrow
-from glossa.operators import calls, extensions, generators, lookup, merge, render
+from glossa.operators import bodies, calls, extensions, generators, lookup, merge, recursion, render
 from glossa.plans.fixpoint import cut
-from glossa.sources import ddl, ruby
+from glossa.sources import ddl, ruby, syntax
 
 METHOD = ["class", "name", "singleton", "ret", "origin", "visibility", "file", "line", "ord"]
 
@@ -92,12 +92,22 @@ def resolve_callers(sites: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
     return sites.join(found, "site_id", "left").withColumn("class", F.coalesce("resolved", "class")).drop("resolved")
 
 
+def with_bodies(methods: DataFrame, texts: DataFrame) -> DataFrame:
+    """methods (file, line, name, ret, ...) with what their bodies are worth, where that says more than the last line."""
+    found = bodies.method_returns(cut(syntax.nodes(texts))).groupBy("file", "line", "name").agg(F.first("ret").alias("worth"))
+    vague = F.col("worth").isNull() | F.contains("worth", F.lit('["untyped"]')) & ~F.contains("ret", F.lit('["untyped"]'))
+    return methods.join(found, ["file", "line", "name"], "left").withColumn("ret", F.when(vague, F.col("ret")).otherwise(F.col("worth"))).select(*methods.columns)
+
+
 class Analysis:
     """Tables of one run over texts (file, content)."""
 
-    def __init__(self, texts: DataFrame, active: DataFrame | None = None):
+    def __init__(self, texts: DataFrame, active: DataFrame | None = None, deep: bool = True):
+        """deep: what methods return is worked out from all ways through their bodies; else only from last lines that are simple."""
         rows = cut(ruby.facts(texts))
         t = ruby.tables(rows)
+        if deep:
+            t["methods"] = with_bodies(t["methods"], texts)
         known = t["classes"].select("class").distinct()
         t["methods"], t["ivars"] = resolve_names(t["methods"], known, "ret"), resolve_names(t["ivars"], known, "type")
         where = resolve_callers(t["sites"], rows, known)
@@ -143,7 +153,7 @@ class Analysis:
         """Returns to a fixpoint, once parameters and variables are in place."""
         held = self.ivars.groupBy("class").agg(F.collect_list(F.struct("ivar", "type")).alias("vs"))
         rows = self.methods.join(self.by_method, ["class", "name", "singleton"], "left").join(held, "class", "left")
-        self.resolved, self.rounds = calls.resolve_returns(rows.withColumn("ret", with_known("ret", "ps", "vs")).select(*self.methods.columns), self.paths)
+        self.resolved, self.rounds = recursion.resolve_returns(rows.withColumn("ret", with_known("ret", "ps", "vs")).select(*self.methods.columns), self.paths)
 
     def signatures(self) -> DataFrame:
         """class, name, singleton, origin, private, ord, overloads, explicit, file, line."""

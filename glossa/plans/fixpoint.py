@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import functools
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,19 +69,3 @@ def ranked_reach(edges: DataFrame, classes: DataFrame) -> DataFrame:
             break
         rounds.append(new)
     return _all(rounds).groupBy("class", "owner").agg(F.min("path").alias("rank"))
-
-
-def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, int]:
-    """step applied until it changes no row; the state and the rounds that changed something. An error if more than max_rounds do.
-
-    step(state) gives the new state with a boolean column `changed`, so that no two states have to be compared.
-    """
-    state, k = cut(state), 0
-    while True:
-        after = cut(step(state))
-        state = after.drop("changed")
-        if after.filter("changed").isEmpty():
-            return state, k
-        if k == max_rounds:
-            raise RuntimeError(f"rows still change after {max_rounds} rounds")
-        k += 1

@@ -86,7 +86,7 @@ def test_analysis(spark):
     assert "def initialize: (String name, ?Integer | Float price) -> void" in text and "def price: () -> (Integer | Float)" in text
     assert "def self.make: (String name, ?price: Integer) -> String" in text and "private def hidden: (*untyped rest, key: untyped, **untyped opts) ?{ (?) -> untyped } -> [Integer, String]" in text
     assert "def x: () -> untyped" in text and "def x=: (untyped value) -> untyped" in text
-    assert "def odd: () -> untyped" in text and "def go: () -> " in text
+    assert "def odd: () -> (Integer | String)" in text and "def go: () -> " in text
 
 
 def test_scan_and_analyze(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Binding, compatibility, coverage and diagnostics."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from glossa.functions import binding, compat, levels
 from glossa.functions import terms as T
 from glossa.functions.compat import NO, UNKNOWN, YES, World
-from glossa.operators import calls, coverage, diagnostics, lookup
+from glossa.operators import calls, coverage, diagnostics, lookup, recursion
 
 P = lambda name, kind, default=None: (name, kind, default)
 PARAMS = [P("a", "required"), P("b", "optional", T.STRING), P("rest", "rest"), P("z", "required"), P("k", "keyword_optional", T.NIL), P("opts", "double_rest")]
@@ -217,20 +218,66 @@ def test_parameters_and_returns(spark):
     args = spark.createDataFrame([(1, 0, None, ret(("lit_int", 1))), (2, 0, None, ret(("lit_str", "x"))), (2, 1, "k", ret(T.TRUE)), (3, 0, None, ret(T.NIL))], "site_id int, pos int, keyword string, type string")
     found = calls.infer_parameters(sites, args, params, methods, paths)
     assert {(r["class"], r["pname"]): T.render(T.loads(r["type"])) for r in found.collect()} == {("Base", "a"): "Integer | String", ("Base", "k"): "bool?"}
-    resolved, rounds = calls.resolve_returns(methods, paths)
-    got = {r["name"]: T.render(T.loads(r["ret"])) for r in resolved.collect()}
+    found, rounds = recursion.resolve_returns(methods, paths)
+    got = {r["name"]: T.render(T.loads(r["ret"])) for r in found.collect()}
     assert got["n"] == "String" and got["o"] == "Integer" and rounds <= 8
 
 
-def test_long_chains_are_followed_to_their_end(spark):
-    ret = lambda t: T.dumps(t)
+def one_class(spark, rets):
+    """methods and paths of a class whose methods return these terms."""
     paths = lookup.ancestors(spark.createDataFrame([("K", None)], "class string, superclass string"), spark.createDataFrame([], "class string, module string, kind string, ord int")).cache()
-    rows = [("K", f"m{k}", False, ret(("method_return", "K", f"m{k + 1}"))) for k in range(10)]
-    rows += [("K", "m10", False, ret(T.STRING)), ("K", "a", False, ret(("method_return", "K", "b"))), ("K", "b", False, ret(("method_return", "K", "a")))]
-    methods = spark.createDataFrame(rows, "class string, name string, singleton boolean, ret string")
-    resolved, rounds = calls.resolve_returns(methods, paths)
-    got = {r["name"]: r["ret"] for r in resolved.collect()}
-    assert rounds == 10 and all(got[f"m{k}"] == ret(T.STRING) for k in range(11)) and "method_return" in got["a"]
+    return spark.createDataFrame([("K", n, False, T.dumps(t)) for n, t in rets.items()], "class string, name string, singleton boolean, ret string"), paths
+
+
+def resolved(spark, rets):
+    found, rounds = recursion.resolve_returns(*one_class(spark, rets))
+    return {r["name"]: T.render(T.loads(r["ret"])) for r in found.collect()}, rounds
+
+
+def call(name):
+    return ("method_return", "K", name)
+
+
+def test_long_chains_take_few_rounds(spark):
+    rets = {f"m{k}": call(f"m{k + 1}") for k in range(1000)} | {"m1000": T.STRING, "a": call("b"), "b": call("a"), "lost": call("nowhere"), "after": call("lost")}
+    got, rounds = resolved(spark, rets)
+    assert rounds <= 15 and all(got[f"m{k}"] == "String" for k in range(1001)) and got["a"] == got["b"] == "untyped"
+    found = {r["name"]: r["ret"] for r in recursion.resolve_returns(*one_class(spark, {"lost": call("nowhere"), "after": call("lost"), "x": T.array(call("after"))}))[0].collect()}
+    assert all("method_return" in t for t in found.values())
+
+
+def test_circles_get_their_least_type(spark):
+    one, s, sym = ("lit_int", 1), ("lit_str", "s"), ("lit_sym", "s")
+    got, _ = resolved(spark, {
+        "self_loop": T.union(one, call("self_loop")), "first": T.union(one, call("second")), "second": T.union(s, call("third")), "third": T.union(sym, call("first")),
+        "nested": T.union(("tuple", (one,)), ("tuple", (call("nested"),))), "outer": T.array(call("nested")), "projected": T.union(T.INTEGER, ("truthy", call("projected"))),
+        "through": ("truthy", T.union(T.NIL, call("far"))), "far": T.union(T.NIL, T.STRING), "ping": T.array(call("pong")), "pong": T.array(call("ping")),
+    })
+    assert got["self_loop"] == "1" and got["first"] == got["second"] == got["third"] and {"1", '"s"', ":s"} == set(got["first"].strip("()").split(" | "))
+    assert got["nested"] in ("[untyped] | [1]", "[1] | [untyped]") and "untyped" in got["outer"] and got["projected"] == "Integer" and got["through"] == "String"
+    assert got["ping"] == "Array[Array[untyped]]" or got["ping"] == "Array[untyped]"
+
+
+def test_direct_calls_match_brute_force(spark):
+    """Random graphs with circles: every method has all finished arms that it reaches."""
+    rng = random.Random(8)
+    kinds = [T.INTEGER, T.STRING, T.FLOAT, T.SYMBOL, T.NIL]
+    arms = {f"m{k}": ([rng.choice(kinds)] if rng.random() < 0.3 else []) + [call(f"m{rng.randrange(300)}") for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] for k in range(300)}
+    got, rounds = resolved(spark, {n: T.union(*a) if len(a) > 1 else a[0] if a else T.BOOL for n, a in arms.items()})
+
+    def reach(n):
+        seen, todo, found = {n}, [n], set()
+        while todo:
+            own = arms[todo.pop()]
+            found |= {T.BOOL} if not own else {t for t in own if t[0] != "method_return"}
+            for t in own:
+                if t[0] == "method_return" and t[2] not in seen:
+                    seen.add(t[2])
+                    todo.append(t[2])
+        return found
+
+    want = {n: T.render(T.union_keeping_untyped(sorted(reach(n), key=T.dumps))) if reach(n) else "untyped" for n in arms}
+    assert got == want and rounds <= 15
 
 
 def test_loading_until_closed(spark):
