@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import columns
-from glossa.operators import bodies, flows, recursion, relations
+from glossa.operators import bodies, flows, generics, recursion, relations
 from glossa.plans.fixpoint import cut
 from glossa.sources import syntax
 
@@ -137,3 +137,26 @@ def kernel_r02_r03_long_chains(spark, sf_dir):
     rows = p.select(_text("P", _n("p_partkey")).alias("class"), F.lit("m").alias("name"), F.lit(False).alias("singleton"), F.when(floats, F.concat(F.lit('["union",[["float"],'), to, F.lit("]]"))).otherwise(to).alias("ret"))
     found, _ = recursion.resolve_returns(rows, rows.select("class", F.col("class").alias("owner"), F.array(F.lit(0)).alias("rank")))
     return found.select(F.col("class").alias("name"), columns.rendered("ret").alias("ret"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 5 AS form, CAST(l_quantity AS BIGINT) % 3 AS kind, l_tax > 0.04 AS more FROM lineitem),
+t AS (SELECT *, ['Integer', 'String', 'Symbol'][kind + 1] AS a, CASE WHEN more THEN 'Float' ELSE ['Integer', 'String', 'Symbol'][kind + 1] END AS b FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE form WHEN 0 THEN a WHEN 1 THEN 'Array[' || a || ']' WHEN 2 THEN '[' || b || ', ' || a || ']'
+WHEN 3 THEN CASE WHEN a = 'Integer' THEN 'Array[Integer]' ELSE 'Array[Float | Integer]' END ELSE a || '?' END AS ret FROM t""")
+def kernel_b12_b46_instantiated_signatures(spark, sf_dir):
+    """Items call generic methods of five forms, with arguments that nest what binds their variables; one form has a bound."""
+    var = lambda n: '["class","%s"]' % n
+    bound = '["union",[["float"],["integer"]]]'
+    forms = [
+        (0, [("T", None)], [var("T")], var("T")), (1, [("T", None)], [f'["array",["array",{var("T")}]]'], f'["array",{var("T")}]'), (2, [("K", None), ("V", None)], [f'["hash",{var("K")},{var("V")}]', var("V")], f'["tuple",[{var("V")},{var("K")}]]'),
+        (3, [("N", bound)], [var("N")], f'["array",{var("N")}]'), (4, [("T", None)], [f'["union",[{var("T")},["nil"]]]'], f'["union",[{var("T")},["nil"]]]'),
+    ]
+    table = spark.createDataFrame([(f"F{k}", "m", v, p, r) for k, v, p, r in forms], "class string, name string, variables array<struct<name:string,bound:string>>, params array<string>, ret string")
+    a = F.array(*map(F.lit, ['["lit_int",1]', '["string"]', '["lit_sym","s"]']))[(F.col("l_quantity").cast("long") % 3).cast("int")]
+    b = F.when(F.col("l_tax") > 0.04, '["float"]').otherwise(a)
+    nested = F.concat(F.lit('["tuple",[["array",'), a, F.lit("]]]"))
+    given = F.array(F.array(a), F.array(nested), F.array(F.concat(F.lit('["hash",'), a, F.lit(","), b, F.lit("]"))), F.array(a), F.array(F.concat(F.lit('["union",['), a, F.lit(',["nil"]]]'))))[(F.col("l_suppkey") % 5).cast("int")]
+    site = F.struct("l_orderkey", "l_linenumber", "l_partkey", F.monotonically_increasing_id().alias("row"))
+    calls = cut(_read(spark, sf_dir, "lineitem").select(site.alias("site_id"), _text("F", (F.col("l_suppkey") % 5).cast("string")).alias("class"), F.lit("m").alias("name"), given.alias("args")))
+    found = generics.instantiated(calls, table)
+    return found.select("site_id.l_orderkey", "site_id.l_linenumber", "site_id.l_partkey", columns.rendered("ret").alias("ret"))

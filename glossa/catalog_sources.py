@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import columns, flow, inflect
 from glossa.functions import terms as T
-from glossa.operators import calls, coverage, extensions, flows, generators, lookup, merge, provenance, queries, recursion, render, reports, schema
+from glossa.operators import calls, coverage, extensions, flows, generators, generics, lookup, merge, provenance, queries, recursion, render, reports, schema
 from glossa.plans.fixpoint import reach, shared_dir
 from glossa.sources import ddl, ruby, scenarios
 from glossa.sources import signatures as sources
@@ -714,11 +714,16 @@ def kernel_b01_param_flows(spark, sf_dir):
     return flows.param_flows(_uses(spark, sf_dir)).drop("class")
 
 
-@query(f"""WITH {USES} SELECT name, idx, CASE WHEN flow = 'called' THEN '^(*untyped) -> ' ELSE '' END || chr(CASE WHEN row_number() OVER (PARTITION BY name ORDER BY idx) = 1 THEN 84 ELSE 85 END) AS shown, CASE WHEN flow = 'constrained' THEN 'Type' || idx END AS bound FROM f WHERE flow IS NOT NULL""")
+@query(f"""WITH {USES}, k AS (SELECT *, flow = 'called' AS proc FROM f WHERE flow IS NOT NULL AND NOT (flow = 'constrained' AND name::BIGINT % 5 = 0)),
+n AS (SELECT *, count(*) OVER (PARTITION BY name, proc) AS same FROM k)
+SELECT name, idx, CASE WHEN proc THEN '^(*untyped) -> R' || CASE WHEN same = 2 THEN (idx + 1)::VARCHAR ELSE '' END WHEN same = 2 THEN CASE idx WHEN 0 THEN 'IK' ELSE 'IN' END ELSE 'I' END AS shown,
+CASE WHEN flow = 'constrained' THEN 'Type' || idx END AS bound FROM n""")
 def kernel_b11_inferred_type_params(spark, sf_dir):
+    """Parameters as type variables, named for them; every fifth order's callers say nothing."""
     uses = _uses(spark, sf_dir)
-    params = uses.select("class", "name", "idx", F.concat(F.lit("Type"), "idx").alias("type")).distinct()
-    return flows.inferred_type_params(params, flows.param_flows(uses)).select("name", "idx", "shown", "bound")
+    kind = F.when(F.col("name").cast("long") % 5 == 0, "untyped").otherwise(F.concat(F.lit("Type"), "idx"))
+    params = uses.select("class", "name", "idx", F.when(F.col("idx") == 0, "item_key").otherwise("item_name").alias("pname"), kind.alias("type")).distinct()
+    return generics.inferred_type_params(params, flows.param_flows(uses)).select("name", "idx", "shown", "bound")
 
 
 def _ways(spark, sf_dir) -> DataFrame:

@@ -21,7 +21,7 @@ from glossa.functions.udf import arrow
 from glossa.operators.recursion import ON, TYPE, WAIT, reached
 from glossa.plans.fixpoint import cut
 
-UNTYPED, BOT = terms.dumps(terms.UNTYPED), terms.dumps(terms.BOT)
+UNTYPED, BOT, BLOCK = terms.dumps(terms.UNTYPED), terms.dumps(terms.BOT), terms.dumps(("block_return",))
 #: Kinds whose value is made of the values below them, and kinds that write a local without a value of their own here.
 MADE = ["call", "array", "hash", "or", "and", "part", "keywords", "splat"]
 WRITES = ["assign", "param", "bind", "rest_pattern", "as_pattern", "for", "rescue_arm"]
@@ -183,7 +183,7 @@ def values(nodes: DataFrame) -> DataFrame:
         F.when(F.col("term").isNotNull(), F.col("term")).when(F.col("kind") == "ivar", F.concat(F.lit('["ivar",'), quoted))
         .when(F.col("kind") == "self", F.concat(F.when(F.col("singleton"), '["singleton","').otherwise('["class","'), F.col("class"), F.lit('"]')))
         .when(F.col("kind").isin("const", "colon"), F.when(F.col("name").rlike(r"(^|::)[A-Z][A-Z\d_]*$"), UNTYPED).otherwise(F.concat(F.lit('["singleton",'), quoted)))
-        .when(F.col("kind").isin(*LEAVES, "redo", "retry"), BOT)
+        .when(F.col("kind").isin(*LEAVES, "redo", "retry"), BOT).when(F.col("kind") == "yield", BLOCK)
     )
     flowing = ["statements", "if", "case", "when", "in", "begin", "rescue_arm", "assign", "iassign", "gassign", "cassign", "masgn", "lvar", "pair"]
     leaf = owned.select(key().alias("mid"), "kind", plain.alias("term")).filter(~F.col("kind").isin(*MADE, *flowing, "param"))
@@ -220,7 +220,8 @@ def values(nodes: DataFrame) -> DataFrame:
 
 
 def method_returns(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """file, line, class, name, singleton, ret: the union of what each body ends in and of what it returns. found: values, if they are known."""
+    """file, line, class, name, singleton, ret, form: the union of what each body ends in and of what it returns. In form, what the block gives
+    is a term of its own; in ret it is untyped. found: values, if they are known."""
     found = values(nodes) if found is None else found
     defs = definitions(nodes)
     ends = nodes.filter("up = 'def' AND slot = 'body'").select("file", F.col("parent").alias("def"), "node")
@@ -228,7 +229,7 @@ def method_returns(nodes: DataFrame, found: DataFrame | None = None) -> DataFram
     empty = nodes.filter("kind = 'return'").join(early.select("file", F.col("node").alias("c")).join(nodes.select("file", F.col("node").alias("c"), F.col("parent").alias("node")), ["file", "c"]).select("file", "node"), ["file", "node"], "left_anti")
     got = ends.union(early).join(found, ["file", "node"]).select("file", "def", "term").union(empty.select("file", F.col("scope").alias("def"), F.lit('["nil"]')))
     by = got.groupBy("file", "def").agg(F.array_sort(F.collect_set("term")).alias("ts")).select("file", F.col("def").alias("node"), union_type_keeping_empty(F.filter("ts", lambda t: (t != BOT) | (F.size("ts") == 1))).alias("ret"))
-    return defs.join(by, ["file", "node"], "left").select("file", "line", "class", "name", "singleton", F.coalesce("ret", F.lit('["nil"]')).alias("ret"))
+    return defs.join(by, ["file", "node"], "left").select("file", "line", "class", "name", "singleton", F.coalesce("ret", F.lit('["nil"]')).alias("form")).withColumn("ret", F.replace("form", F.lit(BLOCK), F.lit(UNTYPED)))
 
 
 def parameter_uses(nodes: DataFrame) -> DataFrame:

@@ -96,21 +96,3 @@ def exclusive_attributes(events: DataFrame) -> DataFrame:
     last = F.last(F.when(F.col("kind") == "write", F.col("type")), ignorenulls=True).over(upto)
     found = rows.withColumn("owned", owned).withColumn("type", F.when(F.col("owned"), last))
     return found.filter("kind = 'read'").select(*PLACE, "ord", "attribute", "type")
-
-
-#: Names of inferred type parameters, in order. Fixed values.
-VARIABLES = ["T", "U", "V", "W"]
-
-
-def inferred_type_params(params: DataFrame, flows: DataFrame) -> DataFrame:
-    """class, name, idx, variable, bound, shown of parameters that a method's form makes type parameters, as far as there are VARIABLES.
-
-    params: class, name, idx, type (rendered). A parameter that is passed through may be of any type; one that is constrained keeps its callers'
-    types as a bound; one that is called is a proc that gives the variable.
-    """
-    rank = F.row_number().over(Window.partitionBy(*METHOD).orderBy("idx"))
-    rows = params.join(flows, [*METHOD, "idx"]).withColumn("rank", rank).filter(F.col("rank") <= len(VARIABLES))
-    variable = F.element_at(F.array(*map(F.lit, VARIABLES)), F.col("rank"))
-    bound = F.when(F.col("flow") == "constrained", F.col("type"))
-    shown = F.when(F.col("flow") == "called", F.concat(F.lit("^(*untyped) -> "), variable)).otherwise(variable)
-    return rows.select(*METHOD, "idx", variable.alias("variable"), bound.alias("bound"), shown.alias("shown"))

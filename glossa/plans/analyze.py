@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from glossa.functions import terms
 from glossa.functions.columns import referenced_classes, union_type_keeping_untyped, widened
 from glossa.functions.udf import arrow
-from glossa.operators import bodies, calls, extensions, generators, lookup, merge, recursion, render
+from glossa.operators import bodies, calls, extensions, flows, generators, generics, lookup, merge, recursion, render
 from glossa.plans.fixpoint import cut
 from glossa.sources import ddl, ruby, syntax
 
@@ -45,15 +45,34 @@ def with_known(term: pd.Series, params: pd.Series, ivars: pd.Series) -> pd.Serie
 
 
 @arrow("string")
-def signature(params: pd.Series, ret: pd.Series) -> pd.Series:
-    """A method type (JSON overloads) of parameters (pname, kind, type) and a return."""
-
-    def one(ps, r):
-        t = terms.display(terms.loads(r))
-        rows = [{"name": p["pname"], "kind": p["kind"], "type": terms.loads(p["type"])} for p in (ps if ps is not None else [])]
-        return json.dumps([{"type_params": [], "params": rows, "block": None, "ret": terms.widen(t)}])
-
-    return pd.Series([one(*x) for x in zip(params, ret)], dtype="object")
+def signature(params: pd.Series, ret: pd.Series, variables: pd.Series, form: pd.Series, args: pd.Series, required: pd.Series) -> pd.Series:
+    """A method type (JSON overloads) of parameters (pname, kind, type) and a return, with type parameters and block where there are any.
+
+    variables: (idx, variable, bound) by place among positional parameters; form: the return with parameters in place; args: what the block is given; required: whether it must be.
+    """
+
+    def one(ps, r, vs, f, ys, must):
+        names = {int(v["idx"]): v["variable"] for v in (vs if vs is not None else [])}
+        t, place, rows, types = terms.widen(terms.display(terms.loads(r))), 0, [], {}
+        if names:
+            shown = generics.with_variables(terms.loads(f), names)
+            names = {} if terms.is_deferred(shown) else names
+            t = terms.widen(shown) if names else t
+        for p in ps if ps is not None else []:
+            kind = terms.loads(p["type"])
+            if p["kind"] in ("required", "optional", "rest"):
+                types[place] = terms.cls(names[place]) if p["kind"] == "required" and place in names else kind
+                kind, place = types[place], place + 1
+            rows.append({"name": p["pname"], "kind": p["kind"], "type": kind})
+        block = None
+        if ys is not None:
+            given = [terms.display(terms.transform(terms.loads(y), lambda x: types.get(x[1], terms.UNTYPED) if x[0] == "param" else x)) for y in ys]
+            back = terms.cls(names[generics.BLOCK]) if generics.BLOCK in names else terms.UNTYPED
+            block = {"type_params": [], "params": [{"name": "", "kind": "required", "type": y} for y in given], "block": None, "ret": back, "required": bool(must)}
+        declared = [v["variable"] + (f" < {v['bound']}" if v["bound"] else "") for v in vs] if names else []
+        return json.dumps([{"type_params": declared, "params": rows, "block": block, "ret": t}])
+
+    return pd.Series([one(*x) for x in zip(params, ret, variables, form, args, required)], dtype="object")
 
 
 @arrow("string")
@@ -92,9 +111,9 @@ def resolve_callers(sites: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
     return sites.join(found, "site_id", "left").withColumn("class", F.coalesce("resolved", "class")).drop("resolved")
 
 
-def with_bodies(methods: DataFrame, texts: DataFrame) -> DataFrame:
-    """methods (file, line, name, ret, ...) with what their bodies are worth, where that says more than the last line."""
-    found = bodies.method_returns(cut(syntax.nodes(texts))).groupBy("file", "line", "name").agg(F.first("ret").alias("worth"))
+def with_bodies(methods: DataFrame, found: DataFrame) -> DataFrame:
+    """methods (file, line, name, ret, ...) with what their bodies are worth (bodies.method_returns), where that says more than the last line."""
+    found = found.groupBy("file", "line", "name").agg(F.first("ret").alias("worth"))
     vague = F.col("worth").isNull() | F.contains("worth", F.lit('["untyped"]')) & ~F.contains("ret", F.lit('["untyped"]'))
     return methods.join(found, ["file", "line", "name"], "left").withColumn("ret", F.when(vague, F.col("ret")).otherwise(F.col("worth"))).select(*methods.columns)
 
@@ -106,8 +125,11 @@ class Analysis:
         """deep: what methods return is worked out from all ways through their bodies; else only from last lines that are simple."""
         rows = cut(ruby.facts(texts))
         t = ruby.tables(rows)
+        self.nodes = cut(syntax.nodes(texts)) if deep else None
         if deep:
-            t["methods"] = with_bodies(t["methods"], texts)
+            self.values = cut(bodies.values(self.nodes))
+            self.forms = cut(bodies.method_returns(self.nodes, self.values))
+            t["methods"] = with_bodies(t["methods"], self.forms)
         known = t["classes"].select("class").distinct()
         t["methods"], t["ivars"] = resolve_names(t["methods"], known, "ret"), resolve_names(t["ivars"], known, "type")
         where = resolve_callers(t["sites"], rows, known)
@@ -155,12 +177,25 @@ class Analysis:
         rows = self.methods.join(self.by_method, ["class", "name", "singleton"], "left").join(held, "class", "left")
         self.resolved, self.rounds = recursion.resolve_returns(rows.withColumn("ret", with_known("ret", "ps", "vs")).select(*self.methods.columns), self.paths)
 
+    def _generic(self, rows: DataFrame) -> DataFrame:
+        """rows (class, name, singleton, ...) with variables, form, args and required: type parameters and blocks that bodies give their methods."""
+        if self.nodes is None:
+            none = F.lit(None)
+            return rows.withColumns({"variables": none.cast("array<struct<idx:int,variable:string,bound:string>>"), "form": none.cast("string"), "args": none.cast("array<string>"), "required": none.cast("boolean")})
+        contracts = generics.block_contracts(self.nodes, self.values, bodies.definitions(self.nodes))
+        places = self.bound.filter("kind IN ('required', 'optional', 'rest')").select("class", "name", F.col("key").cast("int").alias("idx"), "pname", "type")
+        forms = self.forms.groupBy("class", "name", "singleton").agg(F.last("form").alias("form"), F.count("*").alias("n")).filter("n = 1").drop("n")
+        found = generics.method_variables(forms, places, flows.param_flows(bodies.parameter_uses(self.nodes)), contracts)
+        met = rows.join(forms, ["class", "name", "singleton"], "left").join(contracts.dropDuplicates(["class", "name", "singleton"]), ["class", "name", "singleton"], "left")
+        return met.join(found, ["class", "name"], "left")
+
     def signatures(self) -> DataFrame:
         """class, name, singleton, origin, private, ord, overloads, explicit, file, line."""
         ps = self.typed_params.groupBy("class", "name", "singleton").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "pname", "kind", "type"))), lambda p: F.struct(p.pname, p.kind, p.type)).alias("ps"))
         setter = F.array(F.struct(F.lit("value").alias("pname"), F.lit("required").alias("kind"), F.col("ret").alias("type")))
         rows = self.resolved.join(ps, ["class", "name", "singleton"], "left").withColumn("ps", F.when(F.col("ps").isNull() & F.col("name").rlike("^[A-Za-z_].*=$"), setter).otherwise(F.col("ps")))
-        return rows.select("class", "name", "singleton", F.when(F.col("origin") == "synthetic_dsl", "source_dsl").otherwise(F.col("origin")).alias("origin"), (F.col("visibility") != "public").alias("private"), "ord", signature("ps", F.when(F.col("name") == "initialize", '["void"]').otherwise(F.col("ret"))).alias("overloads"), F.lit(False).alias("explicit"), "file", "line")
+        rows = self._generic(rows)
+        return rows.select("class", "name", "singleton", F.when(F.col("origin") == "synthetic_dsl", "source_dsl").otherwise(F.col("origin")).alias("origin"), (F.col("visibility") != "public").alias("private"), "ord", signature("ps", F.when(F.col("name") == "initialize", '["void"]').otherwise(F.col("ret")), F.when(F.col("name") != "initialize", F.col("variables")), "form", "args", "required").alias("overloads"), F.lit(False).alias("explicit"), "file", "line")
 
     def text(self) -> DataFrame:
         """value: the signature text, class by class."""

@@ -84,7 +84,7 @@ def test_analysis(spark):
     assert "def label: () -> String" in text and "def shout: () -> String" in text and "def size: () -> Integer" in text
     assert "def maybe: (untyped flag) -> String?" in text and "def twin: () -> Shop::Item" in text and "def self.build: () -> String" in text
     assert "def initialize: (String name, ?Integer | Float price) -> void" in text and "def price: () -> (Integer | Float)" in text
-    assert "def self.make: (String name, ?price: Integer) -> String" in text and "private def hidden: (*untyped rest, key: untyped, **untyped opts) ?{ (?) -> untyped } -> [Integer, String]" in text
+    assert "def self.make: [N] (N name, ?price: Integer) -> N" in text and "private def hidden: (*untyped rest, key: untyped, **untyped opts) ?{ (?) -> untyped } -> [Integer, String]" in text
     assert "def x: () -> untyped" in text and "def x=: (untyped value) -> untyped" in text
     assert "def odd: () -> (Integer | String)" in text and "def go: () -> " in text
 
@@ -111,3 +111,34 @@ def test_small_scans(spark):
     assert [r["class"] for r in ruby.namespaces(rows).collect()] == ["A::B"]
     assert [(r["class"], r["keys"]) for r in ruby.literal_hash_methods(rows).collect()] == [("A::B", ["a", "b"])]
     assert rows.filter(F.col("row") == "method").count() == 2
+
+
+def test_type_parameters_and_blocks(spark):
+    source = """
+class Names
+  def pick(details, data) = [details, data]
+  def ids(user_id, user_name)
+    [user_id, user_name]
+  end
+  def with_value(x) = yield(x)
+  def lock = yield
+  def maybe(flag) = flag ? yield : nil
+  def each
+    yield 1, 'a' if block_given?
+    self
+  end
+  def plain(x) = x.size
+  def either(a)
+    a.to_s
+    a
+  end
+  def caller
+    either(1)
+    either('s')
+  end
+end
+"""
+    text = "".join(r["value"] + "\n" for r in Analysis(spark.createDataFrame([("n.rb", source)], "file string, content string")).text().collect())
+    for line in ("def pick: [De, Da] (De details, Da data) -> [De, Da]", "def ids: [UI, UN] (UI user_id, UN user_name) -> [UI, UN]", "def with_value: [X, R] (X x) { (X) -> R } -> R", "def lock: [R] { -> R } -> R", "?{ (Integer, String) -> untyped } -> Names", "def plain: (untyped x) -> untyped"):
+        assert line in text.replace("{ () -> R }", "{ -> R }"), (line, text)
+    assert "def either: [A < Integer | String] (A a) -> A" in text or "def either: [A < String | Integer] (A a) -> A" in text, text
