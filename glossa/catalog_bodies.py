@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import columns
-from glossa.operators import bodies, flows, generics, recursion, relations
+from glossa.operators import bodies, flows, generics, overloads, recursion, relations, replay
 from glossa.plans.fixpoint import cut
 from glossa.sources import syntax
 
@@ -160,3 +160,40 @@ def kernel_b12_b46_instantiated_signatures(spark, sf_dir):
     calls = cut(_read(spark, sf_dir, "lineitem").select(site.alias("site_id"), _text("F", (F.col("l_suppkey") % 5).cast("string")).alias("class"), F.lit("m").alias("name"), given.alias("args")))
     found = generics.instantiated(calls, table)
     return found.select("site_id.l_orderkey", "site_id.l_linenumber", "site_id.l_partkey", columns.rendered("ret").alias("ret"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 4 AS form, ['1', 'String', 'Float', ':s'][CAST(l_quantity AS BIGINT) % 4 + 1] AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE form WHEN 0 THEN a WHEN 1 THEN '[' || a || ', ' || a || ']' WHEN 2 THEN CASE a WHEN 'String' THEN 'Integer' WHEN ':s' THEN 'Integer' ELSE 'untyped' END END AS ret FROM c WHERE form < 3""")
+def kernel_r14_replayed_bodies(spark, sf_dir):
+    """Items call methods of four forms; each form is replayed once for each type that it is given."""
+    source = "class F\n  def m0(x) = x\n  def m1(x) = [x, x]\n  def m2(x) = x.length\n  def m3 = 1\nend\n"
+    nodes = cut(syntax.nodes(spark.createDataFrame([("f.rb", source)], "file string, content string")))
+    forms = cut(bodies.method_returns(nodes)).select("class", "name", "singleton", "form", "ret")
+    a = F.array(*map(F.lit, ['["lit_int",1]', '["string"]', '["float"]', '["lit_sym","s"]']))[(F.col("l_quantity").cast("long") % 4).cast("int")]
+    site = F.struct("l_orderkey", "l_linenumber", "l_partkey", F.monotonically_increasing_id().alias("row"))
+    calls = cut(_read(spark, sf_dir, "lineitem").select(site.alias("site_id"), F.lit("F").alias("class"), _text("m", (F.col("l_suppkey") % 4).cast("string")).alias("name"), F.lit(False).alias("singleton"), F.array(a).alias("args")))
+    paths = spark.createDataFrame([("F", "F", [0])], "class string, owner string, rank array<int>")
+    found = replay.replayed(calls, forms.drop("ret"), forms.drop("form"), paths)
+    return found.select("site_id.l_orderkey", "site_id.l_linenumber", "site_id.l_partkey", columns.rendered("ret").alias("ret"))
+
+
+@query("""WITH RECURSIVE up AS (SELECT p_partkey AS k, p_partkey AS a, 0 AS d FROM part UNION ALL SELECT k, a // 3, d + 1 FROM up WHERE a // 3 > 0),
+c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey > 0),
+o(overload, base) AS (VALUES (0, 1), (1, 2), (2, 3), (3, 4), (4, 9)),
+f AS (SELECT c.*, overload, d FROM c, o LEFT JOIN up ON k = l_partkey AND a = base),
+m AS (SELECT *, min(d) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS least FROM f)
+SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, overload FROM m WHERE least IS NULL OR d = least""")
+def kernel_j20_j21_b47_typed_overloads(spark, sf_dir):
+    """Items call a method with one part; parts stand below the third of their number, and overloads take parts below one of five."""
+    p = _read(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").cast("long").alias("k"))
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    ways = F.expr("transform(sequence(0, 30), i -> cast(floor(k / pow(3, i)) as bigint))")
+    paths = p.select(name(F.col("k")).alias("class"), F.posexplode(F.filter(ways, lambda a: a > 0)).alias("i", "a")).select("class", name(F.col("a")).alias("owner"), F.array("i").alias("rank"))
+    bases = [1, 2, 3, 4, 9]
+    overloads_ = spark.createDataFrame([("K", "m", i, 1) for i in range(len(bases))], "class string, name string, overload int, positional int")
+    params = spark.createDataFrame([("K", "m", i, 0, f'["class","P{b}"]') for i, b in enumerate(bases)], "class string, name string, overload int, pos int, type string")
+    items = _read(spark, sf_dir, "lineitem").filter("l_partkey > 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    site = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("site_id")
+    args = items.select(site, F.lit(0).alias("pos"), _text('["class","P', _n("l_partkey"), '"]').alias("type"))
+    found = overloads.typed_overloads(items.select(site, F.lit("K").alias("class"), F.lit("m").alias("name")), args, overloads_, params, overloads.ancestry(paths))
+    return found.select("site_id.*", "overload")

@@ -129,11 +129,16 @@ def _call(name: str, receiver, owner: str, args: list):
         return receiver[1][at] if -len(receiver[1]) <= at < len(receiver[1]) else terms.NIL
     if receiver[0] == "record" and name == "[]" and args and args[0][0] in ("lit_sym", "lit_str"):
         return next((v for k, v, _ in receiver[1] if k[1] == args[0][1]), terms.NIL)
-    if receiver[0] in ("class", "generic"):
+    if receiver[0] in ("class", "generic") or terms.is_deferred(receiver):
         return ("receiver_method", receiver, name)
     return terms.UNTYPED
 
 
+def settled(t):
+    """t with calls on what has become known carried out; calls on classes stay."""
+    return terms.transform(t, lambda x: _call(x[2], x[1], "", []) if x[0] == "receiver_method" and not terms.is_deferred(x[1]) else x)
+
+
 def _made(kind: str, name: str | None, owner: str, parts: list[dict]):
     of = lambda slot: [terms.loads(p["term"]) for p in sorted(parts, key=lambda p: p["ord"]) if p["slot"] == slot]
     if kind == "call":

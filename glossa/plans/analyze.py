@@ -39,7 +39,7 @@ def with_known(term: pd.Series, params: pd.Series, ivars: pd.Series) -> pd.Serie
                 return ps.get(x[1], terms.UNTYPED)
             return vs.get(x[1], x) if x[0] == "ivar" else x
 
-        return terms.dumps(terms.transform(terms.loads(text), put))
+        return terms.dumps(bodies.settled(terms.transform(terms.loads(text), put)))
 
     return pd.Series([one(*x) for x in zip(term, params, ivars)], dtype="object")
 
