@@ -55,17 +55,19 @@ def ranked_reach(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """class, owner, rank: for every class (of classes, or of the edges) its lookup path (itself first), by depth-first order of ranked edges.
 
     edges: src, dst, ord (the order in which src tries its neighbours). A path is the array of ords on the way, so that comparing
-    arrays compares places in the lookup order; the least path of an owner counts. It goes on until nothing new is met: no path is cut, and cycles
-    end where an owner comes again.
+    arrays compares places in the lookup order; the least path of an owner counts. Only paths that are less than what their owner has are followed: what
+    goes on from a greater one would be greater too, as a way back to the owner is none. It goes on until nothing new is met, and cycles end where an owner comes again.
     """
     nodes = edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).union(classes.select("class")).distinct()
     start = nodes.select(F.col("n").alias("class"), F.col("n").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("n").alias("trail"))
-    rounds = [cut(start)]
+    last = cut(start)
+    best = last.select("class", "owner", "path")
     while True:
-        step = rounds[-1].join(edges, F.col("owner") == F.col("src")).filter(~F.array_contains("trail", F.col("dst")))
+        step = last.join(edges, F.col("owner") == F.col("src")).filter(~F.array_contains("trail", F.col("dst")))
         step = step.select("class", F.col("dst").alias("owner"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"), F.concat("trail", F.array("dst")).alias("trail"))
-        new = cut(step.groupBy("class", "owner").agg(F.min("path").alias("path"), F.min_by("trail", "path").alias("trail")))
-        if new.isEmpty():
-            break
-        rounds.append(new)
-    return _all(rounds).groupBy("class", "owner").agg(F.min("path").alias("rank"))
+        found = step.groupBy("class", "owner").agg(F.min("path").alias("path"), F.min_by("trail", "path").alias("trail"))
+        had = best.select("class", "owner", F.col("path").alias("had"))
+        last = cut(found.join(had, ["class", "owner"], "left").filter(F.col("had").isNull() | (F.col("path") < F.col("had"))).drop("had"))
+        if last.isEmpty():
+            return best.select("class", "owner", F.col("path").alias("rank"))
+        best = cut(best.union(last.select("class", "owner", "path")).groupBy("class", "owner").agg(F.min("path").alias("path")))

@@ -114,3 +114,33 @@ def test_completion(spark):
     df = spark.createDataFrame([("user.na",), ("Foo::B",), ("x.send(:up",), ("if lo",), ("a&.b",), ("",)], "t string")
     got = [r["c"] and (r["c"]["kind"], r["c"]["receiver"], r["c"]["prefix"]) for r in df.select(L.completion_context(F.col("t")).alias("c")).collect()]
     assert got == [("method", "user", "na"), ("constant", "Foo", "B"), ("send", "x", "up"), ("identifier", "", "lo"), ("method", "a", "b"), None]
+
+
+def test_lookup_paths_of_random_graphs(spark):
+    """Cyclic graphs against all simple paths."""
+    import random
+
+    from glossa.plans.fixpoint import ranked_reach
+
+    rng, edges = random.Random(5), []
+    for g in range(60):
+        for n in range(6):
+            for k, m in enumerate(rng.sample(range(6), rng.randrange(4))):
+                edges.append((f"g{g}n{n}", f"g{g}n{m}", k))
+    out = {}
+    for s, d, k in edges:
+        out.setdefault(s, []).append((k, d))
+    want = {}
+
+    def walk(root, at, path, seen):
+        if path < want.get((root, at), [9]):
+            want[root, at] = path
+        for k, d in out.get(at, []):
+            if d not in seen:
+                walk(root, d, [*path, k], seen | {d})
+
+    for n in {s for s, _, _ in edges} | {d for _, d, _ in edges}:
+        walk(n, n, [], {n})
+    df = spark.createDataFrame(edges, "src string, dst string, ord int")
+    found = ranked_reach(df, spark.createDataFrame([], "class string"))
+    assert {(r["class"], r["owner"]): list(r["rank"]) for r in found.collect()} == want
