@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from glossa.functions import columns, flow, positions
 from glossa.functions import terms as T
 from glossa.operators import calls, coverage, diagnostics, lookup, provenance, queries, render
+from glossa.plans.fixpoint import numbered
 from glossa.sources import signatures as sources
 
 QUERIES: dict[str, Callable] = {}
@@ -443,8 +444,7 @@ def kernel_j29_o03_in_order(spark, sf_dir):
     rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("value"), F.col("o_orderkey").alias("k"))
     out = queries.in_order(rows.drop("k"), rows.select("path", (-F.col("k")).alias("ord")))
     # the place of each result in what came back
-    ranked = out.select("path", "value", F.monotonically_increasing_id().alias("at"))
-    return ranked.select("path", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("place"), "value")
+    return numbered(out.select("path", "value")).select("path", "place", "value")
 
 
 @query("""SELECT module, list_sort(list_distinct(list(mixed))) [1] AS first, count(DISTINCT mixed) AS n FROM (
@@ -656,5 +656,5 @@ def kernel_k06_o01_d12_ordered_diagnostics(spark, sf_dir):
     one = diagnostics.diagnostic(rows.select(*_place()), "code", F.lit("m"))
     files = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.struct("o_custkey", "o_orderkey").alias("file_ord"))
     lines = diagnostics.json_lines(diagnostics.ordered(diagnostics.combined(one, one.filter("line > 2")), files))
-    at = lines.select(F.monotonically_increasing_id().alias("at"), F.from_json("value", "path string, line int, code string").alias("v"))
-    return at.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("place"), "v.path", "v.line", "v.code")
+    found = numbered(lines).select((F.col("place") + 1).alias("place"), F.from_json("value", "path string, line int, code string").alias("v"))
+    return found.select("place", "v.path", "v.line", "v.code")

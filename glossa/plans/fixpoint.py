@@ -51,6 +51,17 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> D
     return _all(rounds)
 
 
+def numbered(ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted table with place, from 0: parts are numbered one behind the other by their sizes, so no task sees more than its part."""
+    at = F.col("_at")
+    rows = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("part")).count().collect())  # one row for each part
+    before = rows.sparkSession.createDataFrame([(k, sum(n for j, n in sizes if j < k)) for k, _ in sizes], "_part long, _before long")
+    met = rows.join(F.broadcast(before), part == F.col("_part"))
+    return met.withColumn("place", F.col("_before") + at.bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def ranked_reach(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """class, owner, rank: for every class (of classes, or of the edges) its lookup path (itself first), by depth-first order of ranked edges.
 
