@@ -10,43 +10,40 @@ from glossa.functions import terms as T
 from glossa.functions.relation_methods import ANSWERS, RELATION_METHODS
 
 SELF, ELEM, KEY, VALUE = ("self",), ("elem",), ("key",), ("value",)
-ANY_RECEIVER = "dup clone itself freeze"
+ANY_RECEIVER = ["dup", "clone", "itself", "freeze"]
 TABLE = {
-    "String": {T.STRING: "upcase downcase capitalize swapcase reverse strip lstrip rstrip chomp chop squeeze succ next b scrub to_s to_str", T.INTEGER: "length size bytesize ord hash"},
-    "Symbol": {T.SYMBOL: "upcase downcase capitalize swapcase", T.STRING: "to_s name", T.INTEGER: "length size"},
-    "Integer": {T.INTEGER: "succ next pred abs magnitude to_int bit_length hash ord", T.STRING: "chr", T.array(T.INTEGER): "digits"},
-    "Float": {T.FLOAT: "abs magnitude"},
-    "Time": {T.STRING: "iso8601 xmlschema strftime httpdate rfc3339 rfc2822 to_s inspect", T.INTEGER: "year month mon day mday wday yday", T.BOOL: "< <= > >= between?"},
-    "Array": {T.array(ELEM): "sort reverse shuffle uniq rotate compact to_a", T.STRING: "join", T.INTEGER: "length size count hash"},
-    "Hash": {T.array(KEY): "keys", T.array(VALUE): "values", ("hash", VALUE, KEY): "invert", T.INTEGER: "length size"},
+    "String": {T.STRING: ["upcase", "downcase", "capitalize", "swapcase", "reverse", "strip", "lstrip", "rstrip", "chomp", "chop", "squeeze", "succ", "next", "b", "scrub", "to_s", "to_str"], T.INTEGER: ["length", "size", "bytesize", "ord", "hash"]},
+    "Symbol": {T.SYMBOL: ["upcase", "downcase", "capitalize", "swapcase"], T.STRING: ["to_s", "name"], T.INTEGER: ["length", "size"]},
+    "Integer": {T.INTEGER: ["succ", "next", "pred", "abs", "magnitude", "to_int", "bit_length", "hash", "ord"], T.STRING: ["chr"], T.array(T.INTEGER): ["digits"]},
+    "Float": {T.FLOAT: ["abs", "magnitude"]},
+    "Time": {T.STRING: ["iso8601", "xmlschema", "strftime", "httpdate", "rfc3339", "rfc2822", "to_s", "inspect"], T.INTEGER: ["year", "month", "mon", "day", "mday", "wday", "yday"], T.BOOL: ["<", "<=", ">", ">=", "between?"]},
+    "Array": {T.array(ELEM): ["sort", "reverse", "shuffle", "uniq", "rotate", "compact", "to_a"], T.STRING: ["join"], T.INTEGER: ["length", "size", "count", "hash"]},
+    "Hash": {T.array(KEY): ["keys"], T.array(VALUE): ["values"], ("hash", VALUE, KEY): ["invert"], T.INTEGER: ["length", "size"]},
     "ActiveSupport::TimeWithZone": {
-        T.cls("Time"): "utc getutc to_time localtime", T.cls("Date"): "to_date", T.cls("DateTime"): "to_datetime",
-        T.STRING: "strftime iso8601 xmlschema rfc3339 rfc2822 to_s inspect zone httpdate as_json",
-        T.INTEGER: "to_i tv_sec year month mon day mday hour min sec wday yday usec nsec utc_offset", T.FLOAT: "to_f",
-        T.BOOL: "dst? utc? gmt? blank? present? < <= > >= == between? eql?", T.UNTYPED: "time period comparable_time", T.union(T.INTEGER, T.NIL): "<=>",
+        T.cls("Time"): ["utc", "getutc", "to_time", "localtime"], T.cls("Date"): ["to_date"], T.cls("DateTime"): ["to_datetime"],
+        T.STRING: ["strftime", "iso8601", "xmlschema", "rfc3339", "rfc2822", "to_s", "inspect", "zone", "httpdate", "as_json"],
+        T.INTEGER: ["to_i", "tv_sec", "year", "month", "mon", "day", "mday", "hour", "min", "sec", "wday", "yday", "usec", "nsec", "utc_offset"], T.FLOAT: ["to_f"],
+        T.BOOL: ["dst?", "utc?", "gmt?", "blank?", "present?", "<", "<=", ">", ">=", "==", "between?", "eql?"], T.UNTYPED: ["time", "period", "comparable_time"], T.union(T.INTEGER, T.NIL): ["<=>"],
     },
     "calendar": {
-        SELF: "beginning_of_day end_of_day beginning_of_week end_of_week beginning_of_month end_of_month beginning_of_quarter end_of_quarter beginning_of_year end_of_year "
-        "beginning_of_hour end_of_hour beginning_of_minute end_of_minute midnight midday noon at_midnight at_noon yesterday tomorrow next_day prev_day next_week prev_week "
-        "next_month prev_month next_year prev_year weeks_ago weeks_since months_ago months_since years_ago years_since days_ago days_since advance change ago since in",
-        T.BOOL: "future? past? today? tomorrow? yesterday? on_weekday? on_weekend?", T.cls("ActiveSupport::TimeWithZone"): "in_time_zone", T.STRING: "to_fs to_formatted_s",
-        T.FLOAT: "seconds_since_midnight", T.UNTYPED: "all_day all_week all_month all_year",
+        SELF: ["beginning_of_day", "end_of_day", "beginning_of_week", "end_of_week", "beginning_of_month", "end_of_month", "beginning_of_quarter", "end_of_quarter", "beginning_of_year", "end_of_year", "beginning_of_hour", "end_of_hour", "beginning_of_minute", "end_of_minute", "midnight", "midday", "noon", "at_midnight", "at_noon", "yesterday", "tomorrow", "next_day", "prev_day", "next_week", "prev_week", "next_month", "prev_month", "next_year", "prev_year", "weeks_ago", "weeks_since", "months_ago", "months_since", "years_ago", "years_since", "days_ago", "days_since", "advance", "change", "ago", "since", "in"],
+        T.BOOL: ["future?", "past?", "today?", "tomorrow?", "yesterday?", "on_weekday?", "on_weekend?"], T.cls("ActiveSupport::TimeWithZone"): ["in_time_zone"], T.STRING: ["to_fs", "to_formatted_s"],
+        T.FLOAT: ["seconds_since_midnight"], T.UNTYPED: ["all_day", "all_week", "all_month", "all_year"],
     },
     "ActionController::Parameters": {
-        SELF: "require permit expect merge merge! reverse_merge reverse_merge! with_defaults with_defaults! slice except transform_values transform_values! transform_keys "
-        "transform_keys! select reject compact deep_transform_values deep_transform_values! permit!",
-        ("hash", T.STRING, T.UNTYPED): "to_h to_unsafe_h to_hash", T.array(T.STRING): "keys", T.array(T.UNTYPED): "values values_at",
-        T.BOOL: "any? all? empty? none? has_key? include? key? member? present? blank? permitted?", T.UNTYPED: "[] fetch dig delete each_value",
+        SELF: ["require", "permit", "expect", "merge", "merge!", "reverse_merge", "reverse_merge!", "with_defaults", "with_defaults!", "slice", "except", "transform_values", "transform_values!", "transform_keys", "transform_keys!", "select", "reject", "compact", "deep_transform_values", "deep_transform_values!", "permit!"],
+        ("hash", T.STRING, T.UNTYPED): ["to_h", "to_unsafe_h", "to_hash"], T.array(T.STRING): ["keys"], T.array(T.UNTYPED): ["values", "values_at"],
+        T.BOOL: ["any?", "all?", "empty?", "none?", "has_key?", "include?", "key?", "member?", "present?", "blank?", "permitted?"], T.UNTYPED: ["[]", "fetch", "dig", "delete", "each_value"],
     },
 }
 
 #: Methods that a relation hands to its loaded records.
-RECORD_METHODS = "to_xml encode_with length each join intersect? [] & | + - sample reverse rotate compact in_groups in_groups_of to_sentence to_fs to_formatted_s as_json shuffle split slice index rindex"
+RECORD_METHODS = ["to_xml", "encode_with", "length", "each", "join", "intersect?", "[]", "&", "|", "+", "-", "sample", "reverse", "rotate", "compact", "in_groups", "in_groups_of", "to_sentence", "to_fs", "to_formatted_s", "as_json", "shuffle", "split", "slice", "index", "rindex"]
 RELATION_CLASS, PROXY_CLASS = "ActiveRecord::Relation", "ActiveRecord::Associations::CollectionProxy"
 
 
 def _tables() -> dict[tuple[str, str], tuple]:
-    return {(receiver, m): t for receiver, by in TABLE.items() for t, names in by.items() for m in names.split()}
+    return {(receiver, m): t for receiver, by in TABLE.items() for t, names in by.items() for m in names}
 
 
 METHODS = _tables()
@@ -57,7 +54,7 @@ def known_return(receiver, method: str):
     head = receiver[0]
     if receiver == T.NIL:
         return None
-    if method in ANY_RECEIVER.split():
+    if method in ANY_RECEIVER:
         return receiver
     base = T.LITERAL_BASE.get(head, receiver)
     if base in (T.STRING, T.SYMBOL, T.INTEGER, T.FLOAT):
@@ -127,5 +124,5 @@ def records_receiver(receiver, method: str, block: bool, enumerable: set[str] =
     if receiver[0] != "generic" or receiver[1] not in (RELATION_CLASS, PROXY_CLASS) or not receiver[2]:
         return None
     found = relation_lookup(method, "relation" if receiver[1] == RELATION_CLASS else "proxy")
-    hands = block and found[1] == "records" if found else method in RECORD_METHODS.split() or method in enumerable
+    hands = block and found[1] == "records" if found else method in RECORD_METHODS or method in enumerable
     return T.array(receiver[2][0]) if hands else None

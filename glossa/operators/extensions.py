@@ -42,24 +42,24 @@ RULES = [
     *[("graphql", ["graphql", "graphql-ruby"], "call", c, [("{n}", T.UNTYPED, False, None)]) for c in ("field", "argument")],
     ("grape_entity", ["grape-entity", "grape_entity"], "call", "expose", [("{n}", T.UNTYPED, False, None)]),
 ]
-#: Methods that receivers of a library answer: library, gems, receiver (a class, or a pattern with %), on the class, methods by return.
+#: Methods that receivers of a library answer: library, gems, receiver (a class, or a pattern with %), on the class, methods by return. Fixed values.
 RECEIVERS = [
-    ("shellwords", [], "String", False, {T.STRING: "shellescape", T.array(T.STRING): "shellsplit"}),
-    ("rake", ["rake"], "String", False, {T.STRING: "ext pathmap"}),
-    ("gettext", ["fast_gettext", "gettext", "gettext_i18n_rails"], "%", False, {T.STRING: "_ s_ n_ N_ Nn_ ns_ np_ np p_ pgettext sgettext ngettext gettext"}),
-    *[("exception", [], f"%{s}", False, {T.STRING: "message to_s full_message detailed_message inspect", MAYBE(T.array(T.STRING)): "backtrace", T.UNTYPED: "backtrace_locations cause exception record"}) for s in ("Error", "Exception", "Invalid", "NotFound", "NotUnique", "Timeout")],
-    ("sidekiq", ["sidekiq"], "Sidekiq", True, {T.cls("Logger"): "logger", T.UNTYPED: "configure_server configure_client redis redis_pool options strict_args! default_job_options default_configuration server_middleware client_middleware schedule set_schedule"}),
-    *[("sidekiq", ["sidekiq"], f"%{s}", False, {T.cls("Logger"): "logger", JID: "jid", T.UNTYPED: "bid"}) for s in ("Worker", "Job")],
-    *[("devise", ["devise"], f"%{s}", False, {T.UNTYPED: "sign_in sign_out bypass_sign_in sign_in_and_redirect sign_out_and_redirect stored_location_for after_sign_in_path_for after_sign_out_path_for"}) for s in ("Controller", "Helper", "Mailer")],
-    ("doorkeeper", ["doorkeeper"], "%Controller", False, {T.UNTYPED: "doorkeeper_authorize! doorkeeper_render_error doorkeeper_token", T.BOOL: "valid_doorkeeper_token?"}),
-    ("rack_attack", ["rack-attack"], "Rack::Attack::Request", False, {T.UNTYPED: "params"}),
-    ("oj", ["oj"], "Oj", True, {T.STRING: "dump generate", T.UNTYPED: "load safe_load compat_load strict_load"}),
-    *[("ams", ["active_model_serializers"], f"%{s}", False, {T.UNTYPED: "object scope current_user instance_options serialization_options root read_attribute_for_serialization"}) for s in ("Serializer",)],
-    *[("declarative_policy", ["declarative_policy"], f"%{s}", own, {T.cls("DeclarativePolicy::RuleDsl"): "rule", T.BOOL: "can? cannot?", T.UNTYPED: "condition desc with_options with_scope with_score enable prevent prevent_all policy overrides include_subject"}) for s in ("Policy",) for own in (False, True)],
-    *[("grape", ["grape"], f"%{s}", own, {T.UNTYPED: "params current_user status header headers body declared present redirect route request env version cookies content_type sendfile stream return_no_content configuration get post put patch delete head mount"}) for s in ("API",) for own in (False, True)],
-    *[("rails_configure", [], c, False, {T.UNTYPED: "configure credentials secrets config_for routes reload_routes! eager_load! initialize!", T.cls("Rails::Application::Configuration"): "config"}) for c in ("Rails::Application", "Application")],
-    *[("migration", [], c, False, {T.UNTYPED: "create_table create_join_table drop_table drop_join_table change_table rename_table add_column remove_column remove_columns change_column change_column_default change_column_null rename_column add_index remove_index rename_index add_reference remove_reference add_belongs_to remove_belongs_to add_foreign_key remove_foreign_key add_check_constraint remove_check_constraint add_timestamps remove_timestamps enable_extension disable_extension execute reversible revert up_only say say_with_time suppress_messages"}) for c in ("ActiveRecord::Migration", "%Migration")],
-    ("settingslogic", ["settingslogic"], "Settingslogic", True, {T.UNTYPED: "source namespace load! reload! get"}),
+    ("shellwords", [], "String", False, {T.STRING: ["shellescape"], T.array(T.STRING): ["shellsplit"]}),
+    ("rake", ["rake"], "String", False, {T.STRING: ["ext", "pathmap"]}),
+    ("gettext", ["fast_gettext", "gettext", "gettext_i18n_rails"], "%", False, {T.STRING: ["_", "s_", "n_", "N_", "Nn_", "ns_", "np_", "np", "p_", "pgettext", "sgettext", "ngettext", "gettext"]}),
+    *[("exception", [], f"%{s}", False, {T.STRING: ["message", "to_s", "full_message", "detailed_message", "inspect"], MAYBE(T.array(T.STRING)): ["backtrace"], T.UNTYPED: ["backtrace_locations", "cause", "exception", "record"]}) for s in ("Error", "Exception", "Invalid", "NotFound", "NotUnique", "Timeout")],
+    ("sidekiq", ["sidekiq"], "Sidekiq", True, {T.cls("Logger"): ["logger"], T.UNTYPED: ["configure_server", "configure_client", "redis", "redis_pool", "options", "strict_args!", "default_job_options", "default_configuration", "server_middleware", "client_middleware", "schedule", "set_schedule"]}),
+    *[("sidekiq", ["sidekiq"], f"%{s}", False, {T.cls("Logger"): ["logger"], JID: ["jid"], T.UNTYPED: ["bid"]}) for s in ("Worker", "Job")],
+    *[("devise", ["devise"], f"%{s}", False, {T.UNTYPED: ["sign_in", "sign_out", "bypass_sign_in", "sign_in_and_redirect", "sign_out_and_redirect", "stored_location_for", "after_sign_in_path_for", "after_sign_out_path_for"]}) for s in ("Controller", "Helper", "Mailer")],
+    ("doorkeeper", ["doorkeeper"], "%Controller", False, {T.UNTYPED: ["doorkeeper_authorize!", "doorkeeper_render_error", "doorkeeper_token"], T.BOOL: ["valid_doorkeeper_token?"]}),
+    ("rack_attack", ["rack-attack"], "Rack::Attack::Request", False, {T.UNTYPED: ["params"]}),
+    ("oj", ["oj"], "Oj", True, {T.STRING: ["dump", "generate"], T.UNTYPED: ["load", "safe_load", "compat_load", "strict_load"]}),
+    *[("ams", ["active_model_serializers"], f"%{s}", False, {T.UNTYPED: ["object", "scope", "current_user", "instance_options", "serialization_options", "root", "read_attribute_for_serialization"]}) for s in ("Serializer",)],
+    *[("declarative_policy", ["declarative_policy"], f"%{s}", own, {T.cls("DeclarativePolicy::RuleDsl"): ["rule"], T.BOOL: ["can?", "cannot?"], T.UNTYPED: ["condition", "desc", "with_options", "with_scope", "with_score", "enable", "prevent", "prevent_all", "policy", "overrides", "include_subject"]}) for s in ("Policy",) for own in (False, True)],
+    *[("grape", ["grape"], f"%{s}", own, {T.UNTYPED: ["params", "current_user", "status", "header", "headers", "body", "declared", "present", "redirect", "route", "request", "env", "version", "cookies", "content_type", "sendfile", "stream", "return_no_content", "configuration", "get", "post", "put", "patch", "delete", "head", "mount"]}) for s in ("API",) for own in (False, True)],
+    *[("rails_configure", [], c, False, {T.UNTYPED: ["configure", "credentials", "secrets", "config_for", "routes", "reload_routes!", "eager_load!", "initialize!"], T.cls("Rails::Application::Configuration"): ["config"]}) for c in ("Rails::Application", "Application")],
+    *[("migration", [], c, False, {T.UNTYPED: ["create_table", "create_join_table", "drop_table", "drop_join_table", "change_table", "rename_table", "add_column", "remove_column", "remove_columns", "change_column", "change_column_default", "change_column_null", "rename_column", "add_index", "remove_index", "rename_index", "add_reference", "remove_reference", "add_belongs_to", "remove_belongs_to", "add_foreign_key", "remove_foreign_key", "add_check_constraint", "remove_check_constraint", "add_timestamps", "remove_timestamps", "enable_extension", "disable_extension", "execute", "reversible", "revert", "up_only", "say", "say_with_time", "suppress_messages"]}) for c in ("ActiveRecord::Migration", "%Migration")],
+    ("settingslogic", ["settingslogic"], "Settingslogic", True, {T.UNTYPED: ["source", "namespace", "load!", "reload!", "get"]}),
 ]
 
 
@@ -123,7 +123,7 @@ def scope_helpers(scopes: DataFrame, controllers: DataFrame) -> DataFrame:
 
 def receiver_returns(calls: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """calls (site_id, class, name, singleton) with ret, where a library's rule answers them."""
-    rows = [(k, lib, bool(gems), receiver, own, m, T.dumps(t)) for k, (lib, gems, receiver, own, by) in enumerate(RECEIVERS) for t, ms in by.items() for m in ms.split()]
+    rows = [(k, lib, bool(gems), receiver, own, m, T.dumps(t)) for k, (lib, gems, receiver, own, by) in enumerate(RECEIVERS) for t, ms in by.items() for m in ms]
     table = calls.sparkSession.createDataFrame(rows, "priority int, library string, needs boolean, receiver string, own boolean, member string, ret string")
     if active is not None:
         table = table.filter("NOT needs").unionByName(table.filter("needs").join(active.select("library").distinct(), "library", "left_semi").select(*table.columns))
