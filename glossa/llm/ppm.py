@@ -216,7 +216,7 @@ class Trainer:
                 where = _buckets_of(key, buckets)
                 into = np.argsort(where, kind="stable")
                 key, n = key[into], n[into]
-                out: list[tuple] = [(None, None, None, pack_rows(keys, texts), train.astype(np.uint8).tobytes())]
+                out: list[tuple] = [(None, None, None, pack_rows(list(range(len(keys))), keys, texts), train.astype(np.uint8).tobytes())]
                 out += [("gram", k, _zip(np.diff(key[a:b], prepend=np.uint64(0)), n[a:b].astype(np.uint32)), None, None) for k, a, b in _cuts(where[into])]
                 words: Counter[bytes] = Counter({b"": int(train.sum())})
                 others: set[bytes] = set()
@@ -304,7 +304,7 @@ class Trainer:
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for pack, train, sent_back in rows_of(batch):
-                    keys, null, texts = unpack_rows(pack)
+                    _, ids, texts = unpack_rows(pack)
                     train = np.frombuffer(train, np.uint8).astype(bool)
                     packs = {(t["kind"], t["bucket"]): t["pack"] for t in sent_back}
                     coded = []
@@ -331,7 +331,7 @@ class Trainer:
                         split = [*t.split(), b""]
                         c = np.fromiter(map(counts.__getitem__, split), np.int64, len(split))
                         n_tokens[i], known[i], base[i] = len(split), np.count_nonzero(c), np.log10((c + 1) / (n_all + v_all + 1)).sum()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(train), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(keys), n_all)), pa.array(base), pa.array(score)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(train), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(ids), n_all)), pa.array(base), pa.array(score)], schema=schema)
                     del coded, packs, counts, names, place, places
                     release()
 

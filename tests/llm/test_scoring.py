@@ -89,6 +89,12 @@ def test_more_text_predicts_better(spark):
     assert len(rows) == 20 and sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows) > -0.8
 
 
+def test_every_row_comes_back_with_its_id(spark):
+    rows = [(None, "b c"), (3, "a b"), (-1, None), (None, "a"), (3, "a")]
+    got = ppm.Trainer(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.lit(True), order=2).score().collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len((t or "").split()) + 1) for i, t in rows)
+
+
 @pytest.mark.parametrize("text", [b"", b"x", b"abcabc"])
 def test_grams_cover_every_symbol(text):
     g, n = ppm.grams([text], 4)
