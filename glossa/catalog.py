@@ -231,10 +231,10 @@ d AS (SELECT *, CASE WHEN total <= 200 THEN deepest ELSE least(k - 1, deepest) E
 SELECT d.root, CAST(shown AS INTEGER) AS shown_depth, CAST(total AS BIGINT) AS total, CAST(total - sum(size) FILTER (WHERE depth <= shown) AS BIGINT) AS hidden, CAST(deepest - shown AS INTEGER) AS hidden_levels
 FROM d JOIN dense USING (root) GROUP BY d.root, shown, total, deepest""")
 def kernel_w08_shown_levels(spark, sf_dir):
-    """Whole levels are shown while they hold 200 at most."""
+    """Whole levels are shown while they hold 200 at most. Prices are rounded as SQL casts them, halves to even."""
     from pyspark.sql import Window
 
-    rows = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("root"), F.year("o_orderdate").alias("y")).agg(F.floor(F.sum(F.round("o_totalprice").cast("long")) / 1000).cast("long").alias("size"))
+    rows = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("root"), F.year("o_orderdate").alias("y")).agg(F.floor(F.sum(F.rint("o_totalprice").cast("long")) / 1000).cast("long").alias("size"))
     rows = rows.withColumn("depth", F.row_number().over(Window.partitionBy("root").orderBy("y")) - 1).drop("y")
     found = provenance.shown_depth(rows)
     return found.select("root", F.col("shown_depth").cast("int"), F.col("total").cast("long"), F.col("hidden").cast("long"), F.col("hidden_levels").cast("int"))
