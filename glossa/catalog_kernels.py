@@ -93,12 +93,18 @@ def kernel_p06_p01_p08_widened(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", columns.rendered("t").alias("exact"), columns.rendered(columns.widened("t")).alias("wide"), columns.rendered(flat).alias("flat"))
 
 
+def _by_place(lines, term):
+    """l_orderkey, x: the terms t of an order's lines by number and part; lines that share both follow as the files hold them."""
+    place = ["l_linenumber", "l_partkey", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return lines.select("l_orderkey", F.struct(*place, term.alias("t")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+
+
 @query("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag = 'N') = 1 THEN 'Array[' || max(CASE WHEN l_returnflag = 'N' THEN 'Integer' ELSE 'Symbol' END) || ']'
 ELSE '[' || string_agg(CASE WHEN l_returnflag = 'N' THEN 'Integer' ELSE 'Symbol' END, ', ' ORDER BY l_linenumber, l_partkey) || ']' END AS type FROM lineitem GROUP BY 1""")
 def kernel_p07_widened_arguments(spark, sf_dir):
     """An order's lines as a tuple: of equal parts an array."""
     part = F.when(F.col("l_returnflag") == "N", _lit("lit_int", F.col("l_linenumber"))).otherwise(_lit("lit_sym", F.col("l_returnflag")))
-    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", part.alias("t")))).alias("x"))
+    rows = _by_place(_read(spark, sf_dir, "lineitem"), part)
     return rows.select("l_orderkey", columns.rendered(columns.widened_argument(_tuple(F.transform("x", lambda x: x.t)))).alias("type"))
 
 
@@ -202,7 +208,7 @@ ELSE '[' || coalesce(string_agg(CASE WHEN l_returnflag = 'N' THEN 'Integer' ELSE
 def kernel_a12_a13_splats(spark, sf_dir):
     """[*line, *line, ...]: exact while all lines are tuples; nil gives nothing."""
     t = F.when(F.col("l_returnflag") == "N", T.dumps(("tuple", (T.INTEGER,)))).when(F.col("l_returnflag") == "R", T.dumps(T.array(T.STRING))).otherwise(_tuple(F.array(_lit("lit_sym", F.col("l_linestatus")))))
-    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", t.alias("t")))).alias("x"))
+    rows = _by_place(_read(spark, sf_dir, "lineitem"), t)
     return rows.select("l_orderkey", columns.rendered(columns.splatted(F.concat(F.transform("x", lambda x: x.t), F.array(F.lit(T.dumps(T.NIL)))))).alias("type"))
 
 

@@ -24,3 +24,9 @@ def against_sql(spark, tmp_path):
 def test_halves_are_rounded_to_even(spark, against_sql):
     orders = spark.createDataFrame([(1, f"{1992 + y}-01-01", p) for y, p in ((0, 2000.5), (0, 998.5), (1, 250000.5), (1, 999.5))], "o_custkey long, o_orderdate string, o_totalprice double")
     against_sql("kernel_w08_shown_levels", orders=orders.withColumn("o_orderdate", F.to_date("o_orderdate")))
+
+
+@pytest.mark.parametrize("name", ["kernel_a12_a13_splats", "kernel_p07_widened_arguments"])
+def test_lines_of_one_place_follow_the_file(spark, against_sql, name):
+    rows = [(k, 1, 5, f, s) for k in range(4) for f, s in (("A", "F"), ("N", "O"), ("A", "O"), ("N", "F"))[: k + 1]]
+    against_sql(name, lineitem=spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string"))
