@@ -320,7 +320,7 @@ def kernel_g04_defined_methods(spark, sf_dir):
 def kernel_g05_module_functions(spark, sf_dir):
     """Even parts name a method, odd ones open a run of all that follow."""
     p = _read(spark, sf_dir, "part")
-    methods = p.select(_text("P", _n("p_partkey")).alias("class"), F.explode(F.array(F.struct(F.lit("a").alias("name"), F.lit(0).alias("line")), F.struct(F.lit("b").alias("name"), F.lit(1000000).alias("line")))).alias("m"))
+    methods = p.select(_text("P", _n("p_partkey")).alias("class"), F.explode(F.array(F.struct(F.lit("a").alias("name"), F.lit(0).alias("line")), F.struct(F.lit("b").alias("name"), (F.col("p_partkey").cast("int") + 1).alias("line")))).alias("m"))
     methods = methods.select("class", "m.name", F.lit(False).alias("singleton"), _none().alias("param"), F.lit('["nil"]').alias("ret"), F.lit("source").alias("origin"), F.lit("f").alias("file"), "m.line")
     names = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
     return _shown(generators.module_functions(_calls(spark, sf_dir, "module_function", names), methods))

@@ -30,3 +30,7 @@ def test_halves_are_rounded_to_even(spark, against_sql):
 def test_lines_of_one_place_follow_the_file(spark, against_sql, name):
     rows = [(k, 1, 5, f, s) for k in range(4) for f, s in (("A", "F"), ("N", "O"), ("A", "O"), ("N", "F"))[: k + 1]]
     against_sql(name, lineitem=spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string"))
+
+
+def test_large_part_numbers(spark, against_sql):
+    against_sql("kernel_g05_module_functions", part=spark.createDataFrame([(1, 1), (2, 2), (1_000_001, 3), (1_200_000, 4)], "p_partkey long, p_size int"))
