@@ -144,10 +144,10 @@ PROJECT_TEXT = ["class A < B\n  def n: () -> String\n  def initialize: (String n
 
 @query(facts.values(["value"], [(t,) for t in PROJECT_TEXT]))
 def fact_project_signatures(spark, sf_dir):
-    """From Ruby sources to signature text: parameters from calls in other files, returns along calls."""
+    """From Ruby sources to signature text: parameters from calls in other files, returns along calls, both as the calls give them."""
     from glossa.plans.analyze import Analysis
 
-    return Analysis(spark.createDataFrame(list(PROJECT.items()), "file string, content string")).text()
+    return Analysis(spark.createDataFrame(list(PROJECT.items()), "file string, content string")).text(generic=False)
 
 
 @query(facts.values(["spec", "on", "off"], [("auto,+x,-y", "x", "y"), ("+a,-a", "", "a"), ("-a,a", "a", "")]))

@@ -189,18 +189,18 @@ class Analysis:
         met = rows.join(forms, ["class", "name", "singleton"], "left").join(contracts.dropDuplicates(["class", "name", "singleton"]), ["class", "name", "singleton"], "left")
         return met.join(found, ["class", "name"], "left")
 
-    def signatures(self) -> DataFrame:
-        """class, name, singleton, origin, private, ord, overloads, explicit, file, line."""
+    def signatures(self, generic: bool = True) -> DataFrame:
+        """class, name, singleton, origin, private, ord, overloads, explicit, file, line. generic: with type parameters; else parameters and returns are those of the calls."""
         ps = self.typed_params.groupBy("class", "name", "singleton").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "pname", "kind", "type"))), lambda p: F.struct(p.pname, p.kind, p.type)).alias("ps"))
         setter = F.array(F.struct(F.lit("value").alias("pname"), F.lit("required").alias("kind"), F.col("ret").alias("type")))
         rows = self.resolved.join(ps, ["class", "name", "singleton"], "left").withColumn("ps", F.when(F.col("ps").isNull() & F.col("name").rlike("^[A-Za-z_].*=$"), setter).otherwise(F.col("ps")))
         rows = self._generic(rows)
-        return rows.select("class", "name", "singleton", F.when(F.col("origin") == "synthetic_dsl", "source_dsl").otherwise(F.col("origin")).alias("origin"), (F.col("visibility") != "public").alias("private"), "ord", signature("ps", F.when(F.col("name") == "initialize", '["void"]').otherwise(F.col("ret")), F.when(F.col("name") != "initialize", F.col("variables")), "form", "args", "required").alias("overloads"), F.lit(False).alias("explicit"), "file", "line")
+        return rows.select("class", "name", "singleton", F.when(F.col("origin") == "synthetic_dsl", "source_dsl").otherwise(F.col("origin")).alias("origin"), (F.col("visibility") != "public").alias("private"), "ord", signature("ps", F.when(F.col("name") == "initialize", '["void"]').otherwise(F.col("ret")), F.when((F.col("name") != "initialize") & F.lit(generic), F.col("variables")), "form", "args", "required").alias("overloads"), F.lit(False).alias("explicit"), "file", "line")
 
-    def text(self) -> DataFrame:
-        """value: the signature text, class by class."""
+    def text(self, generic: bool = True) -> DataFrame:
+        """value: the signature text, class by class. generic: see signatures."""
         classes = self.classes.withColumn("type_params", F.array().cast("array<string>"))
-        return render.whole_text(classes.withColumn("ord", F.struct("file", "ord")), self.mixins, self.constants, self.signatures())
+        return render.whole_text(classes.withColumn("ord", F.struct("file", "ord")), self.mixins, self.constants, self.signatures(generic))
 
 
 def analyze(spark: SparkSession, path: str, production: bool = True) -> Analysis:

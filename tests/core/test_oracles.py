@@ -34,3 +34,11 @@ def test_lines_of_one_place_follow_the_file(spark, against_sql, name):
 
 def test_large_part_numbers(spark, against_sql):
     against_sql("kernel_g05_module_functions", part=spark.createDataFrame([(1, 1), (2, 2), (1_000_001, 3), (1_200_000, 4)], "p_partkey long, p_size int"))
+
+
+def test_signatures_with_and_without_type_parameters(spark):
+    from glossa.plans.analyze import Analysis
+
+    found = Analysis(spark.createDataFrame([("a.rb", "class A\n  def go\n    make(2)\n  end\n  def make(k)\n    k\n  end\nend\n")], "file string, content string"))
+    of = lambda generic: next(line.strip() for line in found.text(generic).first()[0].splitlines() if "make" in line)
+    assert of(True) == "def make: [K] (K k) -> K" and of(False) == "def make: (Integer k) -> Integer"
