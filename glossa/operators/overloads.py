@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.columns import widened
+from glossa.plans.fixpoint import cut
 
 #: How far from everything a parameter without a type is.
 ANY = 1 << 20
@@ -39,7 +40,9 @@ def typed_overloads(calls: DataFrame, args: DataFrame, overloads: DataFrame, par
     asked = met.select("site_id", "class", "name", "overload").join(params, ["class", "name", "overload"]).select("site_id", "overload", "pos", F.col("type").alias("wanted"))
     pairs = asked.join(arms, ["site_id", "pos"])
     kind = lambda c: F.when(F.startswith(c, F.lit('["class","')), F.get_json_object(c, "$[1]"))
-    of = ancestors.select(F.col("class").alias("own"), F.col("ancestor").alias("of"), "distance")
+    # only what parameters ask for
+    asked_for = params.select(kind(F.col("type")).alias("of")).filter("of IS NOT NULL").distinct()
+    of = cut(ancestors.select(F.col("class").alias("own"), F.col("ancestor").alias("of"), "distance").join(asked_for, "of", "left_semi"))
     pairs = pairs.withColumn("own", kind(F.col("arm"))).withColumn("of", kind(F.col("wanted"))).join(of, ["own", "of"], "left")
     untyped = F.lit('["untyped"]')
     far = F.when(F.col("arm") == F.col("wanted"), 0).when(F.col("wanted") == untyped, ANY).when(F.col("arm") == untyped, 0).otherwise(F.col("distance"))

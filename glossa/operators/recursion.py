@@ -139,6 +139,7 @@ def resolve_returns(methods: DataFrame, paths: DataFrame) -> tuple[DataFrame, in
     the others, until nothing moves.
     """
     state, rounds, told = cut(methods.withColumn("mid", F.monotonically_increasing_id())), 0, None
+    paths, known = cut(paths), state.select(*methods.columns)
     own = state.select(F.col("class").alias("owner"), "name", "singleton", F.col("mid").alias("to"))
     while True:
         open_ = cut(state.filter(waits()).select("mid", *KEYS, "ret", parts("ret", "class", "singleton").alias("p")))
@@ -148,7 +149,7 @@ def resolve_returns(methods: DataFrame, paths: DataFrame) -> tuple[DataFrame, in
         new = calls.select(*CALL).distinct()
         new = new if told is None else new.join(told, CALL, "left_anti")
         asking = new.select(F.col("receiver").alias("class"), F.col("member").alias("name"), F.col("on_class").alias("singleton"))
-        found = dispatch(asking, paths, methods).join(own, ["owner", "name", "singleton"], "left").groupBy(*KEYS).agg(F.min("to").alias("to")).toDF(*CALL, "to")
+        found = dispatch(asking, paths, known).join(own, ["owner", "name", "singleton"], "left").groupBy(*KEYS).agg(F.min("to").alias("to")).toDF(*CALL, "to")
         told = cut(found if told is None else told.union(found))
         status = state.select(F.col("mid").alias("to"), "ret", (~waits()).alias("done")).join(open_.select(F.col("mid").alias("to"), F.col("p.nested").alias("later")), "to", "left")
         edges = cut(calls.join(told, CALL, "left").join(status, "to", "left"))

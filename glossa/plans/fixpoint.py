@@ -26,9 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, on the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut, on the shared folder.
+
+    A checkpoint keeps the size that was guessed before it ran: that of a small file, say, however many rows came of it. By that, tables of any size would be
+    broadcast through the driver. So the guess is dropped; what proves small once it is shuffled is still broadcast.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    stored = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

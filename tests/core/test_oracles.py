@@ -42,3 +42,13 @@ def test_signatures_with_and_without_type_parameters(spark):
     found = Analysis(spark.createDataFrame([("a.rb", "class A\n  def go\n    make(2)\n  end\n  def make(k)\n    k\n  end\nend\n")], "file string, content string"))
     of = lambda generic: next(line.strip() for line in found.text(generic).first()[0].splitlines() if "make" in line)
     assert of(True) == "def make: [K] (K k) -> K" and of(False) == "def make: (Integer k) -> Integer"
+
+
+def test_stored_tables_are_not_taken_for_small(spark, tmp_path):
+    from glossa.plans.fixpoint import cut
+
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/few.parquet")
+    many = cut(spark.read.parquet(f"{tmp_path}/few.parquet").select(F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("n"), "id"))
+    assert many.count() == 50_000
+    plan = many.alias("a").join(many.alias("b"), F.expr("a.n = b.n AND a.id = b.id"))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
