@@ -52,3 +52,11 @@ def test_stored_tables_are_not_taken_for_small(spark, tmp_path):
     assert many.count() == 50_000
     plan = many.alias("a").join(many.alias("b"), F.expr("a.n = b.n AND a.id = b.id"))._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_texts_of_one_part_are_read_by_many_tasks(spark):
+    from glossa.sources import syntax
+
+    texts = spark.range(200).coalesce(1).select(F.concat(F.lit("f"), "id").alias("file"), F.concat(F.lit("x = "), "id").alias("content"))
+    found = syntax.nodes(texts).withColumn("part", F.spark_partition_id())
+    assert found.select("part").distinct().count() > 4 and found.select("file").distinct().count() == 200 and found.filter("kind = 'int'").count() == 200
