@@ -34,6 +34,7 @@ def typed_overloads(calls: DataFrame, args: DataFrame, overloads: DataFrame, par
     calls: site_id, class, name; args: site_id, pos, type (terms). overloads: class, name, overload, positional (how many parameters); params: class, name, overload, pos,
     type. A literal counts as its class; an argument of several types fits as far as its worst one; an untyped argument fits everything alike.
     """
+    calls, args = cut(calls), cut(args)
     met = calls.join(overloads, ["class", "name"])
     given = args.withColumn("type", widened("type"))
     arms = given.select("site_id", "pos", F.explode(_arms("type")).alias("arm"), F.lit(1).alias("n"))
