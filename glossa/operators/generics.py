@@ -1,7 +1,7 @@
 """Type variables: their names, what calls bind them to, and signatures that show them with their blocks.
 
-A call's arguments meet the parameters of its method in one join, each pair is unified for itself, and what the pairs say of a variable is gathered by call. A
-variable is a class term whose name the signature declares.
+Calls of one method with equal arguments are one shape. A shape's arguments meet the parameters of its method in one join, each pair is unified for itself, and what
+the pairs say of a variable is gathered by shape. A variable is a class term whose name the signature declares.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from glossa.functions import terms
 from glossa.functions.columns import merged_arguments, rendered, widened
 from glossa.functions.udf import arrow
+from glossa.plans.fixpoint import cut, few
 
 METHOD = ["class", "name"]
 UNTYPED = terms.dumps(terms.UNTYPED)
@@ -138,19 +139,22 @@ def instantiated(calls: DataFrame, signatures: DataFrame) -> DataFrame:
     calls: site_id, class, name, args (terms). signatures: class, name, variables (array of struct(name, bound)), params (terms), ret. What several
     arguments say of a variable is joined. A variable that nothing binds, or that leaves its bound, is the bound, or untyped without one.
     """
+    shapes = cut(calls.select(*METHOD, "args").distinct().withColumn("shape", F.monotonically_increasing_id()))
     names = F.transform("variables", lambda v: v["name"])
     of = signatures.select(*METHOD, names.alias("names"), F.posexplode("params").alias("pos", "pattern"))
-    given = calls.select("site_id", *METHOD, F.posexplode("args").alias("pos", "given"))
-    said = given.join(of, [*METHOD, "pos"]).select("site_id", F.explode(unified("pattern", "given", "names")).alias("b")).select("site_id", "b.*")
-    by = said.groupBy("site_id", "variable").agg(F.array_sort(F.collect_set("term")).alias("ts"))
-    by = by.select("site_id", "variable", merged_arguments("ts").alias("term"))
-    wanted = calls.select("site_id", *METHOD).join(signatures.select(*METHOD, F.explode("variables").alias("v")), METHOD).select("site_id", F.col("v.name").alias("variable"), F.col("v.bound").alias("bound"))
-    met = wanted.join(by, ["site_id", "variable"], "left")
+    given = shapes.select("shape", *METHOD, F.posexplode("args").alias("pos", "given"))
+    said = given.join(of, [*METHOD, "pos"]).select("shape", F.explode(unified("pattern", "given", "names")).alias("b")).select("shape", "b.*")
+    by = said.groupBy("shape", "variable").agg(F.array_sort(F.collect_set("term")).alias("ts"))
+    by = by.select("shape", "variable", merged_arguments("ts").alias("term"))
+    wanted = shapes.select("shape", *METHOD).join(signatures.select(*METHOD, F.explode("variables").alias("v")), METHOD).select("shape", F.col("v.name").alias("variable"), F.col("v.bound").alias("bound"))
+    met = wanted.join(by, ["shape", "variable"], "left")
     fits = F.col("term").isNotNull() & within(F.coalesce("term", F.lit(UNTYPED)), F.col("bound"))
     met = met.withColumn("term", F.when(fits, F.col("term")).otherwise(F.coalesce("bound", F.lit(UNTYPED))))
-    known = met.groupBy("site_id").agg(F.collect_list(F.struct("variable", "term")).alias("known"))
-    rows = calls.select("site_id", *METHOD).join(signatures.select(*METHOD, "ret"), METHOD).join(known, "site_id", "left")
-    return rows.select("site_id", put_in("ret", "known").alias("ret"))
+    known = met.groupBy("shape").agg(F.collect_list(F.struct("variable", "term")).alias("known"))
+    rows = shapes.join(signatures.select(*METHOD, "ret"), METHOD).join(known, "shape", "left")
+    # as structs, so that missing arguments are equal
+    call = F.struct(*METHOD, "args").alias("call")
+    return calls.select("site_id", call).join(few(rows.select(call, put_in("ret", "known").alias("ret"))), "call").select("site_id", "ret")
 
 
 #: The place that stands for what a method's block gives, among those of its parameters.

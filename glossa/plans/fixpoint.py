@@ -37,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
+#: Rows of a table that is sent to every task.
+FEW = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df stored, and sent to every task where it proves to have FEW rows at most: what is joined to it by keys that only few rows have stays where it is."""
+    stored = cut(df)
+    return F.broadcast(stored) if stored.limit(FEW + 1).count() <= FEW else stored
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 

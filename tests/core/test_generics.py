@@ -45,6 +45,17 @@ def test_calls_are_instantiated(spark):
     assert got == {1: "Integer", 2: "untyped", 4: T.render(T.loads(number)), 5: "Integer", 6: "nil"}
 
 
+def test_equal_calls_are_instantiated_once(spark):
+    d = T.dumps
+    signatures = spark.createDataFrame([("K", "same", [("T", None)], [d(VAR)], d(T.array(VAR)))], "class string, name string, variables array<struct<name:string,bound:string>>, params array<string>, ret string")
+    rows = [(k % 3, "K", "same", None if k % 5 == 4 else [d(T.STRING if k % 2 else T.INTEGER)]) for k in range(100)]
+    found = generics.instantiated(spark.createDataFrame(rows, "site_id int, class string, name string, args array<string>"), signatures)
+    # shapes are done with, no function sees the calls
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(k, f"Array[{T.render(T.loads(a[0])) if a else 'untyped'}]") for k, _, _, a in rows]
+    assert sorted((r["site_id"], T.render(T.loads(r["ret"]))) for r in found.collect()) == sorted(want)
+
+
 def test_block_contracts(spark):
     text = "class K\ndef each\n  yield 1, 'a'\n  yield :s\nend\ndef maybe\n  yield if block_given?\nend\ndef none = 1\ndef self.own(x)\n  yield(x)\nend\nend\n"
     nodes = cut(syntax.nodes(spark.createDataFrame([("k", text)], "file string, content string")))
