@@ -83,23 +83,27 @@ def resolve_class_names(names: DataFrame, classes: DataFrame) -> DataFrame:
     return names.join(found.select("id", "path"), "id").select("id", "owner", "name", F.coalesce("path", plain).alias("class"))
 
 
-def innermost(points: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (file, offset) with the smallest half-open span [start, end) around each; of equal ones the first (ord).
 
-    Spans are laid into buckets of block * 8^k offsets at the level of their size, two buckets at most, so the join is an equi-join
-    on (file, level, bucket), and a span in a hundred thousand rows of points costs two rows.
+    A span is cut into pieces of 2^k offsets that begin at multiples of 2^k, two of a level k at most, and of all spans that share a piece only the
+    smallest goes on. A point lies in one piece of each level, so it meets no more spans than there are levels, however many lie around it.
     """
-    size = F.greatest(F.col("end") - F.col("start"), F.lit(1))
-    level = F.greatest(F.ceil(F.log(size / F.lit(float(block))) / F.log(F.lit(8.0))), F.lit(0)).cast("int")
-    width = lambda k: (F.lit(block) * F.pow(F.lit(8.0), k)).cast("long")
-    laid = spans.filter("start < end").withColumn("level", level)
-    laid = laid.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width(F.col("level"))), F.floor((F.col("end") - 1) / width(F.col("level"))))))
-    levels = laid.select("level").distinct()  # at most 21: sizes grow by 8 from level to level
-    asked = points.select("file", "offset").distinct().join(F.broadcast(levels)).withColumn("bucket", F.floor(F.col("offset") / width(F.col("level"))))
+    held = spans.filter("start < end").withColumn("s", F.col("start").cast("long")).withColumn("e", F.col("end").cast("long"))
+    bits = F.length(F.bin(F.col("e") - F.col("s")))
+    laid = held.select("file", "s", "e", "ord", F.explode(F.sequence(F.lit(0), bits - 1)).alias("level"))
+    # the first and the end of the whole pieces of a level; an odd one at either end has no half in a piece of the next level
+    laid = laid.withColumn("l", F.expr("-shiftright(-s, level)")).withColumn("r", F.expr("shiftright(e, level)")).filter("l < r")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    ends = F.filter(F.array(F.when(odd("l"), F.col("l")), F.when(odd("r"), F.col("r") - 1)), lambda x: x.isNotNull())
+    least = F.struct((F.col("e") - F.col("s")).alias("size"), "ord", "s", "e")
+    pieces = laid.withColumn("piece", F.explode(ends)).groupBy("file", "level", "piece").agg(F.min(least).alias("least"))
+    levels = held.agg(F.max(bits).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("level"))  # 63 at most
+    asked = points.select("file", "offset").distinct().join(F.broadcast(levels)).withColumn("piece", F.expr("shiftright(cast(offset AS bigint), level)"))
+    best = asked.join(pieces, ["file", "level", "piece"]).groupBy("file", "offset").agg(F.min("least").alias("least")).select("file", "offset", "least.s", "least.e")
     kept = [c for c in spans.columns if c != "file"]
-    hits = asked.join(laid, ["file", "level", "bucket"]).filter((F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")))
-    best = hits.groupBy("file", "offset").agg(F.min_by(F.struct(*kept), F.struct(F.col("end") - F.col("start"), "ord")).alias("span"))
-    return points.join(best, ["file", "offset"], "left")
+    own = held.groupBy("file", "s", "e").agg(F.min_by(F.struct(*kept), F.struct("ord")).alias("span"))
+    return points.join(best.join(own, ["file", "s", "e"]).select("file", "offset", "span"), ["file", "offset"], "left")
 
 
 def definition_targets(points: DataFrame, spans: DataFrame, definitions: DataFrame) -> DataFrame:
