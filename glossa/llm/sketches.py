@@ -200,6 +200,12 @@ def _may_agree() -> Column:
     return (F.least("x_n", "y_n") >= SIMILARITY * F.greatest("x_n", "y_n") - 1e-9) & (_differing() <= MAX_DISTANCE)
 
 
+def _inside(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node (node, cell) with the hubs of its cells. The join makes one row a member, from which its pairs go, four at most."""
+    several = cells.filter("size > 1").select("cell", F.array_distinct("hubs").alias("hubs"))
+    return members.join(several, "cell").select("node", F.explode("hubs").alias("hub")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+
+
 def _apart(held: DataFrame) -> DataFrame:
     """Pairs of components around a value (value, cell, root, size, low, high, node), each once, whose sizes leave a similarity of SIMILARITY possible."""
     names = ["cell", "root", "size", "low", "high", "node"]
@@ -227,8 +233,7 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     cells = scratch.table(members.groupBy("cell").agg(F.min("node").alias("least"), hubs.alias("hubs"), F.count("*").alias("size")), "cells")
     met = scratch.table(meetings(cells, cells.count()), "met")
 
-    several = cells.filter("size > 1").select("cell", F.explode(F.array_distinct("hubs")).alias("hub"))
-    inside = members.join(several, "cell").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    inside = _inside(members, cells)
     star = met.filter("cell <> least").groupBy("cell").agg(F.min("least").alias("to"))
     own = cells.select("cell", F.col("least").alias("x"))
     across = star.join(own, "cell").join(own.select(F.col("cell").alias("to"), F.col("x").alias("y")), "to")

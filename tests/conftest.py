@@ -21,3 +21,16 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def joined_rows():
+    """The most rows that a join made when a DataFrame was collected."""
+
+    def most(plan):
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if plan.nodeName().endswith("QueryStage") else None
+        below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+        made = plan.metrics().get("numOutputRows")
+        return max([made.get().value() if "Join" in plan.nodeName() and made.isDefined() else 0, *map(most, below)])
+
+    return lambda df: most(df._jdf.queryExecution().executedPlan())

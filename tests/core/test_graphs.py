@@ -91,19 +91,7 @@ def test_innermost_span(spark):
         assert (r["span"] and (r["span"]["end"] - r["span"]["start"], r["span"]["ord"])) == best
 
 
-def joined_rows(df) -> int:
-    """The most rows that a join made when df was collected."""
-
-    def most(plan):
-        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if plan.nodeName().endswith("QueryStage") else None
-        below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
-        made = plan.metrics().get("numOutputRows")
-        return max([made.get().value() if "Join" in plan.nodeName() and made.isDefined() else 0, *map(most, below)])
-
-    return most(df._jdf.queryExecution().executedPlan())
-
-
-def test_points_meet_few_of_many_spans(spark):
+def test_points_meet_few_of_many_spans(spark, joined_rows):
     spans = [("f", -k % 700 - 350, k % 650 + 400, k) for k in range(3000)]
     found = L.innermost(spark.createDataFrame([("f", o) for o in range(-400, 600)], "file string, offset long"), spark.createDataFrame(spans, "file string, start long, end long, ord int"))
     for r in found.collect():

@@ -328,3 +328,11 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = components(edges, Scratch(spark)).collect()
     assert len(rows) == 200 and {r["root"] for r in rows} == {0}
+
+
+def test_members_meet_their_hubs_in_one_row(spark, joined_rows):
+    members = spark.range(1000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("cell"))
+    hubs = F.array(F.lit(0), F.lit(999), F.lit(5), F.lit(6)).cast("array<long>")
+    found = sketches._inside(members, spark.range(1).select(F.col("id").alias("cell"), F.lit(1000).cast("long").alias("size"), hubs.alias("hubs")))
+    got = sorted(map(tuple, found.collect()))
+    assert joined_rows(found) == 1000 and got == sorted((max(n, h), min(n, h)) for n in range(1000) for h in (0, 999, 5, 6))
