@@ -748,7 +748,7 @@ def kernel_b03_block_flow_for_literals(spark, sf_dir):
     conditions = ways.select("class", "name", "path", F.lit(0).alias("idx"), F.col("status").alias("literal"), F.lit(True).alias("equal"))
     literal = F.when(F.col("o_orderkey") % 3 == 1, "O").when(F.col("o_orderkey") % 3 == 2, "F")
     asked = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site_id"), F.lit("C").alias("class"), _n("o_orderkey").alias("name"), F.array(literal).alias("literals"))
-    return flows.block_flow_for_literals(ways.drop("status").distinct(), conditions.distinct(), asked)
+    return flows.block_flow_for_literals(ways.drop("status"), conditions, asked)
 
 
 def _events(spark, sf_dir, kind: Column, *more: Column) -> DataFrame:

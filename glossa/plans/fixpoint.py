@@ -47,6 +47,19 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(stored) if stored.limit(FEW + 1).count() <= FEW else stored
 
 
+#: Bytes of input files of which a part holds the rows, about.
+PART = 4 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over as many parts as its input asks for, where these are more than Spark would make: what a task sorts doesn't grow with the input then."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, df.inputFiles()))
+    n = -(-total // PART)
+    return df.repartition(n, *keys) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
