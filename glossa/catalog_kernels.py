@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glossa.functions import columns, flow, positions
 from glossa.functions import terms as T
 from glossa.operators import calls, coverage, diagnostics, lookup, provenance, queries, render
-from glossa.plans.fixpoint import numbered
+from glossa.plans.fixpoint import dealt, numbered
 from glossa.sources import signatures as sources
 
 QUERIES: dict[str, Callable] = {}
@@ -61,7 +61,7 @@ ONE = "(SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(
 
 
 def _lines(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_suppkey")])
+    return dealt(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_suppkey")])
 
 
 A, X = T.cls("A"), ("ivar", "@x")

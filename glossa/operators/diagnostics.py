@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from glossa.functions.udf import arrow
 from glossa.functions import binding, compat, terms
 from glossa.functions.compat import NO, World
+from glossa.plans.fixpoint import dealt, few
 
 POSITION = ["file", "start", "end", "line", "column", "end_line", "end_column"]
 DIAGNOSTIC = [
@@ -84,7 +85,8 @@ def judged(rows: DataFrame, facts: Facts | World, rule=compat.fits) -> DataFrame
         return pd.Series([one(*x) for x in zip(actual, expected, known)], dtype="int32")
 
     told = pairs.join(given, ["actual", "expected"], "left").select("actual", "expected", judge("actual", "expected", "known").alias("fits"))
-    return rows.join(told, ["actual", "expected"])
+    # by pairs of types, of which there are few, rows would meet in few tasks
+    return rows.join(few(told), ["actual", "expected"])
 
 
 def diagnostic(rows: DataFrame, code: str, message: Column, severity: str = "warning", **extra: Column) -> DataFrame:
@@ -171,8 +173,8 @@ def return_mismatches(sites: DataFrame, declared: DataFrame, facts: Facts | Worl
     Methods that every object has are skipped, and so are declarations that constrain nothing.
     """
     best = declared.groupBy("class", "name").agg(F.min_by("expected", "rank").alias("expected"))
-    rows = sites.filter(~F.col("name").isin(list(universal))).join(best, ["class", "name"])
-    bad = judged(rows, facts, compat.returns).filter(F.col("fits") == NO).dropDuplicates(["file", "start", "end", "expected", "actual"])
+    rows = dealt(sites.filter(~F.col("name").isin(list(universal))), "class", "name").join(best, ["class", "name"])
+    bad = dealt(judged(rows, facts, compat.returns).filter(F.col("fits") == NO), "file", "start", "end").dropDuplicates(["file", "start", "end", "expected", "actual"])
     return _mismatch(bad, "return_type_mismatch", "return", None)
 
 

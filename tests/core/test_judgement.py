@@ -326,3 +326,12 @@ def test_pairs_are_judged_by_joins_as_by_the_whole_world(spark):
         got = {(r["actual"], r["expected"]): r["fits"] for r in diagnostics.judged(rows, facts, rule).collect()}
         assert got == {(a, d): rule(T.loads(a), T.loads(d), whole) for a, d in pairs}
     assert diagnostics.judged(rows, facts).count() == len(pairs) + 1
+
+
+def test_rows_meet_their_judgement_where_they_are(spark):
+    none = spark.createDataFrame([], "class string, name string")
+    paths = spark.createDataFrame([("Integer", "Integer"), ("String", "String")], "class string, owner string")
+    facts = diagnostics.world(paths, spark.createDataFrame([("Integer", False), ("String", False)], "class string, is_module boolean"), none)
+    found = diagnostics.judged(spark.range(2000).select("id", F.lit(T.dumps(T.STRING)).alias("actual"), F.lit(T.dumps(T.INTEGER)).alias("expected")), facts)
+    assert "Hint=(strategy=broadcast)" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter(F.col("fits") == NO).count() == 2000
