@@ -259,7 +259,7 @@ def _covers(d: str, s: str) -> Column:
 
 def suppress(found: DataFrame, ignored: DataFrame) -> DataFrame:
     """Diagnostics without those that a comment on their line covers."""
-    return found.alias("d").join(ignored.alias("s"), _covers("d", "s"), "left_anti")
+    return dealt(found, "path", "line").alias("d").join(ignored.alias("s"), _covers("d", "s"), "left_anti")
 
 
 def unused_suppressions(found: DataFrame, ignored: DataFrame) -> DataFrame:
