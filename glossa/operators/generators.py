@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import inflect, returns, terms
 from glossa.functions.udf import arrow
+from glossa.plans.fixpoint import dealt
 from glossa.operators.lookup import resolve_class_names
 
 UNTYPED, BOOL, STRING = (terms.dumps(t) for t in (terms.UNTYPED, terms.BOOL, terms.STRING))
@@ -205,7 +206,7 @@ def includer_bound(dsl: DataFrame, mixed: DataFrame, paths: DataFrame) -> DataFr
 
     dsl: module, requires (an ancestor that the class must have, or null) and call columns; mixed: class, module.
     """
-    rows = dsl.join(mixed.select("class", "module").distinct(), "module")
+    rows = dsl.join(dealt(mixed.select("class", "module"), "module").distinct(), "module")
     has = paths.select("class", F.col("owner").alias("requires")).distinct()
     free = rows.filter("requires IS NULL")
     bound = rows.filter("requires IS NOT NULL").join(has, ["class", "requires"], "left_semi").select(*free.columns)

@@ -335,3 +335,19 @@ def test_rows_meet_their_judgement_where_they_are(spark):
     found = diagnostics.judged(spark.range(2000).select("id", F.lit(T.dumps(T.STRING)).alias("actual"), F.lit(T.dumps(T.INTEGER)).alias("expected")), facts)
     assert "Hint=(strategy=broadcast)" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.filter(F.col("fits") == NO).count() == 2000
+
+
+def test_parts_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from glossa.operators import generators
+    from glossa.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "PART", 2000, raising=False)
+    rows = spark.range(3000).select((F.col("id") % 700).alias("class"), (F.col("id") % 900).alias("module"), F.col("id").cast("string").alias("path"), F.lit(1).alias("line"), F.lit("c").alias("code"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    ignored = spark.createDataFrame([("7", 1, None), ("8", 1, "d")], "file string, line int, code string")
+    kept = diagnostics.suppress(rows, ignored)
+    dsl = spark.range(900).select(F.col("id").alias("module"), F.lit(None).cast("string").alias("requires"))
+    hosts = generators.includer_bound(dsl, rows, spark.createDataFrame([], "class long, owner string"))
+    assert kept.count() == 2999 and hosts.count() == 3000 and "RepartitionByExpression" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in hosts._jdf.queryExecution().optimizedPlan().toString()
