@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.udf import arrow
@@ -23,10 +23,26 @@ def call_level(receiver: pd.Series, result: pd.Series, scope: pd.Series, method:
     return pd.Series([levels.call_level(terms.loads(r), terms.loads(x), s or "", m) for r, x, s, m in zip(receiver, result, scope, method)], dtype="int32")
 
 
-@arrow("struct<kind:string,level:int>")
-def folded(observations: pd.Series) -> pd.DataFrame:
-    found = [levels.fold([(o["kind"], o["level"], o["explicit"]) for o in x]) for x in observations]
-    return pd.DataFrame(found, columns=["kind", "level"])
+def folded(observations: Column) -> Column:
+    """struct(kind, level) of a site's observations in order, as levels.fold has it. JVM-side, as a site may have any number of them."""
+    state = lambda kind, now, stuck: F.struct(kind.alias("kind"), now.cast("int").alias("level"), stuck.alias("stuck"))
+    explicit = lambda o: F.coalesce(o["explicit"], F.lit(False))
+
+    def priority(kind: Column) -> Column:
+        found = F.lit(0)
+        for name, n in levels.PRIORITY.items():
+            found = F.when(kind == name, n).otherwise(found)
+        return found
+
+    def step(s: Column, o: Column) -> Column:
+        other = (o["level"] < s["level"]) | (o["level"] == s["level"]) & (priority(o["kind"]) > priority(s["kind"]))
+        joined = F.when(o["kind"] == s["kind"], state(s["kind"], F.greatest(s["level"], o["level"]), F.lit(False)))
+        joined = joined.otherwise(state(F.when(other, o["kind"]).otherwise(s["kind"]), F.least(s["level"], o["level"]), F.lit(False)))
+        return F.when(explicit(o), state(F.lit("constant_reference"), F.lit(levels.UNKNOWN), F.lit(True))).when(s["stuck"], s).otherwise(joined)
+
+    first = F.element_at(observations, 1)
+    rest = F.slice(observations, F.lit(2), F.size(observations))
+    return F.aggregate(rest, state(first["kind"], first["level"], explicit(first)), step)
 
 
 def observed_levels(sites: DataFrame) -> DataFrame:
@@ -50,7 +66,7 @@ def coalesced_sites(observed: DataFrame) -> DataFrame:
     by = observed.groupBy("file", "start", "end").agg(
         F.array_sort(F.collect_list(F.struct("ord", "kind", "level", "explicit"))).alias("o"), F.min_by("name", "ord").alias("name"), F.min_by("scope", "ord").alias("scope")
     )
-    return by.withColumn("f", folded("o")).select("file", "start", "end", "name", "scope", "f.kind", "f.level")
+    return by.withColumn("f", folded(F.col("o"))).select("file", "start", "end", "name", "scope", "f.kind", "f.level")
 
 
 def promote_constants(sites: DataFrame, constants: DataFrame) -> DataFrame:

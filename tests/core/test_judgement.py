@@ -337,6 +337,15 @@ def test_rows_meet_their_judgement_where_they_are(spark):
     assert found.filter(F.col("fits") == NO).count() == 2000
 
 
+def test_sites_are_folded_as_one_by_one(spark):
+    rng = random.Random(5)
+    rows = [("f", k % 150, k % 150 + 1, k, rng.choice([*levels.PRIORITY, "other"]), rng.randrange(3), rng.random() < 0.1, "x", "K") for k in range(600)]
+    found = coverage.coalesced_sites(spark.createDataFrame(rows, "file string, start int, end int, ord int, kind string, level int, explicit boolean, name string, scope string"))
+    assert "EvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {s: levels.fold([(r[4], r[5], r[6]) for r in rows if r[1] == s]) for s in range(150)}
+    assert {r["start"]: (r["kind"], r["level"]) for r in found.collect()} == want
+
+
 def test_parts_grow_with_the_input(spark, tmp_path, monkeypatch):
     from glossa.operators import generators
     from glossa.plans import fixpoint
