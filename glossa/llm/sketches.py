@@ -180,11 +180,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = pa.array([agree(own(x), own(y)) for x, y in zip(ta, tb)], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 
-    one = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    one = pairs.select("a", "b").join(_by_node(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))), "a")
+    both = one.join(_by_node(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(judge, "a long, b long")
 
 
+def _by_node(df: DataFrame) -> DataFrame:
+    """A side of a join by node, to be sorted, never broadcast: each broadcast is built in the driver, and a small input would have dozens of them."""
+    return df.hint("merge")
+
+
 def _side(nodes: DataFrame, own: str, *more: str) -> DataFrame:
     """Columns of nodes under names that begin with own."""
     return nodes.select(*[F.col(c).alias(f"{own}_{c}") for c in ("node", "n", *SKETCH, *more)])
@@ -218,7 +223,7 @@ def _apart(held: DataFrame) -> DataFrame:
 
 def _roots(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     found = components(links, scratch)
-    return nodes.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    return nodes.select("node", "n").join(_by_node(found), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
 
 
 def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,14 +241,16 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     inside = _inside(members, cells)
     star = met.filter("cell <> least").groupBy("cell").agg(F.min("least").alias("to"))
     own = cells.select("cell", F.col("least").alias("x"))
-    across = star.join(own, "cell").join(own.select(F.col("cell").alias("to"), F.col("x").alias("y")), "to")
+    across = star.join(_by_node(own), "cell").join(_by_node(own.select(F.col("cell").alias("to"), F.col("x").alias("y"))), "to")
     pairs = inside.union(across.select(F.greatest("x", "y"), F.least("x", "y"))).filter("a <> b").distinct()
-    near = pairs.join(_side(nodes, "x"), F.col("a") == F.col("x_node")).join(_side(nodes, "y"), F.col("b") == F.col("y_node")).filter(_may_agree())
+    of_a, of_b = (_by_node(_side(nodes, k)) for k in "xy")
+    near = pairs.join(of_a, F.col("a") == F.col("x_node")).join(of_b, F.col("b") == F.col("y_node")).filter(_may_agree())
     near = scratch.table(near.select("a", "b", _differing().alias("far")), "near")
     links, roots = None, nodes.select("node", F.col("node").alias("root"))
     for k, by in enumerate((["a"], ["a", "rb"])):
         # the least partner of each node, then the nearest in each of the other components
-        apart = near.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb")
+        ra, rb = (_by_node(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))) for k in "ab")
+        apart = near.join(ra, "a").join(rb, "b").filter("ra <> rb")
         best = F.min("b") if k == 0 else F.min_by("b", F.struct("far", "b"))
         first = scratch.table(apart.groupBy(*by).agg(best.alias("b")).select("a", "b"), f"first_{k}")
         found = verified(first, _texts(docs, nodes, first, scratch, id_col, text_col, f"texts_{k}"))
@@ -251,27 +258,27 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
         roots = scratch.table(_roots(nodes, links, Scratch(docs.sparkSession)), f"roots_{k}")
 
     # members of cells that met and are still apart, component by component: only values around which there are several are opened
-    held = members.join(roots, "node").groupBy("cell", "root").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("node"))
+    held = members.join(_by_node(roots), "node").groupBy("cell", "root").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("node"))
     held = scratch.table(held, "held")
     several = held.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h").select("cell")
     inner = held.join(several, "cell", "left_semi").withColumn("value", F.col("cell"))
     by = Window.partitionBy("value")
     around = met.select("value", "cell").join(held, "cell").withColumn("l", F.min("root").over(by)).withColumn("h", F.max("root").over(by)).filter("l < h").drop("l", "h")
-    both = _apart(inner).union(_apart(around)).distinct()
+    both = scratch.table(_apart(inner).union(_apart(around)).distinct(), "both")
     single = both.filter("size = 1 AND o_size = 1").select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
-    single = single.join(_side(nodes, "x"), F.col("a") == F.col("x_node")).join(_side(nodes, "y"), (F.col("b") == F.col("y_node")) & _may_agree()).select("a", "b")
+    single = single.join(of_a, F.col("a") == F.col("x_node")).join(of_b, (F.col("b") == F.col("y_node")) & _may_agree()).select("a", "b")
     # the smaller side first
     less = F.col("size") <= F.col("o_size")
     first, other = (F.struct(F.col(f"{k}cell").alias("cell"), F.col(f"{k}root").alias("root")) for k in ("", "o_"))
     todo = both.filter("size > 1 OR o_size > 1").select(F.when(less, first).otherwise(other).alias("x"), F.when(less, other).otherwise(first).alias("y"))
     todo = scratch.table(todo.select(F.col("x.cell").alias("ca"), F.col("x.root").alias("ra"), F.col("y.cell").alias("cb"), F.col("y.root").alias("rb")), "todo")
     asked = todo.select(F.col("ca").alias("cell"), F.col("ra").alias("root")).union(todo.select("cb", "rb")).distinct()
-    open_ = scratch.table(members.join(roots.drop("n"), "node").join(asked, ["cell", "root"], "left_semi").join(nodes.drop("words", "_sh_row"), "node"), "open")
+    open_ = scratch.table(members.join(_by_node(roots.drop("n")), "node").join(asked, ["cell", "root"], "left_semi").join(_by_node(nodes.drop("words", "_sh_row")), "node"), "open")
     x, y = _side(open_, "x", "root", "cell"), _side(open_, "y", "root", "cell")
     pairs = todo.join(x, (F.col("ca") == F.col("x_cell")) & (F.col("ra") == F.col("x_root"))).join(y, (F.col("cb") == F.col("y_cell")) & (F.col("rb") == F.col("y_root")) & _may_agree())
     pairs = again.table(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).union(single).distinct(), "pairs")
     links = again.table(verified(pairs, _texts(docs, nodes, pairs, again, id_col, text_col, "texts")).union(links), "links")
-    for done in ("cells", "met", "near", "held", "todo", "open", *(f"{t}_{k}" for t in ("first", "texts", "links", "roots") for k in (0, 1))):
+    for done in ("cells", "met", "near", "held", "both", "todo", "open", *(f"{t}_{k}" for t in ("first", "texts", "links", "roots") for k in (0, 1))):
         scratch.drop(done)
     return rows.select("_sh_id", "_sh_row", "words").join(nodes.select("words", "node"), "words").join(_roots(nodes, links, again), "node").select("root", "_sh_id", "_sh_row")
 
@@ -279,7 +286,7 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, id_col: str, text_col: str, name: str) -> DataFrame:
     """node, text of the nodes in pairs."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("node", "_sh_row").join(asked, "node", "left_semi")
+    wanted = nodes.select("node", "_sh_row").join(_by_node(asked), "node", "left_semi")
     rows = docs.select(row_key(id_col, text_col).alias("_sh_row"), F.col(text_col).alias("text"))
     return scratch.table(rows.join(wanted, "_sh_row").dropDuplicates(["node"]).select("node", "text"), name)
 

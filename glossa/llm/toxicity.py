@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from glossa.llm.common import Scratch, chunks, text_bytes
+from glossa.llm.common import Scratch, chunks, release, text_bytes
 from glossa.llm.labelled import held_out, logistic, priors, sample, sigmoid
 
 #: Labelled rows of each label that the lexicon and the weights are fitted on, at most.
@@ -279,7 +279,10 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float) -> Model:
 def train_toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """The model from at most `each` training rows of each label."""
     rows = sample(docs, labels, "toxic", each, Scratch(docs.sparkSession)).toArrow().sort_by([("d", "ascending"), ("text", "ascending")])
-    return fit(text_bytes(rows["text"].combine_chunks()), np.asarray(rows["y"].combine_chunks()).astype(np.int64), priors(labels, "toxic"))
+    texts, y = text_bytes(rows["text"].combine_chunks()), np.asarray(rows["y"].combine_chunks()).astype(np.int64)
+    del rows
+    release()
+    return fit(texts, y, priors(labels, "toxic"))
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

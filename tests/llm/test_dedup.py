@@ -336,3 +336,21 @@ def test_members_meet_their_hubs_in_one_row(spark, joined_rows):
     found = sketches._inside(members, spark.range(1).select(F.col("id").alias("cell"), F.lit(1000).cast("long").alias("size"), hubs.alias("hubs")))
     got = sorted(map(tuple, found.collect()))
     assert joined_rows(found) == 1000 and got == sorted((max(n, h), min(n, h)) for n in range(1000) for h in (0, 999, 5, 6))
+
+
+def test_joins_by_node_are_not_broadcast(spark, tmp_path):
+    """A small input would have dozens of broadcasts, all built in the driver within seconds."""
+    docs = spark.createDataFrame(near_copies(14), "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return {x.executionId(): x for x in map(found.apply, range(found.size()))}
+
+    before = set(executions())
+    sketches.keep_one(docs).write.parquet(str(tmp_path / "kept"))
+    plans = [x.physicalPlanDescription() for k, x in executions().items() if k not in before]
+    made = sum(p.split("== Initial Plan ==")[0].count("- BroadcastExchange (") for p in plans)
+    print("broadcasts", made, "executions", len(plans))
+    assert plans and made <= 30
