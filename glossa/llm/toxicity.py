@@ -277,12 +277,23 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float) -> Model:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
-    """The model from at most `each` training rows of each label."""
-    rows = sample(docs, labels, "toxic", each, Scratch(docs.sparkSession)).toArrow().sort_by([("d", "ascending"), ("text", "ascending")])
-    texts, y = text_bytes(rows["text"].combine_chunks()), np.asarray(rows["y"].combine_chunks()).astype(np.int64)
-    del rows
-    release()
-    return fit(texts, y, priors(labels, "toxic"))
+    """The model from at most `each` training rows of each label. A task learns it, so the driver sees no text."""
+    prior, rows = priors(labels, "toxic"), sample(docs, labels, "toxic", each, Scratch(docs.sparkSession))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [b for b in batches if b.num_rows]
+        texts, y = [], np.empty(0, np.int64)
+        if known:
+            table = pa.Table.from_batches(known).sort_by([("d", "ascending"), ("text", "ascending")])
+            texts, y = text_bytes(table["text"].combine_chunks()), np.asarray(table["y"].combine_chunks()).astype(np.int64)
+            del table
+        del known
+        release()
+        model = fit(texts, y, prior)
+        yield pa.RecordBatch.from_pydict({"words": pa.array([list(model.lexicon)], pa.list_(pa.string())), "odds": pa.array([list(model.lexicon.values())], pa.list_(pa.float64())), "weights": pa.array([model.weights.tolist()], pa.list_(pa.float64()))})
+
+    found = rows.coalesce(1).mapInArrow(learn, "words array<string>, odds array<double>, weights array<double>").first()
+    return Model(dict(zip(found["words"], found["odds"])), np.array(found["weights"]))
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
