@@ -352,5 +352,4 @@ def test_joins_by_node_are_not_broadcast(spark, tmp_path):
     sketches.keep_one(docs).write.parquet(str(tmp_path / "kept"))
     plans = [x.physicalPlanDescription() for k, x in executions().items() if k not in before]
     made = sum(p.split("== Initial Plan ==")[0].count("- BroadcastExchange (") for p in plans)
-    print("broadcasts", made, "executions", len(plans))
     assert plans and made <= 30
