@@ -14,8 +14,10 @@ The search is meet-in-the-middle, as for one fingerprint: two values lie within
 3. Four nodes of a cell (the least, the greatest, and the same by a hash) stand for it and meet its other nodes; the least also meets that of
    the least cell around. Pairs whose sizes or whole sketches can't agree go; the text of each node is compared with that of its least
    partner, then with that of its nearest partner in every other component, and links are closed to components each time.
-4. Around values where several components still meet, all members of different components are compared, so no candidate pair is left out.
-   That takes as many comparisons as there are such pairs, but a group that hangs together is not one of them.
+4. Around values where several components still meet, all members of different components are compared, so no candidate pair is left out:
+   members are dealt into tiles, and a task compares two tiles (or one in itself), each pair at one value of the first block that it shares.
+   What leaves a task are nodes that have a partner, then links, never pairs. It takes as many comparisons as there are such pairs, but a
+   group that hangs together is not one of them.
 
 Words are lower-cased (A-Z) runs of non-blanks. A text of fewer words than WIDTH is one shingle, a null text is empty, and empty texts
 are the same. Rows with null ids take part, ties go to the least id, then to the least hash of id and text. Repeated rows count once. Very
@@ -52,6 +54,10 @@ CHUNK, SEGMENT = 1 << 19, 255
 #: Cells that emit their balls at once, and values in a bucket, about.
 CELLS, BUCKET = 8192, 1 << 19
 FLIPS = np.array([0] + [1 << i for i in range(32)], np.uint32)
+#: Nodes of a tile and bytes of their shingles, rows of tiles in a task's group, and pairs that are compared at once, about.
+TILE, TILE_BYTES, BIN, PAIRS = 4096, 8 << 20, 4096, 1 << 16
+#: Marks a cell of several components, whose members are compared among themselves, among the values.
+WITHIN = 1 << 62
 #: A bijection of 32 bits and its inverse, to spread values over buckets.
 SPREAD = 0x9E3779B1
 GATHER = pow(SPREAD, -1, 1 << 32)
@@ -211,14 +217,163 @@ def _inside(members: DataFrame, cells: DataFrame) -> DataFrame:
     return members.join(several, "cell").select("node", F.explode("hubs").alias("hub")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
 
 
-def _apart(held: DataFrame) -> DataFrame:
-    """Pairs of components around a value (value, cell, root, size, low, high, node), each once, whose sizes leave a similarity of SIMILARITY possible."""
-    names = ["cell", "root", "size", "low", "high", "node"]
-    other = held.select(*[F.col(c).alias(f"o_{c}") for c in ("value", *names)])
-    fits = (F.col("high") >= SIMILARITY * F.col("o_low") - 1e-9) & (F.col("o_high") >= SIMILARITY * F.col("low") - 1e-9)
-    # two cells meet at two values; the lesser counts
-    lesser = (F.col("cell") == F.col("o_cell")) | (F.col("value") < F.col("cell").bitwiseXOR(F.col("o_cell")).bitwiseXOR(F.col("value")))
-    return held.join(other, (F.col("value") == F.col("o_value")) & (F.col("root") < F.col("o_root")) & fits & lesser).select(*names, *[f"o_{c}" for c in names])
+def _open(met: DataFrame, held: DataFrame) -> DataFrame:
+    """value, cell, root, size, n, node, main, t_main, t_rest: the components around values where several are left, and into how many tiles the
+    members of the largest (main) and of all others go; main is null where one tile holds all. held: cell, root, size, n, low, high, node.
+
+    A value marked WITHIN has the components of one cell. Others have the cells that meet another there and at no lesser value: two cells around a
+    value differ from it in a bit (or none) each, and the greater of the two bits is unset in the lesser of the values where they meet.
+    """
+    names = ["value", "cell", "root", "size", "n", "low", "high", "node"]
+    several = held.groupBy("cell").agg(F.count("*").alias("several")).filter("several > 1").select("cell")
+    within = held.join(several, "cell", "left_semi").withColumn("value", F.col("cell").bitwiseOR(F.lit(WITHIN)))
+    by, own = Window.partitionBy("value"), Window.partitionBy("value", "root")
+    lesser = met.select("value", "cell", F.col("value").bitwiseXOR(F.col("cell")).alias("bit"))
+    most = F.max(F.when(F.col("bit").bitwiseAND(F.col("value")) == 0, F.col("bit"))).over(by)
+    lesser = lesser.select("value", "cell", "bit", most.alias("most"), F.min("bit").over(by).alias("least")).filter("bit <= most AND least < most")
+    rows = lesser.select("value", "cell").join(held, "cell").select(*names).union(within.select(*names))
+    rows = rows.withColumn("of", F.struct(F.sum("size").over(own).alias("size"), F.col("root"), F.sum("n").over(own).alias("n")))
+    told = {"l": F.min("root"), "h": F.max("root"), "rows": F.count("*"), "all": F.sum("size"), "n_all": F.sum("n"), "most": F.max("of"), "low": F.max("low"), "high": F.min("high")}
+    rows = rows.select("value", "cell", "root", "size", "n", "node", *[x.over(by).alias(c) for c, x in told.items()])
+    rows = rows.filter((F.col("l") < F.col("h")) & ((F.col("rows") > 2) | (F.col("high") >= SIMILARITY * F.col("low") - 1e-9)))
+    tiles = lambda size, n: F.ceil(F.greatest(size / TILE, n * 8 / TILE_BYTES)).cast("long")
+    one = tiles(F.col("all"), F.col("n_all")) <= 1
+    main, t_main = F.when(~one, F.col("most.root")), F.when(~one, tiles(F.col("most.size"), F.col("most.n")))
+    t_rest = F.when(one, 1).otherwise(tiles(F.col("all") - F.col("most.size"), F.col("n_all") - F.col("most.n")))
+    return rows.select("value", "cell", "root", "size", "n", "node", main.alias("main"), t_main.alias("t_main"), t_rest.cast("long").alias("t_rest"))
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """tile, value, side, node, root, n: sides 0 and 1 of a tile are compared with each other, 2 in itself. rows: value, node, root, n, main, t_main, t_rest."""
+    h = F.xxhash64("node", F.lit("tile"))
+    own = F.col("root") == F.col("main")
+    rows = rows.withColumn("own", F.pmod(h, F.when(own, F.col("t_main")).otherwise(F.col("t_rest"))))
+    tile = lambda kind, x, y: F.xxhash64("value", F.lit(kind), x, y)
+    lone = rows.filter("main IS NULL").select(tile("r", "own", "own").alias("tile"), "value", F.lit(2).alias("side"), "node", "root", "n")
+    steps = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    put = lambda kind, x, y, side: F.struct(tile(kind, x, y).alias("tile"), side.alias("side"))
+    mains = F.transform(steps("t_rest"), lambda r: put("m", r, F.col("own"), F.lit(1)))
+    against = F.transform(steps("t_main"), lambda m: put("m", F.col("own"), m, F.lit(0)))
+    among = F.transform(steps("t_rest"), lambda r: put("r", F.least(r, "own"), F.greatest(r, "own"), F.when(r == F.col("own"), 2).when(r > F.col("own"), 0).otherwise(1)))
+    dealt = rows.filter("main IS NOT NULL").withColumn("t", F.explode(F.when(own, mains).otherwise(F.concat(against, among))))
+    return lone.union(dealt.select("t.tile", "value", "t.side", "node", "root", "n"))
+
+
+def _pairs(at: dict[str, np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of candidates of different components, PAIRS compared at a time. at: tile, value, side, cell, root, n and s (BLOCKS values a row), sorted by the first four."""
+    value, side, cell, s = at["value"], at["side"], at["cell"], at["s"]
+    block, within = (value >> 32) & 63, value >= WITHIN
+    place, rows = np.arange(len(value)), len(value)
+
+    def ends(*columns: np.ndarray) -> np.ndarray:
+        """Where the rows that agree with each in these columns end."""
+        fresh = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        return np.append(fresh, rows)[np.searchsorted(fresh, place, side="right")]
+
+    tile = at["tile"], value
+    end = ends(*tile)
+    of_side, of_cell = ends(*tile, side), ends(*tile, side, cell)
+    first = np.select([side == 0, side == 1], [of_side, end], np.where(within, place + 1, of_cell))
+    before = np.concatenate([[0], np.cumsum(end - first)])
+    a = 0
+    while a < rows:
+        b = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, side="right")) - 1)
+        i = np.repeat(place[a:b], (end - first)[a:b])
+        j = np.arange(before[a], before[b]) - before[i] + first[i]
+        on = (at["root"][i] != at["root"][j]) & (np.minimum(at["n"][i], at["n"][j]) >= SIMILARITY * np.maximum(at["n"][i], at["n"][j]) - 1e-9)
+        # two cells meet at two values; the lesser counts
+        v = value[i] & 0xFFFFFFFF
+        on &= within[i] | ((cell[i] != cell[j]) & (v < cell[i] ^ cell[j] ^ v))
+        i, j = i[on], j[on]
+        far = np.bitwise_count(s[i] ^ s[j])
+        on = (far.sum(axis=1, dtype=np.int64) <= most) & (np.argmax(far <= 2, axis=1) == block[i])
+        if on.any():
+            yield i[on], j[on]
+        a = b
+
+
+def _binned(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """tiles with their bin (small tiles share one) and with the sketches of their nodes."""
+    rows, n = tiles.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = max(1, -(-rows // BIN), -(-8 * n // (2 * TILE_BYTES)))
+    return tiles.withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins))).join(_by_node(nodes.select("node", *SKETCH)), "node")
+
+
+def _laid(group: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray]]:
+    """The rows of a bin as `_pairs` wants them."""
+    at = {c: np.asarray(group[c].combine_chunks()) for c in ("tile", "value", "side", "root", "n")}
+    at["s"] = np.stack([np.asarray(group[c].combine_chunks()) for c in SKETCH], axis=1).view(np.uint32)
+    at["cell"] = at["s"][np.arange(len(at["s"])), (at["value"] >> 32) & 63].astype(np.int64)
+    order = np.lexsort([at[c] for c in ("cell", "side", "value", "tile")])
+    return group.take(pa.array(order)), {c: x[order] for c, x in at.items()}
+
+
+def compared(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of tiles whose sketches make them candidates of another's."""
+    most, kept = MAX_DISTANCE, tiles.columns
+
+    def compare(group: pa.Table) -> pa.Table:
+        group, at = _laid(group)
+        taken = np.zeros(len(group), bool)
+        for i, j in _pairs(at, most):
+            taken[i] = taken[j] = True
+        return group.select(kept).filter(pa.array(taken))
+
+    return _binned(tiles, nodes).groupBy("bin").applyInArrow(compare, tiles.schema)
+
+
+def linked(tiles: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links among the candidates of tiles, enough to connect all that link. texts: node, text."""
+    most = MAX_DISTANCE
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch, found in chunks(batches, "text", CHUNK):
+            sets = [shingles(hashes.array(t.lower().split())).tobytes() for t in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "own"])
+
+    def link(group: pa.Table) -> pa.Table:
+        group, at = _laid(group)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["own"]]
+        sizes, node = np.array([len(x) for x in sets]), np.asarray(group["node"].combine_chunks())
+        names, top = np.unique(at["root"], return_inverse=True)
+        heads, links = list(range(len(names))), []
+
+        def head(r: int) -> int:
+            while heads[r] != r:
+                heads[r] = heads[heads[r]]
+                r = heads[r]
+            return r
+
+        for i, j in _pairs(at, most):
+            cuts = np.flatnonzero(np.diff(i, prepend=-1)).tolist()
+            for x, y in zip(cuts, [*cuts[1:], len(i)]):
+                k = int(i[x])
+                mine = head(int(top[k]))
+                others = np.array([o for o in j[x:y].tolist() if head(int(top[o])) != mine], np.int64)
+                for o in others[_agree(sets[k], [sets[o] for o in others], sizes[others])].tolist():
+                    mine, other = head(int(top[k])), head(int(top[o]))
+                    if mine != other:
+                        heads[other] = mine
+                        links.append((int(node[k]), int(node[o])))
+        return pa.table({"a": pa.array([max(p) for p in links], pa.int64()), "b": pa.array([min(p) for p in links], pa.int64())})
+
+    rows = _binned(tiles, nodes).join(_by_node(texts.mapInArrow(own, "node long, own binary")), "node")
+    return rows.groupBy("bin").applyInArrow(link, "a long, b long")
+
+
+def _agree(one: np.ndarray, others: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Of which of others one set is as similar as SIMILARITY asks."""
+    if not len(others):
+        return np.empty(0, bool)
+    all_ = np.concatenate(others)
+    at = np.searchsorted(one, all_)
+    same = np.zeros(len(all_) + 1, np.int64)
+    if len(one):
+        same[1:] = np.cumsum(one[np.minimum(at, len(one) - 1)] == all_)
+    to = np.cumsum(sizes)
+    both = same[to] - same[to - sizes]
+    return both >= SIMILARITY * (len(one) + sizes - both) - 1e-9
 
 
 def _roots(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -246,6 +401,7 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     of_a, of_b = (_by_node(_side(nodes, k)) for k in "xy")
     near = pairs.join(of_a, F.col("a") == F.col("x_node")).join(of_b, F.col("b") == F.col("y_node")).filter(_may_agree())
     near = scratch.table(near.select("a", "b", _differing().alias("far")), "near")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     links, roots = None, nodes.select("node", F.col("node").alias("root"))
     for k, by in enumerate((["a"], ["a", "rb"])):
         # the least partner of each node, then the nearest in each of the other components
@@ -253,40 +409,28 @@ def rooted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
         apart = near.join(ra, "a").join(rb, "b").filter("ra <> rb")
         best = F.min("b") if k == 0 else F.min_by("b", F.struct("far", "b"))
         first = scratch.table(apart.groupBy(*by).agg(best.alias("b")).select("a", "b"), f"first_{k}")
-        found = verified(first, _texts(docs, nodes, first, scratch, id_col, text_col, f"texts_{k}"))
+        found = verified(first, _texts(docs, nodes, ends(first), scratch, id_col, text_col, f"texts_{k}"))
         links = scratch.table(found if links is None else found.union(links), f"links_{k}")
         roots = scratch.table(_roots(nodes, links, Scratch(docs.sparkSession)), f"roots_{k}")
 
     # members of cells that met and are still apart, component by component: only values around which there are several are opened
-    held = members.join(_by_node(roots), "node").groupBy("cell", "root").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("node"))
+    placed = members.join(_by_node(roots), "node")
+    held = placed.groupBy("cell", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("node"))
     held = scratch.table(held, "held")
-    several = held.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h").select("cell")
-    inner = held.join(several, "cell", "left_semi").withColumn("value", F.col("cell"))
-    by = Window.partitionBy("value")
-    around = met.select("value", "cell").join(held, "cell").withColumn("l", F.min("root").over(by)).withColumn("h", F.max("root").over(by)).filter("l < h").drop("l", "h")
-    both = scratch.table(_apart(inner).union(_apart(around)).distinct(), "both")
-    single = both.filter("size = 1 AND o_size = 1").select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
-    single = single.join(of_a, F.col("a") == F.col("x_node")).join(of_b, (F.col("b") == F.col("y_node")) & _may_agree()).select("a", "b")
-    # the smaller side first
-    less = F.col("size") <= F.col("o_size")
-    first, other = (F.struct(F.col(f"{k}cell").alias("cell"), F.col(f"{k}root").alias("root")) for k in ("", "o_"))
-    todo = both.filter("size > 1 OR o_size > 1").select(F.when(less, first).otherwise(other).alias("x"), F.when(less, other).otherwise(first).alias("y"))
-    todo = scratch.table(todo.select(F.col("x.cell").alias("ca"), F.col("x.root").alias("ra"), F.col("y.cell").alias("cb"), F.col("y.root").alias("rb")), "todo")
-    asked = todo.select(F.col("ca").alias("cell"), F.col("ra").alias("root")).union(todo.select("cb", "rb")).distinct()
-    open_ = scratch.table(members.join(_by_node(roots.drop("n")), "node").join(asked, ["cell", "root"], "left_semi").join(_by_node(nodes.drop("words", "_sh_row")), "node"), "open")
-    x, y = _side(open_, "x", "root", "cell"), _side(open_, "y", "root", "cell")
-    pairs = todo.join(x, (F.col("ca") == F.col("x_cell")) & (F.col("ra") == F.col("x_root"))).join(y, (F.col("cb") == F.col("y_cell")) & (F.col("rb") == F.col("y_root")) & _may_agree())
-    pairs = again.table(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).union(single).distinct(), "pairs")
-    links = again.table(verified(pairs, _texts(docs, nodes, pairs, again, id_col, text_col, "texts")).union(links), "links")
-    for done in ("cells", "met", "near", "held", "both", "todo", "open", *(f"{t}_{k}" for t in ("first", "texts", "links", "roots") for k in (0, 1))):
+    open_ = scratch.table(_open(met, held), "open")
+    more = open_.filter("size > 1").drop("node", "n").join(placed.select("node", "cell", "root", F.col("n").cast("long").alias("n")), ["cell", "root"])
+    tiles = scratch.table(_tiles(open_.filter("size = 1").unionByName(more)), "tiles")
+    found = scratch.table(compared(tiles, nodes), "compared")
+    texts = _texts(docs, nodes, found.select("node"), scratch, id_col, text_col, "texts")
+    links = again.table(linked(found, nodes, texts).union(links), "links")
+    for done in ("cells", "met", "near", "held", "open", "tiles", "compared", "texts", *(f"{t}_{k}" for t in ("first", "texts", "links", "roots") for k in (0, 1))):
         scratch.drop(done)
     return rows.select("_sh_id", "_sh_row", "words").join(nodes.select("words", "node"), "words").join(_roots(nodes, links, again), "node").select("root", "_sh_id", "_sh_row")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, id_col: str, text_col: str, name: str) -> DataFrame:
-    """node, text of the nodes in pairs."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("node", "_sh_row").join(_by_node(asked), "node", "left_semi")
+def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, scratch: Scratch, id_col: str, text_col: str, name: str) -> DataFrame:
+    """node, text of the nodes asked for."""
+    wanted = nodes.select("node", "_sh_row").join(_by_node(asked.distinct()), "node", "left_semi")
     rows = docs.select(row_key(id_col, text_col).alias("_sh_row"), F.col(text_col).alias("text"))
     return scratch.table(rows.join(wanted, "_sh_row").dropDuplicates(["node"]).select("node", "text"), name)
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -353,3 +354,28 @@ def test_joins_by_node_are_not_broadcast(spark, tmp_path):
     plans = [x.physicalPlanDescription() for k, x in executions().items() if k not in before]
     made = sum(p.split("== Initial Plan ==")[0].count("- BroadcastExchange (") for p in plans)
     assert plans and made <= 30
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_components_of_a_cell_are_compared_without_rows_of_pairs(spark, monkeypatch, tmp_path, tile):
+    """All texts share one cell, in dozens of components: every pair is judged, and no join makes rows beyond those of nodes."""
+    rows = near_copies(15)
+    monkeypatch.setattr(sketches, "MAX_DISTANCE", 64 * sketches.LANES)
+    monkeypatch.setattr(sketches, "TILE", tile)
+    real, one = sketches.signed, [F.lit(0).cast("long").alias(s) for s in sketches.SKETCH]
+    monkeypatch.setattr(sketches, "signed", lambda *a: real(*a).select("_sh_id", "_sh_row", "words", "n", *one))
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    before = store.executionsCount()
+    sketches.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).write.parquet(str(tmp_path / "kept"))
+    want = roots_of([i for i, _ in rows], [(i, j) for m, (i, a) in enumerate(rows) for j, b in rows[:m] if jaccard(a or "", b or "") >= 0.8])
+    assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()} == want and len(want) > 50
+    if tile == 4096:
+        bus.waitUntilEmpty()
+        made, found = [], store.executionsList()
+        for k in [found.apply(k).executionId() for k in range(int(before), found.size())]:
+            nodes, told = store.planGraph(k).allNodes(), store.executionMetrics(k)
+            for node in map(nodes.apply, range(nodes.size())):
+                if "Join" in node.name():
+                    of = [m.accumulatorId() for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                    made += [int(told.apply(a).replace(",", "")) for a in of if told.contains(a)]
+        assert made and max(made) <= 2 * sketches.BLOCKS * len(rows)
