@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.columns import widened
-from glossa.plans.fixpoint import cut
+from glossa.plans.fixpoint import FEW, cut, dealt
 
 #: How far from everything a parameter without a type is.
 ANY = 1 << 20
@@ -28,18 +28,39 @@ def _arms(term: str) -> F.Column:
     return F.when(F.startswith(F.col(term), F.lit('["union",')), F.transform(F.from_json(F.get_json_object(term, "$[1]"), "array<array<string>>"), lambda a: F.to_json(a))).otherwise(F.array(F.col(term)))
 
 
-def typed_overloads(calls: DataFrame, args: DataFrame, overloads: DataFrame, params: DataFrame, ancestors: DataFrame) -> DataFrame:
+#: What an answer depends on: calls that agree in these are answered once.
+FORM = ["class", "name", "args"]
+
+
+def typed_overloads(calls: DataFrame, args: DataFrame | None, overloads: DataFrame, params: DataFrame, ancestors: DataFrame) -> DataFrame:
     """site_id, overload: the most specific overloads that take each call.
 
-    calls: site_id, class, name; args: site_id, pos, type (terms). overloads: class, name, overload, positional (how many parameters); params: class, name, overload, pos,
-    type. A literal counts as its class; an argument of several types fits as far as its worst one; an untyped argument fits everything alike.
+    calls: site_id, class, name; args: site_id, pos, type (terms), or None where calls have their args themselves, as an array of pos and type in this order. overloads: class, name,
+    overload, positional (how many parameters); params: class, name, overload, pos, type. A literal counts as its class; an argument of several types fits as far as its worst one;
+    an untyped argument fits everything alike. Calls of one form are judged once, so only forms are paired with overloads; calls meet their form's answer in one join.
     """
-    calls, args = cut(calls), cut(args)
-    met = calls.join(overloads, ["class", "name"])
-    given = args.withColumn("type", widened("type"))
-    arms = given.select("site_id", "pos", F.explode(_arms("type")).alias("arm"), F.lit(1).alias("n"))
-    asked = met.select("site_id", "class", "name", "overload").join(params, ["class", "name", "overload"]).select("site_id", "overload", "pos", F.col("type").alias("wanted"))
-    pairs = asked.join(arms, ["site_id", "pos"])
+    if args is not None:
+        by = args.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type"))).alias("args"))
+        calls = cut(calls.join(by, "site_id", "left"))
+    forms = cut(calls.select(*FORM).distinct().withColumn("form", F.monotonically_increasing_id()))
+    found = _judged(forms, overloads, params, ancestors).groupBy("form").agg(F.collect_list("overload").alias("overloads"))
+    # one column, as nulls within are equal
+    answers = cut(forms.join(found, "form").select(F.struct(*FORM).alias("asked"), "overloads"))
+    calls = calls.select("site_id", F.struct(*FORM).alias("asked"))
+    if answers.limit(FEW + 1).count() <= FEW:
+        answers = F.broadcast(answers)
+    else:
+        calls = dealt(calls, "asked")
+    return calls.join(answers, "asked").select("site_id", F.explode("overloads").alias("overload"))
+
+
+def _judged(forms: DataFrame, overloads: DataFrame, params: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """form, overload: the most specific overloads that take each form (form, class, name, args)."""
+    met = forms.select("form", "class", "name", F.coalesce(F.size("args"), F.lit(0)).alias("given")).join(overloads, ["class", "name"])
+    given = forms.select("form", F.explode("args").alias("a")).select("form", "a.pos", widened("a.type").alias("type"))
+    arms = given.select("form", "pos", F.explode(_arms("type")).alias("arm"))
+    asked = met.select("form", "class", "name", "overload").join(params, ["class", "name", "overload"]).select("form", "overload", "pos", F.col("type").alias("wanted"))
+    pairs = asked.join(arms, ["form", "pos"])
     kind = lambda c: F.when(F.startswith(c, F.lit('["class","')), F.get_json_object(c, "$[1]"))
     # only what parameters ask for
     asked_for = params.select(kind(F.col("type")).alias("of")).filter("of IS NOT NULL").distinct()
@@ -47,12 +68,11 @@ def typed_overloads(calls: DataFrame, args: DataFrame, overloads: DataFrame, par
     pairs = pairs.withColumn("own", kind(F.col("arm"))).withColumn("of", kind(F.col("wanted"))).join(of, ["own", "of"], "left")
     untyped = F.lit('["untyped"]')
     far = F.when(F.col("arm") == F.col("wanted"), 0).when(F.col("wanted") == untyped, ANY).when(F.col("arm") == untyped, 0).otherwise(F.col("distance"))
-    by = pairs.withColumn("far", far).groupBy("site_id", "overload", "pos").agg(F.max("far").alias("far"), F.max(F.col("far").isNull()).alias("miss"))
-    by = by.groupBy("site_id", "overload").agg(F.sum("far").alias("far"), F.max("miss").alias("miss"), F.count("*").alias("placed"))
-    counts = args.groupBy("site_id").agg(F.count("*").alias("given"))
-    judged = met.join(by, ["site_id", "overload"], "left").join(counts, "site_id", "left")
-    n = F.coalesce("given", F.lit(0))
+    by = pairs.withColumn("far", far).groupBy("form", "overload", "pos").agg(F.max("far").alias("far"), F.max(F.col("far").isNull()).alias("miss"))
+    by = by.groupBy("form", "overload").agg(F.sum("far").alias("far"), F.max("miss").alias("miss"), F.count("*").alias("placed"))
+    judged = met.join(by, ["form", "overload"], "left")
+    n = F.col("given")
     fits = (F.col("positional") == n) & ((n == 0) | ~F.coalesce("miss", F.lit(True)) & (F.col("placed") == n))
     judged = judged.withColumn("score", F.when(fits, F.coalesce("far", F.lit(0))))
-    least = judged.groupBy("site_id").agg(F.min("score").alias("least"))
-    return judged.join(least, "site_id").filter(F.col("least").isNull() | (F.col("score") == F.col("least"))).select("site_id", "overload")
+    least = judged.groupBy("form").agg(F.min("score").alias("least"))
+    return judged.join(least, "form").filter(F.col("least").isNull() | (F.col("score") == F.col("least"))).select("form", "overload")

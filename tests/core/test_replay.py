@@ -31,3 +31,18 @@ def test_the_most_specific_overload_is_kept(spark):
     for r in overloads.typed_overloads(calls, args, known, params, ancestors).collect():
         got.setdefault(r["site_id"], set()).add(r["overload"])
     assert got == {1: {1}, 2: {4}, 3: {2}, 4: {3}, 5: {0}, 6: {5}, 7: set(range(6)), 8: {0, 1, 3, 4}}
+
+
+def test_calls_of_one_form_are_judged_once(spark, monkeypatch):
+    """Forms, not calls, meet the overloads; calls without arguments, of no known method and repeated ones get what they got."""
+    met, real = [], overloads.cut
+    monkeypatch.setattr(overloads, "cut", lambda df: met.append(stored := real(df)) or stored)
+    known = spark.createDataFrame([("K", "m", 0, 1), ("K", "m", 1, 1), ("K", "m", 2, 0)], "class string, name string, overload int, positional int")
+    params = spark.createDataFrame([("K", "m", 0, 0, D(T.INTEGER)), ("K", "m", 1, 0, D(T.STRING))], "class string, name string, overload int, pos int, type string")
+    rows = [(k, "K", "m", [] if k % 4 == 3 else [(0, D((T.INTEGER, T.STRING, T.SYMBOL)[k % 4]))]) for k in range(400)] + [(0, "K", "m", [(0, D(T.INTEGER))]), (900, "K", "m", None), (901, "K", "other", [])]
+    calls = spark.createDataFrame(rows, "site_id int, class string, name string, args array<struct<pos:int,type:string>>")
+    ancestors = overloads.ancestry(spark.createDataFrame([("A", "A", [0])], "class string, owner string, rank array<int>"))
+    got = sorted(tuple(r) for r in overloads.typed_overloads(calls, None, known, params, ancestors).collect())
+    one = {0: [0], 1: [1], 2: [0, 1, 2], 3: [2]}
+    assert got == sorted([(k, o) for k in range(400) for o in one[k % 4]] + [(0, 0), (900, 2)])
+    assert met and max(df.count() for df in met) <= 6
