@@ -42,11 +42,12 @@ def _two(f):
 
 
 def _many(f):
-    """A function of a list of terms (array column, in its order)."""
+    """A function of a list of terms (array column, in its order); equal lists of a batch are computed once."""
 
     @arrow("string")
     def column(ts: pd.Series) -> pd.Series:
-        return ts.map(lambda x: terms.dumps(f([terms.loads(t) for t in (x if x is not None else [])])))
+        known = functools.cache(lambda x: terms.dumps(f([terms.loads(t) for t in x])))
+        return ts.map(lambda x: known(tuple(x) if x is not None else ()))
 
     return column
 

@@ -12,7 +12,7 @@ the earlier write; where its own arm is left by return, next, break or raise; an
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import returns, terms
@@ -20,11 +20,10 @@ from glossa.functions.columns import union_type_keeping_empty
 from glossa.functions.udf import arrow
 from glossa.operators.recursion import ON, TYPE, WAIT, reached
 from glossa.plans.fixpoint import cut
+from glossa.sources.syntax import BELOW, MADE, WRITES
 
 UNTYPED, BOT, BLOCK = terms.dumps(terms.UNTYPED), terms.dumps(terms.BOT), terms.dumps(("block_return",))
-#: Kinds whose value is made of the values below them, and kinds that write a local without a value of their own here.
-MADE = ["call", "array", "hash", "or", "and", "part", "keywords", "splat"]
-WRITES = ["assign", "param", "bind", "rest_pattern", "as_pattern", "for", "rescue_arm"]
+#: Kinds that leave a body or a loop.
 LEAVES = ["return", "break", "next"]
 PARTS = "array<struct<slot:string,ord:int,kind:string,name:string,term:string>>"
 
@@ -68,7 +67,8 @@ def reaching(nodes: DataFrame) -> DataFrame:
     """file, node (a read of a local), write, how (the write's kind): the writes that may have given the local its value."""
     writes = nodes.filter(F.col("kind").isin(WRITES) & F.col("name").isNotNull()).withColumn("scope", F.when((F.col("kind") == "param") & (F.col("up") == "def"), F.col("parent")).otherwise(F.col("scope")))
     blocks = nodes.filter("kind IN ('block', 'lambda')").select("file", F.col("node").alias("parent"), F.col("last").alias("end"))
-    writes = writes.join(blocks, ["file", "parent"], "left").withColumn("from", F.when((F.col("kind") == "param") & F.col("end").isNotNull(), F.col("parent")))
+    own = (F.col("kind") == "param") & (F.col("up") != "def")
+    writes = writes.filter(own).join(blocks, ["file", "parent"], "left").unionByName(writes.filter(~own), allowMissingColumns=True).withColumn("from", F.when((F.col("kind") == "param") & F.col("end").isNotNull(), F.col("parent")))
     w = writes.select("file", "scope", "name", F.col("node").alias("write"), F.col("last").alias("done"), F.col("arm").alias("w_arm"), F.col("arm_last").alias("w_end"), F.coalesce("arms", F.array().cast("array<struct<arm:long,above:long>>")).alias("w_arms"), F.coalesce("loops", F.array().cast("array<long>")).alias("w_loops"), "from", "end", F.col("kind").alias("how"))
     reads = nodes.filter("kind = 'lvar'").select("file", "scope", "name", "node", "arms", "loops")
     holds = lambda at: F.col("w_arm").isNull() | (F.col("w_arm") <= at) & (at <= F.col("w_end"))
@@ -78,13 +78,13 @@ def reaching(nodes: DataFrame) -> DataFrame:
     apart = F.exists("w_arms", lambda x: F.exists("arms", lambda y: (x["above"] == y["above"]) & (x["arm"] != y["arm"]) & ~F.exists(F.array_intersect("loops", "w_loops"), lambda z: z > x["above"])))
     pairs = pairs.filter((before | again) & ~apart).withColumn("before", before)
     # the last write before a read that surely ran, and for each write where it is surely over
-    sure = pairs.filter(F.col("before") & holds(F.col("node"))).groupBy("file", "node").agg(F.max("write").alias("sure"))
+    sure = F.max(F.when(F.col("before") & holds(F.col("node")), F.col("write"))).over(Window.partitionBy("file", "node"))
     later = w.filter("from IS NULL").select("file", "scope", "name", F.col("write").alias("other"), "w_arm", "w_end")
     first = w.select("file", "scope", "name", "write", "done").join(later, ["file", "scope", "name"]).filter((F.col("other") > F.col("done")) & holds(F.col("write")))
     leaves = nodes.filter(F.col("kind").isin(LEAVES) | (F.col("kind") == "call") & F.col("arms").isNotNull()).select("file", "scope", F.col("node").alias("other"), F.col("arm").alias("w_arm"), F.col("arm_last").alias("w_end"))
     left = w.select("file", "scope", "name", "write", "done").join(leaves, ["file", "scope"]).filter((F.col("other") > F.col("done")) & holds(F.col("write")))
     over = first.select("file", "write", "other").union(left.select("file", "write", "other")).groupBy("file", "write").agg(F.min("other").alias("over"))
-    met = pairs.join(sure, ["file", "node"], "left").join(over, ["file", "write"], "left")
+    met = pairs.withColumn("sure", sure).join(over, ["file", "write"], "left")
     alive = F.coalesce(F.col("write") >= F.col("sure"), F.lit(True)) & F.coalesce(F.col("over") > F.col("node"), F.lit(True))
     return met.filter(F.col("before") & alive | ~F.col("before") & (F.col("sure").isNull() | ~holds(F.col("node")))).select("file", "node", "write", "how").distinct()
 
@@ -174,10 +174,20 @@ def made(kind: pd.Series, name: pd.Series, owner: pd.Series, parts: pd.Series) -
     return pd.Series([terms.dumps(_made(k, n, o, list(p) if p is not None else [])) for k, n, o, p in zip(kind, name, owner, parts)], dtype="object")
 
 
-def values(nodes: DataFrame) -> DataFrame:
-    """file, node, term of every node that has a value. nodes: NODES, stored."""
+def asked(nodes: DataFrame) -> DataFrame:
+    """The nodes that what methods give may depend on, and those that tell where they are."""
+    places = ["def", "class", "module", "sclass", "on_self", "block", "lambda", *LEAVES, *WRITES]
+    return nodes.filter(F.col("top").isNotNull() | F.col("kind").isin(places) | (F.col("slot") == "style") | (F.col("kind") == "call") & F.col("arms").isNotNull())
+
+
+def values(nodes: DataFrame, direct: bool = False) -> DataFrame:
+    """file, node, term of every node that has a value. nodes: NODES, stored. direct: only of those that others ask for (of `asked`): what
+    nodes pass on goes straight to the one at the end of its way up."""
     inside = definitions(nodes).select("file", F.col("node").alias("scope"), "class", "singleton")
-    owned = nodes.join(inside, ["file", "scope"], "left").withColumn("class", F.coalesce("class", F.lit("Object"))).withColumn("singleton", F.coalesce("singleton", F.lit(False)))
+    # only these ask where they are
+    asks = F.col("kind").isin("self", *MADE)
+    owned = nodes.filter(asks).join(inside, ["file", "scope"], "left").unionByName(nodes.filter(~asks), allowMissingColumns=True)
+    owned = owned.withColumn("class", F.coalesce("class", F.lit("Object"))).withColumn("singleton", F.coalesce("singleton", F.lit(False)))
     params = parameters(nodes)
     spot = F.col("spot").cast("string")
     positional = F.concat(F.lit('["param",'), spot, F.lit("]"))
@@ -191,15 +201,17 @@ def values(nodes: DataFrame) -> DataFrame:
         .when(F.col("kind").isin(*LEAVES, "redo", "retry"), BOT).when(F.col("kind") == "yield", BLOCK)
     )
     flowing = ["statements", "if", "case", "when", "in", "begin", "rescue_arm", "assign", "iassign", "gassign", "cassign", "masgn", "lvar", "pair"]
-    leaf = owned.select(key().alias("mid"), "kind", plain.alias("term")).filter(~F.col("kind").isin(*MADE, *flowing, "param"))
+    leaf = (owned.filter("top IS NOT NULL") if direct else owned).select(key("top" if direct else "node").alias("mid"), "kind", plain.alias("term")).filter(~F.col("kind").isin(*MADE, *flowing, "param"))
     leaf = leaf.select("mid", F.coalesce("term", F.lit(UNTYPED)).alias("term")).union(params.select(key().alias("mid"), of_param))
     passed = nodes.filter(passes() | (F.col("up") == "pair") & (F.col("slot") == "value")).select(key("parent").alias("mid"), key().alias("to"))
+    if direct:
+        passed = nodes.filter((F.col("top") != F.col("node")) & F.col("kind").isin(*MADE, "assign", "lvar")).select(key("top").alias("mid"), key().alias("to"))
     reach = cut(reaching(nodes))
     local = reach.filter("how IN ('assign', 'param')").select(key().alias("mid"), key("write").alias("to"))
     bound = reach.filter("how NOT IN ('assign', 'param')").select(key().alias("mid"), F.lit(UNTYPED))
     lost = nodes.filter("kind = 'lvar'").join(reach.select("file", "node"), ["file", "node"], "left_anti").select(key().alias("mid"), F.lit(UNTYPED).alias("term"))
-    wait = owned.filter(F.col("kind").isin(MADE)).select(key().alias("mid"), "kind", "name", "class")
-    below = nodes.join(wait.select(F.col("mid").alias("m")).withColumn("w", F.lit(True)), key("parent") == F.col("m"), "left_semi").filter("slot IN ('receiver', 'arg', 'item', 'left', 'right', 'safe')")
+    wait = (owned.filter("top IS NOT NULL") if direct else owned).filter(F.col("kind").isin(MADE)).select(key().alias("mid"), "kind", "name", "class")
+    below = nodes.join(wait.select(F.col("mid").alias("m")).withColumn("w", F.lit(True)), key("parent") == F.col("m"), "left_semi").filter(F.col("slot").isin(BELOW))
     below = cut(below.select(key("parent").alias("mid"), key().alias("child"), "slot", "ord", "kind", "name"))
     none = F.lit(None).cast("string")
     fixed = leaf.union(bound).union(lost).select("mid", F.lit(TYPE).alias("kind"), none.alias("to"), "term")
@@ -227,7 +239,9 @@ def values(nodes: DataFrame) -> DataFrame:
 def method_returns(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """file, line, class, name, singleton, ret, form: the union of what each body ends in and of what it returns. In form, what the block gives
     is a term of its own; in ret it is untyped. found: values, if they are known."""
-    found = values(nodes) if found is None else found
+    if found is None:
+        nodes = asked(nodes)
+        found = values(nodes, direct=True)
     defs = definitions(nodes)
     ends = nodes.filter("up = 'def' AND slot = 'body'").select("file", F.col("parent").alias("def"), "node")
     early = nodes.filter("up = 'return'").select("file", F.col("scope").alias("def"), "node")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df kept by columns on the shared folder, for wide tables that many steps read a few columns of. Their small files tell little of their rows, so joins of them are sorted, as in `cut`."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+
+
 #: Rows of a table that is sent to every task.
 FEW = 10_000
 

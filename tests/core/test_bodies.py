@@ -4,7 +4,7 @@ import pytest
 
 from glossa.functions import terms as T
 from glossa.operators import bodies, flows
-from glossa.plans.fixpoint import cut
+from glossa.plans.fixpoint import cut, stored
 from glossa.sources import syntax
 
 
@@ -115,3 +115,70 @@ def test_only_the_columns_that_are_asked_for(spark):
     some = syntax.nodes(texts, "file", "last", "up", "arm_last")
     assert some.columns == ["file", "last", "up", "arm_last"]
     assert sorted(some.collect(), key=str) == sorted(syntax.nodes(texts).select(*some.columns).collect(), key=str)
+
+
+MIXED = """class A
+  def a(x, y = 2, *z, k: 1)
+    x = 1 if y
+    while x
+      x = x + 1
+      next if z
+      w = [x, { q: x, r: (y || :n) }]
+    end
+    w
+  end
+  def b(c)
+    v = begin
+      c ? 'a' : nil
+    rescue Oops => e
+      e
+    else
+      u = 3.0
+    end
+    return v, c if c.nil?
+    return unless v
+    case c
+    in [Integer => d, *f] then d
+    in { g: } then g
+    in h then h
+    end
+  end
+  def d(*) = [1].map { |i| j = i; j }
+  def e
+    m, n = 1, :two
+    o = p = (n && 'z') || m
+    @q = o
+    raise 'no' if n
+    r = self
+    r = new if p
+    r&.to_s
+  end
+  class << self
+    def f = self
+    def g(h) = h
+  end
+  def h; end
+  def i(x) = x = x
+  def j(x)
+    case x
+    when 1 then y = :a
+    when 2 then y = y.to_s
+    end
+    y += 1
+    yield y
+  end
+end
+def k(a) = [*a, b: a, **a]
+"""
+
+
+def test_returns_ask_for_few_nodes(spark):
+    """The same returns from the nodes that they ask for as from the values of all, with fewer nodes."""
+    nodes = cut(syntax.nodes(spark.createDataFrame([("m.rb", MIXED), ("n.rb", "x = 1\ndef l = x\n")], "file string, content string")))
+    want = sorted(map(tuple, bodies.method_returns(nodes, bodies.values(nodes)).collect()), key=str)
+    few = stored(bodies.asked(nodes))
+    assert sorted(map(tuple, bodies.method_returns(few).collect()), key=str) == want and len(want) == 11
+    assert few.count() < nodes.count()
+    all_, some = ({(r["file"], r["node"]): r["term"] for r in bodies.values(*given).collect()} for given in ((nodes,), (few, True)))
+    ends = [(r["file"], r["node"]) for r in nodes.filter("top = node AND kind <> 'assign'").collect()]
+    assert [some.get(e) for e in ends] == [all_.get(e) for e in ends] and len(ends) > 30
